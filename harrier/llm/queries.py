@@ -63,6 +63,82 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: A-Z lower-cased, as DuckDB expressions over {x}.
 _FOLD = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: White space at both ends, and words, by the contracts' class [\x20\x09-\x0D].
+_BARE = "trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def _quality_sql() -> str:
+    """Measures, rules, the beta prior by moments, and the hosts' verdicts."""
+    rules = {
+        "too_short": f"n_words < {quality.MIN_WORDS}",
+        "repetitive": f"100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words",
+        "symbols": "10 * n_symbols > n_words",
+        "word_length": "n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 12 * n_words)",
+        "repeated_lines": "10 * n_dup_lines > n_words",
+    }
+    counts = ", ".join(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)::DOUBLE AS {rule}" for rule, cond in rules.items())
+    moments = ", ".join(f"least(greatest(avg({r} / n_docs), 1e-3), 1 - 1e-3) AS {r}_m, var_samp({r} / n_docs) AS {r}_v" for r in rules)
+    weights = ", ".join(f"least(greatest(CASE WHEN {r}_v > 0 THEN {r}_m * (1 - {r}_m) / {r}_v - 1 ELSE 1e4 END, 2), 1e4) AS {r}_w" for r in rules)
+    rates = ", ".join(f"({r} + {r}_m * {r}_w) / (n_docs + {r}_w)" for r in rules)
+    return rf"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, i, w[i : i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+        c AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+        r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS pos FROM c) GROUP BY doc_id),
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+        u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE {_BARE.format(x="line")} <> '' GROUP BY doc_id),
+        m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+              FROM d LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id)),
+        h AS (SELECT source, count(*)::DOUBLE AS n_docs, {counts} FROM m GROUP BY source),
+        p AS (SELECT {moments} FROM h), q AS (SELECT *, {weights} FROM p),
+        v AS (SELECT source, greatest({rates}) >= {quality.REJECT_RATE} AS rejected FROM h, q)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rules["too_short"]} OR {rules["repetitive"]} AS base_failed,
+               NOT ({rules["too_short"]} OR {rules["repetitive"]}) AND NOT rejected AS kept
+        FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source"""
+
+
+def _url_sql() -> str:
+    """The fixed rules, the frequent sets of up to three tokens, and their rules."""
+    parts = r"'://([^/?#]*)([^?#]*)(?:\?([^#]*))?'"
+    fits = " UNION ALL ".join(f"SELECT '{v}' AS verdict, '{h}' AS of, '{p}' AS begins" for v, h, p in url_filter.RULES)
+    sets = " UNION ALL ".join(
+        f"SELECT page_id, bad, [{', '.join(f't{i}' for i in range(n))}] AS tokens FROM "
+        + " JOIN ".join(f"(SELECT page_id, bad, t AS t{i} FROM e) x{i}" + (" USING (page_id, bad)" if i else "") for i in range(n))
+        + (f" WHERE {' AND '.join(f't{i} < t{i + 1}' for i in range(n - 1))}" if n > 1 else "")
+        for n in range(1, url_filter.MAX_TOKENS + 1)
+    )
+    return rf"""
+        WITH a AS (SELECT page_id, {_FOLD.format(x=f"regexp_extract(coalesce(url, ''), {parts}, 1)")} AS host, regexp_extract(coalesce(url, ''), {parts}, 2) AS path, regexp_extract(coalesce(url, ''), {parts}, 3) AS query FROM pages),
+        t AS (SELECT *, CASE WHEN host = '' THEN []::VARCHAR[] ELSE list_distinct(['H:' || host] || list_transform(string_split(host, '.'), lambda x: 'h:' || x)
+              || list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]')), lambda x: 'p:' || x)
+              || list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'q:' || split_part(x, '=', 1))) END AS tokens FROM a),
+        s AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+        b AS (SELECT page_id, bad, tokens FROM t JOIN s USING (page_id)), n AS (SELECT count(*) AS n FROM b),
+        e AS (SELECT page_id, bad, unnest(tokens) AS t FROM b),
+        k AS (SELECT tokens, count(*) AS seen, sum(bad) AS blocked FROM ({sets}) GROUP BY tokens),
+        m AS (SELECT tokens FROM k, n WHERE blocked >= ceil(greatest({url_filter.MIN_SUPPORT}, {url_filter.MIN_COUNT} / n) * n - 1e-9) AND blocked >= {url_filter.MIN_CONFIDENCE} * seen),
+        f AS ({fits}),
+        x AS (SELECT page_id, arg_max(struct_pack(rule := of || begins, verdict := verdict), struct_pack(n := length(of || begins), r := of || begins)) AS best
+              FROM t JOIN f ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, begins) GROUP BY page_id)
+        SELECT page_id, host, path, best.rule AS rule,
+               coalesce(best.verdict, CASE WHEN EXISTS (SELECT 1 FROM m WHERE list_has_all(t.tokens, m.tokens)) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM t LEFT JOIN x USING (page_id)"""
+
+
+def _shard_sql(n: int = 8) -> str:
+    """Draws from MD5, the best of the shards, slots, and CRC-32 byte by byte."""
+    draw = "((('0x' || substr(md5(doc_id || '/{s}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656)"
+    best = lambda k: "list_max([" + ", ".join(f"struct_pack(score := 1 / -ln({draw.format(s=i)}), turn := -{i})" for i in range(k)) + "]).turn"
+    return f"""
+        WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+        d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, len(h) // 2 + 1 AS size, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM d),
+        z AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM b, crc),
+        s AS (SELECT *, CAST(-{best(n)} AS INT) AS shard, CAST(-{best(n + 1)} AS INT) AS grown_shard, floor({draw.format(s="bucket")} * {sharding.BUCKETS}) AS bucket FROM z)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -76,6 +152,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
             FROM j GROUP BY doc_id""",
+        "op5_url_filter": _url_sql(),
+        "op6_quality": _quality_sql(),
+        "op7_sharding": _shard_sql(),
         "op9_decontamination": r"""
             WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

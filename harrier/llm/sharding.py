@@ -46,7 +46,7 @@ def with_slots(df: DataFrame, key: str, order: list[str], buckets: int = BUCKETS
     """``df`` (with ``shard``) with gapless numbers from 0 in each shard, in the order of
     the bucket, the key and ``order``."""
     bucket, before = free_name(df, "bucket"), free_name(df, "before")
-    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn(bucket, F.floor(draw(F.col(key), "bucket") * buckets).cast("int"))
     counts = dealt.groupBy("shard", bucket).agg(F.count("*").alias("rows"))
     upto = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", bucket, F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias(before))
