@@ -42,17 +42,17 @@ _SPACE = " \t\n\x0b\x0c\r"
 _NO_ID = -(2**63)
 
 
-def line_key(line: Column) -> Column:
-    """What two lines must share: percent-encoding keeps texts apart and leaves only
-    ASCII, so that lower-casing it folds A-Z of the line and nothing else."""
-    return F.lower(F.url_encode(F.trim(line, F.lit(_SPACE))))
+def line_key(bare: Column) -> Column:
+    """What two trimmed lines must share: percent-encoding keeps texts apart and leaves
+    only ASCII, so that lower-casing it folds A-Z of the line and nothing else."""
+    return F.lower(F.url_encode(bare))
 
 
 def long_lines(text: Column, min_chars: int) -> Column:
     """``array<struct<pos, h1, h2>>``: the lines whose keys take part."""
-    lines = F.transform(F.split(text, "\n"), _positioned)
-    kept = F.filter(lines, lambda x: F.char_length(x["line"]) >= min_chars)
-    return F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(line_key(x["line"])).alias("h1"), F.xxhash64(F.lit(1), line_key(x["line"])).alias("h2")))
+    kept = F.filter(F.transform(F.split(text, "\n"), _positioned), lambda x: F.char_length(x["line"]) >= min_chars)
+    keyed = F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), line_key(x["line"]).alias("key")))
+    return F.transform(keyed, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(1), x["key"]).alias("h2")))
 
 
 class LineRuns:
