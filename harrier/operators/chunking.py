@@ -237,7 +237,9 @@ def pooled_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Late chunking: ``tokens (doc_id, pos, vec)`` and ``spans (doc_id, chunk, first,
     last)`` (at least one token each) give ``(doc_id, chunk, dim, value)``: the mean of
     the span's token vectors, scaled to length 1."""
-    inside = tokens.join(spans, (tokens["doc_id"] == spans["doc_id"]) & (F.col("pos") >= F.col("first")) & (F.col("pos") <= F.greatest("first", "last"))).select(tokens["doc_id"], "chunk", F.posexplode("vec").alias("dim", "x"))
+    spans = spans.select(F.col("doc_id").alias("of"), "chunk", "first", F.greatest("first", "last").alias("last"))
+    met = tokens.join(spans, (F.col("doc_id") == F.col("of")) & F.col("pos").between(F.col("first"), F.col("last")))
+    inside = met.select("doc_id", "chunk", F.posexplode("vec").alias("dim", "x"))
     mean = inside.groupBy("doc_id", "chunk", "dim").agg(F.avg("x").alias("m"))
     length = mean.groupBy("doc_id", "chunk").agg(F.greatest(F.sqrt(F.sum(F.col("m") * F.col("m"))), F.lit(1e-12)).alias("length"))
     return mean.join(length, ["doc_id", "chunk"]).select("doc_id", "chunk", "dim", F.round(F.col("m") / F.col("length"), 8).alias("value"))
