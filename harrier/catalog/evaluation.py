@@ -24,7 +24,8 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.slice(T.tokens("passage"), 2, F.greatest(F.size(T.tokens("passage")) - 2, F.lit(1)))
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t"))))["t"]
     keyed = b.withColumn("key", longest)
-    holders = d.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("key")).join(keyed.select("key").distinct(), "key", "left_semi")
+    spread = L.exploded(d.select("doc_id", T.tokens("text").alias("tokens"))).withColumnRenamed("term", "key")
+    holders = spread.join(R.small(keyed.select("key").distinct(), L.BROADCAST_TERMS), "key", "left_semi").distinct()
     found = holders.join(keyed, "key").join(d.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("passage")))
     return found.select("query_id", F.col("doc_id").alias("item"), F.lit(1).alias("grade"))
 

@@ -58,7 +58,7 @@ def bm25_param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add(f"WITH {DOCS_SQL}, t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM docs) SELECT lang, term, count(*) AS n FROM t WHERE term NOT IN ({_STOP}) GROUP BY ALL")
 def stopword_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("lang", F.explode(T.alnum_tokens("text")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    return L.exploded(docs(spark, sf_dir).select("lang", T.alnum_tokens("text").alias("tokens"))).groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 @CATALOG.add()
@@ -71,7 +71,7 @@ def porter_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add(rf"WITH {DOCS_SQL}, t AS (SELECT lang, lower(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\p{{M}}]*'))) AS term FROM docs) SELECT lang, term, count(*) AS n FROM t GROUP BY ALL")
 def unicode_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("lang", F.explode(F.transform(T.word_runs("text"), F.lower)).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    return L.exploded(docs(spark, sf_dir).select("lang", F.transform(T.word_runs("text"), F.lower).alias("tokens"))).groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 @CATALOG.add(rf"WITH u AS (SELECT item_id AS query_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\p{{M}}]*'), lambda t: lower(t)) AS w FROM benchmark) SELECT query_id, array_to_string(list_filter(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: list_position(w, z[1]) = z[2]), lambda z: z[1]), lambda t: t <> 'or'), ' or ') AS lexical_query FROM u")

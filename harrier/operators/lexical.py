@@ -14,17 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrier.functions import text as T
-from harrier.operators.ranking import top_k
+from harrier.operators.ranking import small, top_k
+
+#: Query terms that are broadcast: a few megabytes.
+BROADCAST_TERMS = 100_000
 
 
 def token_frequencies(docs: DataFrame, text: Column | str = "text", tokenize: Callable[[Column | str], Column] = T.tokens, item: str = "doc_id") -> DataFrame:
     """``(item, term, tf)``."""
-    return docs.select(item, F.explode(tokenize(text)).alias("term")).groupBy(item, "term").agg(F.count("*").alias("tf"))
+    return exploded(docs.select(item, tokenize(text).alias("tokens"))).groupBy(item, "term").agg(F.count("*").alias("tf"))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``term`` in place of ``tokens``. The outer form is cheaper here: for
+    the inner one Spark adds a filter on the array's size, which makes the array twice."""
+    return rows.withColumn("term", F.explode_outer("tokens")).filter("term is not null").drop("tokens")
 
 
 def document_lengths(docs: DataFrame, text: Column | str = "text", tokenize: Callable[[Column | str], Column] = T.tokens, item: str = "doc_id") -> DataFrame:
     """``(item, dl)``, with the documents that have no token: a narrow pass."""
-    return docs.select(item, F.size(tokenize(text)).cast("long").alias("dl"))
+    return docs.select(item, token_count(text, tokenize).alias("dl"))
 
 
 def corpus_statistics(lengths: DataFrame) -> DataFrame:
@@ -44,7 +53,7 @@ def term_statistics(postings: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame, tokenize: Callable[[Column | str], Column] = T.tokens, most: int | None = None) -> DataFrame:
     """``(query_id, term, qtf)`` of ``queries (query_id, text)``; of each, the first ``most`` tokens."""
     cut = tokenize("text") if most is None else F.slice(tokenize("text"), 1, most)
-    return queries.select("query_id", F.explode(cut).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return exploded(queries.select("query_id", cut.alias("tokens"))).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25_weight(tf: Column, dl: Column, avgdl: Column, k1: Column | float, b: Column | float) -> Column:
@@ -58,23 +67,33 @@ def bm25_weight(tf: Column, dl: Column, avgdl: Column, k1: Column | float, b: Co
 def bm25_scores(docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75, text: Column | str = "text", tokenize: Callable[[Column | str], Column] = T.tokens, item: str = "doc_id") -> DataFrame:
     """``(query_id, item, score)`` of all documents with a query term.
 
-    Tokens that no query asks for are dropped by a semi-join before they are counted,
-    so only the postings of the batch's terms are shuffled. The corpus' two numbers
-    are a scalar subquery.
+    Tokens that no query asks for are dropped, by a semi-join in the scan while the
+    batch's terms are few enough to broadcast, before anything is counted or shuffled.
+    The corpus' two numbers are one scalar subquery.
     """
-    asked = terms.select("term").distinct()
-    one = document_lengths(docs, text, tokenize, item)
+    terms = terms.select("query_id", "term", "qtf")
+    asked = small(terms.select("term").distinct(), BROADCAST_TERMS)
     # the tokens become a column first: beside an explode, their number would be found anew for each of them
     cut = docs.select(item, tokenize(text).alias("tokens"))
-    tokens = cut.select(item, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    tokens = exploded(cut.select(item, F.size("tokens").cast("long").alias("dl"), "tokens"))
     tf = tokens.join(asked, "term", "left_semi").groupBy(item, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = corpus_statistics(one).select("n").scalar(), corpus_statistics(one).select("avgdl").scalar()
+    # a sum over tf keeps that column, so that this side reads the exchange of the other
+    df = tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
+    lengths = docs.select(token_count(text, tokenize).alias("dl"))
+    corpus = corpus_statistics(lengths).select(F.struct("n", "avgdl")).scalar()
+    n, avgdl = corpus.getField("n"), corpus.getField("avgdl")
     share = idf(n, F.col("df")) * bm25_weight(F.col("tf"), F.col("dl"), avgdl, k1, b) * F.col("qtf")
-    scored = tf.join(terms.join(df, "term"), "term").groupBy("query_id", F.col(item).alias("item")).agg(F.round(F.sum(share), 8).alias("score"))
+    scored = tf.join(small(terms, BROADCAST_TERMS), "term").join(df, "term").groupBy("query_id", F.col(item).alias("item")).agg(F.round(F.sum(share), 8).alias("score"))
     return scored.filter("score > 0")
 
 
+def token_count(text: Column | str, tokenize: Callable[[Column | str], Column]) -> Column:
+    """The number of tokens; the default analyser's are counted without being made."""
+    if tokenize is T.tokens:
+        return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(T.TOKEN)).cast("long")
+    return F.size(tokenize(text)).cast("long")
+
+
 def bm25_top_k(docs: DataFrame, terms: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, **how) -> DataFrame:
     """``(query_id, item, score, rank)``."""
     return top_k(bm25_scores(docs, terms, k1, b, **how), k)

@@ -25,6 +25,12 @@ def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], most
     return out
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``most`` rows; a larger one is joined
+    by a shuffle. Only so many rows are counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score", item: str = "item", by: str | Sequence[str] = "query_id", rank: str = "rank") -> DataFrame:
     """The ``k`` best rows of each query with their rank from 1. The rank's filter lets
     Spark keep only ``k`` rows of a query in each task before the shuffle."""
