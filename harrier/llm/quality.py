@@ -28,6 +28,8 @@ from harrier.llm.common import free_name, map_rows, materialize, ship, text_of
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
+#: The mean length of words, in characters, that a document should have.
+MEAN_WORD = (2, 20)
 REJECT_RATE = 0.75
 BROADCAST_HOSTS = 10_000
 
@@ -87,7 +89,7 @@ def rule_failures() -> dict[str, Column]:
         "too_short": words < MIN_WORDS,
         "repetitive": 100 * F.col("n_repeat_words") > REPEAT_PERCENT * words,
         "symbols": 10 * F.col("n_symbols") > words,
-        "word_length": (words > 0) & ((F.col("word_chars") < 3 * words) | (F.col("word_chars") > 12 * words)),
+        "word_length": (words > 0) & ((F.col("word_chars") < MEAN_WORD[0] * words) | (F.col("word_chars") > MEAN_WORD[1] * words)),
         "repeated_lines": 10 * F.col("n_dup_lines") > words,
     }
 

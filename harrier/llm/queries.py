@@ -73,7 +73,7 @@ def _quality_sql() -> str:
         "too_short": f"n_words < {quality.MIN_WORDS}",
         "repetitive": f"100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words",
         "symbols": "10 * n_symbols > n_words",
-        "word_length": "n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 12 * n_words)",
+        "word_length": f"n_words > 0 AND (word_chars < {quality.MEAN_WORD[0]} * n_words OR word_chars > {quality.MEAN_WORD[1]} * n_words)",
         "repeated_lines": "10 * n_dup_lines > n_words",
     }
     counts = ", ".join(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)::DOUBLE AS {rule}" for rule, cond in rules.items())
