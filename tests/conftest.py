@@ -3,10 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
-DATA = "/root/testdata"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+from support import DATA, TABLES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -35,25 +34,3 @@ def duck():
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/sf0.001/{name}.parquet'")
     return con
-
-
-def normal(value):
-    if isinstance(value, float):
-        return f"{value:.9g}"
-    if isinstance(value, (list, tuple)):
-        return [normal(v) for v in value]
-    if hasattr(value, "isoformat"):
-        return value.isoformat()
-    return str(value)
-
-
-def rows_of(df):
-    names = sorted(df.columns)
-    return names, sorted(str([normal(v) for v in row]) for row in df.select(*(f"`{n}`" for n in names)).collect())
-
-
-def rows_of_sql(con, sql):
-    cursor = con.execute(sql)
-    names = [d[0] for d in cursor.description]
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(names), sorted(str([normal(row[i]) for i in order]) for row in cursor.fetchall())

@@ -1,7 +1,7 @@
 """Each query of the catalogue against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import DATA, rows_of, rows_of_sql
+from support import DATA, rows_of, rows_of_sql
 
 import __spark_entry__
 

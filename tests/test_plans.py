@@ -1,6 +1,6 @@
 """What the plans must look like."""
 
-from conftest import DATA
+from support import DATA
 
 import __spark_entry__
 
