@@ -12,8 +12,9 @@ acts on the states as a matrix of least costs, and such matrices combine
 associatively (min, +). So a conversation of any length is cut into stretches of at
 most ``stretch`` turns, in three steps: the matrix of each stretch; for each
 conversation, the states at the ends of its stretches on the cheapest path; and the
-path inside each stretch, given its ends. No task holds a conversation, and no row
-holds a whole rendering: each turn carries its *fragment*, and the fragments in the
+path inside each stretch, given its ends. No task holds a conversation's turns (the
+second step holds sixteen numbers for each stretch), and no row holds a whole
+rendering: each turn carries its *fragment*, and the fragments in the
 order of ``(conv_id, seq, part)`` are the rendered conversation.
 
 Turns are ordered by ``turn``, then role and text; null turns come first. Roles are
@@ -28,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {(START, SYSTEM), (START, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)}
 #: What each step costs.
 COSTS = {"merge": 1, "unknown": 1, "relabel": 3, "insert": 4}
-STRETCH = 1_024
+STRETCH = 16_384
 #: Other names of the roles.
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant"}
 _FAR = 10**12
@@ -151,57 +151,49 @@ def repair(conversations: DataFrame, stretch: int = STRETCH) -> DataFrame:
     numbered = map_rows(ordered, ["part", *keys], number, f"part int, conv_id {kind}, block long, pos int, turn long, role string, state int, text string")
     numbered = materialize(numbered, "turns")
 
-    def weigh(key: tuple, table: pa.Table) -> pa.Table:
-        turns = sorted(zip(table["pos"].to_pylist(), table["state"].to_pylist(), strict=True))
-        flat = [c for row in matrix([state for _, state in turns]) for c in row]
-        return pa.table({"conv_id": table["conv_id"].slice(0, 1), "part": table["part"].slice(0, 1), "block": table["block"].slice(0, 1), "n": [len(turns)], "costs": pa.array([flat], pa.list_(pa.int64()))})
-
-    stretches = numbered.select("conv_id", "part", "block", "pos", "state").groupBy("conv_id", "part", "block").applyInArrow(weigh, f"conv_id {kind}, part int, block long, n long, costs array<long>")
-
-    def route(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["part"].to_pylist(), table["block"].to_pylist(), table["n"].to_pylist(), table["costs"].to_pylist(), strict=True))
-        states, cost = through([[flat[4 * a : 4 * a + 4] for a in range(4)] for *_, flat in rows])
-        before, total = [], 0
-        for _, _, n, _ in rows:
-            before.append(total)
-            total += n
-        return pa.table({
-            "conv_id": pa.concat_arrays([table["conv_id"].slice(0, 1).combine_chunks()] * len(rows)) if rows else table["conv_id"],
-            "part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int64()),
-            "first": pa.array(before, pa.int64()), "n_turns": pa.array([total] * len(rows), pa.int64()),
-            "enter": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32()), "cost": pa.array([cost] * len(rows), pa.int64()),
-        })
-
-    routed = stretches.groupBy("conv_id").applyInArrow(route, f"conv_id {kind}, part int, block long, first long, n_turns long, enter int, leave int, cost long")
-    routed = routed.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("block").alias("b"), "first", "n_turns", "enter", "leave", "cost")
-    joined = numbered.join(routed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))).drop("c", "p", "b")
-
-    def render(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["pos"])
-        out: dict[str, list] = {name: [] for name in ("seq", "turn", "role_in", "role", "action", "inserted", "cost", "text", "fragment")}
-        state, last_state = rows[0]["enter"], rows[0]["leave"]
-        for row, step in zip(rows, path([r["state"] for r in rows], state, last_state), strict=True):
-            extra, new, _, between, merge = step
-            seq = row["first"] + row["pos"]
-            fragment = "\n\n" if merge else (CLOSE if state else "") + (opening(between) + CLOSE if between else "") + opening(new)
-            fragment += row["text"]
-            closing = ""
-            if seq == row["n_turns"] - 1:
-                missing = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(new, ())
-                closing = CLOSE + "".join(opening(s) + CLOSE for s in missing)
-            acts = [*(["insert"] if between else []), *(["merge"] if merge else []), *([] if new == row["state"] else ["relabel"])]
-            out["seq"].append(seq)
-            out["turn"].append(row["turn"])
-            out["role_in"].append(row["role"])
-            out["role"].append(ROLES[new - 1])
-            out["action"].append("+".join(acts) or "keep")
-            out["inserted"].append(ROLES[between - 1] if between else None)
-            out["cost"].append(row["cost"])
-            out["text"].append(row["text"])
-            out["fragment"].append(fragment + closing)
-            state = new
-        kinds = {"seq": pa.int64(), "turn": pa.int64(), "cost": pa.int64()}
-        same = pa.concat_arrays([table["conv_id"].slice(0, 1).combine_chunks()] * len(rows))
-        return pa.table({"conv_id": same} | {name: pa.array(v, kinds.get(name, pa.string())) for name, v in out.items()})
-
-    return joined.groupBy("conv_id", "part", "block").applyInArrow(render, f"conv_id {kind}, seq long, turn long, role_in string, role string, action string, inserted string, cost long, text string, fragment string")
+    def weigh(values: Iterator[tuple]) -> Iterator[tuple]:
+        for key, turns in groupby(values, key=lambda r: r[:3]):
+            roles = [state for *_, state in turns]
+            yield *key, len(roles), [c for row in matrix(roles) for c in row]
+
+    where = ["conv_id", "part", "block"]
+    dealt = numbered.select(*where, "pos", "state").repartition(*where).sortWithinPartitions(*where, "pos")
+    stretches = map_rows(dealt, [*where, "pos", "state"], weigh, f"conv_id {kind}, part int, block long, n long, costs array<long>")
+
+    def route(values: Iterator[tuple]) -> Iterator[tuple]:
+        for conv, own in groupby(values, key=lambda r: r[0]):
+            parts = list(own)
+            states, cost = through([[flat[4 * a : 4 * a + 4] for a in range(4)] for *_, flat in parts])
+            total, first = sum(n for _, _, _, n, _ in parts), 0
+            for (_, part, block, n, _), enter, leave in zip(parts, states[:-1], states[1:], strict=True):
+                yield conv, part, block, first, total, enter, leave, cost
+                first += n
+
+    ends = stretches.repartition("conv_id").sortWithinPartitions(*where)
+    routed = map_rows(ends, stretches.columns, route, f"c {kind}, p int, b long, first long, n_turns long, enter int, leave int, cost long")
+    joined = numbered.join(routed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("block") == F.col("b")))
+    rows = joined.repartition(*where).sortWithinPartitions(*where, "pos")
+
+    def render(values: Iterator[tuple]) -> Iterator[tuple]:
+        for (conv, _, _), own in groupby(values, key=lambda r: r[:3]):
+            turns = list(own)
+            state, leave = turns[0][-3], turns[0][-2]
+            for row, step in zip(turns, path([r[4] for r in turns], state, leave), strict=True):
+                yield conv, *_rendered(row, step, state)
+                state = step[1]
+
+    schema = f"conv_id {kind}, seq long, turn long, role_in string, role string, action string, inserted string, cost long, text string, fragment string"
+    return map_rows(rows, [*where, "pos", "state", "turn", "role", "text", "first", "n_turns", "enter", "leave", "cost"], render, schema)
+
+
+def _rendered(row: tuple, step: Step, state: int) -> tuple:
+    """A turn's output row but its conversation: ``state`` is the one before it."""
+    _, _, _, pos, said, turn, role, text, first, n_turns, _, _, cost = row
+    _, new, _, between, merge = step
+    lead = "\n\n" if merge else (CLOSE if state else "") + (opening(between) + CLOSE if between else "") + opening(new)
+    tail = ""
+    if first + pos == n_turns - 1:
+        missing = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(new, ())
+        tail = CLOSE + "".join(opening(s) + CLOSE for s in missing)
+    acts = [*(["insert"] if between else []), *(["merge"] if merge else []), *([] if new == said else ["relabel"])]
+    return first + pos, turn, role, ROLES[new - 1], "+".join(acts) or "keep", ROLES[between - 1] if between else None, cost, text, lead + text + tail
