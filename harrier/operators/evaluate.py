@@ -155,3 +155,23 @@ def overlap_metrics(rows: DataFrame) -> DataFrame:
         F.round(precision, 6).alias("context_precision"),
         F.round(recall, 6).alias("context_recall"),
     )
+
+
+def metadata_union(rows: DataFrame) -> DataFrame:
+    """``(item, metadata)`` of ``(item, list_no, rank, metadata map)``: of each key the value
+    that occurs first, by list and rank."""
+    pairs = rows.select("item", F.struct("list_no", "rank").alias("at"), F.explode("metadata").alias("key", "value"))
+    first = pairs.groupBy("item", "key").agg(F.min_by("value", "at").alias("value"))
+    return first.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
+
+
+def top_lists(hits: DataFrame, k: int) -> DataFrame:
+    """``(query_id, top)``: the first ``k`` items of each query as an array."""
+    by = hits.filter(F.col("rank") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("l"))
+    return by.select("query_id", F.transform("l", lambda x: x["item"]).alias("top"))
+
+
+def changed_lists(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    """``(query_id, changed)``: do the first ``k`` items of two runs differ?"""
+    both = top_lists(a, k).withColumnRenamed("top", "a").join(top_lists(b, k).withColumnRenamed("top", "b"), "query_id", "full")
+    return both.select("query_id", (~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))

@@ -165,8 +165,14 @@ def rewritten(q: Column) -> Column:
     return F.when(named, F.concat(out, F.lit(" configs/run_"), padded, F.lit(".yaml"))).otherwise(out)
 
 
-#: Words that say little in a question.
-WEAK = "a an the is are was were what which who how when where why do does did of in on at to for and or with from by this that it".split()
+#: Words that say little in a question.
+WEAK = (
+    "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought "
+    "used to of in for on with at by from as into through during before after above below between out off over under again "
+    "further then once here there when where why how all each every both few more most other some such no nor not only own same "
+    "so than too very just because but and or if while about what which who whom this that these those i me my we our you "
+    "your he him his she her it its they them their"
+).split()
 
 
 def hypothesis(q: Column, weak: list[str] = WEAK) -> Column:
