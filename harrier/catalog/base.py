@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.functions import text as T
+from harrier.operators.ranking import spread
+from harrier.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,12 +33,13 @@ class Catalog:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text, lang, source, path)``."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
 
 

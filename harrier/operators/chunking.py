@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrier.functions import text as T
+from harrier.shipping import ship
 
 SIZE, OVERLAP = 512, 50
 LONGEST, RECUT_OVERLAP = 2_000, 80
@@ -207,6 +208,8 @@ def structured_chunks(files: DataFrame, strategy: str = "auto") -> DataFrame:
     if strategy not in ("auto", "fixed", "markdown", "ast"):
         raise ValueError(f"unknown strategy {strategy!r}")
 
+    ship(files.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [row for path, text in zip(*(c.to_pylist() for c in batch.columns)) for row in chunks_of(path, text or "", strategy)]

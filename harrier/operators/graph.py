@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harrier.functions import text as T
 from harrier.operators.ranking import top_k
+from harrier.shipping import ship
 
 #: How texts refer to files, and what names entities.
 PATH_REFERENCE = r"(?:[\w.\-]+/)+[\w.\-]+\.(?:ya?ml|py|csv|md|out|sbatch|json|png|pdf)"
@@ -160,6 +161,7 @@ def page_rank(weights: DataFrame, seeds: DataFrame, rounds: int = 25, damping: f
     out = np.zeros(max(len(nodes), 1))
     np.add.at(out, src, weight)
     share = weight / out[src] if len(src) else weight
+    ship(weights.sparkSession)
     shared = weights.sparkSession.sparkContext.broadcast((nodes, number, src, dst, share))
 
     def walk(key: tuple, table: pa.Table) -> pa.Table:

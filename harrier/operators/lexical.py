@@ -8,13 +8,19 @@ a top-k for each query.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from harrier.functions import text as T
 from harrier.operators.ranking import small, top_k
+from harrier.shipping import ship
 
 #: Query terms that are broadcast: a few megabytes.
 BROADCAST_TERMS = 100_000
@@ -94,9 +100,134 @@ def token_count(text: Column | str, tokenize: Callable[[Column | str], Column])
     return F.size(tokenize(text)).cast("long")
 
 
-def bm25_top_k(docs: DataFrame, terms: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, **how) -> DataFrame:
-    """``(query_id, item, score, rank)``."""
-    return top_k(bm25_scores(docs, terms, k1, b, **how), k)
+def bm25_top_k(docs: DataFrame, terms: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, text: Column | str = "text", tokenize: Callable[[Column | str], Column] = T.tokens, item: str = "doc_id") -> DataFrame:
+    """``(query_id, item, score, rank)``: the best documents of each query.
+
+    Scoring by joins makes a row for each query, posting and common term. Here the
+    queries go out in blocks of bounded size instead, and two narrow passes meet them:
+    the first counts documents by term, the second scores each Arrow batch at once and
+    hands on ``k`` rows for each query and task, which is all that is shuffled.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[item].dataType
+    if not isinstance(kind, (LongType, IntegerType)):
+        return top_k(bm25_scores(docs, terms, k1, b, text, tokenize, item), k)
+    ship(spark)
+    rows = docs.select(F.col(item).cast("long").alias("item"), tokenize(text).alias("tokens"))
+    out = None
+    for block in _term_blocks(terms):
+        words = spark.sparkContext.broadcast(block.words)
+
+        def count(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
+            seen, n, total = np.zeros(len(words.value), np.int64), 0, 0
+            for batch in batches:
+                _, term, _, lengths = postings_of(batch.column(1), words.value)
+                seen += np.bincount(term, minlength=len(seen))
+                n, total = n + len(lengths), total + int(lengths.sum())
+            yield pa.RecordBatch.from_pydict({"term": np.arange(-2, len(seen)), "n": np.concatenate([[n, total], seen])})
+
+        # a row for each of the block's terms
+        found = {r.term: r.n for r in rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        n, total = found.get(-2, 0), found.get(-1, 0)
+        df = np.array([found.get(i, 0) for i in range(len(block.words))], np.float64)
+        shared = spark.sparkContext.broadcast(block.weighted(np.log(1 + (n - df + 0.5) / (df + 0.5))))
+        average = total / n if n else 0.0
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared, average=average) -> Iterator[pa.RecordBatch]:
+            block, best = shared.value, None
+            for batch in batches:
+                for part in _slices(batch, max(1, 4_000_000 // max(1, len(block.ids)))):
+                    scores, items = block.scores(part, average, k1, b)
+                    best = block.best(best, scores, items, k)
+            if best is not None:
+                scores, items = best
+                keep = scores > 0
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(block.ids, scores.shape[1])[keep.ravel()], "item": items.ravel()[keep.ravel()], "score": scores.ravel()[keep.ravel()]})
+
+        part = rows.mapInArrow(score, "query_id long, item long, score double")
+        out = part if out is None else out.unionByName(part)
+    q = terms.schema["query_id"].dataType
+    return top_k(out, k).select(F.col("query_id").cast(q).alias("query_id"), F.col("item").cast(kind).alias("item"), "score", "rank")
+
+
+def postings_of(tokens: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's token lists: row, word and frequency of each pair of a row and one of
+    ``words`` in it, and the rows' lengths."""
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = tokens.flatten()
+    at = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    known = at >= 0
+    pair, tf = np.unique(row[known] * max(1, len(words)) + at[known], return_counts=True)
+    return pair // max(1, len(words)), pair % max(1, len(words)), tf, lengths
+
+
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+@dataclass
+class QueryBlock:
+    """A block of queries: their ids, their words, and (word, query, qtf) by word."""
+
+    ids: np.ndarray
+    words: pa.Array
+    word: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+
+    def weighted(self, idf: np.ndarray) -> QueryBlock:
+        return QueryBlock(self.ids, self.words, self.word, self.query, self.weight * idf[self.word] if len(self.word) else self.weight)
+
+    def scores(self, batch: pa.RecordBatch, average: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+        """Queries by rows of the batch, and the rows' items."""
+        row, term, tf, lengths = postings_of(batch.column(1), self.words)
+        length = lengths[row] / average if average > 0 else lengths[row].astype(np.float64)
+        share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
+        starts = np.searchsorted(self.word, np.arange(len(self.words) + 1))
+        many = (starts[1:] - starts[:-1])[term]
+        at = np.repeat(starts[:-1][term] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(many) else many, many) + np.arange(int(many.sum()))
+        code = self.query[at] * batch.num_rows + np.repeat(row, many)
+        flat = np.bincount(code, np.repeat(share, many) * self.weight[at], len(self.ids) * batch.num_rows)
+        return np.round(flat, 8).reshape(len(self.ids), batch.num_rows), batch.column(0).to_numpy(zero_copy_only=False)
+
+    def best(self, held: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best of what is held and what is new, for each query."""
+        many = np.broadcast_to(items, scores.shape)
+        if held is not None:
+            scores, many = np.hstack([held[0], scores]), np.hstack([held[1], many])
+        if scores.shape[1] > 4 * k:  # all that reach the k-th score, ties included, before they are sorted
+            edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+            wanted = scores >= edge
+            most = int(wanted.sum(axis=1).max())
+            if most < scores.shape[1] // 2:
+                pick = np.argsort(~wanted, axis=1, kind="stable")[:, :most]
+                scores, many = np.take_along_axis(scores, pick, 1), np.take_along_axis(many, pick, 1)
+        order = np.lexsort((many, -scores), axis=1)[:, :k]
+        return np.take_along_axis(scores, order, 1), np.take_along_axis(many, order, 1)
+
+
+def _term_blocks(terms: DataFrame, most: int = 1_024) -> Iterator[QueryBlock]:
+    """Blocks of at most ``most`` queries; there is one, if empty, for no queries."""
+    held: dict[int, list[tuple[str, int]]] = {}
+    sent = False
+    for q, term, qtf in terms.select("query_id", "term", "qtf").repartition(1, "query_id").sortWithinPartitions("query_id", "term").toLocalIterator():
+        if q not in held and len(held) == most:
+            yield _block(held)
+            held, sent = {}, True
+        held.setdefault(q, []).append((term, qtf))
+    if held or not sent:
+        yield _block(held)
+
+
+def _block(held: dict[int, list[tuple[str, int]]]) -> QueryBlock:
+    ids = np.array(sorted(held), np.int64)
+    words = sorted({t for own in held.values() for t, _ in own})
+    number = {t: i for i, t in enumerate(words)}
+    rows = sorted((number[t], i, float(n)) for i, q in enumerate(ids.tolist()) for t, n in held[q])
+    word, query, weight = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return QueryBlock(ids, pa.array(words, pa.string()), word, query, weight)
 
 
 def path_scores(paths: DataFrame, queries: DataFrame) -> DataFrame:

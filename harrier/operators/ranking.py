@@ -31,6 +31,14 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, if its files give fewer splits than there are cores: for a
+    table in a few files, dealing rows costs less than working on few cores. A table of
+    many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score", item: str = "item", by: str | Sequence[str] = "query_id", rank: str = "rank") -> DataFrame:
     """The ``k`` best rows of each query with their rank from 1. The rank's filter lets
     Spark keep only ``k`` rows of a query in each task before the shuffle."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from harrier.functions import embedders
 from harrier.operators import dense, evaluate, lexical, ranking, rerank, understand, versions
+from harrier.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,7 @@ class Engine:
     """Retrieval over ``chunks (chunk_id long, path, text, mtime)``."""
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None):
+        ship(spark)
         self.spark, self.chunks = spark, chunks
         self.vectors = vectors if vectors is not None else chunks.select("chunk_id", embedders.hash_vectors("text").alias("embedding"))
 

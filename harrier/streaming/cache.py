@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from harrier.shipping import ship
+
 SIMILARITY, TTL, SIZE = 0.92, 3600.0, 256
 
 
@@ -81,5 +83,6 @@ def replay(questions: DataFrame, shards: int = 8, similarity: float = SIMILARITY
                 s, q, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(q, pa.int64()), pa.array(b, pa.int64())], names=["shard", "question_id", "served_by"])
 
+    ship(questions.sparkSession)
     rows = questions.selectExpr("cast(shard as bigint) shard", "cast(question_id as bigint) question_id", "cast(at as double) at", "vector")
     return rows.repartition(shards, "shard").sortWithinPartitions("shard", "at", "question_id").mapInArrow(run, "shard long, question_id long, served_by long")
