@@ -27,8 +27,11 @@ from pyspark.sql import DataFrame
 
 from harrier.llm.common import map_rows, text_of
 
-#: Most pre-tokens that a worker keeps encoded; beyond it, the memo starts anew.
-MEMO_ENTRIES = 400_000
+#: Pre-tokens that a worker keeps encoded, in each of two generations: when the young
+#: one is full it becomes the old one, and what is still in use moves up again.
+MEMO_ENTRIES = 100_000
+#: Pairs of tokens whose compatibility is kept.
+FIT_ENTRIES = 400_000
 #: Pre-tokens longer than this are encoded each time instead of kept.
 MEMO_CHARS = 64
 
@@ -58,6 +61,7 @@ class BytePairCodec:
         self._whole: dict[int, bool] = {}
         self._fit: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The merges themselves, lowest rank first, leftmost first: only ever run on
@@ -85,7 +89,7 @@ class BytePairCodec:
         key = left * self.size + right
         known = self._fit.get(key)
         if known is None:
-            if len(self._fit) > 4_000_000:
+            if len(self._fit) >= FIT_ENTRIES:
                 self._fit.clear()
             known = self._fit[key] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
         return known
@@ -126,10 +130,13 @@ class BytePairCodec:
         for word in self.split(text):
             ids = memo.get(word)
             if ids is None:
-                ids = self.encode_piece(word.encode("utf-8", "surrogatepass"))
+                ids = self.older.get(word)
+                if ids is None:
+                    ids = self.encode_piece(word.encode("utf-8", "surrogatepass"))
                 if len(word) <= MEMO_CHARS:
                     if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
+                        self.memo, self.older = {}, memo
+                        memo = self.memo
                     memo[word] = ids
             found.append(ids)
         return list(chain.from_iterable(found))

@@ -55,7 +55,8 @@ def map_rows(df: DataFrame, columns: list[str | Column], rows: Callable[[Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def values() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for part in slices(batch):
+                    yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
         held: list[tuple] = []
         for row in rows(values()):
@@ -69,6 +70,15 @@ def map_rows(df: DataFrame, columns: list[str | Column], rows: Callable[[Iterato
     return picked.mapInArrow(run, schema)
 
 
+#: Rows of a batch that are Python objects at a time.
+SLICE = 256
+
+
+def slices(batch):
+    """A batch or array in slices of few rows: long texts shouldn't all be Python objects at once."""
+    return (batch.slice(at, SLICE) for at in range(0, len(batch), SLICE))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from harrier.llm.common import map_rows, ship, text_of
+from harrier.llm.common import map_rows, ship, slices, text_of
 
 WINDOW = 10
 #: Most windows in a block of test items that is broadcast at once (about 25 MB).
@@ -222,6 +222,6 @@ def _is_clean(block: Broadcast, window: int):
     @F.arrow_udf(BooleanType())
     def clean(texts: pa.Array) -> pa.Array:
         search = _searcher(key, block).search
-        return pa.array([not search(words_of(t))[0] for t in texts.to_pylist()], pa.bool_())
+        return pa.array([not search(words_of(t))[0] for part in slices(texts) for t in part.to_pylist()], pa.bool_())
 
     return clean

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from harrier.llm.common import free_name, map_rows, materialize, ship, text_of
+from harrier.llm.common import free_name, map_rows, materialize, ship, slices, text_of
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -157,7 +157,7 @@ def keep_good(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id",
             words = text.encode("utf-8", "surrogatepass").split()
             return len(words) >= MIN_WORDS and not fails_base(len(words), repeated_words(words))
 
-        return pa.array([ok(t) for t in texts.to_pylist()], pa.bool_())
+        return pa.array([ok(t) for part in slices(texts) for t in part.to_pylist()], pa.bool_())
 
     kept = docs.filter(base_ok(text_of(text_col)))
     if n == 0:

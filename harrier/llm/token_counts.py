@@ -30,7 +30,7 @@ SAMPLE_DOCS = 2_000
 TABLE_ENTRIES = 65_536
 ENTRY_BYTES = 32
 #: Bounds of tier 2 in each worker.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 64
 
 
