@@ -175,3 +175,25 @@ def changed_lists(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     """``(query_id, changed)``: do the first ``k`` items of two runs differ?"""
     both = top_lists(a, k).withColumnRenamed("top", "a").join(top_lists(b, k).withColumnRenamed("top", "b"), "query_id", "full")
     return both.select("query_id", (~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
+
+
+def list_changes(before: DataFrame, after: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """``(query_id, dropped, gained)``: relevant items that only one run has among its
+    first ``k``."""
+    cut = lambda run: run.filter(F.col("rank") <= k).select("query_id", "item").join(relevant.select("query_id", "item"), ["query_id", "item"], "left_semi")
+    a, b = cut(before).withColumn("a", F.lit(1)), cut(after).withColumn("b", F.lit(1))
+    both = a.join(b, ["query_id", "item"], "full")
+    return both.groupBy("query_id").agg(F.count_if(F.col("b").isNull()).alias("dropped"), F.count_if(F.col("a").isNull()).alias("gained"))
+
+
+def load_summary(attempts: DataFrame) -> DataFrame:
+    """``(phase, n, ok, error_rate, users, p50, p95)`` of ``(phase, success, user, ms)``."""
+    by = attempts.groupBy("phase").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"), F.count_distinct("user").alias("users"), F.percentile("ms", 0.5).alias("p50"), F.percentile("ms", 0.95).alias("p95"))
+    return by.select("phase", "n", "ok", F.round(1 - F.col("ok") / F.col("n"), 6).alias("error_rate"), "users", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+def paired_by_route(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(route, n, delta, better, worse)`` of two runs ``(query_id, route, value)``."""
+    both = a.join(b.select("query_id", F.col("value").alias("other")), "query_id")
+    delta = F.col("other") - F.col("value")
+    return both.groupBy("route").agg(F.count("*").alias("n"), F.round(F.avg(delta), 6).alias("delta"), F.count_if(delta > 0).alias("better"), F.count_if(delta < 0).alias("worse"))

@@ -94,3 +94,31 @@ def rerank_head(hits: DataFrame, reranked: DataFrame, depth: int) -> DataFrame:
     head = head.withColumn("new_rank", F.row_number().over(order))
     tail = hits.filter(F.col("rank") > depth).withColumns({"rerank": F.lit(None).cast("double"), "new_rank": F.col("rank")})
     return head.unionByName(tail).withColumn("rank", F.col("new_rank")).drop("new_rank")
+
+
+def boosted_by_rank(hits: DataFrame, other: DataFrame, item: str = "item", k: int = 60) -> DataFrame:
+    """Hits ``(query_id, item, rank)`` in the order of ``1 / (k + rank)`` plus the same of
+    their rank in ``other``; items that it lacks keep their own share."""
+    far = other.select("query_id", item, F.col("rank").alias("other_rank"))
+    score = F.round(1 / (k + F.col("rank")) + F.coalesce(1 / (k + F.col("other_rank")), F.lit(0.0)), 10)
+    scored = hits.join(far, ["query_id", item], "left").withColumn("score", score)
+    return scored.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank"))).drop("other_rank")
+
+
+def without_self(hits: DataFrame) -> DataFrame:
+    """Hits but those whose item is the query itself, ranked anew."""
+    kept = hits.filter(F.col("item").cast("string") != F.col("query_id").cast("string"))
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
+def of_type(hits: DataFrame, endings: Sequence[str], k: int) -> DataFrame:
+    """Of the first ``k`` hits those with one of the extensions: fewer than ``k`` may be
+    left, since the cut comes first."""
+    from harrier.functions import text as T
+
+    return hits.filter(F.col("rank") <= k).filter(T.suffix("path").isin(*endings))
+
+
+def shown(hits: DataFrame, chars: int = 400) -> DataFrame:
+    """What a caller sees of a hit: its place, and the beginning of its text."""
+    return hits.withColumn("text", F.when(F.char_length("text") > chars, F.concat(F.substring("text", 1, chars), F.lit(" ..."))).otherwise(F.col("text")))

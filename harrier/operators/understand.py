@@ -182,3 +182,13 @@ def hypothesis(q: Column, weak: list[str] = WEAK) -> Column:
     key = F.when(F.size(telling) > 0, telling).otherwise(F.slice(words, 1, 5))
     joined = F.array_join(key, " ")
     return F.when(F.trim(q) == "", "").otherwise(F.concat(F.lit("This document contains information about "), joined, F.lit(". "), joined, F.lit(" "), joined, F.lit(" "), joined))
+
+
+def with_path_tokens(hits: DataFrame, n_hits: int = 3, n_tokens: int = 6) -> DataFrame:
+    """``(query_id, rewritten)``: the query with up to six new tokens of the paths of its
+    first three hits ``(query_id, query, path, rank)``; one step of a search loop."""
+    few = hits.filter(F.col("rank") <= n_hits).groupBy("query_id", "query").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("l"))
+    found = F.array_distinct(F.flatten(F.transform("l", lambda x: T.tokens(x["path"]))))
+    present = T.tokens("query")
+    fresh = F.slice(F.filter(found, lambda t: (F.char_length(t) > 2) & ~F.array_contains(present, t)), 1, n_tokens)
+    return few.select("query_id", F.when(F.size(fresh) > 0, F.concat_ws(" ", F.col("query"), F.array_join(fresh, " "))).otherwise(F.concat(F.col("query"), F.lit(" details"))).alias("rewritten"))

@@ -101,3 +101,29 @@ def aggregate_digest(files: DataFrame, by: str) -> DataFrame:
 def perturbed(docs: DataFrame, copies: int) -> DataFrame:
     """``copies`` marked copies of each document."""
     return docs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("text", F.concat("text", F.lit("\n# copy "), F.col("copy").cast("string")))
+
+
+def chunks_of_path(chunks: DataFrame, path: str) -> DataFrame:
+    """The chunks of one file, in their order."""
+    return chunks.filter(F.col("path") == path).orderBy("start_byte", "end_byte", "chunk_id")
+
+
+def rebuilt(chunks: DataFrame) -> DataFrame:
+    """``(path, text)``: files put together from chunks ``(path, start_byte, end_byte, text)``
+    by their byte ranges; what chunks share is taken once. Bytes are cut as bytes, so an
+    overlap may end within a character of the next chunk's range."""
+    by = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte", "text"))).alias("c"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.encode(F.lit(""), "UTF-8").alias("data"))
+
+    def put(acc: Column, c: Column) -> Column:
+        skip = F.greatest(acc["at"] - c["start_byte"], F.lit(0)).cast("int")
+        fresh = F.substring(F.encode(c["text"], "UTF-8"), skip + 1, F.octet_length(c["text"]))
+        return F.struct(F.greatest(acc["at"], c["end_byte"]).alias("at"), F.concat(acc["data"], F.when(c["end_byte"] > acc["at"], fresh).otherwise(F.encode(F.lit(""), "UTF-8"))).alias("data"))
+
+    return by.select("path", F.decode(F.aggregate("c", start, put)["data"], "UTF-8").alias("text"))
+
+
+def scalar_fields(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """``(key, field, value)``: the top-level scalars of a JSON column."""
+    fields = rows.select(key, F.explode(F.from_json(F.col(column), "map<string,string>")).alias("field", "value"))
+    return fields.filter(~F.coalesce(F.col("value"), F.lit("")).rlike(r"^[\[{]"))
