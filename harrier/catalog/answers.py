@@ -32,7 +32,7 @@ def overlap_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.overlap_scores(_pairs(spark, sf_dir)).select("query_id", "item", "score")
 
 
-@CATALOG.add(f"WITH {_PAIRS}, o AS (SELECT query_id, item, rank, CASE WHEN rank <= 5 THEN round(exact + jac + 0.05::DOUBLE * rrf, 10) END AS rerank FROM j) SELECT query_id, item, CASE WHEN rank <= 5 THEN CAST(row_number() OVER (PARTITION BY query_id, rank <= 5 ORDER BY rerank DESC, rank) AS INT) ELSE rank END AS rank FROM o")
+@CATALOG.add(f"WITH {_PAIRS}, o AS (SELECT query_id, item, rank, CASE WHEN rank <= 5 THEN round(exact + jac + 0.05::DOUBLE * rrf, 10) END AS rerank FROM j) SELECT query_id, item, CASE WHEN rank <= 5 THEN CAST(row_number() OVER (PARTITION BY query_id, rank <= 5 ORDER BY rerank DESC, rank) AS BIGINT) ELSE rank END AS rank FROM o")
 def rerank_depth_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
     return R.rerank_head(pairs.select("query_id", "item", "rank"), K.overlap_scores(pairs).select("query_id", "item", "score"), 5).select("query_id", "item", "rank")
@@ -216,7 +216,7 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(done, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
-@CATALOG.add("SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey FROM customer")
+@CATALOG.add("SELECT s_nationkey::BIGINT AS nation FROM supplier INTERSECT SELECT c_nationkey::BIGINT FROM customer")
 def nations_in_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")).intersect(table(spark, sf_dir, "customer").select("c_nationkey"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -24,7 +25,11 @@ class Catalog:
 
     def add(self, sql: str | None = None):
         def put(f: Query) -> Query:
-            self.queries[f.__name__] = f
+            @functools.wraps(f)
+            def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+                return _wide(f(spark, sf_dir))
+
+            self.queries[f.__name__] = query
             if sql is not None:
                 self.sql[f.__name__] = sql
             return f
@@ -32,6 +37,11 @@ class Catalog:
         return put
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """``df`` with its int columns as long, which is what SQL engines count in."""
+    return df.withColumns({c: F.col(f"`{c}`").cast("long") for c, kind in df.dtypes if kind == "int"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,8 +76,8 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
             return "NULL"
         if isinstance(v, bool):
             return str(v).lower()
-        if isinstance(v, (int,)):
-            return str(v)
+        if isinstance(v, int):
+            return f"{v}::BIGINT"
         if isinstance(v, float):
             return f"{v!r}::DOUBLE"
         if isinstance(v, (list, tuple)):

@@ -16,7 +16,7 @@ _FIXED = f"""{DOCS_SQL}, s AS (SELECT doc_id, path, text, unnest(range(0, CAST(c
   w AS (SELECT doc_id, path, text AS whole, i * 462 AS start, least(i * 462 + 512, length(text)) AS "end", substr(text, i * 462 + 1, 512) AS text FROM s)"""
 
 
-@CATALOG.add(f"""WITH {_FIXED} SELECT path, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", sha256(text) AS sha FROM w WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+@CATALOG.add(f"""WITH {_FIXED} SELECT path, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", sha256(text) AS sha FROM w WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fixed_chunks(docs(spark, sf_dir)).select("path", "start", "end", F.sha2("text", 256).alias("sha"))
 
@@ -28,7 +28,7 @@ def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CATALOG.add(f"""WITH {DOCS_SQL}, l AS (SELECT path, string_split(text, chr(10)) AS ls FROM docs WHERE doc_id < 200), u AS (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
-  SELECT path, CAST(coalesce(list_sum(list_transform(ls[1 : i - 1], lambda x: length(x) + 1)), 0) AS INT) AS start, CAST(coalesce(list_sum(list_transform(ls[1 : i - 1], lambda x: length(x) + 1)), 0) + length(ls[i]) AS INT) AS "end", ls[i] AS text FROM u WHERE trim(ls[i]) <> ''""")
+  SELECT path, CAST(coalesce(list_sum(list_transform(ls[1 : i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start, CAST(coalesce(list_sum(list_transform(ls[1 : i - 1], lambda x: length(x) + 1)), 0) + length(ls[i]) AS BIGINT) AS "end", ls[i] AS text FROM u WHERE trim(ls[i]) <> ''""")
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.line_chunks(docs(spark, sf_dir).filter("doc_id < 200"))
 
@@ -56,9 +56,9 @@ def contextual_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_context(docs(spark, sf_dir).withColumn("text", F.substring("text", 1, 40))).select("path", "search_text")
 
 
-@CATALOG.add("""WITH t AS (SELECT vec_id // 10 AS doc_id, vec_id % 10 AS pos, embedding FROM embeddings), s AS (SELECT doc_id, chunk, first, last FROM (SELECT DISTINCT doc_id FROM t), (VALUES (0, 0, 3), (1, 4, 9)) AS v(chunk, first, last)),
+@CATALOG.add("""WITH t AS (SELECT vec_id // 10 AS doc_id, vec_id % 10 AS pos, embedding FROM embeddings), s AS (SELECT doc_id, chunk, first, last FROM (SELECT DISTINCT doc_id FROM t), (VALUES (0::BIGINT, 0, 3), (1, 4, 9)) AS v(chunk, first, last)),
   x AS (SELECT t.doc_id, chunk, unnest(range(64)) AS dim, unnest(embedding) AS x FROM t JOIN s ON t.doc_id = s.doc_id AND pos BETWEEN first AND last), m AS (SELECT doc_id, chunk, dim, avg(x::DOUBLE) AS m FROM x GROUP BY ALL),
-  l AS (SELECT doc_id, chunk, sqrt(sum(m * m)) AS l FROM m GROUP BY ALL) SELECT doc_id, chunk, CAST(dim AS INT) AS dim, round(m / greatest(l, 1e-12), 8) AS value FROM m JOIN l USING (doc_id, chunk)""")
+  l AS (SELECT doc_id, chunk, sqrt(sum(m * m)) AS l FROM m GROUP BY ALL) SELECT doc_id, chunk, CAST(dim AS BIGINT) AS dim, round(m / greatest(l, 1e-12), 8) AS value FROM m JOIN l USING (doc_id, chunk)""")
 def late_chunk_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     tokens = e.select(F.floor(F.col("vec_id") / 10).alias("doc_id"), (F.col("vec_id") % 10).alias("pos"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
@@ -89,7 +89,7 @@ def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.reject_counts(_scan(spark, sf_dir))
 
 
-_MANIFEST = "manifest AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE sha256(text) END AS content_hash, CAST(doc_id % 5 AS INT) AS n_chunks, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS pipeline FROM docs WHERE doc_id % 3 <> 0 UNION ALL SELECT 'gone/a.txt', 'x', 2, 'v1')"
+_MANIFEST = "manifest AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE sha256(text) END AS content_hash, CAST(doc_id % 5 AS BIGINT) AS n_chunks, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS pipeline FROM docs WHERE doc_id % 3 <> 0 UNION ALL SELECT 'gone/a.txt', 'x', 2, 'v1')"
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ def aggregate_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.aggregate_digest(docs(spark, sf_dir).select("source", "path", F.sha2("text", 256).alias("sha256")), "source")
 
 
-@CATALOG.add(f"WITH {DOCS_SQL}, c AS (SELECT path, unnest(range(3)) AS copy, text FROM docs) SELECT path, CAST(copy AS INT) AS copy, sha256(text || chr(10) || '# copy ' || copy) AS sha FROM c")
+@CATALOG.add(f"WITH {DOCS_SQL}, c AS (SELECT path, unnest(range(3)) AS copy, text FROM docs) SELECT path, CAST(copy AS BIGINT) AS copy, sha256(text || chr(10) || '# copy ' || copy) AS sha FROM c")
 def scale_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.perturbed(docs(spark, sf_dir).select("path", "text"), 3).select("path", "copy", F.sha2("text", 256).alias("sha"))
 

@@ -49,7 +49,7 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEIGHTS = [(0.25, 10), (0.5, 10), (1.0, 10), (2.0, 10), (0.25, 60), (0.5, 60), (1.0, 60), (2.0, 60)]
 
 
-@CATALOG.add(f"""WITH {_LEGS}, g AS (SELECT * FROM (VALUES {", ".join(f"({w}::DOUBLE, {k})" for w, k in _WEIGHTS)}) AS v(weight, k)),
+@CATALOG.add(f"""WITH {_LEGS}, g AS (SELECT * FROM (VALUES {", ".join(f"({w}::DOUBLE, {k}::BIGINT)" for w, k in _WEIGHTS)}) AS v(weight, k)),
   e AS (SELECT query_id, item, rank, weight AS w, weight, k FROM den, g UNION ALL SELECT query_id, doc_id, rank, 1.0::DOUBLE, weight, k FROM lex, g WHERE query_id < 20),
   f AS (SELECT weight, k, query_id, item, round(sum(w / (k + rank)), 10) AS score FROM e GROUP BY ALL)
   SELECT weight, k, query_id, item, score AS rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY weight, k, query_id ORDER BY score DESC, item) AS rank FROM f) WHERE rank <= 3""")

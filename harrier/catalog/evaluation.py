@@ -98,7 +98,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.latencies(table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))
 
 
-@CATALOG.add("WITH o AS (SELECT event_type AS stage, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT stage, v[CAST(round_even(0.9::DOUBLE * (len(v) - 1), 0) AS INT) + 1] AS value FROM o")
+@CATALOG.add("WITH o AS (SELECT event_type AS stage, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT stage, v[CAST(round_even(0.9::DOUBLE * (len(v) - 1), 0) AS BIGINT) + 1] AS value FROM o")
 def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.nearest_rank(table(spark, sf_dir, "events").filter("value is not null").select(F.col("event_type").alias("stage"), "value"), 90)
 

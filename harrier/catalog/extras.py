@@ -33,13 +33,13 @@ def filetype_after_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.of_type(_hits(spark), [".py"], 2)
 
 
-@CATALOG.add(f"WITH {_H}, x AS (SELECT query_id, CASE WHEN path = 'b.md' THEN '1' ELSE path END AS item, rank FROM h) SELECT query_id, item, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS rank FROM x WHERE item <> CAST(query_id AS VARCHAR)")
+@CATALOG.add(f"WITH {_H}, x AS (SELECT query_id, CASE WHEN path = 'b.md' THEN '1' ELSE path END AS item, rank FROM h) SELECT query_id, item, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS rank FROM x WHERE item <> CAST(query_id AS VARCHAR)")
 def ignore_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _hits(spark).select("query_id", F.when(F.col("path") == "b.md", "1").otherwise(F.col("path")).alias("item"), "rank")
     return R.without_self(rows)
 
 
-@CATALOG.add(f"WITH {_H}, o AS (SELECT * FROM (VALUES (1, 'c.py', 1), (2, 'e.py', 1)) AS v(query_id, path, r)), s AS (SELECT h.*, round(1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + r), 0), 10) AS s FROM h LEFT JOIN o USING (query_id, path)) SELECT query_id, path AS item, rank, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS INT) AS new_rank FROM s")
+@CATALOG.add(f"WITH {_H}, o AS (SELECT * FROM (VALUES (1, 'c.py', 1), (2, 'e.py', 1)) AS v(query_id, path, r)), s AS (SELECT h.*, round(1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + r), 0), 10) AS s FROM h LEFT JOIN o USING (query_id, path)) SELECT query_id, path AS item, rank, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS BIGINT) AS new_rank FROM s")
 def community_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = fixture(spark, "query_id int, item string, rank int", [(1, "c.py", 1), (2, "e.py", 1)])
     return R.boosted_by_rank(_hits(spark).select("query_id", F.col("path").alias("item"), "rank"), other)

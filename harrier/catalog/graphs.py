@@ -56,7 +56,7 @@ _HITS = [
 
 @CATALOG.add(f"""WITH {_F}, {_CLUSTERS}, {values("h", "query_id, query, path, rank", _HITS)},
   g AS (SELECT h.query_id, h.path FROM h JOIN c ON h.path = c.path AND c.path <> c.current_path JOIN h o ON o.query_id = h.query_id AND o.path = c.current_path WHERE NOT regexp_matches(h.query, '(?i)\\b(compare|versus|vs\\.?|between|changed|difference|diff|older|newer)\\b'))
-  SELECT query_id, path, query, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS rank FROM h WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.query_id = h.query_id AND g.path = h.path)""")
+  SELECT query_id, path, query, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS rank FROM h WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.query_id = h.query_id AND g.path = h.path)""")
 def prefer_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.prefer_current(fixture(spark, "query_id int, query string, path string, rank int", _HITS), V.clusters(_files(spark)))
 
@@ -73,7 +73,7 @@ def structural_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add(f"""WITH {_F}, t AS (SELECT path, trim(regexp_replace(regexp_replace(lower(text), '[*_`~]+', '', 'g'), '[^a-z0-9.]+', ' ', 'g')) AS x FROM f), o AS (SELECT * FROM (VALUES (0, 'does help', 'does not help'), (1, 'fusion helps', 'fusion does not'), (2, 'not help', 'does help')) AS v(i, said, denied)),
   m AS (SELECT a.path AS path_a, b.path AS path_b, min(i) AS i FROM t a JOIN t b ON a.path < b.path JOIN o ON (contains(a.x, said) AND contains(b.x, denied)) OR (contains(b.x, said) AND contains(a.x, denied)) GROUP BY ALL)
-  SELECT 1 AS query_id, path_a, path_b, said, denied FROM m JOIN o USING (i)""")
+  SELECT 1::BIGINT AS query_id, path_a, path_b, said, denied FROM m JOIN o USING (i)""")
 def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.claim_conflicts(_files(spark).withColumn("query_id", F.lit(1)))
 
@@ -107,7 +107,7 @@ def co_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add("""WITH RECURSIVE e AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders WHERE o_orderkey < 2000), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   w(seed, node, hop) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer WHERE c_custkey <= 5 UNION SELECT seed, b, hop + 1 FROM w JOIN u ON node = a WHERE hop < 2)
-  SELECT seed, node, CAST(min(hop) AS INT) AS hop FROM w GROUP BY seed, node""")
+  SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM w GROUP BY seed, node""")
 def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter("o_orderkey < 2000")
     edges = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.lit("placed").alias("kind"))
@@ -152,7 +152,7 @@ _BOOST = [(1, "which config and log of the job", p, i, m) for i, (p, m) in enume
 
 @CATALOG.add(f"""WITH {values("h", "query_id, query, path, rank, mass", _BOOST)}, i AS (SELECT *, (CASE path WHEN 'jobs/a.sbatch' THEN 2 WHEN 'configs/a.yaml' THEN 1.5 WHEN 'logs/a.out' THEN 0.75 ELSE 0 END)::DOUBLE AS intent FROM h),
   g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY intent DESC, round(mass, 12) DESC, path DESC) AS graph_rank, row_number() OVER (PARTITION BY query_id ORDER BY intent DESC, path DESC) AS intent_rank FROM i),
-  s AS (SELECT *, round(1.0::DOUBLE / (60 + rank) + 1.0::DOUBLE / (60 + graph_rank) + 1.1::DOUBLE / (60 + intent_rank), 10) AS score FROM g) SELECT query_id, query, path, rank, mass, intent, CAST(graph_rank AS INT) AS graph_rank, CAST(intent_rank AS INT) AS intent_rank, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS INT) AS new_rank FROM s""")
+  s AS (SELECT *, round(1.0::DOUBLE / (60 + rank) + 1.0::DOUBLE / (60 + graph_rank) + 1.1::DOUBLE / (60 + intent_rank), 10) AS score FROM g) SELECT query_id, query, path, rank, mass, intent, CAST(graph_rank AS BIGINT) AS graph_rank, CAST(intent_rank AS BIGINT) AS intent_rank, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS BIGINT) AS new_rank FROM s""")
 def intent_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.boosted(fixture(spark, "query_id int, query string, path string, rank int, mass double", _BOOST))
 

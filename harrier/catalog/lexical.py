@@ -89,7 +89,7 @@ def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.path_scores(d, q).filter("score >= 7")
 
 
-@CATALOG.add(f"""WITH {TF_SQL}, q0 AS (SELECT * FROM (VALUES (1, 'thereinne zzzz'), (2, 'the of'), (3, 'qqqq xxxx')) AS v(query_id, text)),
+@CATALOG.add(f"""WITH {TF_SQL}, q0 AS (SELECT * FROM (VALUES (1::BIGINT, 'thereinne zzzz'), (2, 'the of'), (3, 'qqqq xxxx')) AS v(query_id, text)),
   qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS_SQL.format(x='text')}) AS term FROM q0) GROUP BY ALL),
   {bm25_sql()}, {top_sql('bm', 5, 'r')},
   sub AS (SELECT query_id, doc_id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM q0 JOIN docs ON contains(lower(docs.text), 'and') WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = q0.query_id))

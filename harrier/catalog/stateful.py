@@ -15,7 +15,7 @@ from harrier.streaming import events as E
 CATALOG = Catalog()
 
 
-@CATALOG.add("SELECT event_id, date_trunc('minute', ts) AS minute, CAST(row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS INT) AS turn, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS allowed FROM events")
+@CATALOG.add("SELECT event_id, date_trunc('minute', ts) AS minute, CAST(row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS BIGINT) AS turn, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS allowed FROM events")
 def rate_limit_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.rate_limited(table(spark, sf_dir, "events"), 1).select("event_id", F.col("minute").cast("timestamp_ntz").alias("minute"), "turn", "allowed")
 
