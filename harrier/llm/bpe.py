@@ -29,7 +29,7 @@ from harrier.llm.common import map_rows, text_of
 
 #: Pre-tokens that a worker keeps encoded, in each of two generations: when the young
 #: one is full it becomes the old one, and what is still in use moves up again.
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 250_000
 #: Pairs of tokens whose compatibility is kept.
 FIT_ENTRIES = 400_000
 #: Pre-tokens longer than this are encoded each time instead of kept.
@@ -106,11 +106,21 @@ class BytePairCodec:
         tokens: list[int] = []
         tried: list[int] = []
         end, k = len(piece), 0
+        whole, fit, size = self._whole, self._fit, self.size  # known answers, without a call
         while end:
             choices = ending[end]
             for k in range(k, len(choices)):
                 length, token = choices[k]
-                if not failed[end - length] and self.whole(token) and (not tokens or self.fit(token, tokens[-1])):
+                if failed[end - length]:
+                    continue
+                ok = whole.get(token)
+                if ok is None:
+                    ok = self.whole(token)
+                if ok and tokens:
+                    ok = fit.get(token * size + tokens[-1])
+                    if ok is None:
+                        ok = self.fit(token, tokens[-1])
+                if ok:
                     tokens.append(token)
                     tried.append(k)
                     end, k = end - length, 0
