@@ -3,6 +3,7 @@
 from support import DATA
 
 import __spark_entry__
+from harrier.operators import lexical
 
 
 def plan(df):
@@ -21,7 +22,16 @@ def test_filter_reaches_the_scan(spark):
 
 def test_bm25_shuffles_no_tokens(spark):
     text = plan(__spark_entry__.queries()["bm25_topk"](spark, f"{DATA}/sf0.001"))
-    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "MapInArrow" in text and "Generate" not in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_bm25_by_joins_drops_tokens_in_the_scan(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    terms = lexical.query_terms(spark.createDataFrame([(1, "the thing")], "query_id int, text string"))
+    text = plan(lexical.bm25_scores(docs, terms))
+    assert "BroadcastHashJoin" in text and "LeftSemi" in text and "CartesianProduct" not in text
+    joined, blocks = lexical.bm25_scores(docs, terms), lexical.bm25_top_k(docs, terms, 1000)
+    assert sorted(map(tuple, joined.select("item", "score").collect())) == sorted(map(tuple, blocks.select("item", "score").collect()))
 
 
 def test_top_k_is_cut_before_the_shuffle(spark):
