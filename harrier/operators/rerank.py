@@ -22,10 +22,12 @@ def exact_share(query: Column, text: Column) -> Column:
 def overlap_scores(pairs: DataFrame) -> DataFrame:
     """Pairs ``(query_id, item, query, path, text, rrf)`` with ``score``: exact share and
     Jaccard similarity, .25 for a path whose name the query holds, and .05 of the fused score."""
-    q, d = T.tokens("query"), T.tokens("text")
+    # columns of their own, so that each row is tokenised once
+    cut = pairs.withColumns({"_q": T.tokens("query"), "_d": F.array_distinct(T.tokens("text"))})
+    q, d = F.col("_q"), F.col("_d")
     named = F.when(F.lower("query").contains(F.lower(T.basename("path"))), 0.25).otherwise(0.0)
     score = exact_share(q, d) + T.jaccard(q, d) + named + F.lit(0.05) * F.coalesce("rrf", F.lit(0.0))
-    return pairs.withColumn("score", F.round(score, 10))
+    return cut.withColumn("score", F.round(score, 10)).drop("_q", "_d")
 
 
 def features(pairs: DataFrame) -> DataFrame:
