@@ -253,6 +253,31 @@ def test_mined_url_rules(spark):
     assert by == {(1000, "h1.net", "/spam/9"): "block", (1001, "h2.net", "/spam/9"): "allow", (1002, "h1.net", "/news/9"): "allow", (None, "h1.net", "/spam/8"): "block"}
 
 
+@pytest.mark.parametrize("constant", [500, 10])
+def test_url_rules_of_many_hosts(spark, tmp_path, monkeypatch, constant):
+    """Each bad host gives 18 rules or more, over 500 in all; none may be lost, however
+    few pages it has, whether the rules are a constant or joined."""
+    import duckdb
+
+    monkeypatch.setattr(url_filter, "MAX_RULES", constant)
+    hosts = [f"s{i}.mail.example.net" for i in range(40) for _ in range(12 if i < 30 else 6)] + [f"t{i % 250}.mail.example.net" for i in range(500)]
+    rows = [(i, f"http://{host}/{i}") for i, host in enumerate(hosts)]
+    labels = [(i, 0 if host[0] == "s" else 1, None) for i, host in enumerate(hosts)]
+    asked = [(5000 + i, f"http://s{i}.mail.example.net/{i}") for i in range(45)]
+    odd = [(None, "http://s39.mail.example.net/1"), (None, None), (6000, ""), (6001, "http://s39.mail.example.net/1"), (6001, "http://s39.mail.example.net/1"), (6002, "http://com/de/s39.mail.example.net")]
+    pages = spark.createDataFrame(rows + asked + odd, "page_id long, url string")
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [tuple(r) for r in url_filter.judge_urls(pages, said).collect()]
+    assert len(got) == len(rows + asked + odd)
+    assert {r[1]: r[4] for r in got if r[0] and 5000 <= r[0] < 6000} == {f"s{i}.mail.example.net": "block" if i < 40 else "allow" for i in range(45)}
+    con = duckdb.connect()
+    for name, df in (("pages", pages.filter("page_id is not null").distinct()), ("labels", said)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    assert {r for r in got if r[0] is not None} == set(con.execute(queries.oracle_sql()["op5_url_filter"]).fetchall())
+    assert Counter(r[4] for r in got if r[0] is None) == {"block": 1, "allow": 1}
+
+
 # 6
 
 
