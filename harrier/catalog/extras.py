@@ -67,6 +67,11 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.scalar_fields(table(spark, sf_dir, "events").filter("event_id % 10 = 0"), "props", "event_id")
 
 
+@CATALOG.add(CATALOG.sql["json_fields"].replace(" WHERE event_id % 10 = 0", ""))
+def json_fields_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.scalar_fields(table(spark, sf_dir, "events"), "props", "event_id")
+
+
 @CATALOG.add("SELECT event_type AS phase, count(*) AS n, count(*) FILTER (value > 5) AS ok, round(1 - count(*) FILTER (value > 5) / count(*)::DOUBLE, 6) AS error_rate, count(DISTINCT user_id) AS users, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

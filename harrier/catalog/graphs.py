@@ -100,7 +100,15 @@ def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.add("""WITH f AS (SELECT event_type || '/' || event_id || '.log' AS path, event_type AS folder, epoch(ts) AS mtime FROM events WHERE event_id % 10 = 0)
   SELECT a.path AS src, b.path AS dst, 'co_modified' AS kind FROM f a JOIN f b ON a.folder = b.folder AND b.mtime - a.mtime BETWEEN 0 AND 600 AND (a.mtime < b.mtime OR a.path < b.path)""")
 def co_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 10 = 0")
+    return _co_modified(table(spark, sf_dir, "events").filter("event_id % 10 = 0"))
+
+
+@CATALOG.add(CATALOG.sql["co_modified"].replace(" WHERE event_id % 10 = 0", ""))
+def co_modified_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _co_modified(table(spark, sf_dir, "events"))
+
+
+def _co_modified(e: DataFrame) -> DataFrame:
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     return G.co_modified(e.select(F.concat("event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit(".log")).alias("path"), seconds.alias("mtime")), 600.0)
 
@@ -109,16 +117,33 @@ def co_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
   w(seed, node, hop) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer WHERE c_custkey <= 5 UNION SELECT seed, b, hop + 1 FROM w JOIN u ON node = a WHERE hop < 2)
   SELECT seed, node, CAST(min(hop) AS BIGINT) AS hop FROM w GROUP BY seed, node""")
 def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 2000")
+    return _k_hop(table(spark, sf_dir, "orders").filter("o_orderkey < 2000"), table(spark, sf_dir, "customer").filter("c_custkey <= 5"))
+
+
+@CATALOG.add()
+def k_hop_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From all customers over all orders."""
+    return _k_hop(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def _k_hop(o: DataFrame, c: DataFrame) -> DataFrame:
     edges = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.lit("placed").alias("kind"))
-    seeds = table(spark, sf_dir, "customer").filter("c_custkey <= 5").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed"))
+    seeds = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed"))
     return G.hops(edges, seeds, 2)
 
 
 @CATALOG.add("""WITH RECURSIVE e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   w(node, other) AS (SELECT a, a FROM u UNION SELECT node, b FROM w JOIN u ON other = a) SELECT node, min(other) AS component FROM w GROUP BY node""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0")
+    return _components(table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0"))
+
+
+@CATALOG.add()
+def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _components(table(spark, sf_dir, "lineitem"))
+
+
+def _components(li: DataFrame) -> DataFrame:
     return G.connected(li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")))
 
 
