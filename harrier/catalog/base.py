@@ -64,6 +64,12 @@ def vector_queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     return e.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
+def all_vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query set that grows with the table: every vector whose id is divisible by 100."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+
+
 def fixture(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, Catalog, bm25_sql, docs, table, text_queries, top_sql, vector_queries
+from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, Catalog, all_vector_queries, bm25_sql, docs, table, text_queries, top_sql, vector_queries
 from harrier.functions import vectors as V
 from harrier.operators import dense as D
 from harrier.operators import lexical as L
@@ -18,11 +18,23 @@ _DOT = "round(list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2])
 _COS = f"{_UNIT}, cs AS (SELECT a.vec_id AS query_id, b.vec_id AS item, {_DOT.format(a='a.v', b='b.v')} AS score FROM u a, u b WHERE a.vec_id < 20)"
 
 
+def _all_queries(sql: str) -> str:
+    """The SQL of a search with the query sets of the whole tables."""
+    for part, whole in (("a.vec_id < 20", "a.vec_id % 100 = 0"), ("q.vec_id < 20", "q.vec_id % 100 = 0"), ("q.vec_id < 5", "q.vec_id % 100 = 0"), (" WHERE query_id < 20", "")):
+        sql = sql.replace(part, whole)
+    return sql
+
+
 @CATALOG.add(f"WITH {_COS}, {top_sql('cs', 10, 'r', 'item')} SELECT query_id, item, score, rank FROM r")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.exact_top_k(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 10)
 
 
+@CATALOG.add(_all_queries(CATALOG.sql["dense_topk"]))
+def dense_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.exact_top_k(table(spark, sf_dir, "embeddings"), all_vector_queries(spark, sf_dir), 10)
+
+
 @CATALOG.add(f"WITH {_UNIT} SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 8) AS length2, round(v[1], 8) AS first FROM u")
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", V.unit("embedding").alias("v"))
@@ -38,8 +50,17 @@ _LEGS = f"{TF_SQL}, {QT_SQL}, {bm25_sql()}, {top_sql('bm', 50, 'lex')}, {_COS},
         FROM den d FULL OUTER JOIN (SELECT * FROM lex WHERE query_id < 20) l ON d.query_id = l.query_id AND d.item = l.doc_id),
   {top_sql('f', 10, 'r', 'item')} SELECT query_id, item, score AS rrf, dense, bm25, rank FROM r""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = L.bm25_top_k(docs(spark, sf_dir), L.query_terms(text_queries(spark, sf_dir).filter("query_id < 20")), 50)
-    den = D.exact_top_k(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 50)
+    return _rrf_hybrid(spark, sf_dir, text_queries(spark, sf_dir).filter("query_id < 20"), vector_queries(spark, sf_dir))
+
+
+@CATALOG.add(_all_queries(CATALOG.sql["rrf_hybrid"]))
+def rrf_hybrid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rrf_hybrid(spark, sf_dir, text_queries(spark, sf_dir), all_vector_queries(spark, sf_dir))
+
+
+def _rrf_hybrid(spark: SparkSession, sf_dir: str, texts: DataFrame, vectors: DataFrame) -> DataFrame:
+    lex = L.bm25_top_k(docs(spark, sf_dir), L.query_terms(texts), 50)
+    den = D.exact_top_k(table(spark, sf_dir, "embeddings"), vectors, 50)
     nothing = F.lit(None).cast("double")
     both = den.select("query_id", "item", "rank", F.col("score").alias("dense"), nothing.alias("bm25")).unionByName(lex.select("query_id", "item", "rank", nothing.alias("dense"), F.col("score").alias("bm25")))
     fused = both.groupBy("query_id", "item").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 10).alias("rrf"), F.max("dense").alias("dense"), F.max("bm25").alias("bm25"))
@@ -54,8 +75,17 @@ _WEIGHTS = [(0.25, 10), (0.5, 10), (1.0, 10), (2.0, 10), (0.25, 60), (0.5, 60),
   f AS (SELECT weight, k, query_id, item, round(sum(w / (k + rank)), 10) AS score FROM e GROUP BY ALL)
   SELECT weight, k, query_id, item, score AS rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY weight, k, query_id ORDER BY score DESC, item) AS rank FROM f) WHERE rank <= 3""")
 def weighted_rrf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = L.bm25_top_k(docs(spark, sf_dir), L.query_terms(text_queries(spark, sf_dir).filter("query_id < 20")), 50)
-    den = D.exact_top_k(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 50)
+    return _weighted_rrf_grid(spark, sf_dir, text_queries(spark, sf_dir).filter("query_id < 20"), vector_queries(spark, sf_dir))
+
+
+@CATALOG.add(_all_queries(CATALOG.sql["weighted_rrf_grid"]))
+def weighted_rrf_grid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weighted_rrf_grid(spark, sf_dir, text_queries(spark, sf_dir), all_vector_queries(spark, sf_dir))
+
+
+def _weighted_rrf_grid(spark: SparkSession, sf_dir: str, texts: DataFrame, vectors: DataFrame) -> DataFrame:
+    lex = L.bm25_top_k(docs(spark, sf_dir), L.query_terms(texts), 50)
+    den = D.exact_top_k(table(spark, sf_dir, "embeddings"), vectors, 50)
     # the grid is a constant array, not a join
     grid = F.array(*(F.struct(F.lit(float(w)).alias("weight"), F.lit(k).alias("k")) for w, k in _WEIGHTS))
     every = den.select("query_id", "item", "rank", F.lit(True).alias("dense")).unionByName(lex.select("query_id", "item", "rank", F.lit(False).alias("dense")))
@@ -71,28 +101,42 @@ def hamming_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.hamming_rescored(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 10)
 
 
+@CATALOG.add(_all_queries(CATALOG.sql["hamming_rescore"]))
+def hamming_rescore_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.hamming_rescored(table(spark, sf_dir, "embeddings"), all_vector_queries(spark, sf_dir), 10)
+
+
 @CATALOG.add(f"""WITH {_UNIT}, p AS (SELECT vec_id, unnest(range(4)) AS pos, embedding FROM embeddings),
   t AS (SELECT vec_id, pos, list_transform(embedding[pos * 16 + 1 : pos * 16 + 16], lambda x: x::DOUBLE) AS w FROM p),
   n AS (SELECT vec_id, pos, list_transform(w, lambda x: x / greatest(sqrt(list_sum(list_transform(w, lambda y: y * y))), 1e-12)) AS v FROM t),
   m AS (SELECT q.vec_id AS query_id, d.vec_id AS item, q.pos, max({_DOT.format(a='q.v', b='d.v')}) AS best FROM n q, n d WHERE q.vec_id < 5 GROUP BY ALL),
   s AS (SELECT query_id, item, round(sum(best), 8) AS score FROM m GROUP BY ALL), {top_sql('s', 5, 'r', 'item')} SELECT query_id, item, score, rank FROM r""")
 def maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _maxsim(spark, sf_dir, "vec_id < 5")
+
+
+@CATALOG.add(_all_queries(CATALOG.sql["maxsim"]))
+def maxsim_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _maxsim(spark, sf_dir, "vec_id % 100 = 0")
+
+
+def _maxsim(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     cut = e.select("vec_id", F.posexplode(F.array(*(F.slice("embedding", 16 * i + 1, 16) for i in range(4)))).alias("pos", "vec"))
-    scored = D.maxsim(cut.select(F.col("vec_id").alias("item"), "vec"), cut.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "pos", "vec"))
+    scored = D.maxsim(cut.select(F.col("vec_id").alias("item"), "vec"), cut.filter(asked).select(F.col("vec_id").alias("query_id"), "pos", "vec"))
     return R.top_k(scored, 5)
 
 
 @CATALOG.add()
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, q = table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir)
+    e, q = table(spark, sf_dir, "embeddings"), all_vector_queries(spark, sf_dir)
     return D.tie_aware_recall(D.graph_top_k(e, q, 10), D.exact_top_k(e, q, 10), 10)
 
 
 @CATALOG.add()
 def halfvec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", V.to_half("embedding").alias("embedding"))
-    q = vector_queries(spark, sf_dir).select("query_id", V.to_half("embedding").alias("embedding"))
+    q = all_vector_queries(spark, sf_dir).select("query_id", V.to_half("embedding").alias("embedding"))
     return D.exact_top_k(e, q, 10)
 
 

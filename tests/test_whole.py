@@ -58,3 +58,14 @@ def test_hops_from_all_customers_over_all_orders(spark, duck):
 def test_fields_of_all_events(spark, duck):
     (n,) = duck.execute("SELECT count(*) FROM events WHERE len(json_keys(props)) > 0").fetchone()
     assert run(spark, "json_fields_whole").select("event_id").distinct().count() == n > run(spark, "json_fields").select("event_id").distinct().count()
+
+
+def test_dense_queries_are_all_ids_divisible_by_100(spark, duck):
+    (n,) = duck.execute("SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0").fetchone()
+    asked = {i for (i,) in duck.execute("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()}
+    texts = {i for (i,) in duck.execute("SELECT item_id FROM benchmark").fetchall()}
+    assert n > 1 and max(texts) >= 20
+    for name in ("ann_recall", "halfvec_topk", "dense_topk_whole", "hamming_rescore_whole", "maxsim_whole"):
+        assert {r.query_id for r in run(spark, name).select("query_id").collect()} == asked, name
+    for name in ("rrf_hybrid_whole", "weighted_rrf_grid_whole"):
+        assert {r.query_id for r in run(spark, name).select("query_id").collect()} == asked | texts, name
