@@ -77,7 +77,15 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add(f"""WITH {DOCS_SQL}, c AS (SELECT doc_id, path, text, strlen(substr(text, 1, 10)) AS a, strlen(substr(text, 1, 30)) AS b FROM docs WHERE doc_id < 50 AND length(text) > 40) SELECT doc_id AS id, path, a AS start_byte, b AS end_byte, substr(text, 11, 20) AS span FROM c""")
 def cited_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).filter("doc_id < 50 and char_length(text) > 40")
+    return _cited_spans(docs(spark, sf_dir).filter("doc_id < 50 and char_length(text) > 40"))
+
+
+@CATALOG.add(CATALOG.sql["cited_spans"].replace("doc_id < 50 AND ", ""))
+def cited_spans_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cited_spans(docs(spark, sf_dir).filter("char_length(text) > 40"))
+
+
+def _cited_spans(d: DataFrame) -> DataFrame:
     at = lambda n: F.octet_length(F.substring("text", 1, n)).cast("long")
     cited = d.select(F.col("doc_id").alias("id"), "path", at(10).alias("start_byte"), at(30).alias("end_byte"))
     evidence = d.select("path", F.lit(0).cast("long").alias("start_byte"), F.octet_length("text").cast("long").alias("end_byte"), "text", F.sha2("text", 256).alias("span_sha256"))

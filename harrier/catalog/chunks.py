@@ -33,6 +33,11 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.line_chunks(docs(spark, sf_dir).filter("doc_id < 200"))
 
 
+@CATALOG.add(CATALOG.sql["line_chunks"].replace(" WHERE doc_id < 200", ""))
+def line_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.line_chunks(docs(spark, sf_dir))
+
+
 _FILES = [
     ("a/x.md", "intro\n# One\ntext\n```\n# not a heading\n```\n## Two\nmore\n"),
     ("a/y.csv", 'name,note\nann,"two\nlines"\nbob,one\n'),

@@ -165,8 +165,17 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
   t AS (SELECT id, list_distinct(list_transform(regexp_extract_all(answer, '[A-Za-z0-9_./-]+'), lambda x: lower(x))) AS a, list_distinct(list_transform(regexp_extract_all(question, '[A-Za-z0-9_./-]+'), lambda x: lower(x))) AS q, list_distinct(list_transform(regexp_extract_all(context, '[A-Za-z0-9_./-]+'), lambda x: lower(x))) AS c FROM b)
   SELECT id, CASE WHEN len(a) = 0 OR len(c) = 0 THEN 0 ELSE round(len(list_intersect(a, c)) / len(a)::DOUBLE, 6) END AS faithfulness, CASE WHEN len(a) = 0 OR len(q) = 0 THEN 0 ELSE round(len(list_intersect(a, q)) / len(a)::DOUBLE, 6) END AS answer_relevancy, round(1 / 3.0::DOUBLE, 6) AS context_precision, 0.5::DOUBLE AS context_recall FROM t""")
 def rag_overlap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(docs(spark, sf_dir).filter("doc_id < 100"))
+
+
+@CATALOG.add(CATALOG.sql["rag_overlap_metrics"].replace(" WHERE doc_id < 100", ""))
+def rag_overlap_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(docs(spark, sf_dir))
+
+
+def _overlaps(d: DataFrame) -> DataFrame:
     cut = F.regexp_extract_all("text", F.lit("[A-Za-z0-9_./-]+"), F.lit(0))
-    rows = docs(spark, sf_dir).filter("doc_id < 100").select(
+    rows = d.select(
         F.col("doc_id").alias("id"), F.col("text").alias("context"), F.array_join(F.slice(cut, 3, 7), " ").alias("answer"), F.array_join(F.slice(cut, 1, 5), " ").alias("question"),
         F.array(*map(F.lit, ("a", "b", "c"))).alias("retrieved"), F.array(*map(F.lit, ("b", "x"))).alias("relevant"),
     )

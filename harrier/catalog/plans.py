@@ -19,7 +19,7 @@ CATALOG = Catalog()
 
 @CATALOG.add()
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).filter("doc_id < 50").select("doc_id", E.hash_vectors(F.substring("text", 1, 500)).alias("embedding"))
+    return docs(spark, sf_dir).select("doc_id", E.hash_vectors(F.substring("text", 1, 500)).alias("embedding"))
 
 
 @CATALOG.add()
@@ -73,7 +73,16 @@ def paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
   t AS (SELECT *, coalesce(gr, faithfulness) AS groundedness FROM s), u AS (SELECT *, round(0.5::DOUBLE * groundedness + 0.3::DOUBLE * faithfulness + 0.2::DOUBLE * relevancy, 10) AS x FROM t)
   SELECT id, round(faithfulness, 6) AS faithfulness, round(relevancy, 6) AS relevancy, round(groundedness, 6) AS groundedness, CASE WHEN x >= 0.75 THEN 'correct' WHEN x >= 0.35 THEN 'partial' ELSE 'wrong' END AS label FROM u""")
 def heuristic_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir).filter("doc_id < 200").select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("question"), F.substring("text", 30, 120).alias("answer"), F.col("text").alias("context"), F.substring("text", 90, 60).alias("gold"))
+    return _judged(docs(spark, sf_dir).filter("doc_id < 200"))
+
+
+@CATALOG.add(CATALOG.sql["heuristic_judge"].replace(" WHERE doc_id < 200", ""))
+def heuristic_judge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(docs(spark, sf_dir))
+
+
+def _judged(d: DataFrame) -> DataFrame:
+    rows = d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("question"), F.substring("text", 30, 120).alias("answer"), F.col("text").alias("context"), F.substring("text", 90, 60).alias("gold"))
     return B.judged(rows)
 
 
@@ -110,7 +119,16 @@ def metadata_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.add(f"WITH {DOCS_SQL}, s AS (SELECT query_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM (SELECT doc_id % 7 AS query_id, doc_id FROM docs WHERE doc_id < 140)), x AS (SELECT query_id, list(item ORDER BY rank) FILTER (rank <= 10) AS top FROM s GROUP BY query_id) SELECT query_id, top FROM x")
 def top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir).filter("doc_id < 140").select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("item"))
+    return _top_lists(docs(spark, sf_dir).filter("doc_id < 140"))
+
+
+@CATALOG.add(CATALOG.sql["top_lists"].replace(" WHERE doc_id < 140", ""))
+def top_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top_lists(docs(spark, sf_dir))
+
+
+def _top_lists(d: DataFrame) -> DataFrame:
+    rows = d.select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("item"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("item")))
     return M.top_lists(ranked, 10)
 

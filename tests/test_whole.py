@@ -69,3 +69,16 @@ def test_dense_queries_are_all_ids_divisible_by_100(spark, duck):
         assert {r.query_id for r in run(spark, name).select("query_id").collect()} == asked, name
     for name in ("rrf_hybrid_whole", "weighted_rrf_grid_whole"):
         assert {r.query_id for r in run(spark, name).select("query_id").collect()} == asked | texts, name
+
+
+def test_no_document_is_left_out(spark, duck):
+    n, long, worded = duck.execute("SELECT count(*), count(*) FILTER (length(text) > 40), count(*) FILTER (regexp_matches(text, '\\S')) FROM documents").fetchone()
+    for name, want in (("hash_embed", n), ("heuristic_judge_whole", n), ("rag_overlap_metrics_whole", n), ("cited_spans_whole", long), ("rebuilt_files_whole", worded)):
+        assert run(spark, name).count() == want > 100, name
+
+
+def test_ids_are_no_bound(spark, tmp_path):
+    few = [(i, f"line {i} of a text that is long enough\nand another line of it", "en", "s") for i in (3, 250, 10_000)]
+    made = tables(tmp_path, spark, documents=("doc_id long, text string, lang string, source string", few))
+    assert run(spark, "line_chunks_whole", made).select("path").distinct().count() == 3
+    assert {r.query_id: r.top for r in run(spark, "top_lists_whole", made).collect()} == {3: [3], 5: [250], 4: [10_000]}
