@@ -101,7 +101,8 @@ def connected(edges: DataFrame, checkpoint_every: int = 2, rounds: int = 100) ->
     """``(node, component)`` of ``edges (a, b)``: the smallest node of each component.
 
     Each round takes the least label of the neighbours, and then the label of the
-    label, so long chains settle in few rounds. Lineage is cut in the shared folder
+    label, so long chains settle in few rounds; labels that still move after ``rounds``
+    are an error. Lineage is cut in the shared folder
     that the session's ``spark.checkpoint.dir`` names.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct()
@@ -115,8 +116,8 @@ def connected(edges: DataFrame, checkpoint_every: int = 2, rounds: int = 100) ->
         moved = stepped.filter("component <> before").limit(1).count()
         labels = stepped.select("node", "component")
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:

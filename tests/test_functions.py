@@ -152,6 +152,12 @@ def test_components_of_a_chain(spark):
     assert len(got) == 63 and {v for k, v in got.items() if k.startswith("n")} == {"n000"} and got["y"] == "x"
 
 
+def test_components_that_still_move_are_an_error(spark):
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)], "a string, b string")
+    with pytest.raises(RuntimeError, match="did not settle in 2 rounds"):
+        graph.connected(edges, rounds=2)
+
+
 def test_claims(spark):
     answers = spark.createDataFrame([(1, "Run 47 has val_rmse 0.055 [a.md:0-99]. Tiny. The file is configs/run_1.yaml now.")], "id int, answer string")
     found = evidence.claims(answers)
