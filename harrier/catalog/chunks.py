@@ -61,6 +61,11 @@ def contextual_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_context(docs(spark, sf_dir).withColumn("text", F.substring("text", 1, 40))).select("path", "search_text")
 
 
+@CATALOG.add(CATALOG.sql["contextual_text"].replace("substr(text, 1, 40)", "text"))
+def contextual_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.with_context(docs(spark, sf_dir)).select("path", "search_text")
+
+
 @CATALOG.add("""WITH t AS (SELECT vec_id // 10 AS doc_id, vec_id % 10 AS pos, embedding FROM embeddings), s AS (SELECT doc_id, chunk, first, last FROM (SELECT DISTINCT doc_id FROM t), (VALUES (0::BIGINT, 0, 3), (1, 4, 9)) AS v(chunk, first, last)),
   x AS (SELECT t.doc_id, chunk, unnest(range(64)) AS dim, unnest(embedding) AS x FROM t JOIN s ON t.doc_id = s.doc_id AND pos BETWEEN first AND last), m AS (SELECT doc_id, chunk, dim, avg(x::DOUBLE) AS m FROM x GROUP BY ALL),
   l AS (SELECT doc_id, chunk, sqrt(sum(m * m)) AS l FROM m GROUP BY ALL) SELECT doc_id, chunk, CAST(dim AS BIGINT) AS dim, round(m / greatest(l, 1e-12), 8) AS value FROM m JOIN l USING (doc_id, chunk)""")

@@ -19,7 +19,7 @@ CATALOG = Catalog()
 
 @CATALOG.add()
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", E.hash_vectors(F.substring("text", 1, 500)).alias("embedding"))
+    return docs(spark, sf_dir).select("doc_id", E.hash_vectors("text").alias("embedding"))
 
 
 @CATALOG.add()
@@ -137,3 +137,11 @@ def _top_lists(d: DataFrame) -> DataFrame:
 def jaccard_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     return d.select("doc_id", F.round(T.jaccard(T.tokens(F.substring("text", 1, 300)), T.tokens(F.substring("text", 100, 300))), 8).alias("jaccard"))
+
+
+@CATALOG.add(f"WITH {DOCS_SQL}, t AS (SELECT doc_id, list_distinct({TOKENS_SQL.format(x='text')}) AS a FROM docs), n AS (SELECT t.doc_id, t.a, coalesce(o.a, []) AS b FROM t LEFT JOIN t o ON o.doc_id = t.doc_id + 1) SELECT doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE END, 8) AS jaccard FROM n")
+def jaccard_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text with that of the next id."""
+    d = docs(spark, sf_dir)
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    return d.join(after, "doc_id", "left").select("doc_id", F.round(T.jaccard(T.tokens("text"), T.tokens("next")), 8).alias("jaccard"))

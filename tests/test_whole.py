@@ -7,6 +7,7 @@ from collections import defaultdict
 from support import DATA
 
 import __spark_entry__
+from harrier.functions.embedders import hash_vector
 
 SF = f"{DATA}/sf0.001"
 
@@ -82,3 +83,14 @@ def test_ids_are_no_bound(spark, tmp_path):
     made = tables(tmp_path, spark, documents=("doc_id long, text string, lang string, source string", few))
     assert run(spark, "line_chunks_whole", made).select("path").distinct().count() == 3
     assert {r.query_id: r.top for r in run(spark, "top_lists_whole", made).collect()} == {3: [3], 5: [250], 4: [10_000]}
+
+
+def test_texts_are_whole(spark, tmp_path):
+    """What lies behind the first 500 characters counts."""
+    head = "the same beginning " * 40
+    few = [(1, head + "alpha beta", "en", "s"), (2, head + "gamma", "en", "s"), (3, None, "en", "s")]
+    made = tables(tmp_path, spark, documents=("doc_id long, text string, lang string, source string", few))
+    vectors = {r.doc_id: r.embedding for r in run(spark, "hash_embed", made).collect()}
+    assert vectors[1] != vectors[2] and vectors[1] == hash_vector(few[0][1]).tolist() and not any(vectors[3])
+    assert {r.doc_id: r.jaccard for r in run(spark, "jaccard_overlap_whole", made).collect()} == {1: 0.5, 2: 0, 3: 0}
+    assert {r.search_text.split("\n\n", 1)[1] for r in run(spark, "contextual_text_whole", made).collect()} == {t or "" for _, t, *_ in few}
