@@ -99,30 +99,31 @@ def _quality_sql() -> str:
 
 
 def _url_sql() -> str:
-    """The fixed rules, the frequent sets of up to three tokens, and their rules."""
+    """The fixed rules, all sets of the tokens that are frequent among blocked pages, and their rules."""
     parts = r"'://([^/?#]*)([^?#]*)(?:\?([^#]*))?'"
     fits = " UNION ALL ".join(f"SELECT '{v}' AS verdict, '{h}' AS of, '{p}' AS begins" for v, h, p in url_filter.RULES)
-    sets = " UNION ALL ".join(
-        f"SELECT page_id, bad, [{', '.join(f't{i}' for i in range(n))}] AS tokens FROM "
-        + " JOIN ".join(f"(SELECT page_id, bad, t AS t{i} FROM e) x{i}" + (" USING (page_id, bad)" if i else "") for i in range(n))
-        + (f" WHERE {' AND '.join(f't{i} < t{i + 1}' for i in range(n - 1))}" if n > 1 else "")
-        for n in range(1, url_filter.MAX_TOKENS + 1)
-    )
+    z = f"{url_filter.Z}::DOUBLE"
+    lower = f"(p + {z} * {z} / (2 * seen) - {z} * sqrt(p * (1 - p) / seen + {z} * {z} / (4 * seen * seen))) / (1 + {z} * {z} / seen)"
     return rf"""
         WITH a AS (SELECT page_id, {_FOLD.format(x=f"regexp_extract(coalesce(url, ''), {parts}, 1)")} AS host, regexp_extract(coalesce(url, ''), {parts}, 2) AS path, regexp_extract(coalesce(url, ''), {parts}, 3) AS query FROM pages),
         t AS (SELECT *, CASE WHEN host = '' THEN []::VARCHAR[] ELSE list_distinct(['H:' || host] || list_transform(string_split(host, '.'), lambda x: 'h:' || x)
               || list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]')), lambda x: 'p:' || x)
               || list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'q:' || split_part(x, '=', 1))) END AS tokens FROM a),
         s AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-        b AS (SELECT page_id, bad, tokens FROM t JOIN s USING (page_id)), n AS (SELECT count(*) AS n FROM b),
-        e AS (SELECT page_id, bad, unnest(tokens) AS t FROM b),
-        k AS (SELECT tokens, count(*) AS seen, sum(bad) AS blocked FROM ({sets}) GROUP BY tokens),
-        m AS (SELECT tokens FROM k, n WHERE blocked >= ceil(greatest({url_filter.MIN_SUPPORT}, {url_filter.MIN_COUNT} / n) * n - 1e-9) AND blocked >= {url_filter.MIN_CONFIDENCE} * seen),
+        b AS (SELECT row_number() OVER () AS num, bad, tokens FROM t JOIN s USING (page_id)),
+        n AS (SELECT greatest(ceil({url_filter.MIN_SUPPORT} * count(*) - 1e-9), {url_filter.MIN_COUNT}) AS need, greatest({url_filter.MIN_CONFIDENCE}, avg(bad)) AS bar FROM b),
+        e AS (SELECT num, bad, unnest(tokens) AS t FROM b),
+        w AS (SELECT t, p, {lower} >= bar AS sure FROM (SELECT t, count(*)::DOUBLE AS seen, sum(bad)::DOUBLE AS blocked, sum(bad) / count(*)::DOUBLE AS p FROM e GROUP BY t), n WHERE blocked >= need),
+        g AS (SELECT num, bad, list_sort(list(t ORDER BY p DESC, t)[1 : {url_filter.FIT_TOKENS}]) AS ts FROM e JOIN w USING (t) WHERE NOT sure GROUP BY num, bad),
+        k AS (SELECT list_filter(ts, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS tokens, count(*)::DOUBLE AS seen, sum(bad)::DOUBLE AS blocked FROM (SELECT bad, ts, unnest(range(1, 1 << len(ts))) AS mask FROM g) GROUP BY ALL),
+        m AS (SELECT [t] AS tokens FROM w WHERE sure UNION ALL SELECT tokens FROM (SELECT *, blocked / seen AS p FROM k, n WHERE blocked >= need AND len(tokens) > 1) WHERE {lower} >= bar),
+        u AS (SELECT tokens, unnest(tokens) AS one FROM (SELECT DISTINCT tokens FROM t)),
+        h AS (SELECT DISTINCT u.tokens AS tokens FROM u JOIN m ON u.one = m.tokens[1] WHERE list_has_all(u.tokens, m.tokens)),
         f AS ({fits}),
         x AS (SELECT page_id, arg_max(struct_pack(rule := of || begins, verdict := verdict), struct_pack(n := length(of || begins), r := of || begins)) AS best
               FROM t JOIN f ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, begins) GROUP BY page_id)
         SELECT page_id, host, path, best.rule AS rule,
-               coalesce(best.verdict, CASE WHEN EXISTS (SELECT 1 FROM m WHERE list_has_all(t.tokens, m.tokens)) THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(best.verdict, CASE WHEN t.tokens IN (SELECT tokens FROM h) THEN 'block' ELSE 'allow' END) AS verdict
         FROM t LEFT JOIN x USING (page_id)"""
 
 

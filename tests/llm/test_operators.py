@@ -259,7 +259,7 @@ def test_url_rules_of_many_hosts(spark, tmp_path, monkeypatch, constant):
     few pages it has, whether the rules are a constant or joined."""
     import duckdb
 
-    monkeypatch.setattr(url_filter, "MAX_RULES", constant)
+    monkeypatch.setattr(url_filter, "CONSTANT_RULES", constant)
     hosts = [f"s{i}.mail.example.net" for i in range(40) for _ in range(12 if i < 30 else 6)] + [f"t{i % 250}.mail.example.net" for i in range(500)]
     rows = [(i, f"http://{host}/{i}") for i, host in enumerate(hosts)]
     labels = [(i, 0 if host[0] == "s" else 1, None) for i, host in enumerate(hosts)]
@@ -278,6 +278,49 @@ def test_url_rules_of_many_hosts(spark, tmp_path, monkeypatch, constant):
     assert Counter(r[4] for r in got if r[0] is None) == {"block": 1, "allow": 1}
 
 
+def test_url_rules_need_more_than_chance(spark):
+    """At one bad page in four, hosts of few pages that are bad by chance stay; a host of many bad pages goes."""
+    rng = random.Random(9)
+    rows = [(i, f"http://h{i % 60}.net/{i}", 0 if rng.random() < 0.25 else 1) for i in range(600)] + [(1000 + i, f"http://bad.net/{i}", 0 if i % 5 else 1) for i in range(40)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int")
+    got = {(r.host, r.verdict) for r in url_filter.judge_urls(pages, labels).collect()}
+    assert {h for h, v in got if v == "block"} == {"bad.net"} and len(got) == 61
+
+
+def test_long_urls_and_no_pages(spark):
+    """Pages that share thousands of words don't give a rule for each set of them."""
+    long = "http://long.net/" + "/".join(f"w{i}" for i in range(3_000))
+    rows = [(i, f"{long}/{i}") for i in range(12)] + [(100 + i, f"http://ok.net/w{i % 10}") for i in range(300)] + [(500, "http://other.net/w7/w9"), (501, long), (502, "http://long.net/"), (503, "http://ok.net/x")]
+    pages = spark.createDataFrame([(*r, 1, "h") for r in rows], "page_id long, url string, bad int, host string")
+    labels = spark.createDataFrame([(r[0], 0 if r[0] < 100 else 1, None) for r in rows if r[0] < 500], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, labels).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {*range(12), 500, 501, 502}
+    assert url_filter.judge_urls(pages.limit(0), labels).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(pages, labels.limit(0)).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("constant", [0, 10_000])
+def test_thousands_of_url_rules(spark, tmp_path, monkeypatch, constant):
+    """1,100 bad hosts: as many rules, each of six pages, none lost, as SQL says."""
+    import duckdb
+
+    monkeypatch.setattr(url_filter, "CONSTANT_RULES", constant)
+    monkeypatch.setattr(url_filter, "MIN_SUPPORT", 0.0)
+    rows = [(i, f"http://s{i % 1100}.net/p{i % 7}") for i in range(6_600)] + [(20_000 + i, f"http://t{i % 400}.net/p{i % 7}") for i in range(8_000)]
+    asked = [(50_000 + i, f"http://s{i}.net/q") for i in range(1150)]
+    pages = spark.createDataFrame(rows + asked, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 20_000 else 1, None) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {tuple(r) for r in url_filter.judge_urls(pages, labels, min_support=0.0).collect()}
+    assert {r[1][0] for r in got if r[4] == "block" and r[0] >= 20_000 and r[2] == "/q"} == {"s"} and sum(r[4] == "block" and r[2] == "/q" for r in got) == 1100
+    for name, df in (("pages", pages), ("labels", labels)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    assert got == set(con.execute(queries.oracle_sql()["op5_url_filter"]).fetchall())
+
+
 # 6
 
 
