@@ -3,33 +3,41 @@
 Each document is measured and held against rules; the failures of each rule are
 summed by host. A host's rate of failures is shrunk towards that of all hosts: a
 beta prior is fitted to the hosts' rates by the method of moments, and the rate is
-the posterior mean, so a host of few documents says little. A host whose shrunk
-rate reaches ``reject_rate`` for any rule is rejected, with its documents.
-
-Documents that fail a base rule (``too_short``, ``repetitive``) go by themselves.
-
-A null text has no words. A null host is a host of its own. Repeated rows count and
-are judged as often as they occur. Empty tables have no hosts and give no rows.
-Hosts are joined back to narrow rows of measures; in a filter, rejected hosts are
-broadcast only if there are at most ``BROADCAST_HOSTS`` of them.
+the posterior mean, so a host of few documents says little.
+
+Host verdicts meet the documents again in two ways. A host whose shrunk rate reaches
+``suspect_rate`` for a rule is *suspect* in that rule: its documents that fail the
+rule go, while on other hosts a rare failure is let pass (a table of prices on a host
+of prose isn't junk). A host whose shrunk rate reaches ``reject_rate`` for any rule is
+*rejected*, with all its documents. Documents that fail a base rule (``too_short``,
+``repetitive``) go by themselves.
+
+A null text has no words; very long texts are measured whole. A null host is a host of
+its own. Repeated rows count and are judged as often as they occur. Empty tables have
+no hosts and give no rows. Other columns pass through, whatever their names. Texts are
+measured in one pass; verdicts are broadcast only if there are at most
+``BROADCAST_HOSTS`` hosts with any, and joined by a shuffle beyond that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from harrier.llm.common import free_name, map_rows, materialize, ship, slices, text_of
+from harrier.llm.common import free_name, materialize, ship, slices, text_of
+from harrier.operators.ranking import small
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: The mean length of words, in characters, that a document should have.
 MEAN_WORD = (2, 20)
+#: Shrunk rates of failure from which on a host is suspect in a rule, and rejected.
+SUSPECT_RATE = 0.05
 REJECT_RATE = 0.75
 BROADCAST_HOSTS = 10_000
 
@@ -78,35 +86,36 @@ def measure(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, _SYMBOLS)), repeated_lines(text), repeated_words(words)
 
 
-def fails_base(n_words: int, n_repeat_words: int) -> bool:
-    return n_words < MIN_WORDS or 100 * n_repeat_words > REPEAT_PERCENT * n_words
-
-
-def rule_failures() -> dict[str, Column]:
+def rule_failures(measure_of: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """The rules, as conditions on the measures that a failing document meets."""
-    words = F.col("n_words")
+    words = measure_of("n_words")
     return {
         "too_short": words < MIN_WORDS,
-        "repetitive": 100 * F.col("n_repeat_words") > REPEAT_PERCENT * words,
-        "symbols": 10 * F.col("n_symbols") > words,
-        "word_length": (words > 0) & ((F.col("word_chars") < MEAN_WORD[0] * words) | (F.col("word_chars") > MEAN_WORD[1] * words)),
-        "repeated_lines": 10 * F.col("n_dup_lines") > words,
+        "repetitive": 100 * measure_of("n_repeat_words") > REPEAT_PERCENT * words,
+        "symbols": 10 * measure_of("n_symbols") > words,
+        "word_length": (words > 0) & ((measure_of("word_chars") < MEAN_WORD[0] * words) | (measure_of("word_chars") > MEAN_WORD[1] * words)),
+        "repeated_lines": 10 * measure_of("n_dup_lines") > words,
     }
 
 
-def measured(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, host, *MEASURES)``, a row for each row: one narrow pass."""
+def with_measures(docs: DataFrame, into: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the struct ``into`` of the ``MEASURES``: one narrow pass, in which
+    only texts go to Python."""
+    ship(docs.sparkSession)
+    kind = StructType([StructField(m, LongType()) for m in MEASURES])
 
-    def rows(values: Iterator[tuple]) -> Iterator[tuple]:
-        for key, host, text in values:
-            yield key, host, *measure(text)
+    @F.arrow_udf(kind)
+    def measures(texts: pa.Array) -> pa.Array:
+        found = [measure(t) for part in slices(texts) for t in part.to_pylist()]
+        columns = zip(*found, strict=True) if found else [[] for _ in MEASURES]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=MEASURES)
 
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, host string, " + ", ".join(f"{m} long" for m in MEASURES)
-    return map_rows(docs, [docs[id_col], docs[host_col].cast("string"), text_of(text_col)], rows, schema)
+    return docs.withColumn(into, measures(text_of(text_col)))
 
 
-def host_verdicts(measures: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
-    """``(host, n_docs, <rule>_rate..., rejected)``: the shrunk rates of each host."""
+def host_verdicts(measures: DataFrame, suspect_rate: float = SUSPECT_RATE, reject_rate: float = REJECT_RATE) -> DataFrame:
+    """``(host, n_docs, <rule>_rate..., suspect_in array<string>, rejected)``: the shrunk
+    rates of each host and its verdicts, of ``measures (host, *MEASURES)``."""
     rules = rule_failures()
     hosts = measures.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.sum(cond.cast("long")).alias(rule) for rule, cond in rules.items()))
     share = {rule: F.col(rule) / F.col("n_docs") for rule in rules}
@@ -115,9 +124,9 @@ def host_verdicts(measures: DataFrame, reject_rate: float = REJECT_RATE) -> Data
     rates = {}
     for rule in rules:
         alpha, beta = beta_prior(moments[f"{rule}_mean"], moments[f"{rule}_var"])
-        rates[f"{rule}_rate"] = (F.col(rule) + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
-    out = hosts.select("host", "n_docs", *(c.alias(name) for name, c in rates.items()))
-    return out.withColumn("rejected", F.greatest(*(F.col(name) for name in rates), F.lit(0.0)) >= reject_rate)
+        rates[rule] = (F.col(rule) + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
+    suspect = F.array_compact(F.array(*(F.when(rate >= suspect_rate, rule) for rule, rate in rates.items())))
+    return hosts.select("host", "n_docs", *(c.alias(f"{rule}_rate") for rule, c in rates.items()), suspect.alias("suspect_in"), (F.greatest(*rates.values()) >= reject_rate).alias("rejected"))
 
 
 def beta_prior(mean: float | None, var: float | None, least: float = 2.0, most: float = 1e4) -> tuple[float, float]:
@@ -129,37 +138,37 @@ def beta_prior(mean: float | None, var: float | None, least: float = 2.0, most:
     return mean * weight, (1 - mean) * weight
 
 
-def judged(docs: DataFrame, host_col: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
-    """``(doc_id, *MEASURES, base_failed, kept)``, a row for each row of ``docs``."""
-    measures = materialize(measured(docs, host_col), "measures")
-    rejected = host_verdicts(measures, reject_rate).filter("rejected").select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
-    rules = rule_failures()
-    return measures.join(rejected, F.col("host").eqNullSafe(F.col("bad_host")), "left").select(
-        "doc_id",
-        *MEASURES,
-        (failed := rules["too_short"] | rules["repetitive"]).alias("base_failed"),
-        (~failed & F.col("bad").isNull()).alias("kept"),
-    )
-
-
-def keep_good(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", reject_rate: float = REJECT_RATE) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. Texts aren't shuffled unless
-    more hosts are rejected than may be broadcast."""
-    measures = materialize(measured(docs, host_col, id_col, text_col), "measures")
-    bad = free_name(docs, "bad_host")
-    rejected = materialize(host_verdicts(measures, reject_rate).filter("rejected").select(F.col("host").alias(bad)), "rejected-hosts")
-    n = rejected.count()
-    ship(docs.sparkSession)
+def _verdict(measure_of: Callable[[str], Column], suspect_in: str = "suspect_in", rejected: str = "rejected") -> tuple[Column, Column]:
+    """``base_failed`` and ``kept`` of a row that has met its host's verdict (nulls: none)."""
+    rules = rule_failures(measure_of)
+    base = rules["too_short"] | rules["repetitive"]
+    gone = F.coalesce(F.col(rejected), F.lit(False))
+    for rule, fails in rules.items():
+        gone = gone | (fails & F.coalesce(F.array_contains(F.col(suspect_in), rule), F.lit(False)))
+    return base.alias("base_failed"), (~base & ~gone).alias("kept")
 
-    @F.arrow_udf(BooleanType())
-    def base_ok(texts: pa.Array) -> pa.Array:
-        def ok(text: str) -> bool:
-            words = text.encode("utf-8", "surrogatepass").split()
-            return len(words) >= MIN_WORDS and not fails_base(len(words), repeated_words(words))
 
-        return pa.array([ok(t) for part in slices(texts) for t in part.to_pylist()], pa.bool_())
+def _bad_hosts(measures: DataFrame, suspect_rate: float, reject_rate: float) -> DataFrame:
+    """The hosts with any verdict, ready to be joined."""
+    hosts = host_verdicts(measures, suspect_rate, reject_rate).filter("rejected or size(suspect_in) > 0")
+    return small(materialize(hosts.select("host", "suspect_in", "rejected"), "host-verdicts"), BROADCAST_HOSTS)
 
-    kept = docs.filter(base_ok(text_of(text_col)))
-    if n == 0:
-        return kept
-    return kept.join(F.broadcast(rejected) if n <= BROADCAST_HOSTS else rejected, F.col(host_col).cast("string").eqNullSafe(F.col(bad)), "left_anti")
+
+def judged(docs: DataFrame, host_col: str = "source", suspect_rate: float = SUSPECT_RATE, reject_rate: float = REJECT_RATE) -> DataFrame:
+    """``(doc_id, *MEASURES, base_failed, kept)``, a row for each row of ``docs``."""
+    narrow = docs.select("doc_id", F.col(host_col).cast("string").alias("host"), "text")
+    measures = materialize(with_measures(narrow, "measures").select("doc_id", "host", "measures.*"), "measures")
+    bad = _bad_hosts(measures, suspect_rate, reject_rate).withColumnRenamed("host", "bad_host")
+    return measures.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left").select("doc_id", *MEASURES, *_verdict(F.col))
+
+
+def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", suspect_rate: float = SUSPECT_RATE, reject_rate: float = REJECT_RATE) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns. Rows are written once with
+    their measures; texts aren't shuffled unless more hosts than may be broadcast have a
+    verdict."""
+    found, host, suspect, rejected = (free_name(docs, n) for n in ("measures", "bad_host", "suspect_in", "rejected"))
+    rows = materialize(with_measures(docs, found, text_col), "measured")
+    source = F.col(host_col).cast("string")
+    bad = _bad_hosts(rows.select(source.alias("host"), f"{found}.*"), suspect_rate, reject_rate).toDF(host, suspect, rejected)
+    _, kept = _verdict(lambda m: F.col(found).getField(m), suspect, rejected)
+    return rows.join(bad, source.eqNullSafe(F.col(host)), "left").filter(kept).select(docs.columns)

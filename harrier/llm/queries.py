@@ -79,7 +79,9 @@ def _quality_sql() -> str:
     counts = ", ".join(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)::DOUBLE AS {rule}" for rule, cond in rules.items())
     moments = ", ".join(f"least(greatest(avg({r} / n_docs), 1e-3), 1 - 1e-3) AS {r}_m, var_samp({r} / n_docs) AS {r}_v" for r in rules)
     weights = ", ".join(f"least(greatest(CASE WHEN {r}_v > 0 THEN {r}_m * (1 - {r}_m) / {r}_v - 1 ELSE 1e4 END, 2), 1e4) AS {r}_w" for r in rules)
-    rates = ", ".join(f"({r} + {r}_m * {r}_w) / (n_docs + {r}_w)" for r in rules)
+    rate = {r: f"({r} + {r}_m * {r}_w) / (n_docs + {r}_w)" for r in rules}
+    suspects = ", ".join(f"{x} >= {quality.SUSPECT_RATE} AS {r}_suspect" for r, x in rate.items())
+    fails = " OR ".join(f"({r}_suspect AND ({cond}))" for r, cond in rules.items())
     return rf"""
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         g AS (SELECT doc_id, i, w[i : i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
@@ -92,9 +94,9 @@ def _quality_sql() -> str:
               FROM d LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id)),
         h AS (SELECT source, count(*)::DOUBLE AS n_docs, {counts} FROM m GROUP BY source),
         p AS (SELECT {moments} FROM h), q AS (SELECT *, {weights} FROM p),
-        v AS (SELECT source, greatest({rates}) >= {quality.REJECT_RATE} AS rejected FROM h, q)
+        v AS (SELECT source, greatest({", ".join(rate.values())}) >= {quality.REJECT_RATE} AS rejected, {suspects} FROM h, q)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rules["too_short"]} OR {rules["repetitive"]} AS base_failed,
-               NOT ({rules["too_short"]} OR {rules["repetitive"]}) AND NOT rejected AS kept
+               NOT ({rules["too_short"]} OR {rules["repetitive"]}) AND NOT rejected AND NOT ({fails}) AS kept
         FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source"""
 
 

@@ -336,6 +336,22 @@ def measures_brute(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), again, len(covered)
 
 
+def kept_brute(rows):
+    """The ids that stay of ``rows (doc_id, host, measures)``, by the rules and the hosts' shrunk rates."""
+    fails = [lambda m: m[0] < 50, lambda m: 2 * m[4] > m[0], lambda m: 10 * m[2] > m[0], lambda m: m[0] > 0 and not 2 <= m[1] / m[0] <= 20, lambda m: 10 * m[3] > m[0]]
+    hosts = defaultdict(list)
+    for _, host, m in rows:
+        hosts[host].append([f(m) for f in fails])
+    rates = defaultdict(list)
+    for k in range(len(fails)):
+        shares = [np.mean([x[k] for x in v]) for v in hosts.values()]
+        alpha, beta = quality.beta_prior(float(np.mean(shares)), float(np.var(shares, ddof=1)))
+        for host, v in hosts.items():
+            rates[host].append((sum(x[k] for x in v) + alpha) / (len(v) + alpha + beta))
+    bad = lambda host, m: max(rates[host]) >= 0.75 or any(f(m) and (k < 2 or rates[host][k] >= 0.05) for k, f in enumerate(fails))
+    return {d for d, host, m in rows if not bad(host, m)}
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "é", " ", "  ", "\n", "\x0b", "\x85", "\u00a0", "#", "a b c ", "\n\n"]), max_size=60).map("".join))
 def test_measures(text):
@@ -350,14 +366,22 @@ def test_quality_query(spark, odd, none):
     kept = quality.keep_good(odd)
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality.judged(odd).filter("kept").collect())
+    small = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    rows = [(r.doc_id, r.source, measures_brute(r.text or "")) for r in small.collect()]
+    assert {r.doc_id for r in quality.judged(small).filter("kept").collect()} == kept_brute(rows)
 
 
 def test_bad_hosts_go(spark):
+    """A rejected host goes whole; a suspect one loses the documents that fail; elsewhere a rare failure stays."""
     good, bad = " ".join(f"w{i}" for i in range(80)), "# " * 30 + " ".join(f"w{i}" for i in range(80))
     rows = [(i, bad if i % 20 else good, "bad.net", 1) for i in range(200)] + [(1000 + i, good, f"h{i % 9}.org", 1) for i in range(300)] + [(5000, good, None, 1)]
+    rows += [(2000 + i, good if i % 5 else bad, "mixed.com", 1) for i in range(200)] + [(3000 + i, good if i else bad, "clean.com", 1) for i in range(400)]
+    gone = {r[0] for r in rows if r[0] < 1000 or (r[2] == "mixed.com" and r[1] is bad)}
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     kept = {r.doc_id for r in quality.judged(df).filter("kept").collect()}
-    assert kept == {r[0] for r in rows if r[0] >= 1000} == {r.doc_id for r in quality.keep_good(df).collect()}
+    assert kept == {r[0] for r in rows} - gone == {r.doc_id for r in quality.keep_good(df).collect()}
+    verdicts = {r.host: (r.rejected, r.suspect_in) for r in quality.host_verdicts(quality.with_measures(df, "m").select(F.col("source").alias("host"), "m.*")).collect()}
+    assert verdicts["bad.net"][0] and verdicts["mixed.com"] == (False, ["symbols"]) and verdicts["clean.com"] == (False, [])
 
 
 def test_beta_prior():

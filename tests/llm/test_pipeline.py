@@ -3,10 +3,10 @@
 from collections import Counter
 
 from support import rows_of, rows_of_sql
-from test_operators import LIBRARY, components_brute, fold, hits_brute, measures_brute, prints_brute, sha
+from test_operators import LIBRARY, components_brute, fold, hits_brute, kept_brute, measures_brute, prints_brute, sha
 
 import corpus_pipeline
-from harrier.llm import queries, quality
+from harrier.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,8 +22,9 @@ def dropped_lines(rows):
 
 
 def brute(rows, items):
-    """``rows (doc_id, text)``; no host of the smallest table is rejected, which is asserted apart."""
-    rows = [(d, t or "") for d, t in rows if (m := measures_brute(t or ""))[0] >= 50 and 2 * m[4] <= m[0]]
+    """What is left of ``rows (doc_id, text, source)``, as ``(doc_id, text)``."""
+    good = kept_brute([(d, source, measures_brute(t or "")) for d, t, source in rows])
+    rows = [(d, t or "") for d, t, _ in rows if d in good]
     rows = dropped_lines(rows)
     roots, best = components_brute([prints_brute(t) for _, t in rows]), {}
     for (d, t), r in zip(rows, roots):
@@ -33,14 +34,25 @@ def brute(rows, items):
     return [(d, t) for d, t in rows if d in clean]
 
 
-def test_pipeline(spark):
+def bad_host(docs):
+    """``docs`` with a host whose documents mostly end in symbols, and some that don't."""
+    words = [" ".join(f"{w}{i}{k}" for k in range(70)) for i, w in enumerate(["oak", "elm", "ash", "fir", "yew"] * 8)]
+    rows = [(900_000 + i, w + (" ### $$$ %%%" * 20 if i % 10 else ""), "bad.example", "en") for i, w in enumerate(words)]
+    return docs.unionByName(docs.sparkSession.createDataFrame(rows, "doc_id long, text string, source string, lang string"), allowMissingColumns=True)
+
+
+def test_pipeline(spark, tmp_path):
+    """On the smallest tables, as they are and with a planted bad host, whose clean documents go too."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert quality.host_verdicts(quality.measured(docs)).filter("rejected").count() == 0
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    bad_host(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    want = Counter((d, len(ids := LIBRARY.encode_ordinary(t)), sha(" ".join(map(str, ids))), sha(t)) for d, t in brute(rows, items))
-    got = corpus_pipeline.run(spark, SF)
-    assert Counter(map(tuple, got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == want
+    for sf_dir in (SF, str(tmp_path)):
+        rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+        want = Counter((d, len(ids := LIBRARY.encode_ordinary(t)), sha(" ".join(map(str, ids))), sha(t)) for d, t in brute(rows, items))
+        got = corpus_pipeline.run(spark, sf_dir)
+        assert Counter(map(tuple, got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == want
+        assert not [k for k in want if k[0] >= 900_000]
 
 
 def test_stages_keep_columns_of_odd_rows(spark, odd, none):
@@ -48,6 +60,8 @@ def test_stages_keep_columns_of_odd_rows(spark, odd, none):
         assert stage(spark, none, SF).count() == 0
         out = stage(spark, odd, SF)
         assert out.columns == odd.columns, name
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, none, SF).count() == 0 and stage(spark, odd, SF).count() == odd.count()
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
