@@ -12,8 +12,10 @@ The examples are made here, by a seeded generator of sentences that hold persona
 data and look-alikes (dates, prices, versions, order numbers); their number is
 ``EXAMPLES``. Nothing is fitted to the input, so results don't depend on its size.
 
-Null and empty texts have no spans. Positions count code points; repeated rows are
-judged alike. All patterns run in time linear in the text.
+Null and empty texts have no spans, empty tables no rows. Positions count code points;
+repeated rows are judged alike; a span depends on the 40 characters before it and the
+two behind it, on nothing further away. Texts of any length are searched whole, in time
+linear in the text. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|\b[aA][tT]\b|::")
+#: What any span holds: a digit, an @, the word "at", or two colons with at most four letters between.
+_ANY = re.compile(r"[0-9@]|\b[aA][tT]\b|:[A-Fa-f]{0,4}:")
 
 
 def luhn(digits: str) -> bool:
@@ -112,7 +115,7 @@ def features(text: str, span: Span) -> list[float]:
     start, end, kind = span
     body = text[start:end]
     digits = "".join(c for c in body if "0" <= c <= "9")
-    before, after = text[max(0, start - 40) : start], text[end : end + 1]
+    before, after = text[max(0, start - 40) : start], text[end : end + 2]
     groups = re.findall(r"[0-9]+", body)
     last = re.split(r"[^A-Za-z0-9]+", body)[-1].lower()
     return [
@@ -136,7 +139,10 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(_CUES[kind].search(before))),
         float(bool(_AGAINST.search(before))),
         float(before[-1:].isalnum()),
-        float(after.isalnum()),
+        float(after[:1].isalnum()),
+        # the number goes on beyond the span
+        float(bool(re.fullmatch(r"[./_-][0-9]", after))),
+        float(bool(re.search(r"[0-9][./_-]$", before))),
     ]
 
 
@@ -155,7 +161,7 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
         return f"{word()}{rng.choice(('', '.', '_'))}{digit(rng.randint(0, 2))}{at}{word()}{dot}{rng.choice(sorted(_ENDINGS))}"
 
     def number() -> str:
-        return rng.choice((f"({digit(3)}) 555-{digit(4)}", f"{rng.randint(201, 989)}-{digit(3)}-{digit(4)}", f"{rng.randint(201, 989)}.{digit(3)}.{digit(4)}", f"00{rng.randint(31, 49)} {digit(3)} {digit(3)} {digit(3)}", f"0{digit(3)} {digit(7)}", f"0{digit(2)}/{digit(8)}"))
+        return rng.choice((f"({digit(3)}) 555-{digit(4)}", f"{rng.randint(201, 989)}-{digit(3)}-{digit(4)}", f"{rng.randint(201, 989)}.{digit(3)}.{digit(4)}", f"00{rng.randint(31, 49)} {digit(3)} {digit(3)} {digit(3)}", f"0{digit(3)} {digit(7)}", f"0{digit(3)} {digit(3)} {digit(4)}", f"0{digit(2)} {digit(4)} {digit(4)}", f"0{digit(2)} {digit(7)}", f"0{digit(4)} {digit(6)}", f"0{digit(2)}/{digit(8)}"))
 
     def spaced(body: str) -> str:
         sep = rng.choice((".", "/", "_", " ", "-", " - "))
