@@ -1,13 +1,16 @@
 """Token counts by a two-tier, map-side lookup of pre-token lengths.
 
-Tier 1 is a compact table of frequent pre-tokens and their lengths in tokens,
-made from a bounded sample (``sample_docs`` texts, ``table_entries`` entries) and
-broadcast. Tier 2 is a cache in each worker, filled by encoding the pre-tokens that
-tier 1 lacks. Pre-tokens are never shuffled; the sample changes only the speed,
-since every length comes from the tokenizer itself.
+Tier 1 is a compact table of frequent pre-tokens and their lengths in tokens, made
+from a bounded sample and broadcast: of ``SAMPLE_SPLITS`` splits, evenly dealt over the
+table, a few texts each, ``sample_docs`` in all. They are counted where they lie; only
+counts are moved. Tier 2 is a cache in each worker, filled by encoding the pre-tokens
+that tier 1 lacks. The pre-tokens of the texts are never shuffled; the sample changes
+only the speed, since every length comes from the tokenizer itself.
 
 Nulls count as the empty text: 0 bytes, 0 tokens. A special string inside a text is
-one token, as the tokenizer's file says.
+one token, as the tokenizer's file says. Texts of any length are counted whole;
+repeated rows are counted alike; empty tables give no rows; other columns aren't read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,17 +19,20 @@ import json
 import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from harrier.llm.common import map_rows, text_of
 
-#: Bounds of tier 1: texts sampled, entries, and UTF-8 bytes of an entry.
+#: Bounds of tier 1: texts sampled, splits they come from, entries, and UTF-8 bytes of an entry.
 SAMPLE_DOCS = 2_000
+SAMPLE_SPLITS = 200
 TABLE_ENTRIES = 65_536
 ENTRY_BYTES = 32
 #: Bounds of tier 2 in each worker.
@@ -79,12 +85,18 @@ def read_definition(path: str) -> str:
 
 def frequent_lengths(docs: DataFrame, definition: str, pattern: str, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> pa.Table:
     """Tier 1: ``word, n``, at most ``entries`` rows of at most ``ENTRY_BYTES`` bytes,
-    counted over at most ``sample_docs`` texts in one task."""
+    counted over about ``sample_docs`` texts."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
+    texts = docs.select(text_of(text_col).alias("text"))
+    n_splits = max(1, texts._jdf.queryExecution().toRdd().getNumPartitions())
+    every = -(-n_splits // SAMPLE_SPLITS)
+    quota = -(-sample_docs // -(-n_splits // every))
 
     def rows(values: Iterator[tuple]) -> Iterator[tuple]:
+        if TaskContext.get().partitionId() % every:
+            return
         own, seen = Counters(shared.value, pattern, {}), Counter()
-        for (text,) in values:
+        for (text,) in islice(values, quota):
             seen.update(own.split(text))
             if len(seen) > 8 * entries:
                 seen = Counter(dict(seen.most_common(2 * entries)))
@@ -93,8 +105,8 @@ def frequent_lengths(docs: DataFrame, definition: str, pattern: str, text_col: s
         for _, (word, count) in zip(range(entries), short, strict=False):
             yield word, own.lengths[word], count
 
-    sample = docs.select(text_of(text_col).alias("text")).limit(sample_docs)
-    return map_rows(sample, ["text"], rows, "word string, n int, seen long").orderBy(F.desc("seen"), "word").limit(entries).select("word", "n").toArrow()
+    counted = map_rows(texts, ["text"], rows, "word string, n int, seen long").groupBy("word").agg(F.max("n").alias("n"), F.sum("seen").alias("seen"))
+    return counted.orderBy(F.desc("seen"), "word").limit(entries).select("word", "n").toArrow()
 
 
 _counters: dict[int, Counters] = {}
