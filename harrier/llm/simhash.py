@@ -13,11 +13,12 @@ search it. So tasks are bounded and no link is lost. A shard hands on at most on
 link for each fingerprint (to the root of its local component), never all pairs.
 
 Components come from alternating large-star and small-star steps over the links
-of fingerprints; each step is a pair of joins, written to the shared folder.
+of fingerprints, written to the shared folder; a node of many links is salted.
 
 Null and empty texts have the fingerprint zero and link like any other. A component
 is named by its smallest id; null ids name none (a component of only null ids has a
-null name). Repeated rows each get their row. Other columns aren't touched.
+null name). Repeated rows each get their row. Other columns aren't touched, whatever
+their names; empty tables give no rows; texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SEED = 42
 RADIUS = 4
 BLOCKS = 6
 SHARD_MAX = 4_096
+#: Tasks over which the links of one node are dealt in a step towards components.
+SALTS = 8
 
 #: Stands for a null id where rows are matched.
 _NO_ID = -(2**63)
@@ -262,12 +265,15 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
+        # large star: the larger neighbours of a node go to the least of it and its neighbours
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
-        least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")).filter("top > u")
+        centres = near.select("u", F.least("u", "m").alias("m"))
+        large = materialize(_met(star.select(F.col("v").alias("u"), F.col("u").alias("v")), centres).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        # small star: a node with several smaller neighbours sends them to the least; others stay
+        near = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        sent = _met(large, near.filter("n > 1").select("u", "m")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = sent.unionByName(near.filter("n = 1").select("u", F.col("m").alias("v")))
         star = materialize(small.filter("u <> v").distinct(), "small-star")
         before, state = state, _state(star)
         if state == before:
@@ -277,6 +283,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _met(edges: DataFrame, centres: DataFrame) -> DataFrame:
+    """``edges (u, v)`` with the ``m`` of ``centres (u, m)``. A node may have any number of
+    edges: they are dealt over ``SALTS`` tasks by ``v``, and each centre goes to all of them."""
+    spread = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    copies = centres.select(F.col("u").alias("k"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    return spread.join(copies, (F.col("u") == F.col("k")) & (F.col("salt") == F.col("s"))).select("u", "v", "m")
+
+
 def _state(star: DataFrame) -> tuple:
     """Three numbers that tell whether a step changed the links."""
     return tuple(star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first())
