@@ -7,7 +7,13 @@ largest id among them. A new batch adds its run at level 0. When a level has
 owners take the maximum), so the number of runs stays logarithmic in that of the
 batches and each entry is rewritten once for each level.
 
-Lines are judged by a merge-anti-join with the runs: those whose key is in
+A batch is merge-anti-joined with the runs when it arrives: keys that are *settled*
+(seen in ``min_docs`` documents, with an owner beyond the batch's) have their verdict,
+and the batch adds its other keys only. The table is taken in from the largest ids
+down, so the owner of a key is in the first batch that has it, and a key that stands in
+many documents is written ``min_docs`` times or so rather than once for each batch.
+
+After the last batch lines are judged by the same anti-join: those whose key is in
 ``min_docs`` documents or more, and which the key's owner does not hold, find a
 partner and go; the others stay. The lines' side is shuffled once and narrow (hashes,
 id, position). A hot key has one row on the runs' side, so the adaptive skew join
@@ -19,8 +25,8 @@ to 128 bits. Only keys of ``min_chars`` code points or more take part.
 
 Rows with the same id are one document; a null id is a document that precedes all
 others. Null and empty texts are one empty line, which stays. Repeated rows are
-judged alike and stay repeated. Other columns pass through, whatever their names.
-Everything runs as DataFrame operations.
+judged alike and stay repeated. Other columns pass through, whatever their names; empty
+tables give no rows, and texts and lines of any length are judged whole. Everything runs as DataFrame operations.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: Batches in which the table is taken in, and runs of a level that are merged.
 BATCHES = 4
-FANOUT = 4
+FANOUT = 2
 
 #: The characters of [\x20\x09-\x0D].
 _SPACE = " \t\n\x0b\x0c\r"
@@ -58,15 +64,20 @@ def long_lines(text: Column, min_chars: int) -> Column:
 class LineRuns:
     """The levelled runs of one corpus, in the session's shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, min_chars: int = MIN_CHARS):
-        self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
+        self.spark, self.fanout, self.min_chars, self.min_docs = spark, fanout, min_chars, min_docs
         self.levels: list[list[DataFrame]] = []
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Take in a batch; no document of it may be in an earlier batch."""
+        """Take in a batch; no document of it may be in an earlier batch. Batches may come in
+        any order of ids; from the largest down, the fewest keys are written."""
         keys = F.array_distinct(F.transform(long_lines(text_of(text_col), self.min_chars), lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))
         seen = docs.select(_doc(id_col).alias("doc"), F.explode(keys).alias("key")).select("doc", "key.*")
-        self._push(seen.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("owner")), 0)
+        own = seen.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("owner"))
+        if any(self.levels):
+            settled = self.entries().filter(F.col("n_docs") >= self.min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("owner").alias("last"))
+            own = own.join(settled, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("owner") < F.col("last")), "left_anti")
+        self._push(own, 0)
 
     def _push(self, entries: DataFrame, level: int) -> None:
         run = materialize(entries.sortWithinPartitions("h1", "h2"), f"line-run-{level}")
@@ -82,13 +93,13 @@ class LineRuns:
         runs = [run for level in self.levels for run in level]
         return runs[0] if len(runs) == 1 else _merged(runs)
 
-    def judge(self, docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def judge(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``docs`` with two more columns: ``n_lines long`` and ``kept_lines array<string>``."""
         doc, digest, stays, lines_at = (free_name(docs, n) for n in ("doc", "digest", "stays", "lines_at"))
         text = text_of(text_col)
         keyed = docs.withColumns({doc: _doc(id_col), digest: F.xxhash64(text)})
         lines = keyed.select(F.col(doc).alias("doc"), F.col(digest).alias("digest"), F.explode(long_lines(text, self.min_chars)).alias("line")).select("doc", "digest", "line.*")
-        common = self.entries().filter(F.col("n_docs") >= min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "owner")
+        common = self.entries().filter(F.col("n_docs") >= self.min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "owner")
         kept = lines.join(common, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("doc") < F.col("owner")), "left_anti")
         by_doc = kept.groupBy(F.col("doc").alias(doc), F.col("digest").alias(digest)).agg(F.collect_set("pos").alias(stays))
         long_at = F.transform(F.filter(F.transform(F.col(lines_at), _positioned), lambda x: F.char_length(x["line"]) >= self.min_chars), lambda x: x["pos"])
@@ -119,7 +130,7 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
 
 
 def batches_of(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[DataFrame]:
-    """``docs`` in ``n`` ranges of ids of about equal size, null ids first. The ranges
+    """``docs`` in ``n`` ranges of ids of about equal size, from the largest down, null ids last. The ranges
     reach the scan as filters, so files in the order of ids are read once in all."""
     cuts = sorted(set(docs.stat.approxQuantile(id_col, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
     cuts = [int(c) for c in cuts]
@@ -127,16 +138,16 @@ def batches_of(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[DataFram
     if not cuts:
         return [docs]
     first = docs.filter(key.isNull() | (key < cuts[0]))
-    return [first, *(docs.filter((key >= a) & (key < b)) for a, b in zip(cuts, cuts[1:])), docs.filter(key >= cuts[-1])]
+    return [docs.filter(key >= cuts[-1]), *(docs.filter((key >= a) & (key < b)) for a, b in reversed(list(zip(cuts, cuts[1:])))), first]
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with ``n_lines`` and ``kept_lines``: batch after batch is taken into the
     runs, and then all lines are judged against them."""
-    runs = LineRuns(docs.sparkSession, fanout, min_chars)
+    runs = LineRuns(docs.sparkSession, fanout, min_chars, min_docs)
     for batch in batches_of(docs, batches):
         runs.add(batch)
-    return runs.judge(docs, min_docs)
+    return runs.judge(docs)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

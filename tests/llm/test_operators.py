@@ -77,6 +77,23 @@ def test_line_dedup_batches_do_not_matter(spark, odd):
         assert Counter(map(tuple, got.collect())) == want
 
 
+def test_batches_add_only_keys_that_are_not_settled(spark):
+    """A line of every document is written for the first batches only; the verdict is that of one batch."""
+    line = "a line that every document has"
+    docs = spark.createDataFrame([(i, f"{line}\nline number {i} alone, long enough") for i in range(40)], "doc_id long, text string")
+    runs = line_dedup.LineRuns(spark, fanout=100)
+    for batch in line_dedup.batches_of(docs, 5):
+        runs.add(batch)
+    (first, *later), = runs.levels
+    assert first.filter("n_docs > 1").count() == 1 and [r.filter("n_docs > 1").count() for r in later] == [0] * len(later) and later
+    up = line_dedup.LineRuns(spark, fanout=2)
+    for batch in reversed(line_dedup.batches_of(docs, 5)):
+        up.add(batch)
+    for r in (runs, up):
+        assert {(x.n_lines, len(x.kept_lines)) for x in r.judge(docs).filter("doc_id < 39").collect()} == {(2, 1)}
+        assert len(r.judge(docs).filter("doc_id = 39").first().kept_lines) == 2
+
+
 def test_line_stage_keeps_columns(odd, none):
     out = line_dedup.drop_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
