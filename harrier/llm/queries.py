@@ -139,7 +139,7 @@ def _shard_sql(n: int = 8) -> str:
         d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         b AS (SELECT doc_id, len(h) // 2 + 1 AS size, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM d),
         z AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM b, crc),
-        s AS (SELECT *, CAST(-{best(n)} AS INT) AS shard, CAST(-{best(n + 1)} AS INT) AS grown_shard, floor({draw.format(s="bucket")} * {sharding.BUCKETS}) AS bucket FROM z)
+        s AS (SELECT *, CAST(-{best(n)} AS INT) AS shard, CAST(-{best(n + 1)} AS INT) AS grown_shard, floor({draw.replace("doc_id || ", "doc_id || '/' || size || '/' || text_crc32 || ").format(s="bucket")} * {sharding.BUCKETS}) AS bucket FROM z)
         SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
                row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s"""
 

@@ -6,11 +6,13 @@ place depends on the key and the shards alone, so one more shard takes records o
 into itself, about its share of them, and moves none between the old ones.
 
 Slots number a shard's records from 0 without gaps. No task holds a shard: records
-fall into ``buckets`` by hash, a window numbers each (shard, bucket), and the sums
+fall into ``buckets`` by the hash of key and content (so many records of one key are
+spread too), a window numbers each (shard, bucket), and the sums
 of the counts before it (shards x buckets rows, a fixed number) are its offset.
 
 A null key is a key of its own; null texts have no bytes. Repeated rows share a shard
-and have a slot each. No columns of the input are needed but the key and the text.
+and have a slot each. No columns of the input are needed but the key and the text,
+whatever the others' names. Empty tables give no rows; texts count with all their bytes.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def with_slots(df: DataFrame, key: str, order: list[str], buckets: int = BUCKETS
     """``df`` (with ``shard``) with gapless numbers from 0 in each shard, in the order of
     the bucket, the key and ``order``."""
     bucket, before = free_name(df, "bucket"), free_name(df, "before")
-    dealt = df.withColumn(bucket, F.floor(draw(F.col(key), "bucket") * buckets).cast("int"))
+    dealt = df.withColumn(bucket, F.floor(draw(F.concat_ws("/", *(F.col(c).cast("string") for c in (key, *order))), "bucket") * buckets).cast("int"))
     counts = dealt.groupBy("shard", bucket).agg(F.count("*").alias("rows"))
     upto = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", bucket, F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias(before))

@@ -528,6 +528,17 @@ def test_sharding(spark, odd, none):
     assert sharding.shard_report(none).count() == 0
 
 
+def test_shards_of_one_key(spark):
+    """A third of the rows have one id, some have none: slots stay gapless."""
+    rows = [(7 if i % 3 == 0 else None if i % 10 == 1 else i, f"text {i % 200}") for i in range(900)]
+    got = sharding.shard_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == 900 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert {r.doc_id for r in sharding.shard_report(spark.createDataFrame([(None, None)] * 3, "doc_id long, text string")).collect()} == {None}
+
+
 def test_weighted_shards(spark):
     df = spark.range(20_000)
     sizes = {r.shard: r["count"] for r in sharding.assign(df, "id", [("a", 1.0), ("b", 3.0)]).groupBy("shard").count().collect()}
@@ -604,6 +615,14 @@ def test_chat_query(spark):
     assert chat.repair(df.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    """Thousands of turns and a very long text in one conversation, in stretches."""
+    rows = [(1, i, ("user", "assistant", "tool")[i % 3], f"t{i}" if i != 77 else "x" * 300_000) for i in range(5_000)]
+    got = sorted(chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 256).collect(), key=lambda r: r.seq)
+    assert len(got) == 5_000 and {r.cost for r in got} == {repair_brute([chat.role_state(r[2]) for r in rows])}
+    assert len("".join(r.fragment for r in got)) > 300_000
+
+
 # 9
 
 
@@ -644,6 +663,16 @@ def test_decontamination(spark, odd, none, block_windows):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in decontam.contamination_digest(odd, bench).filter("not contaminated").collect())
 
 
+def test_carried_columns(spark):
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "has one two inside", "t", 5)], "doc_id long, text string, `a.b` string, c0 int").withColumnRenamed("a.b", "k0")
+    found = decontam.find_contamination(docs, bench, carry=("text", "k0", "c0", "doc_id"))
+    assert found.columns == ["text", "k0", "c0", "doc_id", "n_words", "spans", "items"]
+    assert tuple(found.first())[:5] == ("has one two inside", "t", 5, 1, 4)
+    with pytest.raises(ValueError):
+        decontam.find_contamination(docs.withColumn("items", F.lit(1)), bench, carry=("doc_id", "items"))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text("ab", min_size=1, max_size=9).map(lambda s: tuple(c.encode() for c in s)), min_size=1, max_size=6), st.text("abc", max_size=40))
 def test_wu_manber(patterns, text):
