@@ -11,7 +11,9 @@ is marked, and each end is left at most once. Whether two tokens fit is memoised
 the work is linear in the length of the pre-token.
 
 Nulls count as the empty text, which has no tokens. A pre-token that is a token as
-a whole is that token, as rank-file libraries have it.
+a whole is that token, as rank-file libraries have it. Texts of any length are encoded
+whole; repeated rows are encoded alike; empty tables give no rows; other columns aren't
+read, whatever their names.
 """
 
 from __future__ import annotations

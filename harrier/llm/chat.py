@@ -21,7 +21,8 @@ Turns are ordered by ``turn``, then role and text; null turns come first. Roles
 compared without case and outer white space; null, empty and unknown roles fit every
 role at ``unknown`` cost. A null text is empty. Repeated rows are turns of their own.
 Of equal costs, the first in the order keep, merge, relabel, insert wins. A null
-``conv_id`` is a conversation of its own. Columns beyond the four are left out.
+``conv_id`` is a conversation of its own. Columns beyond the four are left out, whatever
+their names. Empty tables give no rows; a text of any length is rendered whole.
 """
 
 from __future__ import annotations

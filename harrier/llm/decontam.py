@@ -12,7 +12,10 @@ whole item where it has fewer. Patterns of one length share a table:
 
 Words are bytes: A-Z lower-cased, everything outside ``[0-9a-z]`` and ASCII dropped,
 characters beyond ASCII kept. Nulls and empty texts have no words and no hits; an
-item without words has no window; an item without an id is named ``null``. Repeated rows each get their row.
+item without words has no window; an item without an id is named ``null``. Repeated
+rows each get their row; empty documents give no rows, and without test items nothing
+is hit. Texts of any length are searched whole. Columns that aren't carried are left
+out; carried ones may have any name but those of the results.
 
 The test items are dealt into blocks of bounded size; each block is broadcast and
 searched in one narrow pass, and a pass hands the intervals it found to the next. So
@@ -162,7 +165,10 @@ def find_contamination(
     """The carried columns with ``n_words, spans array<struct<start, end>>`` (word
     positions hit) ``, items array<string>`` (ids of items that occur, as sorted strings)."""
     spark = docs.sparkSession
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    if clash := {"n_words", "spans", "items"} & {c.lower() for c in carry}:
+        raise ValueError(f"carried columns have the names of results: {sorted(clash)}")
+    # the carried columns travel under names of their own
+    kept = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     schema = f"{kept}, text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
     out, columns = docs, [*(docs[c] for c in carry), text_of(text_col).alias("text"), F.lit(0).cast("long"), F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")]
     blocks = _blocks(benchmark, item_col, item_text_col, window, block_windows)
@@ -171,7 +177,7 @@ def find_contamination(
         block, ahead = ahead, next(blocks, None)
         out = _search(out, columns, spark.sparkContext.broadcast(block), window, schema, len(carry), last=ahead is None)
         columns = [F.col(f"`{c}`") for c in out.columns]
-    return out.drop("text") if "text" not in carry else out
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(carry)), "n_words", "spans", "items")
 
 
 def _search(docs: DataFrame, columns: list[Column], block: Broadcast, window: int, schema: str, n_carried: int, last: bool) -> DataFrame:
