@@ -75,13 +75,8 @@ def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.cited_answers(fixture(spark, "id int, answer string", _ANSWERS), fixture(spark, "id int, path string, start_byte long, end_byte long", _SOURCES))
 
 
-@CATALOG.add(f"""WITH {DOCS_SQL}, c AS (SELECT doc_id, path, text, strlen(substr(text, 1, 10)) AS a, strlen(substr(text, 1, 30)) AS b FROM docs WHERE doc_id < 50 AND length(text) > 40) SELECT doc_id AS id, path, a AS start_byte, b AS end_byte, substr(text, 11, 20) AS span FROM c""")
+@CATALOG.add(f"""WITH {DOCS_SQL}, c AS (SELECT doc_id, path, text, strlen(substr(text, 1, 10)) AS a, strlen(substr(text, 1, 30)) AS b FROM docs WHERE length(text) > 40) SELECT doc_id AS id, path, a AS start_byte, b AS end_byte, substr(text, 11, 20) AS span FROM c""")
 def cited_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cited_spans(docs(spark, sf_dir).filter("doc_id < 50 and char_length(text) > 40"))
-
-
-@CATALOG.add(CATALOG.sql["cited_spans"].replace("doc_id < 50 AND ", ""))
-def cited_spans_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cited_spans(docs(spark, sf_dir).filter("char_length(text) > 40"))
 
 

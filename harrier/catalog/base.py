@@ -59,11 +59,6 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens("text"), 1, 12), " ").alias("text"))
 
 
-def vector_queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding", "label")
-
-
 def all_vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query set that grows with the table: every vector whose id is divisible by 100."""
     e = table(spark, sf_dir, "embeddings")

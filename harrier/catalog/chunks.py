@@ -27,14 +27,9 @@ def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_bytes(C.fixed_chunks(d), d).select("path", "start_byte", "end_byte", "chunk_id")
 
 
-@CATALOG.add(f"""WITH {DOCS_SQL}, l AS (SELECT path, string_split(text, chr(10)) AS ls FROM docs WHERE doc_id < 200), u AS (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
+@CATALOG.add(f"""WITH {DOCS_SQL}, l AS (SELECT path, string_split(text, chr(10)) AS ls FROM docs), u AS (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
   SELECT path, CAST(coalesce(list_sum(list_transform(ls[1 : i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start, CAST(coalesce(list_sum(list_transform(ls[1 : i - 1], lambda x: length(x) + 1)), 0) + length(ls[i]) AS BIGINT) AS "end", ls[i] AS text FROM u WHERE trim(ls[i]) <> ''""")
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.line_chunks(docs(spark, sf_dir).filter("doc_id < 200"))
-
-
-@CATALOG.add(CATALOG.sql["line_chunks"].replace(" WHERE doc_id < 200", ""))
-def line_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.line_chunks(docs(spark, sf_dir))
 
 
@@ -56,13 +51,8 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.structured_chunks(fixture(spark, "path string, text string", _FILES))
 
 
-@CATALOG.add(f"WITH {DOCS_SQL} SELECT path, trim(regexp_replace(path, '[_/.-]+', ' ', 'g')) || chr(10) || chr(10) || substr(text, 1, 40) AS search_text FROM docs")
+@CATALOG.add(f"WITH {DOCS_SQL} SELECT path, trim(regexp_replace(path, '[_/.-]+', ' ', 'g')) || chr(10) || chr(10) || text AS search_text FROM docs")
 def contextual_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.with_context(docs(spark, sf_dir).withColumn("text", F.substring("text", 1, 40))).select("path", "search_text")
-
-
-@CATALOG.add(CATALOG.sql["contextual_text"].replace("substr(text, 1, 40)", "text"))
-def contextual_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_context(docs(spark, sf_dir)).select("path", "search_text")
 
 

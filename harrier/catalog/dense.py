@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, Catalog, all_vector_queries, bm25_sql, docs, table, text_queries, top_sql, vector_queries
+from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, Catalog, all_vector_queries, bm25_sql, docs, table, text_queries, top_sql
 from harrier.functions import vectors as V
 from harrier.operators import dense as D
 from harrier.operators import lexical as L
@@ -15,23 +15,11 @@ CATALOG = Catalog()
 
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12)) AS v FROM embeddings)"
 _DOT = "round(list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2])), 10)"
-_COS = f"{_UNIT}, cs AS (SELECT a.vec_id AS query_id, b.vec_id AS item, {_DOT.format(a='a.v', b='b.v')} AS score FROM u a, u b WHERE a.vec_id < 20)"
-
-
-def _all_queries(sql: str) -> str:
-    """The SQL of a search with the query sets of the whole tables."""
-    for part, whole in (("a.vec_id < 20", "a.vec_id % 100 = 0"), ("q.vec_id < 20", "q.vec_id % 100 = 0"), ("q.vec_id < 5", "q.vec_id % 100 = 0"), (" WHERE query_id < 20", "")):
-        sql = sql.replace(part, whole)
-    return sql
+_COS = f"{_UNIT}, cs AS (SELECT a.vec_id AS query_id, b.vec_id AS item, {_DOT.format(a='a.v', b='b.v')} AS score FROM u a, u b WHERE a.vec_id % 100 = 0)"
 
 
 @CATALOG.add(f"WITH {_COS}, {top_sql('cs', 10, 'r', 'item')} SELECT query_id, item, score, rank FROM r")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.exact_top_k(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 10)
-
-
-@CATALOG.add(_all_queries(CATALOG.sql["dense_topk"]))
-def dense_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.exact_top_k(table(spark, sf_dir, "embeddings"), all_vector_queries(spark, sf_dir), 10)
 
 
@@ -47,14 +35,9 @@ _LEGS = f"{TF_SQL}, {QT_SQL}, {bm25_sql()}, {top_sql('bm', 50, 'lex')}, {_COS},
 @CATALOG.add(f"""WITH {_LEGS},
   f AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.item, l.doc_id) AS item,
         round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0), 10) AS score, d.score AS dense, l.score AS bm25
-        FROM den d FULL OUTER JOIN (SELECT * FROM lex WHERE query_id < 20) l ON d.query_id = l.query_id AND d.item = l.doc_id),
+        FROM den d FULL OUTER JOIN (SELECT * FROM lex) l ON d.query_id = l.query_id AND d.item = l.doc_id),
   {top_sql('f', 10, 'r', 'item')} SELECT query_id, item, score AS rrf, dense, bm25, rank FROM r""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rrf_hybrid(spark, sf_dir, text_queries(spark, sf_dir).filter("query_id < 20"), vector_queries(spark, sf_dir))
-
-
-@CATALOG.add(_all_queries(CATALOG.sql["rrf_hybrid"]))
-def rrf_hybrid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rrf_hybrid(spark, sf_dir, text_queries(spark, sf_dir), all_vector_queries(spark, sf_dir))
 
 
@@ -71,15 +54,10 @@ _WEIGHTS = [(0.25, 10), (0.5, 10), (1.0, 10), (2.0, 10), (0.25, 60), (0.5, 60),
 
 
 @CATALOG.add(f"""WITH {_LEGS}, g AS (SELECT * FROM (VALUES {", ".join(f"({w}::DOUBLE, {k}::BIGINT)" for w, k in _WEIGHTS)}) AS v(weight, k)),
-  e AS (SELECT query_id, item, rank, weight AS w, weight, k FROM den, g UNION ALL SELECT query_id, doc_id, rank, 1.0::DOUBLE, weight, k FROM lex, g WHERE query_id < 20),
+  e AS (SELECT query_id, item, rank, weight AS w, weight, k FROM den, g UNION ALL SELECT query_id, doc_id, rank, 1.0::DOUBLE, weight, k FROM lex, g),
   f AS (SELECT weight, k, query_id, item, round(sum(w / (k + rank)), 10) AS score FROM e GROUP BY ALL)
   SELECT weight, k, query_id, item, score AS rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY weight, k, query_id ORDER BY score DESC, item) AS rank FROM f) WHERE rank <= 3""")
 def weighted_rrf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weighted_rrf_grid(spark, sf_dir, text_queries(spark, sf_dir).filter("query_id < 20"), vector_queries(spark, sf_dir))
-
-
-@CATALOG.add(_all_queries(CATALOG.sql["weighted_rrf_grid"]))
-def weighted_rrf_grid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weighted_rrf_grid(spark, sf_dir, text_queries(spark, sf_dir), all_vector_queries(spark, sf_dir))
 
 
@@ -95,28 +73,18 @@ def _weighted_rrf_grid(spark: SparkSession, sf_dir: str, texts: DataFrame, vecto
 
 
 @CATALOG.add(f"""WITH {_UNIT}, b AS (SELECT vec_id, v, list_transform(v, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS bits FROM u),
-  h AS (SELECT q.vec_id AS query_id, d.vec_id AS item, -list_sum(list_transform(list_zip(q.bits, d.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS score, {_DOT.format(a='q.v', b='d.v')} AS cosine FROM b q, b d WHERE q.vec_id < 20),
+  h AS (SELECT q.vec_id AS query_id, d.vec_id AS item, -list_sum(list_transform(list_zip(q.bits, d.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS score, {_DOT.format(a='q.v', b='d.v')} AS cosine FROM b q, b d WHERE q.vec_id % 100 = 0),
   {top_sql('h', 40, 'c', 'item')}, s AS (SELECT query_id, item, cosine AS score FROM c), {top_sql('s', 10, 'r', 'item')} SELECT query_id, item, score, rank FROM r""")
 def hamming_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.hamming_rescored(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 10)
-
-
-@CATALOG.add(_all_queries(CATALOG.sql["hamming_rescore"]))
-def hamming_rescore_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.hamming_rescored(table(spark, sf_dir, "embeddings"), all_vector_queries(spark, sf_dir), 10)
 
 
 @CATALOG.add(f"""WITH {_UNIT}, p AS (SELECT vec_id, unnest(range(4)) AS pos, embedding FROM embeddings),
   t AS (SELECT vec_id, pos, list_transform(embedding[pos * 16 + 1 : pos * 16 + 16], lambda x: x::DOUBLE) AS w FROM p),
   n AS (SELECT vec_id, pos, list_transform(w, lambda x: x / greatest(sqrt(list_sum(list_transform(w, lambda y: y * y))), 1e-12)) AS v FROM t),
-  m AS (SELECT q.vec_id AS query_id, d.vec_id AS item, q.pos, max({_DOT.format(a='q.v', b='d.v')}) AS best FROM n q, n d WHERE q.vec_id < 5 GROUP BY ALL),
+  m AS (SELECT q.vec_id AS query_id, d.vec_id AS item, q.pos, max({_DOT.format(a='q.v', b='d.v')}) AS best FROM n q, n d WHERE q.vec_id % 100 = 0 GROUP BY ALL),
   s AS (SELECT query_id, item, round(sum(best), 8) AS score FROM m GROUP BY ALL), {top_sql('s', 5, 'r', 'item')} SELECT query_id, item, score, rank FROM r""")
 def maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _maxsim(spark, sf_dir, "vec_id < 5")
-
-
-@CATALOG.add(_all_queries(CATALOG.sql["maxsim"]))
-def maxsim_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _maxsim(spark, sf_dir, "vec_id % 100 = 0")
 
 

@@ -161,15 +161,10 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.gate(fixture(spark, kind, _BEFORE), fixture(spark, kind, _AFTER))
 
 
-@CATALOG.add(f"""WITH {DOCS_SQL}, b AS (SELECT doc_id AS id, text AS context, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), 3, 9), ' ') AS answer, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), 1, 5), ' ') AS question, lang FROM docs WHERE doc_id < 100),
+@CATALOG.add(f"""WITH {DOCS_SQL}, b AS (SELECT doc_id AS id, text AS context, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), 3, 9), ' ') AS answer, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), 1, 5), ' ') AS question, lang FROM docs),
   t AS (SELECT id, list_distinct(list_transform(regexp_extract_all(answer, '[A-Za-z0-9_./-]+'), lambda x: lower(x))) AS a, list_distinct(list_transform(regexp_extract_all(question, '[A-Za-z0-9_./-]+'), lambda x: lower(x))) AS q, list_distinct(list_transform(regexp_extract_all(context, '[A-Za-z0-9_./-]+'), lambda x: lower(x))) AS c FROM b)
   SELECT id, CASE WHEN len(a) = 0 OR len(c) = 0 THEN 0 ELSE round(len(list_intersect(a, c)) / len(a)::DOUBLE, 6) END AS faithfulness, CASE WHEN len(a) = 0 OR len(q) = 0 THEN 0 ELSE round(len(list_intersect(a, q)) / len(a)::DOUBLE, 6) END AS answer_relevancy, round(1 / 3.0::DOUBLE, 6) AS context_precision, 0.5::DOUBLE AS context_recall FROM t""")
 def rag_overlap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(docs(spark, sf_dir).filter("doc_id < 100"))
-
-
-@CATALOG.add(CATALOG.sql["rag_overlap_metrics"].replace(" WHERE doc_id < 100", ""))
-def rag_overlap_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(docs(spark, sf_dir))
 
 

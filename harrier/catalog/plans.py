@@ -67,17 +67,12 @@ def paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.paraphrases(fixture(spark, "id int, question string", _ASKED))
 
 
-@CATALOG.add(f"""WITH {DOCS_SQL}, b AS (SELECT doc_id AS id, {TOKENS_SQL.format(x="substr(text, 1, 60)")} AS q, {TOKENS_SQL.format(x="substr(text, 30, 120)")} AS a, {TOKENS_SQL.format(x="text")} AS c, {TOKENS_SQL.format(x="substr(text, 90, 60)")} AS g FROM docs WHERE doc_id < 200),
+@CATALOG.add(f"""WITH {DOCS_SQL}, b AS (SELECT doc_id AS id, {TOKENS_SQL.format(x="substr(text, 1, 60)")} AS q, {TOKENS_SQL.format(x="substr(text, 30, 120)")} AS a, {TOKENS_SQL.format(x="text")} AS c, {TOKENS_SQL.format(x="substr(text, 90, 60)")} AS g FROM docs),
   d AS (SELECT id, list_distinct(q) AS q, list_distinct(a) AS a, list_distinct(c) AS c, list_distinct(g) AS g FROM b),
   s AS (SELECT id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, c)) / len(a)::DOUBLE ELSE 0 END AS faithfulness, CASE WHEN len(q) > 0 THEN len(list_intersect(a, q)) / len(q)::DOUBLE ELSE 0 END AS relevancy, CASE WHEN len(g) > 0 THEN len(list_intersect(g, a)) / len(g)::DOUBLE END AS gr FROM d),
   t AS (SELECT *, coalesce(gr, faithfulness) AS groundedness FROM s), u AS (SELECT *, round(0.5::DOUBLE * groundedness + 0.3::DOUBLE * faithfulness + 0.2::DOUBLE * relevancy, 10) AS x FROM t)
   SELECT id, round(faithfulness, 6) AS faithfulness, round(relevancy, 6) AS relevancy, round(groundedness, 6) AS groundedness, CASE WHEN x >= 0.75 THEN 'correct' WHEN x >= 0.35 THEN 'partial' ELSE 'wrong' END AS label FROM u""")
 def heuristic_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(docs(spark, sf_dir).filter("doc_id < 200"))
-
-
-@CATALOG.add(CATALOG.sql["heuristic_judge"].replace(" WHERE doc_id < 200", ""))
-def heuristic_judge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(docs(spark, sf_dir))
 
 
@@ -117,13 +112,8 @@ def metadata_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.metadata_union(rows).select("item", F.array_sort(F.map_entries("metadata")).alias("entries"))
 
 
-@CATALOG.add(f"WITH {DOCS_SQL}, s AS (SELECT query_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM (SELECT doc_id % 7 AS query_id, doc_id FROM docs WHERE doc_id < 140)), x AS (SELECT query_id, list(item ORDER BY rank) FILTER (rank <= 10) AS top FROM s GROUP BY query_id) SELECT query_id, top FROM x")
+@CATALOG.add(f"WITH {DOCS_SQL}, s AS (SELECT query_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM (SELECT doc_id % 7 AS query_id, doc_id FROM docs)), x AS (SELECT query_id, list(item ORDER BY rank) FILTER (rank <= 10) AS top FROM s GROUP BY query_id) SELECT query_id, top FROM x")
 def top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top_lists(docs(spark, sf_dir).filter("doc_id < 140"))
-
-
-@CATALOG.add(CATALOG.sql["top_lists"].replace(" WHERE doc_id < 140", ""))
-def top_lists_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_lists(docs(spark, sf_dir))
 
 
@@ -133,14 +123,8 @@ def _top_lists(d: DataFrame) -> DataFrame:
     return M.top_lists(ranked, 10)
 
 
-@CATALOG.add(f"WITH {DOCS_SQL}, t AS (SELECT doc_id, list_distinct({TOKENS_SQL.format(x='substr(text, 1, 300)')}) AS a, list_distinct({TOKENS_SQL.format(x='substr(text, 100, 300)')}) AS b FROM docs) SELECT doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE END, 8) AS jaccard FROM t")
-def jaccard_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return d.select("doc_id", F.round(T.jaccard(T.tokens(F.substring("text", 1, 300)), T.tokens(F.substring("text", 100, 300))), 8).alias("jaccard"))
-
-
 @CATALOG.add(f"WITH {DOCS_SQL}, t AS (SELECT doc_id, list_distinct({TOKENS_SQL.format(x='text')}) AS a FROM docs), n AS (SELECT t.doc_id, t.a, coalesce(o.a, []) AS b FROM t LEFT JOIN t o ON o.doc_id = t.doc_id + 1) SELECT doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE END, 8) AS jaccard FROM n")
-def jaccard_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jaccard_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text with that of the next id."""
     d = docs(spark, sf_dir)
     after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
