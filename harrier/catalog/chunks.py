@@ -46,8 +46,23 @@ _FILES = [
 ]
 
 
-@CATALOG.add()
+@CATALOG.add(f"""WITH {DOCS_SQL}, t AS (SELECT doc_id, source || '/' || doc_id || ['.txt', '.jsonl', '.json', '.md'][doc_id % 4 + 1] AS path, text FROM docs),
+  v AS (SELECT *, CASE WHEN path LIKE '%.md' THEN 2000 ELSE 512 END AS size, CASE WHEN path LIKE '%.md' THEN 1920 ELSE 462 END AS step FROM t WHERE path LIKE '%.txt' OR path LIKE '%.md'),
+  w AS (SELECT path, text, size, unnest(range(0, CAST(ceil(greatest(length(text) - size, 0) / step::DOUBLE) AS BIGINT) + 1)) * step AS a FROM v),
+  l AS (SELECT path, text, string_split(text, chr(10)) AS ls FROM t WHERE path LIKE '%.json%'), u AS (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l),
+  p AS (SELECT path, text, coalesce(list_sum(list_transform(ls[1 : i - 1], lambda x: length(x) + 1)), 0) AS a, length(ls[i]) AS n, i < len(ls) AS more FROM u),
+  c AS (SELECT path, text, a, least(a + size, length(text)) AS b, CASE WHEN size = 512 THEN 'fixed' ELSE 'markdown' END AS kind FROM w UNION ALL SELECT path, text, a, a + n + CASE WHEN more THEN 1 ELSE 0 END, 'jsonl' FROM p)
+  SELECT path, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end", kind, sha256(substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT))) AS sha FROM c WHERE regexp_matches(substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)), '\\S')""")
 def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as files of four types in turn; they hold no headings, no fences and no JSON."""
+    ending = F.element_at(F.array(*map(F.lit, (".txt", ".jsonl", ".json", ".md"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = docs(spark, sf_dir).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ending).alias("path"), "text")
+    return C.structured_chunks(files).select("path", "start", "end", "kind", F.sha2("text", 256).alias("sha"))
+
+
+@CATALOG.add()
+def chunk_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of each format; tests hold the cuts against literal cases."""
     return C.structured_chunks(fixture(spark, "path string, text string", _FILES))
 
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import ast
 import csv
-import io
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,14 +24,15 @@ from harrier.shipping import ship
 SIZE, OVERLAP = 512, 50
 LONGEST, RECUT_OVERLAP = 2_000, 80
 
-Cut = tuple[int, int, str]
+#: Start, end, kind, and what the chunk's text has before it.
+Cut = tuple[int, int, str, str]
 
 
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """``array<struct<start, end, text>>`` of windows of ``size`` characters, each
     starting ``size - overlap`` after the one before; the last ends the text. Windows
     of white space are left out."""
-    step = size - (overlap if overlap < size else size // 5)
+    step = _step(size, overlap)
     n = F.char_length(text)
     last = F.ceil(F.greatest(n - size, F.lit(0)) / F.lit(step)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, n).alias("end"), F.substring(text, i * step + 1, F.lit(size)).alias("text")))
@@ -73,28 +74,31 @@ def with_context(chunks: DataFrame, context: Column | None = None) -> DataFrame:
     return chunks.withColumn("search_text", F.concat(context if context is not None else T.path_words("path"), F.lit("\n\n"), F.col("text")))
 
 
-# The cutters below yield (start, end, kind) over characters.
+# The cutters below yield cuts over characters; whoever calls them drops blank ones.
+
+
+def _step(size: int, overlap: int) -> int:
+    if size < 1:
+        raise ValueError("a window has one character at least")
+    return max(1, size - (overlap if overlap < size else size // 5))
 
 
 def _fixed(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[Cut]:
-    step, at = size - (overlap if overlap < size else size // 5), 0
+    step, at = _step(size, overlap), 0
     while True:
         end = min(at + size, len(text))
-        if text[at:end].strip():
-            yield at, end, "fixed"
+        yield at, end, "fixed", ""
         if end == len(text):
             return
         at += step
 
 
-def _recut(cuts: Iterator[Cut]) -> Iterator[Cut]:
-    """Cuts of more than ``LONGEST`` characters in overlapping parts."""
-    for start, end, kind in cuts:
-        at = start
-        while end - at > LONGEST:
-            yield at, at + LONGEST, kind
-            at += LONGEST - RECUT_OVERLAP
-        yield at, end, kind
+def _windows(start: int, end: int, kind: str) -> Iterator[Cut]:
+    """A stretch, in overlapping windows if it has more than ``LONGEST`` characters."""
+    while end - start > LONGEST:
+        yield start, start + LONGEST, kind, ""
+        start += LONGEST - RECUT_OVERLAP
+    yield start, end, kind, ""
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
@@ -107,87 +111,122 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+def _each_line(text: str) -> Iterator[Cut]:
+    return ((a, b, "jsonl", "") for a, b in _lines(text))
+
+
+#: A fence and what follows it, a heading, a top-level key.
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)", re.S)
+_HEADING = re.compile(r"#{1,6}\s+\S")
+_KEY = re.compile(r"([A-Za-z0-9_-]+):")
+
+
 def markdown(text: str) -> Iterator[Cut]:
-    """A cut starts at each heading outside a fence; a fence is closed by a line of its
-    own character, at least as long."""
-    start, fence = 0, ""
+    """A cut starts at each heading outside a fence. A fence, indented by three spaces at
+    most, is closed by a bare line of its own character, at least as long; backticks with
+    more of them later in the line are code within the line."""
+    start, mark = 0, ""
     for a, b in _lines(text):
-        line = text[a:b].strip()
-        mark = re.match(r"(`{3,}|~{3,})", line)
-        if fence:
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and line == mark[1]:
-                fence = ""
-        elif mark:
-            fence = mark[1]
-        elif re.match(r"#{1,6} ", text[a:b]) and a > start:
-            yield start, a, "markdown"
+        line = text[a:b]
+        fence, rest = m.groups() if (m := _FENCE.match(line)) else ("", "")
+        if mark:
+            if fence.startswith(mark) and not rest.strip():
+                mark = ""
+        elif fence and (fence[0] == "~" or "`" not in rest):
+            mark = fence
+        elif a and _HEADING.match(line):
+            yield from _windows(start, a, "markdown")
             start = a
-    yield start, len(text), "markdown"
+    yield from _windows(start, len(text), "markdown")
+
+
+def _record_sizes(text: str, lines: list[tuple[int, int]]) -> list[int]:
+    """How many lines each CSV record has; one each, where the text isn't strict CSV, or a
+    record over several lines has another number of fields than the first (a stray quote
+    would draw in all that follows it)."""
+    reader = csv.reader((text[a:b] for a, b in lines), strict=True)
+    sizes, width, before = [], 0, 0
+    try:
+        for row in reader:
+            sizes.append(reader.line_num - before)
+            before = reader.line_num
+            width = width or len(row)
+            if sizes[-1] > 1 and len(row) != width:
+                return [1] * len(lines)
+    except csv.Error:
+        return [1] * len(lines)
+    return sizes
 
 
 def csv_rows(text: str) -> Iterator[Cut]:
-    """A cut for each record after the header; quoted fields may hold line ends, if the
-    record then has as many fields as the header; else each line is a record."""
-    lines = [(a, b) for a, b in _lines(text) if text[a:b].strip()]
-    if not lines:
-        return
-    width = len(next(csv.reader(io.StringIO(text[slice(*lines[0])]))))
-    i = 1
-    while i < len(lines):
-        a, b = lines[i]
-        j = i
-        if text[a:b].count('"') % 2:
-            while j + 1 < len(lines) and text[a : lines[j][1]].count('"') % 2:
-                j += 1
-            rows = list(csv.reader(io.StringIO(text[a : lines[j][1]])))
-            if len(rows) != 1 or len(rows[0]) != width:
-                j = i
-        yield a, lines[j][1], "csv"
-        i = j + 1
+    """The header, which is the first record that isn't blank, and each further record
+    with the header before it. Quoted fields may hold line ends."""
+    lines, at, header = list(_lines(text)), 0, ""
+    for size in _record_sizes(text, lines):
+        a, b = lines[at][0], lines[at + size - 1][1]
+        at += size
+        if not text[a:b].strip():
+            continue
+        yield a, b, "csv_row" if header else "csv_header", header
+        header = header or text[a:b]
 
 
 def python_blocks(text: str) -> Iterator[Cut]:
     """A cut for each top-level function or class, from its first decorator on, and for
-    each stretch between; text that doesn't parse is cut into windows."""
+    each stretch between, without the blank lines it begins with. A text without
+    definitions, or that can't be parsed, is cut into windows."""
     try:
         body = ast.parse(text).body
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        body = []
+    blocks = [n for n in body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+    if not blocks:
         yield from _fixed(text)
         return
-    lines = text.splitlines(keepends=True)
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line))
+    begins = [a for a, _ in _lines(text)]
+    line = lambda n: begins[n - 1] if n <= len(begins) else len(text)
     at = 0
-    for node in body:
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            first = min([node.lineno, *(d.lineno for d in node.decorator_list)]) - 1
-            a, b = starts[first], starts[node.end_lineno]
-            if text[at:a].strip():
-                yield at, a, "code"
-            yield a, b, "def" if not isinstance(node, ast.ClassDef) else "class"
-            at = b
-    if text[at:].strip():
-        yield at, len(text), "code"
+    for node in blocks:
+        a = max(at, line(min([node.lineno, *(d.lineno for d in node.decorator_list)])))
+        b = max(a, line(node.end_lineno + 1))
+        yield from _stretch(text, begins, at, a)
+        yield from _windows(a, b, "ast")
+        at = b
+    yield from _stretch(text, begins, at, len(text))
+
+
+def _stretch(text: str, begins: list[int], a: int, b: int) -> Iterator[Cut]:
+    word = re.compile(r"\S").search(text, a, b)
+    if word:
+        yield from _windows(max(a, begins[bisect_right(begins, word.start()) - 1]) if a else 0, b, "ast")
 
 
 def yaml_blocks(text: str) -> Iterator[Cut]:
-    """A short file is one cut; a longer one is cut before its top-level keys."""
+    """A short file is one cut; a longer one is cut before its top-level keys, and each
+    block has that of ``run_id`` before it, or else that of the first key."""
     if len(text) < LONGEST:
-        yield 0, len(text), "yaml"
+        yield 0, len(text), "yaml", ""
         return
-    keys = [a for a, b in _lines(text) if re.match(r"[^\s#\-][^:]*:", text[a:b])]
+    keys = {a: m[1] for a, b in _lines(text) if (m := _KEY.match(text, a, b))}
     edges = sorted({0, *keys, len(text)})
-    yield from ((a, b, "yaml") for a, b in zip(edges, edges[1:]) if text[a:b].strip())
+    blocks = [(a, b) for a, b in zip(edges, edges[1:]) if text[a:b].strip()]
+    named = [x for x in blocks if x[0] in keys]
+    head = next((x for x in named if keys[x[0]] == "run_id"), named[0] if named else None)
+    for a, b in blocks:
+        yield a, b, "yaml", "" if head is None or (a, b) == head else text[slice(*head)]
 
 
 def json_text(text: str) -> Iterator[Cut]:
-    """Valid JSON is one cut; what isn't is cut into lines."""
+    """JSON is one cut, in windows if it is long; what isn't JSON is cut into lines. JSON
+    too deep, or with numbers too long, to be read is JSON all the same."""
     try:
         json.loads(text)
-        yield 0, len(text), "json"
-    except ValueError:
-        yield from ((a, b, "line") for a, b in _lines(text) if text[a:b].strip())
+    except json.JSONDecodeError:
+        yield from _each_line(text)
+        return
+    except (ValueError, RecursionError, MemoryError):
+        pass
+    yield from _windows(0, len(text), "json")
 
 
 CUTTERS: dict[str, Callable[[str], Iterator[Cut]]] = {
@@ -198,13 +237,13 @@ CUTTERS: dict[str, Callable[[str], Iterator[Cut]]] = {
     ".yaml": yaml_blocks,
     ".yml": yaml_blocks,
     ".json": json_text,
-    ".jsonl": lambda text: ((a, b, "line") for a, b in _lines(text) if text[a:b].strip()),
+    ".jsonl": _each_line,
 }
 
 
 def structured_chunks(files: DataFrame, strategy: str = "auto") -> DataFrame:
-    """``(path, start, end, kind, text)`` by the path's extension (or always ``fixed`` or
-    ``markdown``); a CSV record has its header before it."""
+    """``(path, start, end, kind, text)`` by the path's extension, or always by one strategy.
+    A null text is empty, and an empty or blank text has no chunks; no text makes a cutter fail."""
     if strategy not in ("auto", "fixed", "markdown", "ast"):
         raise ValueError(f"unknown strategy {strategy!r}")
 
@@ -227,13 +266,13 @@ def chunks_of(path: str, text: str, strategy: str = "auto") -> Iterator[tuple[st
     ending = re.search(r"[^/](\.[^./]+)$", path or "")
     suffix = ending[1].lower() if ending else ""
     cutter = {"fixed": _fixed, "markdown": markdown, "ast": python_blocks}.get(strategy) or CUTTERS.get(suffix, _fixed)
-    found = [(a, b, kind) for a, b, kind in _recut(cutter(text)) if text[a:b].strip()] or list(_fixed(text))
-    header = ""
-    if cutter is csv_rows:
-        header = next((text[a:b] for a, b in _lines(text) if text[a:b].strip()), "")
-        header = header if header.endswith(("\n", "\r")) else header + "\n"
-    for a, b, kind in found:
-        yield path, a, b, kind, header + text[a:b]
+    # where a cutter finds nothing, windows do
+    for cuts in (cutter, _fixed):
+        found = [c for c in cuts(text) if text[c[0] : c[1]].strip()]
+        if found:
+            break
+    for a, b, kind, head in found:
+        yield path, a, b, kind, head + text[a:b]
 
 
 def pooled_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
