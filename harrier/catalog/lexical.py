@@ -9,6 +9,7 @@ from harrier.catalog.base import DOCS_SQL, QT_SQL, QUERIES_SQL, TF_SQL, TOKEN_SQ
 from harrier.functions import text as T
 from harrier.operators import lexical as L
 from harrier.operators.ranking import top_k
+from harrier.scratch import fresh_folder
 
 CATALOG = Catalog()
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -37,6 +38,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.bm25_top_k(docs(spark, sf_dir), L.query_terms(text_queries(spark, sf_dir)), 10)
 
 
+@CATALOG.add(CATALOG.sql["bm25_topk"])
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from a stored index, which is written first."""
+    place = fresh_folder(spark, "index")
+    L.write_index(docs(spark, sf_dir), place)
+    return L.index_top_k(L.read_index(spark, place), L.query_terms(text_queries(spark, sf_dir)), 10)
+
+
 _GRID = [("fixture", 1.5, 0.75), ("beir", 0.9, 0.4), ("flat", 1.2, 0.0)]
 
 

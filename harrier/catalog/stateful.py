@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.catalog.base import Catalog, table
+from harrier.scratch import fresh_folder
 from harrier.streaming import cache
 from harrier.streaming import events as E
 
@@ -36,22 +35,16 @@ def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sessions(table(spark, sf_dir, "events"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared one that the session names, or else a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='harrier-')}/stream-{uuid.uuid4().hex}"
-
-
-@CATALOG.add()
+@CATALOG.add("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _folder(spark)
+    place = fresh_folder(spark, "stream")
     counts = E.streamed_counts(E.stream_of(spark, f"{sf_dir}/events.parquet"))
-    return E.run_once(counts, f"{place}/out", f"{place}/state")
+    return E.run_updates(counts, f"{place}/out", f"{place}/state", ["start", "event_type"])
 
 
 @CATALOG.add("SELECT event_id, event_type FROM events")
 def streamed_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _folder(spark)
+    place = fresh_folder(spark, "stream")
     return E.run_once(E.streamed_distinct(E.stream_of(spark, f"{sf_dir}/events.parquet")), f"{place}/out", f"{place}/state").select("event_id", "event_type")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harrier.functions import text as T
 from harrier.operators.ranking import top_k
+from harrier.scratch import checkpointed
 from harrier.shipping import ship
 
 #: How texts refer to files, and what names entities.
@@ -107,28 +108,27 @@ def connected(edges: DataFrame, checkpoint_every: int = 2, rounds: int = 100) ->
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct()
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node")
+    held: list[DataFrame] = []
     for turn in range(rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         nearer = labels.join(seen, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
         jump = nearer.select(F.col("node").alias("label"), F.col("component").alias("further"))
         stepped = nearer.join(jump, F.col("component") == F.col("label"), "left").select("node", "before", F.least("component", F.coalesce("further", "component")).alias("component"))
-        stepped = _checkpointed(stepped) if turn % checkpoint_every == checkpoint_every - 1 else stepped.cache()
+        cut = turn % checkpoint_every == checkpoint_every - 1
+        stepped = checkpointed(stepped) if cut else stepped.cache()
         moved = stepped.filter("component <> before").limit(1).count()
         labels = stepped.select("node", "component")
         if not moved:
             return labels
+        if cut:  # what was cached before isn't needed any more
+            for old in held:
+                old.unpersist()
+            held = []
+        else:
+            held.append(stepped)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="harrier-"))
-    return df.checkpoint()
-
-
 def communities(found: DataFrame) -> DataFrame:
     """``(community, node, size)`` of the triples' components with two nodes or more,
     numbered by size and then the smallest node."""
@@ -147,20 +147,26 @@ def match_communities(queries: DataFrame, members: DataFrame, k: int = 3) -> Dat
     return top_k(scored, k)
 
 
-def page_rank(weights: DataFrame, seeds: DataFrame, rounds: int = 25, damping: float = 0.85) -> DataFrame:
+#: Edges up to which page rank is worked out on a matrix in each task.
+MATRIX_EDGES = 200_000
+
+
+def page_rank(weights: DataFrame, seeds: DataFrame, rounds: int = 25, damping: float = 0.85, matrix_edges: int = MATRIX_EDGES) -> DataFrame:
     """``(query_id, node, mass)``: personalised page rank over ``weights (a, b, weight)``
     from ``seeds (query_id, node, mass)``; without seeds, from all nodes alike.
 
-    The entity graph of a corpus (not its documents) goes to one place as a matrix of
-    edges; each group of queries is then a few sparse products there.
+    A graph of at most ``matrix_edges`` edges is broadcast as a matrix, and each group of
+    queries is a few sparse products; a larger one is joined with the mass in each round.
     """
+    seeds = seeds.select(F.col("query_id").cast("long").alias("query_id"), "node", F.col("mass").cast("double").alias("mass"))
+    if weights.limit(matrix_edges + 1).count() > matrix_edges:
+        return _page_rank_joined(weights, seeds, rounds, damping)
     edges = weights.select("a", "b", "weight").orderBy("a", "b").toArrow()
     nodes = sorted(set(edges["a"].to_pylist()) | set(edges["b"].to_pylist()))
     number = {name: i for i, name in enumerate(nodes)}
     src, dst = (np.array([number[x] for x in edges[c].to_pylist()], np.int64) for c in "ab")
     weight = np.array(edges["weight"].to_pylist(), np.float64)
-    out = np.zeros(max(len(nodes), 1))
-    np.add.at(out, src, weight)
+    out = np.bincount(src, weight, max(len(nodes), 1))
     share = weight / out[src] if len(src) else weight
     ship(weights.sparkSession)
     shared = weights.sparkSession.sparkContext.broadcast((nodes, number, src, dst, share))
@@ -172,19 +178,40 @@ def page_rank(weights: DataFrame, seeds: DataFrame, rounds: int = 25, damping: f
             if name in number:
                 start[number[name]] += mass
         start = start / start.sum() if start.sum() > 0 else np.full(len(nodes), 1 / max(len(nodes), 1))
-        p = start.copy()
+        p = start
         for _ in range(rounds):
-            step = np.zeros(len(nodes))
-            np.add.at(step, dst, share * p[src])
-            p = damping * step + (1 - damping) * start
+            p = damping * np.bincount(dst, share * p[src], len(nodes)) + (1 - damping) * start
         return pa.table({"query_id": pa.array([key[0].as_py()] * len(nodes), pa.int64()), "node": pa.array(nodes, pa.string()), "mass": np.round(p, DECIMALS)})
 
-    return seeds.select(F.col("query_id").cast("long").alias("query_id"), "node", F.col("mass").cast("double").alias("mass")).groupBy("query_id").applyInArrow(walk, "query_id long, node string, mass double")
+    return seeds.groupBy("query_id").applyInArrow(walk, "query_id long, node string, mass double")
+
+
+def _page_rank_joined(weights: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """Page rank by joins: in each round the mass of a node goes over its edges."""
+    out = weights.groupBy("a").agg(F.sum("weight").alias("out"))
+    steps = checkpointed(weights.join(out, "a").select(F.col("a").alias("node"), "b", (F.col("weight") / F.col("out")).alias("share")))
+    nodes = steps.select("node").union(steps.select("b")).distinct()
+    known = seeds.groupBy("query_id", "node").agg(F.sum("mass").alias("mass")).join(nodes, "node").filter("mass > 0")
+    total = known.groupBy("query_id").agg(F.sum("mass").alias("total"))
+    led = known.join(total, "query_id").select("query_id", "node", (F.col("mass") / F.col("total")).alias("start"))
+    lost = seeds.select("query_id").distinct().join(total, "query_id", "left_anti")
+    n = nodes.count()
+    start = checkpointed(led.unionByName(lost.crossJoin(nodes).select("query_id", "node", F.lit(1 / max(n, 1)).alias("start"))))
+    p = start.select("query_id", "node", F.col("start").alias("mass"))
+    for turn in range(rounds):
+        moved = p.join(steps, "node").groupBy("query_id", F.col("b").alias("node")).agg(F.sum(F.col("mass") * F.col("share")).alias("in"))
+        mass = damping * F.coalesce("in", F.lit(0.0)) + (1 - damping) * F.coalesce("start", F.lit(0.0))
+        p = moved.join(start, ["query_id", "node"], "full").select("query_id", "node", mass.alias("mass"))
+        if turn % 5 == 4:
+            p = checkpointed(p)
+    every = seeds.select("query_id").distinct().crossJoin(nodes)
+    return every.join(p, ["query_id", "node"], "left").select("query_id", "node", F.round(F.coalesce("mass", F.lit(0.0)), DECIMALS).alias("mass"))
 
 
 def seeds_of(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(query_id, node, mass)``: 1 for a node that the query names exactly, .5 for each
-    that holds the name, in any case."""
+    """``(query_id, node, mass)``: 1.5 for a node that the query names exactly, .5 for each
+    that holds the name, in any case. A name starts with its kind (``run:``), so both
+    sides meet on what follows a kind in a node, cut at each length."""
     q = F.coalesce(F.col("text"), F.lit(""))
     run = F.coalesce(T.run_id("text"), F.nullif(F.regexp_extract(q, r"(?i)\brun\s+0*(\d+)\b", 1), F.lit("")))
     names = F.concat(
@@ -193,7 +220,15 @@ def seeds_of(queries: DataFrame, nodes: DataFrame) -> DataFrame:
         F.transform(F.regexp_extract_all(q, F.lit(BARK), F.lit(1)), lambda x: F.concat(F.lit("bark:"), F.lower(x))),
     )
     named = queries.select("query_id", F.explode_outer(F.array_distinct(names)).alias("seed"))
-    held = named.filter("seed is not null").join(nodes.select("node"), F.lower("node").contains(F.lower("seed"))).select("query_id", "node", F.when(F.col("node") == F.col("seed"), 1.5).otherwise(0.5).alias("mass"))
+    low = F.lower("node")
+
+    def after(kind: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.char_length(low)), lambda i: F.when(F.substring(low, i, F.lit(len(kind))) == kind, F.substring(low, i, F.char_length(low))))
+
+    tails = F.filter(F.flatten(F.array(*map(after, ("run:", "encoder:", "bark:")))), lambda x: x.isNotNull())
+    heads = F.flatten(F.transform(tails, lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t)), lambda n: F.substring(t, F.lit(1), n))))
+    keyed = nodes.filter("node <> ''").select("node", F.explode(F.array_distinct(heads)).alias("key"))
+    held = named.filter("seed is not null").withColumn("key", F.lower("seed")).join(keyed, "key").select("query_id", "node", F.when(F.col("node") == F.col("seed"), 1.5).otherwise(0.5).alias("mass"))
     return held.unionByName(named.select("query_id").distinct().select("query_id", F.lit("").alias("node"), F.lit(0.0).alias("mass")))
 
 
@@ -204,7 +239,7 @@ def path_mass(found: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def intent(query: Column, path: Column) -> Column:
-    """How well a path's kind suits the question."""
+    """How well a path's kind suits the question. The words and weights are fixed values."""
     q, p = F.lower(query), F.lower(path)
     end = T.suffix(p)
     add = lambda cond, x: F.when(cond, x).otherwise(0.0)

@@ -35,21 +35,27 @@ class Config:
 class Engine:
     """Retrieval over ``chunks (chunk_id long, path, text, mtime)``."""
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, index: lexical.Index | None = None):
         ship(spark)
-        self.spark, self.chunks = spark, chunks
+        self.spark, self.chunks, self.index = spark, chunks, index
         self.vectors = vectors if vectors is not None else chunks.select("chunk_id", embedders.hash_vectors("text").alias("embedding"))
 
     def save(self, path: str) -> None:
-        """Write the index: chunks, vectors, postings and lengths, for ``load``."""
+        """Write the index: chunks, vectors, postings and what scoring needs, for ``load``."""
         self.chunks.write.parquet(f"{path}/chunks")
         self.vectors.write.parquet(f"{path}/vectors")
-        lexical.token_frequencies(self.chunks, item="chunk_id").repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-        lexical.document_lengths(self.chunks, item="chunk_id").write.parquet(f"{path}/lengths")
+        lexical.write_index(self.chunks, f"{path}/lexical", item="chunk_id")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Engine:
-        return cls(spark, spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"))
+        """An engine that searches what ``save`` wrote: no text is tokenised again."""
+        return cls(spark, spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), lexical.read_index(spark, f"{path}/lexical"))
+
+    def lexical_hits(self, terms: DataFrame, config: Config) -> DataFrame:
+        """``(query_id, item, score, rank)``, from the stored index if there is one."""
+        if self.index is not None:
+            return lexical.index_top_k(self.index, terms, config.depth, config.k1, config.b)
+        return lexical.bm25_top_k(self.chunks, terms, config.depth, config.k1, config.b, item="chunk_id")
 
     def retrieve(self, queries: DataFrame, config: Config = Config()) -> DataFrame:
         """``(query_id, rank, chunk_id, path, text, route, rrf, bm25, dense, path_score,
@@ -57,7 +63,7 @@ class Engine:
         routed = understand.route(queries.select("query_id", "text"))
         terms = lexical.query_terms(routed)
         none = F.lit(None).cast("double")
-        bm25 = lexical.bm25_top_k(self.chunks, terms, config.depth, config.k1, config.b, item="chunk_id")
+        bm25 = self.lexical_hits(terms, config)
         legs = bm25.select("query_id", "item", "rank", F.col("score").alias("bm25"), none.alias("dense"), none.alias("path_score"))
         asked = routed.filter("not skip_embed").select("query_id", embedders.hash_vectors("text").alias("embedding"))
         near = dense.exact_top_k(self.vectors, asked, config.depth, item="chunk_id")

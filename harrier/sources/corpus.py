@@ -6,15 +6,18 @@ A scan is rows ``(path, content binary, mtime, size)`` and becomes rows with ``s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.functions import text as T
+from harrier.operators.ranking import small
 
 #: The gates, in their order.
 REASONS = ("outside_root", "unsupported_type", "too_large", "undecodable", "empty", "duplicate_content")
 SUFFIXES = (".txt", ".md", ".rst", ".py", ".csv", ".json", ".jsonl", ".yaml", ".yml", ".sbatch", ".out", ".log")
 MAX_BYTES = 2_000_000
+#: Hashes of repeated contents that are broadcast: some 20 MB with their paths.
+BROADCAST_HASHES = 100_000
 SKIPPED_FOLDERS = (".git", "__pycache__", ".pytest_cache")
 
 
@@ -40,8 +43,10 @@ def gate(files: DataFrame, suffixes: tuple[str, ...] = SUFFIXES, max_bytes: int
     first = files.withColumns({"sha256": F.sha2(data, 256), "text": text, "early": early})
     early2 = F.coalesce("early", F.when(F.col("text").isNull(), "undecodable").when(F.regexp_count("text", F.lit(r"(?U)\S")) == 0, "empty"))
     checked = first.withColumn("early", early2)
-    turn = F.row_number().over(Window.partitionBy(F.col("early").isNull(), "sha256").orderBy("path"))
-    return checked.withColumn("reason", F.coalesce("early", F.when(turn > 1, "duplicate_content"))).drop("early")
+    # only hashes and paths are grouped; contents stay where they are while few hashes repeat
+    shared = checked.filter("early is null").groupBy(F.col("sha256").alias("of")).agg(F.min("path").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = F.col("early").isNull() & F.col("kept").isNotNull() & (F.col("path") != F.col("kept"))
+    return checked.join(small(shared, BROADCAST_HASHES), F.col("sha256") == F.col("of"), "left").withColumn("reason", F.coalesce("early", F.when(again, "duplicate_content"))).drop("early", "of", "kept")
 
 
 def reject_counts(scan: DataFrame) -> DataFrame:
@@ -71,9 +76,18 @@ def unlisted(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     return chunks.filter("path is not null").join(manifest.select("path"), "path", "left_anti")
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:
-    """The table with the changed rows in place of those with their key."""
-    return table.join(changes.select(key), key, "left_anti").unionByName(changes)
+def last_of(rows: DataFrame, key: str = "path", order: str | None = None) -> DataFrame:
+    """One row for each key: that with the greatest ``order``, and of ties (or without an
+    order) the greatest row, column by column."""
+    rest = F.struct(*(F.col(c) for c in rows.columns if c != key))
+    by = rest if order is None else F.struct(F.col(order).alias("o"), rest.alias("rest"))
+    return rows.groupBy(key).agg(F.max_by(rest, by).alias("row")).select(key, "row.*").select(rows.columns)
+
+
+def upsert(table: DataFrame, changes: DataFrame, key: str = "path", order: str | None = None) -> DataFrame:
+    """The table with the changed rows in place of those with their key; of several changes
+    of a key the last counts (``last_of``)."""
+    return table.join(changes.select(key).distinct(), key, "left_anti").unionByName(last_of(changes, key, order))
 
 
 def forget(table: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:

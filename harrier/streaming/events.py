@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from harrier.sources.corpus import last_of, upsert
 
 
 def rate_limited(events: DataFrame, per_minute: int, user: str = "user_id", at: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -62,19 +65,34 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Work off all that is there in update mode: each micro-batch writes the rows it
+    changed to a folder named by its number, and the last row of a key counts. So windows
+    that the watermark hasn't closed are there too."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in values))
+
+
 def upsert_files(stream: DataFrame, table: str, checkpoint: str, key: str = "path") -> None:
-    """Incremental indexing: each micro-batch replaces the rows of its keys. The new table
-    is written beside the old and named by the batch, so a repeated batch is harmless."""
+    """Incremental indexing: each micro-batch replaces the rows of its keys; of several rows
+    of a key in a batch the greatest stays. The new table is written beside the old and
+    named by the batch, so a repeated batch is harmless."""
     from pyspark.errors import AnalysisException
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            old = spark.read.parquet(f"{table}/version={number - 1}").join(batch.select(key), key, "left_anti")
-            batch = old.unionByName(batch)
+            batch = upsert(spark.read.parquet(f"{table}/version={number - 1}"), batch, key)
         except AnalysisException:
             if number:
                 raise
+            batch = last_of(batch, key)
         batch.write.mode("overwrite").parquet(f"{table}/version={number}")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
