@@ -269,7 +269,7 @@ def hierarchy(chunks: DataFrame) -> DataFrame:
     """``(level, name, n_chunks, summary)`` for files, folders and the corpus, of ``chunks
     (path, chunk_id, text)``: heads of the first six chunks, 800 characters. Each level
     keeps six heads of each group before they are gathered."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     heads = chunks.select("path", "chunk_id", T.parent("path").alias("folder"), F.substring(F.array_join(F.slice(lines, 1, 3), " "), 1, 400).alias("head"))
     out = None
     for level, name in (("file", F.col("path")), ("folder", F.col("folder")), ("corpus", F.lit("corpus"))):

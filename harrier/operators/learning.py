@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def trajectories(rows: DataFrame) -> DataFrame:
     """``rows (id, text)`` with ``searches``, ``informations`` and ``answer`` from the tags."""
     get = lambda tag: F.regexp_extract_all("text", F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
-    return rows.select("id", F.transform(get("search"), F.trim).alias("searches"), F.transform(get("information"), F.trim).alias("informations"), F.trim(F.coalesce(F.try_element_at(get("answer"), F.lit(1)), F.lit(""))).alias("answer"))
+    return rows.select("id", F.transform(get("search"), lambda x: F.trim(x)).alias("searches"), F.transform(get("information"), lambda x: F.trim(x)).alias("informations"), F.trim(F.coalesce(F.try_element_at(get("answer"), F.lit(1)), F.lit(""))).alias("answer"))
 
 
 def advantages(rewards: DataFrame) -> DataFrame:

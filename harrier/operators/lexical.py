@@ -280,6 +280,30 @@ def index_top_k(index: Index, terms: DataFrame, k: int = 50, k1: float = 1.5, b:
     return top_k(scored, k)
 
 
+def search_text(chunks: DataFrame, context: str = "search_context", text: str = "text") -> Column:
+    """What is indexed of a chunk: its context, where it has one, a line end, and its text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return F.concat_ws("\n", F.col(context), body) if context in chunks.columns else body
+
+
+def full_text_scores(docs: DataFrame, terms: DataFrame, text: Column | str = "text", tokenize: Callable[[Column | str], Column] = T.tokens, item: str = "doc_id") -> DataFrame:
+    """``(query_id, item, score)`` of a full-text match of any of a query's terms, by cover
+    density: where terms are alternatives, each of their places is a cover of its own, and
+    a place counts .1. Tokens that no query asks for are dropped in the scan."""
+    asked = terms.select("query_id", "term").distinct()
+    tokens = exploded(docs.select(F.col(item).alias("item"), tokenize(text).alias("tokens")))
+    tf = tokens.join(small(asked.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi").groupBy("item", "term").agg(F.count("*").alias("tf"))
+    return tf.join(small(asked, BROADCAST_TERMS), "term").groupBy("query_id", "item").agg(F.round(F.sum("tf") * F.lit(0.1), 8).alias("score"))
+
+
+def all_terms(scored_terms: DataFrame, terms: DataFrame) -> DataFrame:
+    """The ``(query_id, item)`` of ``scored_terms (query_id, item, term)`` that have every
+    term of their query."""
+    wanted = terms.select("query_id", "term").distinct().groupBy("query_id").agg(F.count("*").alias("wanted"))
+    had = scored_terms.select("query_id", "item", "term").distinct().groupBy("query_id", "item").agg(F.count("*").alias("had"))
+    return had.join(wanted, "query_id").filter("had = wanted").select("query_id", "item")
+
+
 def path_scores(paths: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, path, score)`` of the paths that a query names: 5 for the name, 3
     for the whole path, 2 for the name without its extension.

@@ -122,3 +122,29 @@ def of_type(hits: DataFrame, endings: Sequence[str], k: int) -> DataFrame:
 def shown(hits: DataFrame, chars: int = 400) -> DataFrame:
     """What a caller sees of a hit: its place, and the beginning of its text."""
     return hits.withColumn("text", F.when(F.char_length("text") > chars, F.concat(F.substring("text", 1, chars), F.lit(" ..."))).otherwise(F.col("text")))
+
+
+def rrf_first_seen(lists: DataFrame, n: int, k: int = 60, item: str = "item") -> DataFrame:
+    """The ``n`` best of each query by RRF over ``(query_id, list_no, rank, item)``; of equal
+    scores the item that was seen first stands first: in the earliest list, at the best rank."""
+    seen = F.min(F.struct("list_no", "rank")).alias("first")
+    fused = lists.groupBy("query_id", item).agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 10).alias("rrf"), seen)
+    order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "first")
+    return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("first")
+
+
+def append_unseen(lists: DataFrame, n: int, item: str = "item") -> DataFrame:
+    """The items of the first list of each query, then those of each further one that were
+    not seen before, in their order: ``(query_id, item, rank)``, ``n`` at most."""
+    first = lists.groupBy("query_id", item).agg(F.min(F.struct("list_no", "rank")).alias("first"))
+    order = Window.partitionBy("query_id").orderBy("first", item)
+    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("first")
+
+
+def path_lists(hits: DataFrame, n: int = 100, nth: int = 10) -> DataFrame:
+    """``(query_id, paths, hits_to_nth)``: the first ``n`` different paths of the hits, and
+    the rank of the hit that brought the ``nth`` (null if there are fewer)."""
+    first = hits.groupBy("query_id", "path").agg(F.min("rank").alias("first"))
+    placed = first.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "path"))).filter(F.col("at") <= n)
+    paths = F.transform(F.array_sort(F.collect_list(F.struct("at", "path"))), lambda x: x["path"])
+    return placed.groupBy("query_id").agg(paths.alias("paths"), F.max(F.when(F.col("at") == nth, F.col("first"))).alias("hits_to_nth"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrier.functions import text as T
+from harrier.shipping import ship
 
 FEATURES = ("dense_cosine", "bm25_score", "rrf_score", "rrf_rank", "jaccard", "exact_overlap", "path_depth", "recency", "is_yaml", "is_log", "is_code", "is_csv", "is_md")
 #: The extensions behind the five flags.
@@ -50,6 +54,41 @@ def features(pairs: DataFrame) -> DataFrame:
     return pairs.select("query_id", "item", *(c.alias(name) for name, c in columns.items()))
 
 
+def model_scores(pairs: DataFrame, score: Callable[[list[tuple[str, str]]], Sequence[float]] | None, allow_fallback: bool = False, batch: int = 64) -> DataFrame:
+    """``(query_id, item, score, backend)`` by a function over batches of ``(query, text)``:
+    a cross-encoder, say, that workers load when it is first called. Scores are squashed to
+    (0, 1). Without a function it is an error, unless the overlap may stand in; ``backend``
+    tells which it was."""
+    if score is None:
+        if not allow_fallback:
+            raise ValueError("no model is given; allow the fallback to rerank by overlap")
+        return overlap_scores(pairs).select("query_id", "item", "score", F.lit("overlap").alias("backend"))
+    ship(pairs.sparkSession)
+    types = {c: pairs.schema[c].dataType.simpleString() for c in ("query_id", "item")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                asked = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([float(x) for x in score(asked)], pa.float64())], names=["query_id", "item", "raw"])
+
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("query", "text")]
+    raw = pairs.select("query_id", "item", *texts).mapInArrow(run, f"query_id {types['query_id']}, item {types['item']}, raw double")
+    return raw.select("query_id", "item", F.round(sigmoid(F.col("raw")), 10).alias("score"), F.lit("model").alias("backend"))
+
+
+def listwise_prompts(pairs: DataFrame, depth: int = 20) -> DataFrame:
+    """``(query_id, n, prompt)``: each query's first passages, numbered from 1, with the
+    question which order they should have, as a chain of numbers."""
+    head = pairs.filter(F.col("rank") <= depth)
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    by = head.groupBy("query_id").agg(F.first("query").alias("query"), F.count("*").alias("n"), lines.alias("lines"))
+    asked = F.concat(F.lit("Question: "), F.coalesce("query", F.lit("")), F.lit("\nPassages:\n"), F.array_join("lines", "\n"), F.lit("\nOrder all passages by how well they answer the question, best first, as [2] > [1]. Give the order alone."))
+    return by.select("query_id", "n", asked.alias("prompt"))
+
+
 def fit_student(examples: DataFrame, label: str = "teacher"):
     """Least squares of the teacher's score on the features, with an intercept; needs
     eight examples."""

@@ -93,7 +93,7 @@ def parts_of(q: Column) -> Column:
     pair = lambda p: F.array(F.trim(F.regexp_extract(q, p, 1)), F.trim(F.regexp_extract(q, p, 2)))
     metric = F.regexp_replace(F.trim(F.regexp_extract(q, SUPERLATIVE, 2)), r"\?+$", "")
     listing = F.array(F.concat(F.lit("list all "), F.regexp_extract(q, SUPERLATIVE, 1), F.lit(" "), metric), q)
-    subs = F.when(q.rlike(COMPARE), pair(COMPARE)).when(whole, F.transform(conj, F.trim)).when(q.rlike(SUPERLATIVE), listing).when(q.rlike(CHAIN), pair(CHAIN)).otherwise(F.array(q))
+    subs = F.when(q.rlike(COMPARE), pair(COMPARE)).when(whole, F.transform(conj, lambda x: F.trim(x))).when(q.rlike(SUPERLATIVE), listing).when(q.rlike(CHAIN), pair(CHAIN)).otherwise(F.array(q))
     return distinct_folded(subs)
 
 

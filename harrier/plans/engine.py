@@ -33,7 +33,8 @@ class Config:
 
 
 class Engine:
-    """Retrieval over ``chunks (chunk_id long, path, text, mtime)``."""
+    """Retrieval over ``chunks (chunk_id long, path, text, mtime)``; a ``search_context``, if
+    there is one, is indexed with the text."""
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, index: lexical.Index | None = None):
         ship(spark)
@@ -44,18 +45,22 @@ class Engine:
         """Write the index: chunks, vectors, postings and what scoring needs, for ``load``."""
         self.chunks.write.parquet(f"{path}/chunks")
         self.vectors.write.parquet(f"{path}/vectors")
-        lexical.write_index(self.chunks, f"{path}/lexical", item="chunk_id")
+        lexical.write_index(self._indexed(), f"{path}/lexical", item="chunk_id")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Engine:
         """An engine that searches what ``save`` wrote: no text is tokenised again."""
         return cls(spark, spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"), lexical.read_index(spark, f"{path}/lexical"))
 
+    def _indexed(self) -> DataFrame:
+        """The chunks with what is indexed of them as their text."""
+        return self.chunks.select("chunk_id", lexical.search_text(self.chunks).alias("text"))
+
     def lexical_hits(self, terms: DataFrame, config: Config) -> DataFrame:
         """``(query_id, item, score, rank)``, from the stored index if there is one."""
         if self.index is not None:
             return lexical.index_top_k(self.index, terms, config.depth, config.k1, config.b)
-        return lexical.bm25_top_k(self.chunks, terms, config.depth, config.k1, config.b, item="chunk_id")
+        return lexical.bm25_top_k(self._indexed(), terms, config.depth, config.k1, config.b, item="chunk_id")
 
     def retrieve(self, queries: DataFrame, config: Config = Config()) -> DataFrame:
         """``(query_id, rank, chunk_id, path, text, route, rrf, bm25, dense, path_score,
