@@ -70,7 +70,10 @@ def parse_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.citations(fixture(spark, "id int, answer string", _ANSWERS)).drop("pos")
 
 
-@CATALOG.add()
+@CATALOG.add(f"""WITH {values("a", "id, answer", _ANSWERS)}, {values("h", "id, path, start_byte, end_byte", _SOURCES)}, c AS (SELECT DISTINCT id, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 1)) AS path, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 2))::BIGINT AS x, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 3))::BIGINT AS y FROM a),
+  k AS (SELECT id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.id = c.id AND h.path = c.path AND start_byte = x AND end_byte = y)) AS v, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.id = c.id AND h.path = c.path)) AS p FROM c GROUP BY id)
+  SELECT id, coalesce(v, 0) AS valid, coalesce(n - v, 0) AS unknown, coalesce(p = n, false) AS paths_retrieved, contains(coalesce(answer, ''), 'NOT IN SOURCES') AS abstained, coalesce(v, 0) = 0 AND NOT contains(coalesce(answer, ''), 'NOT IN SOURCES') AS uncited,
+    trim(regexp_replace(coalesce(answer, ''), '\\s*\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', '', 'g'), ' ') AS answer FROM a LEFT JOIN k USING (id)""")
 def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.cited_answers(fixture(spark, "id int, answer string", _ANSWERS), fixture(spark, "id int, path string, start_byte long, end_byte long", _SOURCES))
 
@@ -134,12 +137,16 @@ def fact_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.fact_verdicts(X.compared_facts(fixture(spark, _FACT_KIND, _FACTS)))
 
 
-@CATALOG.add()
+@CATALOG.add(f"""WITH {_PAIRS}, b AS (SELECT query_id, rank, path, list_distinct(qt) AS asked, string_split(regexp_replace(trim(text, ' '), '([.!?' || chr(10) || '])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM j WHERE rank <= 4),
+  u AS (SELECT query_id, rank, path, asked, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM b), v AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY len(list_intersect(asked, list_distinct({TOKENS_SQL.format(x="s")}))) DESC, i) AS k FROM u)
+  SELECT query_id, string_agg('[' || path || '] ' || substr(trim(s, ' '), 1, 400), chr(10) ORDER BY rank) AS answer FROM v WHERE k = 1 GROUP BY query_id""")
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extractive_answers(_pairs(spark, sf_dir))
 
 
-@CATALOG.add()
+@CATALOG.add(f"""WITH RECURSIVE {_PAIRS}, h AS (SELECT query_id, rank, item, len(string_split(text, ' ')) AS size FROM j),
+  w(query_id, rank, used, taken) AS (SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, false FROM h UNION ALL SELECT h.query_id, h.rank, w.used + CASE WHEN w.used + size <= 2048 THEN size ELSE 0 END, w.used + size <= 2048 FROM w JOIN h ON h.query_id = w.query_id AND h.rank = w.rank + 1)
+  SELECT query_id, rank, item, size FROM w JOIN h USING (query_id, rank) WHERE taken""")
 def scratchpad_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).select("query_id", "rank", "item", F.size(F.split("text", " ")).cast("long").alias("size"))
     return X.within_budget(rows, 2048)
@@ -203,7 +210,8 @@ def masked_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRAJ = [(1, "<search> a b </search><information>x</information><search>c</search><answer> yes </answer>"), (2, "no tags"), (3, None)]
 
 
-@CATALOG.add()
+@CATALOG.add(f"""WITH {values("r", "id, text", _TRAJ)} SELECT id, list_transform(regexp_extract_all(text, '(?s)<search>(.*?)</search>', 1), lambda x: trim(x, ' ')) AS searches, list_transform(regexp_extract_all(text, '(?s)<information>(.*?)</information>', 1), lambda x: trim(x, ' ')) AS informations,
+  trim(coalesce(regexp_extract(text, '(?s)<answer>(.*?)</answer>', 1), ''), ' ') AS answer FROM r""")
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RL.trajectories(fixture(spark, "id int, text string", _TRAJ))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harrier.catalog.base import DOCS_SQL, QRELS_SQL, QT_SQL, TF_SQL, Catalog, bm25_sql, docs, fixture, table, text_queries, top_sql, values
 from harrier.operators import evaluate as M
 from harrier.operators import lexical as L
+from harrier.operators.scoring import draws
 from harrier.operators import ranking as R
 
 CATALOG = Catalog()
@@ -103,20 +104,26 @@ def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.nearest_rank(table(spark, sf_dir, "events").filter("value is not null").select(F.col("event_type").alias("stage"), "value"), 90)
 
 
-@CATALOG.add()
+_DRAWN = """k AS (SELECT count(*) AS n FROM v), p AS (SELECT x, row_number() OVER (ORDER BY query_id) - 1 AS idx FROM v),
+  dr AS (SELECT id // n AS b, ('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 12))::BIGINT % n AS idx FROM (SELECT n, unnest(range(2000 * n)) AS id FROM k)),
+  m AS (SELECT b, avg(x) AS m FROM dr JOIN p USING (idx) GROUP BY b) SELECT (SELECT round(avg(x), 8) FROM v) AS mean, round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high FROM m"""
+
+
+@CATALOG.add(f"WITH v AS (SELECT query_id, ndcg AS x FROM ({CATALOG.sql['bm25_retrieval_quality']})), {_DRAWN}")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of the mean nDCG, over draws that any engine can make."""
     scores = _scores(spark, sf_dir)
     w = Window.orderBy("query_id")  # one row for each query
     placed = scores.select((F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("ndcg").alias("value"))
-    return M.interval(placed, M.bootstrap_indices(spark, text_queries(spark, sf_dir).count()))
+    return M.interval(placed, draws(spark, text_queries(spark, sf_dir).count()))
 
 
-@CATALOG.add()
+@CATALOG.add(f"WITH v AS (SELECT query_id, a.ndcg - b.ndcg AS x FROM ({CATALOG.sql['bm25_retrieval_quality']}) a JOIN ({CATALOG.sql['bm25_retrieval_quality'].replace(bm25_sql(), bm25_sql('0.9', '0.4'))}) b USING (query_id)), {_DRAWN}")
 def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = L.query_terms(text_queries(spark, sf_dir))
     judged, q = qrels(spark, sf_dir), text_queries(spark, sf_dir)
     runs = [M.metrics(L.bm25_top_k(docs(spark, sf_dir), terms, 50, k1, b), judged, q).select("query_id", F.col("ndcg").alias("value")) for k1, b in ((1.5, 0.75), (0.9, 0.4))]
-    return M.paired_interval(*runs, M.bootstrap_indices(spark, q.count()))
+    return M.paired_interval(*runs, draws(spark, q.count()))
 
 
 _KAPPA = "l AS (SELECT CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS a, quality AS b FROM labels JOIN documents USING (doc_id))"

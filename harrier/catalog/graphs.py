@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import DOCS_SQL, Catalog, docs, fixture, table, values
+from harrier.catalog.base import DOCS_SQL, TOKENS_SQL, Catalog, docs, fixture, table, values
 from harrier.operators import graph as G
 from harrier.operators import versions as V
 
@@ -131,27 +131,44 @@ def _components(li: DataFrame) -> DataFrame:
     return G.connected(li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")))
 
 
-@CATALOG.add()
+_TRIPLES = f"""rr AS (SELECT path, text, 'run:' || {_RUN} AS src FROM f WHERE {_RUN} IS NOT NULL), t AS (
+  SELECT src, 'uses_encoder' AS relation, 'encoder:' || lower(unnest(regexp_extract_all(text, '(?i)\\b(dinov2|resnet50|clip|vit-b/?[0-9]*)\\b', 1))) AS dst, path AS evidence FROM rr
+  UNION ALL SELECT src, 'uses_bark', 'bark:' || lower(unnest(regexp_extract_all(text, '(?i)\\bbark(?:_type)?\\s*[:=]\\s*([A-Za-z]+)', 1))), path FROM rr
+  UNION ALL SELECT src, 'has_' || lower(unnest(regexp_extract_all(text, '(?i)\\b(learning_rate|val_rmse|num_pairs|fusion)\\s*[:=]\\s*([A-Za-z0-9.eE+\\-]+)', 1))), lower(unnest(regexp_extract_all(text, '(?i)\\b(learning_rate|val_rmse|num_pairs|fusion)\\s*[:=]\\s*([A-Za-z0-9.eE+\\-]+)', 2))), path FROM rr
+  UNION ALL SELECT src, 'documented_in', 'file:' || path, path FROM rr)"""
+_COMMUNITIES = f"""{_F}, {_TRIPLES}, te AS (SELECT src AS a, dst AS b FROM t UNION SELECT dst, src FROM t), cw(node, other) AS (SELECT a, a FROM te UNION SELECT node, b FROM cw JOIN te ON other = a),
+  cl AS (SELECT node, min(other) AS component FROM cw GROUP BY node), cs AS (SELECT component, count(*) AS size FROM cl GROUP BY component HAVING count(*) > 1),
+  cn AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) - 1 AS community FROM cs), cm AS (SELECT community, node, size FROM cl JOIN cn USING (component))"""
+
+
+@CATALOG.add(f"WITH {_F}, {_TRIPLES} SELECT src, relation, dst, evidence FROM t")
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.triples(_files(spark))
 
 
-@CATALOG.add()
+@CATALOG.add(f"WITH RECURSIVE {_COMMUNITIES} SELECT community, node, size FROM cm")
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.communities(G.triples(_files(spark)))
 
 
 _ASKED = [(1, "what learning rate does run 47 use"), (2, "bark of run 12"), (3, "unrelated")]
+_ROUNDS = ", ".join(f"p{i + 1} AS (SELECT s0.query_id, s0.node, 0.85::DOUBLE * coalesce(sum(share * p{i}.mass), 0) + 0.15::DOUBLE * any_value(s0.mass) AS mass FROM p0 s0 LEFT JOIN sh ON sh.b = s0.node LEFT JOIN p{i} ON p{i}.query_id = s0.query_id AND p{i}.node = sh.a GROUP BY ALL)" for i in range(25))
 
 
-@CATALOG.add()
+@CATALOG.add(f"""WITH {_F}, {_TRIPLES}, {values("q", "query_id, text", _ASKED)}, w AS (SELECT a, b, count(*)::DOUBLE AS weight FROM (SELECT src AS a, dst AS b FROM t UNION ALL SELECT dst, src FROM t) GROUP BY ALL),
+  sh AS (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS share FROM w), n AS (SELECT DISTINCT a AS node FROM w),
+  seed AS (SELECT query_id, 'run:' || nullif(regexp_extract(text, '(?i)\\brun\\s+0*([0-9]+)\\b', 1), '') AS s FROM q),
+  m AS (SELECT query_id, node, CASE WHEN node = s THEN 1.5 ELSE 0.5 END::DOUBLE AS mass FROM seed JOIN n ON contains(lower(node), lower(s))), z AS (SELECT query_id, sum(mass) AS total FROM m GROUP BY query_id),
+  p0 AS MATERIALIZED (SELECT q.query_id, n.node, CASE WHEN z.total IS NULL THEN 1.0::DOUBLE / (SELECT count(*) FROM n) ELSE coalesce(m.mass, 0) / z.total END AS mass FROM q CROSS JOIN n LEFT JOIN z USING (query_id) LEFT JOIN m ON m.query_id = q.query_id AND m.node = n.node), {_ROUNDS}
+  SELECT query_id, node, round(mass, 8) AS mass FROM p25""")
 def ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = G.adjacency(G.triples(_files(spark)))
     q = fixture(spark, "query_id int, text string", _ASKED)
-    return G.page_rank(weights, G.seeds_of(q, weights.select(F.col("a").alias("node")).distinct()))
+    return G.page_rank(weights, G.seeds_of(q, weights.select(F.col("a").alias("node")).distinct())).withColumn("mass", F.round("mass", 8))
 
 
-@CATALOG.add()
+@CATALOG.add(f"""WITH RECURSIVE {_COMMUNITIES}, {values("q", "query_id, text", _ASKED)}, cx AS (SELECT DISTINCT community, unnest({TOKENS_SQL.format(x="replace(node, ':', ' ')")}) AS word FROM cm), qx AS (SELECT DISTINCT query_id, unnest({TOKENS_SQL.format(x="text")}) AS word FROM q),
+  sc AS (SELECT query_id, community AS item, count(*) AS score FROM qx JOIN cx USING (word) GROUP BY ALL) SELECT query_id, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM sc) WHERE rank <= 3""")
 def community_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.match_communities(fixture(spark, "query_id int, text string", _ASKED), G.communities(G.triples(_files(spark))))
 

@@ -106,10 +106,11 @@ def page_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _META = [(1, 0, 1, {"a": "x", "b": "y"}), (1, 1, 1, {"a": "z", "c": "w"}), (2, 0, 2, {"k": "v"})]
 
 
-@CATALOG.add()
+@CATALOG.add("""WITH m(item, list_no, rank, k, v) AS (VALUES """ + ", ".join(f"({i}::BIGINT, {n}, {r}, '{k}', '{v}')" for i, n, r, m in _META for k, v in m.items()) + """), f AS (SELECT item, k, arg_min(v, list_no * 1000 + rank) AS v FROM m GROUP BY item, k)
+  SELECT item, list_sort(list(k || '=' || v)) AS entries FROM f GROUP BY item""")
 def metadata_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(_META, "item int, list_no int, rank int, metadata map<string,string>")
-    return M.metadata_union(rows).select("item", F.array_sort(F.map_entries("metadata")).alias("entries"))
+    return M.metadata_union(rows).select("item", F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("entries"))
 
 
 @CATALOG.add(f"WITH {DOCS_SQL}, s AS (SELECT query_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM (SELECT doc_id % 7 AS query_id, doc_id FROM docs)), x AS (SELECT query_id, list(item ORDER BY rank) FILTER (rank <= 10) AS top FROM s GROUP BY query_id) SELECT query_id, top FROM x")
