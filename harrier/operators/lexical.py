@@ -239,40 +239,42 @@ class Index:
     terms: DataFrame
     n: int
     avgdl: float
+    buckets: int
 
 
-#: Folders of the postings: a search reads those of its terms only.
+#: Folders of the postings: a search reads those of its terms only. A folder for each
+#: gigabyte of postings or so is a good number.
 INDEX_BUCKETS = 64
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(docs: DataFrame, path: str, tokenize: Callable[[Column | str], Column] = T.tokens, item: str = "doc_id", text: Column | str = "text") -> None:
+def write_index(docs: DataFrame, path: str, tokenize: Callable[[Column | str], Column] = T.tokens, item: str = "doc_id", text: Column | str = "text", buckets: int = INDEX_BUCKETS) -> None:
     """Tokenise ``docs`` once and write the index below ``path``."""
     cut = docs.select(F.col(item).alias("item"), tokenize(text).alias("tokens"))
     each = exploded(cut.select("item", F.size("tokens").cast("long").alias("dl"), "tokens"))
-    tf = each.groupBy("item", "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket(F.col("term")))
-    # a frequent term has many postings: they are dealt by term and item, and sorted by term
-    dealt = tf.repartition("bucket", F.pmod(F.xxhash64("item"), F.lit(8))).sortWithinPartitions("bucket", "term", "item")
+    tf = each.groupBy("item", "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket(F.col("term"), buckets))
+    # by size: small buckets share a task, one that frequent terms make large is split
+    dealt = tf.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "item")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
     spark = docs.sparkSession
     terms = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
-    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    corpus_statistics(docs.select(token_count(text, tokenize).alias("dl"))).write.parquet(f"{path}/corpus")
+    terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    corpus_statistics(docs.select(token_count(text, tokenize).alias("dl"))).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/corpus")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    n, avgdl = spark.read.parquet(f"{path}/corpus").select("n", "avgdl").first()
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n, avgdl)
+    n, avgdl, buckets = spark.read.parquet(f"{path}/corpus").select("n", "avgdl", "buckets").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n, avgdl, buckets)
 
 
 def index_top_k(index: Index, terms: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``(query_id, item, score, rank)`` from a stored index, for ``terms (query_id, term,
     qtf)``: no text is read. The terms' side is broadcast while it is small, and prunes
     the folders of postings; each posting of an asked term is read once."""
-    asked = terms.select("query_id", "term", "qtf").withColumn("bucket", _bucket(F.col("term")))
+    asked = terms.select("query_id", "term", "qtf").withColumn("bucket", _bucket(F.col("term"), index.buckets))
     known = asked.join(index.terms, ["bucket", "term"]).select("bucket", "term", "query_id", (idf(F.lit(float(index.n)), F.col("df")) * F.col("qtf")).alias("weight"))
     share = F.col("weight") * bm25_weight(F.col("tf"), F.col("dl"), F.lit(float(index.avgdl)), k1, b)
     met = index.postings.join(small(known, BROADCAST_TERMS), ["bucket", "term"])

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from harrier.functions import text as T
 
 #: Words that a search box can do without, and verbs that command.
-WEAK = "what which who where when how did does do is are was were be the a an of for in to with by use used uses me i it that".split()
+WEAK = (
+    "what", "which", "who", "where", "when", "how", "did", "does", "do", "is", "are", "was", "were", "be", "the", "a", "an", "of", "for", "in", "to",
+    "with", "by", "use", "used", "uses", "me", "i", "it", "that",
+)
 IMPERATIVES = "open find show read locate explain compare list get".split()
 LABELS = ("correct", "partial", "wrong")
 
@@ -28,7 +31,7 @@ def paraphrases(questions: DataFrame) -> DataFrame:
     q = F.col("question")
     plain = F.replace(F.replace(F.lower(q), F.lit("how many"), F.lit("number of")), F.lit("what's"), F.lit("what is"))
     words = F.transform(F.split(plain, r"\s+"), lambda w: F.btrim(w, F.lit("?,.:")))
-    kept = F.filter(words, lambda w: (w != "") & ~w.isin(WEAK))
+    kept = F.filter(words, lambda w: (w != "") & ~w.isin(*WEAK))
     commands = F.element_at(F.split(F.lower(q), r"\s+"), 1).isin(IMPERATIVES)
     return questions.select("id", F.array_join(kept, " ").alias("keywords"), F.concat(F.when(commands, "can you ").otherwise("can you tell me "), q, F.lit("?")).alias("ask"), F.concat(F.lit("quick question: "), q).alias("prefix"))
 

@@ -167,18 +167,21 @@ def rewritten(q: Column) -> Column:
 
 #: Words that say little in a question.
 WEAK = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought "
-    "used to of in for on with at by from as into through during before after above below between out off over under again "
-    "further then once here there when where why how all each every both few more most other some such no nor not only own same "
-    "so than too very just because but and or if while about what which who whom this that these those i me my we our you "
-    "your he him his she her it its they them their"
-).split()
-
-
-def hypothesis(q: Column, weak: list[str] = WEAK) -> Column:
-    """A stand-in for an answer's text: the query's telling tokens, three times over."""
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as",
+    "into", "through", "during", "before", "after", "above", "below", "between", "out", "off", "over", "under", "again", "further", "then", "once",
+    "here", "there", "when", "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor",
+    "not", "only", "own", "same", "so", "than", "too", "very", "just", "because", "but", "and", "or", "if", "while", "about", "what", "which", "who",
+    "whom", "this", "that", "these", "those", "i", "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her", "it", "its", "they",
+    "them", "their",
+)
+
+
+def hypothesis(q: Column, weak: tuple[str, ...] = WEAK) -> Column:
+    """A stand-in for an answer's text: the query's telling tokens, three times over. The
+    sentence around them is a fixed value, since embeddings of it are compared."""
     words = F.regexp_extract_all(q, F.lit(T.TOKEN), F.lit(0))
-    telling = F.filter(words, lambda t: (F.char_length(t) > 2) & ~F.lower(t).isin(weak))
+    telling = F.filter(words, lambda t: (F.char_length(t) > 2) & ~F.lower(t).isin(*weak))
     key = F.when(F.size(telling) > 0, telling).otherwise(F.slice(words, 1, 5))
     joined = F.array_join(key, " ")
     return F.when(F.trim(q) == "", "").otherwise(F.concat(F.lit("This document contains information about "), joined, F.lit(". "), joined, F.lit(" "), joined, F.lit(" "), joined))
