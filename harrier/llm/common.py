@@ -33,18 +33,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Paths handed out and not yet deleted.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; the folder's owner clears it after the session."""
-    return f"{shared_dir(spark)}/harrier/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. ``Scratch`` deletes what isn't needed any more; the
+    folder's owner clears the rest after the session."""
+    path = f"{shared_dir(spark)}/harrier/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+class Scratch:
+    """Deletes the scratch tables of a step when the next step's table is written: on
+    ``settle``, all made since the last one but ``kept``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.since, self.held = spark, len(_scratch), None
+
+    def settle(self, kept: str) -> None:
+        for path in [p for p in [*_scratch[self.since :], self.held] if p and p != kept]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _scratch[self.since :]
+        self.held = kept
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: this cuts the
     lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return written(df, scratch_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_rows(df: DataFrame, columns: list[str | Column], rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:

@@ -37,7 +37,9 @@ from harrier.llm.common import free_name, map_rows, materialize, ship, text_of
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
+#: Bit blocks at least, and fingerprints that a shard holds on average at most: beyond, there are more blocks.
 BLOCKS = 6
+SHARD_MEAN = 8
 SHARD_MAX = 4_096
 #: Tasks over which the links of one node are dealt in a step towards components.
 SALTS = 8
@@ -85,6 +87,15 @@ def shard_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
     return [sum(chosen) for chosen in combinations(masks, blocks - radius)]
 
 
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Bit blocks for ``n`` distinct fingerprints. More blocks give names of more bits, so
+    shards stay small as the corpus grows (six do for ten million, seven for a thousand
+    million), at the price of more shards for each fingerprint; twice the radius at most."""
+    least = max(BLOCKS, radius + 1)
+    fits = (b for b in range(least, 2 * radius + 1) if n <= SHARD_MEAN * 2 ** (64 * (b - radius) / b))
+    return next(fits, max(least, 2 * radius))
+
+
 class BKTree:
     """Numbers by Hamming distance: a child hangs on the edge of its distance."""
 
@@ -296,11 +307,12 @@ def _state(star: DataFrame) -> tuple:
     return tuple(star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, shard_max: int = SHARD_MAX) -> DataFrame:
-    """``(doc_id, digest, fp, component_id)``, a row for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int | None = None, shard_max: int = SHARD_MAX) -> DataFrame:
+    """``(doc_id, digest, fp, component_id)``, a row for each row of ``docs``; the number of
+    blocks follows from that of the fingerprints, if it isn't given."""
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
-    roots = components(links(least.select("fp"), radius, blocks, shard_max))
+    roots = components(links(least.select("fp"), radius, blocks or blocks_for(least.count(), radius), shard_max))
     named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", "root")
     members = named.filter("root is not null").groupBy("root").agg(F.min("first_doc").alias("least_member")).select(F.col("root").alias("r"), "least_member")
     # a root is no node of its own: its name and its members' meet here

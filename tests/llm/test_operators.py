@@ -768,6 +768,16 @@ def test_masks_share_blocks():
         assert any(not flips & m for m in masks)
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**7, 10**8, 10**9, 10**10, 10**15)] == [6, 6, 6, 7, 7, 8, 8]
+    rng = random.Random(2)
+    for blocks in (7, 8):
+        masks = simhash.shard_masks(blocks, 4)
+        for _ in range(300):
+            flips = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not flips & m for m in masks)
+
+
 def test_every_operator_is_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())

@@ -1,12 +1,13 @@
 """The pipeline against plain versions of its stages."""
 
+import os
 from collections import Counter
 
 from support import rows_of, rows_of_sql
 from test_operators import LIBRARY, components_brute, fold, hits_brute, kept_brute, measures_brute, prints_brute, sha
 
 import corpus_pipeline
-from harrier.llm import queries
+from harrier.llm import common, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +42,11 @@ def bad_host(docs):
     return docs.unionByName(docs.sparkSession.createDataFrame(rows, "doc_id long, text string, source string, lang string"), allowMissingColumns=True)
 
 
+def scratch_tables(spark):
+    folder = f"{common.shared_dir(spark)}/harrier"
+    return os.listdir(folder) if os.path.isdir(folder) else []
+
+
 def test_pipeline(spark, tmp_path):
     """On the smallest tables, as they are and with a planted bad host, whose clean documents go too."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -50,7 +56,9 @@ def test_pipeline(spark, tmp_path):
     for sf_dir in (SF, str(tmp_path)):
         rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
         want = Counter((d, len(ids := LIBRARY.encode_ordinary(t)), sha(" ".join(map(str, ids))), sha(t)) for d, t in brute(rows, items))
+        before = set(scratch_tables(spark))
         got = corpus_pipeline.run(spark, sf_dir)
+        assert len(set(scratch_tables(spark)) - before) == 1  # what the last stage reads
         assert Counter(map(tuple, got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == want
         assert not [k for k in want if k[0] >= 900_000]
 
