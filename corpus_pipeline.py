@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from harrier.llm import bpe, decontam, line_dedup, quality, simhash
-from harrier.llm.common import materialize
+from harrier.llm.common import Scratch, scratch_path, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result but the last is written and reread. What
+    a stage leaves in the shared folder goes when its result is written, and a result when
+    the next one is."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        result = stage(spark, docs, sf_dir)
+        place = scratch_path(spark, name)
+        docs = written(result, place)
+        scratch.settle(place)
     return STAGES[-1][1](spark, docs, sf_dir)
