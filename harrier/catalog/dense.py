@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, Catalog, all_vector_queries, bm25_sql, docs, table, text_queries, top_sql
+from harrier.catalog.base import DOCS_SQL, QT_SQL, QUERIES_SQL, TF_SQL, Catalog, all_vector_queries, bm25_sql, docs, table, text_queries, top_sql
+from harrier.functions import text as T
 from harrier.functions import vectors as V
 from harrier.operators import dense as D
 from harrier.operators import lexical as L
@@ -29,7 +30,9 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(V.dot("v", "v"), 8).alias("length2"), F.round(F.element_at("v", 1), 8).alias("first"))
 
 
-_LEGS = f"{TF_SQL}, {QT_SQL}, {bm25_sql()}, {top_sql('bm', 50, 'lex')}, {_COS}, {top_sql('cs', 50, 'den', 'item')}"
+# a document's vector is that of its number; queries are the documents whose number is divisible by 100
+_ASKED = QUERIES_SQL.replace("item_id AS query_id", "doc_id AS query_id").replace("FROM benchmark", "FROM docs WHERE doc_id % 100 = 0")
+_LEGS = f"{TF_SQL}, {QT_SQL.replace(QUERIES_SQL, _ASKED)}, {bm25_sql()}, {top_sql('bm', 50, 'lex')}, {_COS}, {top_sql('cs', 50, 'den', 'item')}"
 
 
 @CATALOG.add(f"""WITH {_LEGS},
@@ -38,7 +41,13 @@ _LEGS = f"{TF_SQL}, {QT_SQL}, {bm25_sql()}, {top_sql('bm', 50, 'lex')}, {_COS},
         FROM den d FULL OUTER JOIN (SELECT * FROM lex) l ON d.query_id = l.query_id AND d.item = l.doc_id),
   {top_sql('f', 10, 'r', 'item')} SELECT query_id, item, score AS rrf, dense, bm25, rank FROM r""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rrf_hybrid(spark, sf_dir, text_queries(spark, sf_dir), all_vector_queries(spark, sf_dir))
+    return _rrf_hybrid(spark, sf_dir, _asked(spark, sf_dir), all_vector_queries(spark, sf_dir))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, text)``: the first twelve tokens of each document whose number is divisible by 100."""
+    d = docs(spark, sf_dir).filter("doc_id % 100 = 0")
+    return d.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(T.tokens("text"), 1, 12), " ").alias("text"))
 
 
 def _rrf_hybrid(spark: SparkSession, sf_dir: str, texts: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -58,7 +67,7 @@ _WEIGHTS = [(0.25, 10), (0.5, 10), (1.0, 10), (2.0, 10), (0.25, 60), (0.5, 60),
   f AS (SELECT weight, k, query_id, item, round(sum(w / (k + rank)), 10) AS score FROM e GROUP BY ALL)
   SELECT weight, k, query_id, item, score AS rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY weight, k, query_id ORDER BY score DESC, item) AS rank FROM f) WHERE rank <= 3""")
 def weighted_rrf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weighted_rrf_grid(spark, sf_dir, text_queries(spark, sf_dir), all_vector_queries(spark, sf_dir))
+    return _weighted_rrf_grid(spark, sf_dir, _asked(spark, sf_dir), all_vector_queries(spark, sf_dir))
 
 
 def _weighted_rrf_grid(spark: SparkSession, sf_dir: str, texts: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -106,7 +106,8 @@ def connected(edges: DataFrame, checkpoint_every: int = 2, rounds: int = 100) ->
     are an error. Lineage is cut in the shared folder
     that the session's ``spark.checkpoint.dir`` names.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct()
+    # read in every round: written once, dealt by the node that its neighbours are gathered for
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node")
     held: list[DataFrame] = []
     for turn in range(rounds):

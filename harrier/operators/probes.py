@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrier.functions import text as T
+from harrier.shipping import ship
 
 #: Words that a search box can do without, and verbs that command.
 WEAK = (
@@ -73,3 +77,20 @@ def pairwise(verdicts: DataFrame) -> DataFrame:
     x = F.when(F.col("first_order") == "A", 1.0).when(F.col("first_order") == "B", 0.0).otherwise(0.5)
     y = F.when(F.col("second_order") == "A", 0.0).when(F.col("second_order") == "B", 1.0).otherwise(0.5)
     return verdicts.agg(F.count("*").alias("n"), F.round(F.avg((x + y) / 2), 6).alias("p_a"), F.round(F.abs(F.avg(x) - F.avg(y)), 6).alias("position_gap"))
+
+
+def judged_by(rows: DataFrame, judge: Callable[[list[tuple[str, str, str]]], Sequence[str]], batch: int = 32) -> DataFrame:
+    """``(id, score)`` of ``rows (id, question, gold, answer)`` by a judge that replies
+    to batches of them: a model, say. Replies are read as ``scores`` reads them."""
+    ship(rows.sparkSession)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                asked = list(zip(*(part.column(i).to_pylist() for i in (1, 2, 3))))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if r is None else str(r) for r in judge(asked)], pa.string())], names=["id", "reply"])
+
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("question", "gold", "answer")]
+    return scores(rows.select("id", *texts).mapInArrow(run, f"id {kind}, reply string"))

@@ -118,3 +118,11 @@ def read_permutation(replies: DataFrame) -> DataFrame:
 def sigmoid(score: Column) -> Column:
     """The logistic function, in the branch that doesn't overflow."""
     return F.when(score >= 0, 1 / (1 + F.exp(-score))).otherwise(F.exp(score) / (1 + F.exp(score)))
+
+
+def choose(scores: DataFrame, settings: list[str], rounded: int = 8) -> DataFrame:
+    """The setting with the best mean on part 0 of ``scores (settings..., query_id, part,
+    value)``, of equals the first in order, with its mean there and on part 1, which took
+    no part in the choice: ``(settings..., chosen_by, held_out)``."""
+    by = scores.groupBy(*settings).agg(F.round(F.avg(F.when(F.col("part") == 0, F.col("value"))), rounded).alias("chosen_by"), F.round(F.avg(F.when(F.col("part") == 1, F.col("value"))), rounded).alias("held_out"))
+    return by.orderBy(F.desc("chosen_by"), *settings).limit(1)

@@ -21,12 +21,12 @@ BROADCAST_HASHES = 100_000
 SKIPPED_FOLDERS = (".git", "__pycache__", ".pytest_cache")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> DataFrame:
     """``(path, content, mtime, size)`` of all files below ``root``, without skipped
     folders; ``path`` is relative."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     cut = F.regexp_replace(F.col("path"), "^.*?" + _quoted(root.rstrip("/")) + "/", "")
-    kept = ~F.arrays_overlap(F.split(cut, "/"), F.array(*map(F.lit, SKIPPED_FOLDERS)))
+    kept = ~F.arrays_overlap(F.split(cut, "/"), F.array(*map(F.lit, skipped)))
     return files.filter(kept).select(cut.alias("path"), "content", F.unix_millis("modificationTime").cast("double").alias("millis"), F.col("length").alias("size")).select("path", "content", (F.col("millis") / 1000).alias("mtime"), "size")
 
 

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +35,44 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("category", F.when(known.isNull() & placed.isNull(), F.col("category")))
 
 
+def write_gold(rows: DataFrame, path: str) -> None:
+    """Gold questions as JSON lines, in the order of their ids within each file, as ``read_gold`` reads them."""
+    rows.sortWithinPartitions("id").write.json(path)
+
+
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of an XLSX file as strings, the first row as the header; cells that
+    aren't there are null. A workbook is one archive, so one task reads it."""
+    cells = spark.read.format("binaryFile").load(path).select("content").first().content
+    rows = list(_sheet_rows(bytes(cells)))
+    header = [c or f"_c{i}" for i, c in enumerate(rows[0])] if rows else []
+    body = [tuple((r + [None] * len(header))[: len(header)]) for r in rows[1:]]
+    return spark.createDataFrame(body, ", ".join(f"`{c}` string" for c in header)) if header else spark.createDataFrame([], "_c0 string")
+
+
+def _sheet_rows(data: bytes) -> Iterator[list[str | None]]:
+    """The rows of the first sheet of a workbook: strings are shared or in place."""
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in item.iter(f"{ns}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
+        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n))
+        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{ns}row"):
+            out: list[str | None] = []
+            for cell in row.iter(f"{ns}c"):
+                letters = re.match(r"[A-Z]*", cell.get("r") or "")[0]
+                at = functools.reduce(lambda n, c: 26 * n + ord(c) - 64, letters, 0) - 1 if letters else len(out)
+                out += [None] * (at + 1 - len(out))
+                value = cell.find(f"{ns}v")
+                if cell.get("t") == "inlineStr":
+                    out[at] = "".join(t.text or "" for t in cell.iter(f"{ns}t"))
+                elif value is not None and value.text is not None:
+                    out[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+            yield out
+
+
 def trec_lines(hits: DataFrame, tag: str) -> DataFrame:
     """``(value)``: the lines ``query Q0 item rank score tag``; ids mustn't hold blanks."""
     q, item = F.col("query_id").cast("string"), F.col("item").cast("string")

@@ -53,6 +53,26 @@ class SemanticCache:
             self.evictions += 1
         self.entries[key] = (vector, now)
 
+    def forget(self, keys: set | None = None) -> int:
+        """Drop the entries of some keys (whose sources changed), or all; how many went."""
+        gone = [k for k in self.entries if keys is None or k in keys]
+        for k in gone:
+            del self.entries[k]
+        self.evictions += len(gone)
+        return len(gone)
+
+    def rows(self) -> list[tuple[object, list[float], float]]:
+        """The entries, least recently used first, to be stored."""
+        return [(k, v.tolist(), at) for k, (v, at) in self.entries.items()]
+
+    @classmethod
+    def of_rows(cls, rows: list[tuple[object, list[float], float]], similarity: float = SIMILARITY, ttl: float = TTL, size: int = SIZE) -> SemanticCache:
+        """A cache with stored entries in their order."""
+        cache = cls(similarity, ttl, size)
+        for key, vector, at in rows:
+            cache.put(key, np.asarray(vector, np.float64), at)
+        return cache
+
     @property
     def hit_rate(self) -> float:
         asked = self.hits + self.misses

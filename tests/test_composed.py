@@ -2,16 +2,19 @@
 
 import json
 import time
+import zipfile
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from support import DATA
 
 import __spark_entry__
-from harrier.operators import lexical, ranking, rerank, scoring, tabular
+from harrier.operators import lexical, probes, ranking, rerank, scoring, tabular
 from harrier.plans.budget import Deadline, OutOfTime, retried, waits
-from harrier.sources import ingest
+from harrier.sources import ingest, judgements
+from harrier.streaming import cache
 
 
 @pytest.mark.parametrize(("gold", "want"), [
@@ -144,3 +147,35 @@ def test_fields_and_operations():
 def test_recall_of_storage(spark):
     got = {r.variant: r.recall for r in __spark_entry__.queries()["storage_recall"](spark, f"{DATA}/sf0.001").collect()}
     assert got["float"] == 1.0 and got["half"] > 0.95 and got["bits and 4 x rescored"] <= got["bits and 16 x rescored"]
+
+
+def test_choice_on_one_half(spark):
+    rows = [("a", 1, 0, 0.5), ("a", 2, 1, 0.1), ("b", 1, 0, 0.7), ("b", 2, 1, 0.2), ("c", 1, 0, 0.7), ("c", 2, 1, 0.9)]
+    scores = spark.createDataFrame(rows, "setting string, query_id int, part int, value double")
+    assert tuple(rerank.choose(scores, ["setting"]).first()) == ("b", 0.7, 0.2)
+
+
+def test_judging_by_a_function(spark):
+    rows = spark.createDataFrame([(1, "q", "gold", "gold"), (2, "q", "gold", None)], "id int, question string, gold string, answer string")
+    found = probes.judged_by(rows, lambda asked: ["correct" if g == a else "wrong" for _, g, a in asked], batch=1)
+    assert {r.id: r.score for r in found.collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_cache_is_forgotten_and_stored():
+    kept = cache.SemanticCache(size=2)
+    for i, v in enumerate(([1.0, 0.0], [0.0, 1.0], [-1.0, 0.0])):
+        kept.put(i, np.array(v), float(i))
+    again = cache.SemanticCache.of_rows(kept.rows(), size=2)
+    assert [r[0] for r in again.rows()] == [1, 2] and again.get(np.array([0.0, 1.0]), 3.0) == 1
+    assert again.forget({1, 99}) == 1 and again.get(np.array([0.0, 1.0]), 3.0) is None and again.forget() == 1
+
+
+def test_sheets_and_gold(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(f"{tmp_path}/t.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><r><t>a</t></r><r><t>nn</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>x</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>1.5</v></c></row><row><c r="B3"><v>2</v></c></row></sheetData></worksheet>')
+    assert [tuple(r) for r in judgements.read_workbook(spark, f"{tmp_path}/t.xlsx").collect()] == [("ann", "1.5"), (None, "2")]
+    gold = spark.createDataFrame([("g1", "what", "simple_factual", "3", ["a.py"], [], None)], "id string, question string, category string, answer string, relevant_paths array<string>, relevant_chunk_ids array<string>, notes string")
+    judgements.write_gold(gold, f"{tmp_path}/gold")
+    assert judgements.read_gold(spark, f"{tmp_path}/gold").first().question == "what"
