@@ -141,3 +141,17 @@ def scalar_fields(rows: DataFrame, column: str, key: str) -> DataFrame:
     """``(key, field, value)``: the top-level scalars of a JSON column."""
     fields = rows.select(key, F.explode(F.from_json(F.col(column), "map<string,string>")).alias("field", "value"))
     return fields.filter(~F.coalesce(F.col("value"), F.lit("")).rlike(r"^[\[{]"))
+
+
+def pending_steps(files: DataFrame, applied: DataFrame) -> DataFrame:
+    """``(version, name, status)`` of steps ``files (version, name, checksum)`` against those
+    ``applied (version, checksum)``: applied, pending, edited (applied with another
+    checksum), unknown (applied, but no file has it), or gap (not applied, though a later
+    one is)."""
+    newest = F.broadcast(applied.agg(F.max("version").alias("newest")))  # one row
+    met = files.join(applied.select("version", F.col("checksum").alias("recorded")), "version", "full_outer").join(newest, F.lit(True))
+    status = (
+        F.when(F.col("checksum").isNull(), "unknown").when(F.col("recorded").isNull(), F.when(F.col("version") < F.col("newest"), "gap").otherwise("pending"))
+        .when(F.col("recorded") != F.col("checksum"), "edited").otherwise("applied")
+    )
+    return met.select("version", "name", status.alias("status"))
