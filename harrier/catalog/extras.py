@@ -135,3 +135,13 @@ def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = asked.withColumns({"question_id": F.col("question_id") + 1_000_000, "at": F.col("at") + 40.0})
     served = cache.replay(asked.unionByName(again))
     return served.groupBy("shard").agg(F.count("*").alias("asked"), F.count("served_by").alias("hits"), F.round(F.count("served_by") / F.count("*"), 6).alias("hit_rate"))
+
+
+@CATALOG.add()
+def cache_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes near every third vector, against the caches that all vectors fill."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.select(F.col("vec_id").alias("question_id"), (F.col("vec_id") % 4).alias("shard"), F.col("vec_id").cast("double").alias("at"), F.col("embedding").alias("vector"))
+    near = asked.filter("question_id % 3 = 0").select((F.col("question_id") + 1_000_000).alias("question_id"), "shard", (F.col("at") + 100.0).alias("at"), F.transform("vector", lambda x: F.round(x, 2)).alias("vector"))
+    found = cache.probed(asked, near)
+    return cache.probe_counts(found, near.select("question_id", (F.col("question_id") - 1_000_000).alias("source_id")))

@@ -33,6 +33,14 @@ def tfidf_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(rows).select("doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).alias("n_features"))
 
 
+@CATALOG.add()
+def tfidf_svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF on 64 singular axes."""
+    model, rows = E.tfidf(docs(spark, sf_dir), features=1024)
+    vectors = model.transform(rows).select("doc_id", "features")
+    return E.reduced(vectors, E.principal(vectors, 64)).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(spark, docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "path", "text", F.lit(1.0).alias("mtime")))
 

@@ -15,12 +15,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, CountVectorizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from harrier.functions import text as T
 from harrier.functions import vectors as V
+from harrier.shipping import ship
 
 DIM = 256
 
@@ -73,6 +77,33 @@ def tfidf(docs: DataFrame, text: str = "text", features: int = 4096):
     return Pipeline(stages=[CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=features), IDF(inputCol="counts", outputCol="features")]).fit(rows), rows
 
 
+def principal(vectors: DataFrame, dim: int, column: str = "features") -> np.ndarray:
+    """The ``dim`` leading right singular vectors of the rows, uncentred: an array of
+    (features, dim), fewer columns where the rank is lower. The entry of each that is
+    largest by size is positive. The Gram matrix is summed over the tasks by a tree, and
+    only it (features squared) meets the driver."""
+    rows = MLUtils.convertVectorColumnsFromML(vectors.select(column), column).rdd.map(lambda row: row[0])
+    matrix = RowMatrix(rows)
+    axes = matrix.computeSVD(min(dim, matrix.numCols()), rCond=1e-9).V.toArray()
+    return axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
+
+
+def reduced(vectors: DataFrame, axes: np.ndarray, column: str = "features") -> DataFrame:
+    """``vectors`` with ``embedding``: the rows on the axes, scaled to length 1. A row of
+    zeros stays one. The axes' size is bounded by the vocabulary's."""
+    ship(vectors.sparkSession)
+    shared = vectors.sparkSession.sparkContext.broadcast(axes)
+
+    def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for at, values in batches:
+            out = (np.asarray(v) @ shared.value[np.asarray(i, np.int64)] if len(i) else np.zeros(shared.value.shape[1]) for i, v in zip(at, values, strict=True))
+            yield pd.Series([x / max(float(np.linalg.norm(x)), V.NORM_FLOOR) for x in out])
+
+    dense = vector_to_array(column)
+    at = F.filter(F.transform(dense, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    return vectors.withColumn("embedding", F.pandas_udf(project, ArrayType(DoubleType()))(at, F.filter(dense, lambda x: x != 0)))
+
+
 def _pairs(column: str) -> Column:
     c = F.col(column)
     return F.when(F.size(c) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at(c, i), F.try_element_at(c, i + 1)))).otherwise(F.array().cast("array<string>"))

@@ -61,10 +61,13 @@ def latencies(timings: DataFrame, stage: str = "stage", ms: str = "ms") -> DataF
 
 
 def nearest_rank(values: DataFrame, p: float, value: str = "value", by: str = "stage") -> DataFrame:
-    """The value at position ``round(p / 100 * (n - 1))``, half to even."""
-    ordered = values.groupBy(by).agg(F.sort_array(F.collect_list(value)).alias("all"))
-    at = F.bround(F.lit(p / 100) * (F.size("all") - 1)).cast("int") + 1
-    return ordered.select(by, F.element_at("all", at).alias("value"))
+    """The value at position ``round(p / 100 * (n - 1))``, half to even. Equal values are
+    counted first and then walked in order; nulls don't count."""
+    counted = values.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("value")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    n = counted.groupBy(by).agg(F.bround(F.lit(p / 100) * (F.sum("c") - 1)).cast("long").alias("at"))
+    placed = counted.withColumn("upto", upto).join(n, by)
+    return placed.filter((F.col("upto") - F.col("c") <= F.col("at")) & (F.col("at") < F.col("upto"))).select(by, "value")
 
 
 def split_alternate(rows: DataFrame, category: str, order: str) -> DataFrame:

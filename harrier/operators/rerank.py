@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +98,14 @@ def fit_student(examples: DataFrame, label: str = "teacher"):
     return LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0).fit(rows)
 
 
+def fit_trees(examples: DataFrame, label: str = "teacher", trees: int = 20, depth: int = 3, seed: int = 0):
+    """Boosted trees of the teacher's score on the features; needs eight examples."""
+    if examples.limit(8).count() < 8:
+        raise ValueError("a student needs eight examples")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(examples)
+    return GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
+
+
 def student_scores(model, rows: DataFrame) -> DataFrame:
     return model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)).withColumnRenamed("prediction", "score").drop("features")
 

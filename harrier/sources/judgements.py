@@ -6,12 +6,16 @@ import functools
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from harrier.shipping import ship
+
 CATEGORIES = ("simple_factual", "conditional", "comparative", "aggregation", "multi_hop", "staleness", "semantic", "exact_path")
 
 
@@ -50,6 +54,46 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(body, ", ".join(f"`{c}` string" for c in header)) if header else spark.createDataFrame([], "_c0 string")
 
 
+def read_slides(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, slide, text, notes)`` of the PPTX files that a path or pattern names: a row
+    for each slide, in the order of their numbers, its paragraphs as lines. A file that
+    isn't such an archive, or has no slides, has one row with null ``slide`` and ``text``. Files are dealt to
+    the tasks; each is read whole, as an archive must be."""
+    slide = "array<struct<slide: int, text: string, notes: string>>"
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", F.explode_outer(F.pandas_udf(_slides_of, slide)("content")).alias("s"))
+    return files.select("path", "s.slide", "s.text", "s.notes")
+
+
+def _slides_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for contents in batches:
+        yield contents.map(lambda data: _slides(bytes(data)))
+
+
+def _slides(data: bytes) -> list[dict] | None:
+    ns = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = set(z.namelist())
+
+            def lines(name: str) -> str | None:
+                if name not in names:
+                    return None
+                paragraphs = ElementTree.fromstring(z.read(name)).iter(f"{ns}p")
+                return "\n".join(x for x in ("".join(t.text or "" for t in p.iter(f"{ns}t")).strip() for p in paragraphs) if x)
+
+            def notes(number: int) -> str | None:
+                # a slide names its notes in its relations; their number may be another
+                rels = f"ppt/slides/_rels/slide{number}.xml.rels"
+                found = re.search(r"notesSlides/(notesSlide\d+\.xml)", z.read(rels).decode("utf-8", "replace")) if rels in names else None
+                return lines(f"ppt/notesSlides/{found[1]}") if found else None
+
+            numbers = sorted(int(m[1]) for n in names if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+            return [{"slide": n, "text": lines(f"ppt/slides/slide{n}.xml"), "notes": notes(n)} for n in numbers]
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, ElementTree.ParseError):
+        return None
+
+
 def _sheet_rows(data: bytes) -> Iterator[list[str | None]]:
     """The rows of the first sheet of a workbook: strings are shared or in place."""
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

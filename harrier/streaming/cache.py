@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from harrier.shipping import ship
 
@@ -27,13 +28,16 @@ class SemanticCache:
         self.similarity, self.ttl, self.size = similarity, ttl, size
         self.entries: OrderedDict[object, tuple[np.ndarray, float]] = OrderedDict()
         self.hits = self.misses = self.evictions = 0
+        self.nearest: float | None = None  # the best similarity of the last lookup
 
     def get(self, vector: np.ndarray, now: float) -> object | None:
         """The key of the nearest entry, if it is near enough and not expired."""
+        self.nearest = None
         if self.entries:
             keys = list(self.entries)
             scores = np.array([e[0] for e in self.entries.values()]) @ vector
             best = int(np.argmax(scores))
+            self.nearest = float(scores[best])
             if scores[best] >= self.similarity:
                 key = keys[best]
                 if now - self.entries[key][1] <= self.ttl:
@@ -85,24 +89,46 @@ def replay(questions: DataFrame, shards: int = 8, similarity: float = SIMILARITY
 
     Each task streams the sorted rows of its shards through their caches.
     """
+    return _streamed(questions.withColumn("probe", F.lit(False)), shards, similarity, ttl, size).select("shard", "question_id", "served_by")
 
+
+def probed(questions: DataFrame, probes: DataFrame, shards: int = 8, similarity: float = SIMILARITY, ttl: float = TTL, size: int = SIZE) -> DataFrame:
+    """``(shard, question_id, served_by, similarity)`` of the probes, which are looked up in
+    the caches that the questions have filled, and not added. ``similarity`` is that of
+    the nearest entry, null in an empty cache."""
+    rows = questions.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True)))
+    return _streamed(rows, shards, similarity, ttl, size).filter("probe").drop("probe")
+
+
+def probe_counts(found: DataFrame, sources: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """``(n, from_source, from_other, misses, least_margin)`` of probes, given the question
+    ``(question_id, source_id)`` that each rewrites: served by it, by another, or not; and
+    how near the closest decision was to the threshold."""
+    met = found.join(sources, "question_id")
+    own = F.col("served_by") == F.col("source_id")
+    return met.agg(F.count("*").alias("n"), F.count_if(own).alias("from_source"), F.count_if(~own).alias("from_other"), F.count_if(F.col("served_by").isNull()).alias("misses"), F.round(F.min(F.abs(F.col("similarity") - threshold)), 6).alias("least_margin"))
+
+
+_STREAMED = "shard long, question_id long, probe boolean, served_by long, similarity double"
+
+
+def _streamed(rows: DataFrame, shards: int, similarity: float, ttl: float, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, cache = None, SemanticCache(similarity, ttl, size)
         for batch in batches:
             out = []
-            for own, number, at, vector in zip(*(c.to_pylist() for c in batch.columns)):
+            for own, probe, at, number, vector in zip(*(c.to_pylist() for c in batch.columns)):
                 if own != shard:
                     shard, cache = own, SemanticCache(similarity, ttl, size)
                 v = np.asarray(vector, np.float64)
                 v = v / max(float(np.linalg.norm(v)), 1e-12)
                 served = cache.get(v, at)
-                if served is None:
+                out.append((own, number, probe, served, cache.nearest))
+                if served is None and not probe:
                     cache.put(number, v, at)
-                out.append((own, number, served))
             if out:
-                s, q, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(q, pa.int64()), pa.array(b, pa.int64())], names=["shard", "question_id", "served_by"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64()))], names=["shard", "question_id", "probe", "served_by", "similarity"])
 
-    ship(questions.sparkSession)
-    rows = questions.selectExpr("cast(shard as bigint) shard", "cast(question_id as bigint) question_id", "cast(at as double) at", "vector")
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "at", "question_id").mapInArrow(run, "shard long, question_id long, served_by long")
+    ship(rows.sparkSession)
+    typed = rows.selectExpr("cast(shard as bigint) shard", "probe", "cast(at as double) at", "cast(question_id as bigint) question_id", "vector")
+    return typed.repartition(shards, "shard").sortWithinPartitions("shard", "probe", "at", "question_id").mapInArrow(run, _STREAMED)
