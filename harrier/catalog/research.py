@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrier.catalog.base import DOCS_SQL, QT_SQL, QUERIES_SQL, TF_SQL, TOKEN_SQL, Catalog, bm25_sql, docs, table, text_queries, top_sql
 from harrier.catalog.graphs import _CLUSTERS
+from harrier.operators import evidence as X
+from harrier.operators import graph as G
 from harrier.operators import lexical as L
 from harrier.operators import research as R
+from harrier.operators import tabular as P
 from harrier.operators import versions as V
 from harrier.operators.understand import COMPARATIVE
 from harrier.sources import corpus, snapshot
@@ -149,3 +152,54 @@ def pending_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("version"), F.col("n_name").alias("name"), F.md5(F.col("n_name").cast("binary")).alias("checksum"))
     applied = files.filter("version < 20 AND version <> 7").select("version", F.when(F.col("version") == 3, "other").otherwise(F.col("checksum")).alias("checksum"))
     return corpus.pending_steps(files, applied.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("version"), F.lit("x").alias("checksum"))))
+
+
+@CATALOG.add("""WITH u AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders), z AS (SELECT o_orderkey % 100 AS query_id, o_orderkey AS seed, row_number() OVER (PARTITION BY o_orderkey % 100 ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderkey % 7 = 0),
+  r AS (SELECT query_id, 'o' || seed AS node, rank * 2 AS pos FROM z UNION ALL SELECT query_id, 'c' || c, rank * 2 + 1 FROM z JOIN u ON seed = o UNION ALL SELECT query_id, 'o' || b.o, rank * 2 + 1 FROM z JOIN u a ON seed = a.o JOIN u b ON a.c = b.c AND b.o <> seed),
+  f AS (SELECT query_id, node, min(pos) AS pos FROM r GROUP BY ALL) SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY pos, node) AS position FROM f""")
+def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh order as a seed, with its customer and that one's other orders."""
+    o = table(spark, sf_dir, "orders")
+    edges = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.lit("placed").alias("kind"))
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy("o_orderkey"))
+    seeds = o.filter("o_orderkey % 7 = 0").select((F.col("o_orderkey") % 100).alias("query_id"), "o_orderkey").withColumn("rank", turn)
+    return G.expanded(seeds.select("query_id", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("seed"), "rank"), edges, 2)
+
+
+@CATALOG.add("""WITH c AS (SELECT event_id, 'event_type' AS "column", event_type AS cell FROM events UNION ALL SELECT event_id, 'user_id', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT event_id, 'props', CAST(props AS VARCHAR) FROM events),
+  f AS (SELECT "column", cell, min(event_id) AS pos FROM c WHERE cell <> '' GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY pos, cell) AS turn FROM f) SELECT "column", list(cell ORDER BY turn) AS sample FROM t WHERE turn <= 4 GROUP BY "column" """)
+def column_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.samples(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props"), "event_id")
+
+
+#: Kinds of evidence, by the label that they must get: what a claim and its evidence change of
+#: a fact (subject, field, value, unit, negated, current). ``{n}`` is the variant's number.
+_FACT = {"subject": "robot_{n}", "field": "latency", "value": "{n}", "unit": "s", "negated": False, "current": True}
+_KINDS = [
+    ("supported", {}, [{}]), ("supported", {"value": "{n}000", "unit": "ms"}, [{}]), ("supported", {"value": "{n}e0"}, [{}]), ("supported", {"negated": True}, [{"negated": True}]),
+    ("supported", {"field": "on", "value": "true", "unit": ""}, [{"field": "on", "value": "true", "unit": ""}]), ("supported", {"field": "encoder", "value": "e{n}", "unit": ""}, [{"field": "encoder", "value": "e{n}", "unit": ""}]), ("supported", {"subject": "röbot_{n}"}, [{"subject": "röbot_{n}"}]),
+    ("conflict", {"value": "{n}1"}, [{}]), ("conflict", {"unit": "m"}, [{}]), ("conflict", {"negated": True}, [{}]), ("conflict", {}, [{"current": False}]), ("conflict", {}, [{}, {"value": "{n}1"}]), ("conflict", {"value": "{n}001", "unit": "ms"}, [{}]),
+    ("conflict", {"field": "on", "value": "false", "unit": ""}, [{"field": "on", "value": "true", "unit": ""}]), ("conflict", {"field": "encoder", "value": "f{n}", "unit": ""}, [{"field": "encoder", "value": "e{n}", "unit": ""}]),
+    ("unknown", {"subject": "other_{n}"}, [{}]), ("unknown", {"field": "other"}, [{}]), ("unknown", {"unit": "furlongs"}, [{}]), ("unknown", {}, [{"current": None}]), ("unknown", {"value": "NaN"}, [{}]), ("unknown", {}, []),
+]
+_VARIANTS = 10
+
+
+@CATALOG.add("SELECT label AS expected, label AS actual, n FROM (VALUES " + ", ".join(f"('{label}', {_VARIANTS * sum(k[0] == label for k in _KINDS)})" for label in ("supported", "conflict", "unknown")) + ") AS t(label, n)")
+def evidence_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which labels claims of known label get, over kinds of evidence and their variants."""
+    variants = spark.range(1, _VARIANTS + 1).select(F.col("id").cast("string").alias("n"))
+    cases, pairs = None, None
+
+    def fact(prefix: str, changes: dict) -> list:
+        shown = {k: F.replace(F.lit(v), F.lit("{n}"), F.col("n")) if isinstance(v, str) else F.lit(v).cast("boolean") for k, v in (_FACT | changes).items()}
+        return [c.alias(f"{prefix}_{k}") for k, c in shown.items()]
+
+    for i, (label, claim, evidence) in enumerate(_KINDS):
+        case = variants.select(F.concat(F.lit(f"{i}/"), "n").alias("claim_id"), F.lit(label).alias("expected"))
+        cases = case if cases is None else cases.unionByName(case)
+        for found in evidence:
+            pair = variants.select(F.concat(F.lit(f"{i}/"), "n").alias("claim_id"), *fact("c", claim), *fact("e", found))
+            pairs = pair if pairs is None else pairs.unionByName(pair)
+    said = X.fact_verdicts(X.compared_facts(pairs))
+    return cases.join(said, "claim_id", "left").groupBy("expected", F.coalesce("label", F.lit("unknown")).alias("actual")).agg(F.count("*").alias("n"))

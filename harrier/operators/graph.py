@@ -76,6 +76,16 @@ def hops(edges: DataFrame, seeds: DataFrame, n: int = 1, kinds: list[str] | None
     return reached
 
 
+def expanded(seeds: DataFrame, edges: DataFrame, n: int = 1, kinds: list[str] | None = None) -> DataFrame:
+    """``(query_id, node, position)``: the seeds ``(query_id, seed, rank)`` in their order,
+    each followed by the nodes within ``n`` steps of it by name; a node stands where it
+    comes first. Each distinct seed is walked from once, whatever the number of queries."""
+    near = hops(edges, seeds.select("seed").distinct(), n, kinds)
+    first = seeds.join(near, "seed").groupBy("query_id", "node").agg(F.min(F.struct("rank", (F.col("hop") > 0).alias("later"))).alias("at"))
+    turn = Window.partitionBy("query_id").orderBy("at.rank", "at.later", "node")
+    return first.withColumn("position", F.row_number().over(turn)).select("query_id", "node", "position")
+
+
 def triples(chunks: DataFrame) -> DataFrame:
     """``(src, relation, dst, evidence)`` of the runs that ``chunks (path, text)`` name, as
     often as the text says them."""

@@ -11,7 +11,8 @@ from support import DATA
 import __spark_entry__
 from harrier.catalog.base import docs
 from harrier.functions import embedders
-from harrier.operators import dense, evaluate, rerank, tabular
+from harrier.operators import dense, evaluate, graph, rerank, tabular
+from harrier.plans.engine import Config, Engine
 from harrier.sources import judgements
 from harrier.streaming import cache
 
@@ -115,3 +116,35 @@ def test_named_chart():
     assert tabular.choose_chart("trend", "bar")[:2] == ("bar", ("line", "dot"))
     with pytest.raises(ValueError, match="pie"):
         tabular.choose_chart("", "pie")
+
+
+def test_expansion_in_the_order_of_seeds(spark):
+    edges = spark.createDataFrame([("a", "m", "x"), ("b", "a", "x"), ("c", "z", "x"), ("c", "y", "x"), ("c", "q", "other")], "src string, dst string, kind string")
+    seeds = spark.createDataFrame([(1, "c", 1), (1, "a", 2), (1, "c", 3), (2, "a", 1), (2, "b", 2), (3, "lonely", 1)], "query_id int, seed string, rank int")
+    rows = graph.expanded(seeds, edges, 1, ["x"]).orderBy("position").collect()
+    assert {q: [r.node for r in rows if r.query_id == q] for q in (1, 2, 3)} == {1: ["c", "y", "z", "a", "b", "m"], 2: ["a", "b", "m"], 3: ["lonely"]}
+
+
+def test_samples(spark):
+    rows = spark.createDataFrame([(3, "c", None), (1, "a", None), (2, "a", ""), (4, "d", None), (5, "b", None), (6, "e", None)], "at int, x string, y string")
+    assert {r.column: r.sample for r in tabular.samples(rows, "at").collect()} == {"x": ["a", "c", "d", "b"], "y": []}
+    assert {r.column: r.sample for r in tabular.samples(rows.limit(0), "at").collect()} == {"x": [], "y": []}
+
+
+def _chunks(spark):
+    return spark.createDataFrame([(1, "src/a.py", "alpha beta gamma", 1.0), (2, "src/b.py", "alpha alpha", 1.0), (3, "notes.md", "beta", 1.0)], "chunk_id long, path string, text string, mtime double")
+
+
+def test_engine_takes_legs_and_rerankers(spark):
+    queries = spark.createDataFrame([(1, "where do alpha and beta meet in the notes")], "query_id long, text string")
+    only = Engine(spark, _chunks(spark)).retrieve(queries, Config(legs=("bm25",), reranked=False)).collect()
+    assert {r.chunk_id for r in only} == {1, 2, 3} and all(r.dense is None and r.bm25 is not None and r.rerank is None and r.degraded == [] for r in only)
+    with pytest.raises(ValueError, match="legs"):
+        Config(legs=("sparse",))
+    with pytest.raises(ValueError, match="legs"):
+        Config(legs=())
+    shortest = Engine(spark, _chunks(spark), reranker=lambda pairs: [-float(len(t)) for _, t in pairs]).retrieve(queries).orderBy("rank").collect()
+    assert [r.chunk_id for r in shortest] == [3, 2, 1] and shortest[0].degraded == []
+    lost = Engine(spark, _chunks(spark), reranker_error="no weights")
+    assert {tuple(r.degraded) for r in lost.retrieve(queries).collect()} == {("rerank: no weights",)}
+    assert {tuple(r.degraded) for r in lost.retrieve(queries, Config(reranked=False)).collect()} == {()}
