@@ -16,8 +16,6 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
@@ -80,14 +78,39 @@ def tfidf(docs: DataFrame, text: str = "text", features: int = 4096):
 def principal(vectors: DataFrame, dim: int, column: str = "features") -> np.ndarray:
     """The ``dim`` leading right singular vectors of the rows, uncentred: an array of
     (features, dim), fewer columns where the rank is lower. The entry of each that is
-    largest by size is positive. The Gram matrix is summed over the tasks by a tree, and
-    only it (features squared) meets the driver."""
-    rows = MLUtils.convertVectorColumnsFromML(vectors.select(column), column).rdd.map(lambda row: row[0])
-    matrix = RowMatrix(rows)
-    axes = matrix.computeSVD(min(dim, matrix.numCols()), rCond=1e-9).V.toArray()
+    largest by size is positive. A task keeps one Gram matrix (features squared, so the
+    vocabulary must be bounded, as ``tfidf`` bounds it); a tree adds them up. No rows at
+    all are an error: they have no axes."""
+    ship(vectors.sparkSession)
+
+    def gram(rows: Iterator) -> Iterator[np.ndarray]:
+        total, block = None, []
+
+        def added() -> np.ndarray:
+            x = np.array([v.toArray() for v in block])
+            return x.T @ x if total is None else total + x.T @ x
+
+        for (v,) in rows:
+            block.append(v)
+            if len(block) == _GRAM_ROWS:
+                total, block = added(), []
+        if block:
+            total = added()
+        if total is not None:
+            yield total
+
+    parts = vectors.select(column).rdd.mapPartitions(gram)
+    values, axes = np.linalg.eigh(parts.treeReduce(np.add))
+    kept = [k for k in np.argsort(-values)[:dim] if values[k] > _RANK * values.max()]
+    axes = axes[:, kept]
     return axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
 
 
+#: Rows that are made dense at a time, and the share of the largest eigenvalue that counts as zero.
+_GRAM_ROWS = 512
+_RANK = 1e-12
+
+
 def reduced(vectors: DataFrame, axes: np.ndarray, column: str = "features") -> DataFrame:
     """``vectors`` with ``embedding``: the rows on the axes, scaled to length 1. A row of
     zeros stays one. The axes' size is bounded by the vocabulary's."""

@@ -124,7 +124,7 @@ def glob_match(path: Column | str, pattern: str) -> Column:
 def literal_within(value: Column, text: Column) -> Column:
     """Is ``value`` in ``text`` as it is, not as part of a longer word or number?"""
     quoted = F.concat(F.lit("(?i)(?<![\\w.])\\Q"), value, F.lit("\\E(?![\\w.])"))
-    return F.regexp_count(text, quoted) > 0
+    return F.rlike(text, quoted)
 
 
 def jaccard(a: Column, b: Column) -> Column:

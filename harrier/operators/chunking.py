@@ -36,7 +36,7 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     n = F.char_length(text)
     last = F.ceil(F.greatest(n - size, F.lit(0)) / F.lit(step)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, n).alias("end"), F.substring(text, i * step + 1, F.lit(size)).alias("text")))
-    return F.filter(cut, lambda c: F.regexp_count(c["text"], F.lit(r"(?U)\S")) > 0)
+    return F.filter(cut, lambda c: c["text"].rlike(r"(?U)\S"))
 
 
 def fixed_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, keys: tuple[str, ...] = ("path",)) -> DataFrame:

@@ -41,7 +41,7 @@ def gate(files: DataFrame, suffixes: tuple[str, ...] = SUFFIXES, max_bytes: int
     early = F.when(~(inside if inside is not None else ~F.array_contains(F.split("path", "/"), "..")), "outside_root").when(~T.suffix("path").isin(*suffixes), "unsupported_type").when(F.col("size") > max_bytes, "too_large")
     text = F.try_validate_utf8(data.cast("string"))
     first = files.withColumns({"sha256": F.sha2(data, 256), "text": text, "early": early})
-    early2 = F.coalesce("early", F.when(F.col("text").isNull(), "undecodable").when(F.regexp_count("text", F.lit(r"(?U)\S")) == 0, "empty"))
+    early2 = F.coalesce("early", F.when(F.col("text").isNull(), "undecodable").when(~F.col("text").rlike(r"(?U)\S"), "empty"))
     checked = first.withColumn("early", early2)
     # only hashes and paths are grouped; contents stay where they are while few hashes repeat
     shared = checked.filter("early is null").groupBy(F.col("sha256").alias("of")).agg(F.min("path").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
