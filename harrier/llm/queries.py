@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrier.llm import bpe, chat, decontam, line_dedup, pii, quality, sharding, simhash, token_counts, url_filter
+from harrier.llm import bpe, chat, decontam, line_dedup, mixing, periodic, pii, quality, sharding, simhash, token_counts, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(_table(spark, sf_dir, "documents"))
 
 
-_OPERATORS = (op1_line_dedup, op2_byte_bpe, op3_pii, op4_token_counts, op5_url_filter, op6_quality, op7_sharding, op8_chat_repair, op9_decontamination, op10_simhash)
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(_table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (
+    op1_line_dedup,
+    op2_byte_bpe,
+    op3_pii,
+    op4_token_counts,
+    op5_url_filter,
+    op6_quality,
+    op7_sharding,
+    op8_chat_repair,
+    op9_decontamination,
+    op10_simhash,
+    op11_whitening,
+    op12_periodic_runs,
+    op13_mixing,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -67,23 +93,20 @@ _FOLD = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _BARE = "trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
-def _quality_sql() -> str:
-    """Measures, rules, the beta prior by moments, and the hosts' verdicts."""
-    rules = {
+def _rules_sql() -> dict[str, str]:
+    return {
         "too_short": f"n_words < {quality.MIN_WORDS}",
         "repetitive": f"100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words",
         "symbols": "10 * n_symbols > n_words",
         "word_length": f"n_words > 0 AND (word_chars < {quality.MEAN_WORD[0]} * n_words OR word_chars > {quality.MEAN_WORD[1]} * n_words)",
         "repeated_lines": "10 * n_dup_lines > n_words",
     }
-    counts = ", ".join(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)::DOUBLE AS {rule}" for rule, cond in rules.items())
-    moments = ", ".join(f"least(greatest(avg({r} / n_docs), 1e-3), 1 - 1e-3) AS {r}_m, var_samp({r} / n_docs) AS {r}_v" for r in rules)
-    weights = ", ".join(f"least(greatest(CASE WHEN {r}_v > 0 THEN {r}_m * (1 - {r}_m) / {r}_v - 1 ELSE 1e4 END, 2), 1e4) AS {r}_w" for r in rules)
-    rate = {r: f"({r} + {r}_m * {r}_w) / (n_docs + {r}_w)" for r in rules}
-    suspects = ", ".join(f"{x} >= {quality.SUSPECT_RATE} AS {r}_suspect" for r, x in rate.items())
-    fails = " OR ".join(f"({r}_suspect AND ({cond}))" for r, cond in rules.items())
+
+
+def _measures_sql() -> str:
+    """The common tables up to ``m (doc_id, source, *MEASURES)``."""
     return rf"""
-        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         g AS (SELECT doc_id, i, w[i : i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
         c AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
         r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS pos FROM c) GROUP BY doc_id),
@@ -91,7 +114,20 @@ def _quality_sql() -> str:
         u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE {_BARE.format(x="line")} <> '' GROUP BY doc_id),
         m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                 CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
-              FROM d LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id)),
+              FROM d LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id))"""
+
+
+def _quality_sql() -> str:
+    """Measures, rules, the beta prior by moments, and the hosts' verdicts."""
+    rules = _rules_sql()
+    counts = ", ".join(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)::DOUBLE AS {rule}" for rule, cond in rules.items())
+    moments = ", ".join(f"least(greatest(avg({r} / n_docs), 1e-3), 1 - 1e-3) AS {r}_m, var_samp({r} / n_docs) AS {r}_v" for r in rules)
+    weights = ", ".join(f"least(greatest(CASE WHEN {r}_v > 0 THEN {r}_m * (1 - {r}_m) / {r}_v - 1 ELSE 1e4 END, 2), 1e4) AS {r}_w" for r in rules)
+    rate = {r: f"({r} + {r}_m * {r}_w) / (n_docs + {r}_w)" for r in rules}
+    suspects = ", ".join(f"{x} >= {quality.SUSPECT_RATE} AS {r}_suspect" for r, x in rate.items())
+    fails = " OR ".join(f"({r}_suspect AND ({cond}))" for r, cond in rules.items())
+    return rf"""
+        WITH {_measures_sql()},
         h AS (SELECT source, count(*)::DOUBLE AS n_docs, {counts} FROM m GROUP BY source),
         p AS (SELECT {moments} FROM h), q AS (SELECT *, {weights} FROM p),
         v AS (SELECT source, greatest({", ".join(rate.values())}) >= {quality.REJECT_RATE} AS rejected, {suspects} FROM h, q)
@@ -100,6 +136,25 @@ def _quality_sql() -> str:
         FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source"""
 
 
+def _mix_sql() -> str:
+    """Sizes, the level of the shares by the order in which sources fill up, exponential keys, running sums."""
+    failed = " + ".join(f"(CASE WHEN {cond} THEN 1 ELSE 0 END)" for cond in _rules_sql().values())
+    u = "((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || n_words || '/mix'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656)"
+    weight = " ".join(f"WHEN {i} THEN {w}::DOUBLE" for i, w in enumerate(mixing.WEIGHTS))
+    return rf"""
+        WITH {_measures_sql()},
+        k AS (SELECT doc_id, source, n_words AS size, -ln({u}) / (1::DOUBLE / (1 + {failed})) AS key FROM m),
+        s AS (SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM k GROUP BY source),
+        a AS (SELECT *, CASE rank % {len(mixing.WEIGHTS)} {weight} END AS weight, {mixing.MOST} * source_size AS cap FROM s),
+        f AS (SELECT cap / weight AS fills, rank, (sum(source_size) OVER () * {mixing.SHARE}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM a),
+        b AS (SELECT source, source_size, least(cap, weight * (SELECT coalesce(arg_min(level, struct_pack(f := fills, r := rank)) FILTER (level <= fills), 0) FROM f)) AS target FROM a),
+        o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+        t AS (SELECT doc_id, size, before, b.source_size::BIGINT AS source_size, target, round(target)::BIGINT AS budget, CASE WHEN b.source_size > 0 THEN floor(round(target) / b.source_size)::BIGINT ELSE 0 END AS epochs
+              FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source)
+        SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(least(budget - epochs * source_size - before, size), 0) AS BIGINT) AS taken FROM t"""
+
+
 def _url_sql() -> str:
     """The fixed rules, all sets of the tokens that are frequent among blocked pages, and their rules."""
     parts = r"'://([^/?#]*)([^?#]*)(?:\?([^#]*))?'"
@@ -158,6 +213,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": _url_sql(),
         "op6_quality": _quality_sql(),
         "op7_sharding": _shard_sql(),
+        "op13_mixing": _mix_sql(),
         "op9_decontamination": r"""
             WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
