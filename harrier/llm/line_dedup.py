@@ -94,7 +94,9 @@ class LineRuns:
         return runs[0] if len(runs) == 1 else _merged(runs)
 
     def judge(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``docs`` with two more columns: ``n_lines long`` and ``kept_lines array<string>``."""
+        """``docs`` with two more columns: ``n_lines long`` and ``kept_lines array<string>``. Where
+        ``docs`` has columns of these names, the new ones are named by ``judged_names``."""
+        n_lines, kept_lines = judged_names(docs)
         doc, digest, stays, lines_at = (free_name(docs, n) for n in ("doc", "digest", "stays", "lines_at"))
         text = text_of(text_col)
         keyed = docs.withColumns({doc: _doc(id_col), digest: F.xxhash64(text)})
@@ -109,11 +111,16 @@ class LineRuns:
         return (
             keyed.join(by_doc, [doc, digest], "left")
             .withColumn(lines_at, F.split(text, "\n"))
-            .withColumns({"n_lines": F.size(F.col(lines_at)).cast("long"), "kept_lines": F.transform(stay_at, lambda i: F.element_at(F.col(lines_at), i + 1))})
+            .withColumns({n_lines: F.size(F.col(lines_at)).cast("long"), kept_lines: F.transform(stay_at, lambda i: F.element_at(F.col(lines_at), i + 1))})
             .drop(doc, digest, stays, lines_at)
         )
 
 
+def judged_names(docs: DataFrame) -> tuple[str, str]:
+    """``n_lines`` and ``kept_lines``, or these with underscores before where ``docs`` has them."""
+    return free_name(docs, "n_lines"), free_name(docs, "kept_lines")
+
+
 def _doc(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
 
@@ -142,7 +149,7 @@ def batches_of(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[DataFram
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` with ``n_lines`` and ``kept_lines``: batch after batch is taken into the
+    """``docs`` with ``n_lines`` and ``kept_lines`` (``judged_names``): batch after batch is taken into the
     runs, and then all lines are judged against them."""
     runs = LineRuns(docs.sparkSession, fanout, min_chars, min_docs)
     for batch in batches_of(docs, batches):
@@ -160,6 +167,6 @@ def line_digest(docs: DataFrame) -> DataFrame:
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``documents`` with the dropped lines gone from ``text``, and ``n_chars`` to match."""
     judged = dedup_lines(docs)
-    text = F.array_join("kept_lines", "\n")
+    text = F.array_join(judged_names(docs)[1], "\n")
     out = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
     return judged.withColumns(out).select(docs.columns)

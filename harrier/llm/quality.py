@@ -5,10 +5,11 @@ summed by host. A host's rate of failures is shrunk towards that of all hosts: a
 beta prior is fitted to the hosts' rates by the method of moments, and the rate is
 the posterior mean, so a host of few documents says little.
 
-Host verdicts meet the documents again in two ways. A host whose shrunk rate reaches
-``suspect_rate`` for a rule is *suspect* in that rule: its documents that fail the
-rule go, while on other hosts a rare failure is let pass (a table of prices on a host
-of prose isn't junk). A host whose shrunk rate reaches ``reject_rate`` for any rule is
+Host verdicts meet the documents again in two ways. A host that is worse than the corpus
+in a rule is *suspect* in it: its documents that fail the rule go, while on other hosts a
+failure is let pass (a table of prices on a host of prose isn't junk). It is worse if the
+lower end of its posterior (mean less ``sure`` standard deviations of the beta) exceeds
+``factor`` times the prior's mean; so the bar follows from the corpus, for each rule. A host whose shrunk rate reaches ``reject_rate`` for any rule is
 *rejected*, with all its documents. Documents that fail a base rule (``too_short``,
 ``repetitive``) go by themselves.
 
@@ -36,8 +37,11 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: The mean length of words, in characters, that a document should have.
 MEAN_WORD = (2, 20)
-#: Shrunk rates of failure from which on a host is suspect in a rule, and rejected.
-SUSPECT_RATE = 0.05
+#: A host is suspect in a rule if its rate exceeds the corpus' rate this many times, and how
+#: sure that must be: standard deviations, one-sided 95 %.
+FACTOR = 1.0
+SURE = 1.645
+#: The shrunk rate of failures from which on a host is rejected.
 REJECT_RATE = 0.75
 BROADCAST_HOSTS = 10_000
 
@@ -113,7 +117,7 @@ def with_measures(docs: DataFrame, into: str, text_col: str = "text") -> DataFra
     return docs.withColumn(into, measures(text_of(text_col)))
 
 
-def host_verdicts(measures: DataFrame, suspect_rate: float = SUSPECT_RATE, reject_rate: float = REJECT_RATE) -> DataFrame:
+def host_verdicts(measures: DataFrame, factor: float = FACTOR, reject_rate: float = REJECT_RATE) -> DataFrame:
     """``(host, n_docs, <rule>_rate..., suspect_in array<string>, rejected)``: the shrunk
     rates of each host and its verdicts, of ``measures (host, *MEASURES)``."""
     rules = rule_failures()
@@ -121,11 +125,13 @@ def host_verdicts(measures: DataFrame, suspect_rate: float = SUSPECT_RATE, rejec
     share = {rule: F.col(rule) / F.col("n_docs") for rule in rules}
     # two numbers for each rule reach the driver
     moments = hosts.agg(*(f(share[rule]).alias(f"{rule}_{name}") for rule in rules for name, f in (("mean", F.avg), ("var", F.var_samp)))).first()
-    rates = {}
+    rates, worse = {}, {}
     for rule in rules:
         alpha, beta = beta_prior(moments[f"{rule}_mean"], moments[f"{rule}_var"])
-        rates[rule] = (F.col(rule) + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
-    suspect = F.array_compact(F.array(*(F.when(rate >= suspect_rate, rule) for rule, rate in rates.items())))
+        weight = F.col("n_docs") + F.lit(alpha + beta)
+        rate = rates[rule] = (F.col(rule) + F.lit(alpha)) / weight
+        worse[rule] = rate - F.lit(SURE) * F.sqrt(rate * (1 - rate) / (weight + 1)) > F.lit(factor * alpha / (alpha + beta))
+    suspect = F.array_compact(F.array(*(F.when(above, rule) for rule, above in worse.items())))
     return hosts.select("host", "n_docs", *(c.alias(f"{rule}_rate") for rule, c in rates.items()), suspect.alias("suspect_in"), (F.greatest(*rates.values()) >= reject_rate).alias("rejected"))
 
 
@@ -148,27 +154,27 @@ def _verdict(measure_of: Callable[[str], Column], suspect_in: str = "suspect_in"
     return base.alias("base_failed"), (~base & ~gone).alias("kept")
 
 
-def _bad_hosts(measures: DataFrame, suspect_rate: float, reject_rate: float) -> DataFrame:
+def _bad_hosts(measures: DataFrame, factor: float, reject_rate: float) -> DataFrame:
     """The hosts with any verdict, ready to be joined."""
-    hosts = host_verdicts(measures, suspect_rate, reject_rate).filter("rejected or size(suspect_in) > 0")
+    hosts = host_verdicts(measures, factor, reject_rate).filter("rejected or size(suspect_in) > 0")
     return small(materialize(hosts.select("host", "suspect_in", "rejected"), "host-verdicts"), BROADCAST_HOSTS)
 
 
-def judged(docs: DataFrame, host_col: str = "source", suspect_rate: float = SUSPECT_RATE, reject_rate: float = REJECT_RATE) -> DataFrame:
+def judged(docs: DataFrame, host_col: str = "source", factor: float = FACTOR, reject_rate: float = REJECT_RATE) -> DataFrame:
     """``(doc_id, *MEASURES, base_failed, kept)``, a row for each row of ``docs``."""
     narrow = docs.select("doc_id", F.col(host_col).cast("string").alias("host"), "text")
     measures = materialize(with_measures(narrow, "measures").select("doc_id", "host", "measures.*"), "measures")
-    bad = _bad_hosts(measures, suspect_rate, reject_rate).withColumnRenamed("host", "bad_host")
+    bad = _bad_hosts(measures, factor, reject_rate).withColumnRenamed("host", "bad_host")
     return measures.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left").select("doc_id", *MEASURES, *_verdict(F.col))
 
 
-def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", suspect_rate: float = SUSPECT_RATE, reject_rate: float = REJECT_RATE) -> DataFrame:
+def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", factor: float = FACTOR, reject_rate: float = REJECT_RATE) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns. Rows are written once with
     their measures; texts aren't shuffled unless more hosts than may be broadcast have a
     verdict."""
     found, host, suspect, rejected = (free_name(docs, n) for n in ("measures", "bad_host", "suspect_in", "rejected"))
     rows = materialize(with_measures(docs, found, text_col), "measured")
     source = F.col(host_col).cast("string")
-    bad = _bad_hosts(rows.select(source.alias("host"), f"{found}.*"), suspect_rate, reject_rate).toDF(host, suspect, rejected)
+    bad = _bad_hosts(rows.select(source.alias("host"), f"{found}.*"), factor, reject_rate).toDF(host, suspect, rejected)
     _, kept = _verdict(lambda m: F.col(found).getField(m), suspect, rejected)
     return rows.join(bad, source.eqNullSafe(F.col(host)), "left").filter(kept).select(docs.columns)

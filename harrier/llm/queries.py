@@ -124,7 +124,8 @@ def _quality_sql() -> str:
     moments = ", ".join(f"least(greatest(avg({r} / n_docs), 1e-3), 1 - 1e-3) AS {r}_m, var_samp({r} / n_docs) AS {r}_v" for r in rules)
     weights = ", ".join(f"least(greatest(CASE WHEN {r}_v > 0 THEN {r}_m * (1 - {r}_m) / {r}_v - 1 ELSE 1e4 END, 2), 1e4) AS {r}_w" for r in rules)
     rate = {r: f"({r} + {r}_m * {r}_w) / (n_docs + {r}_w)" for r in rules}
-    suspects = ", ".join(f"{x} >= {quality.SUSPECT_RATE} AS {r}_suspect" for r, x in rate.items())
+    spread = {r: f"{quality.SURE}::DOUBLE * sqrt({x} * (1 - {x}) / (n_docs + {r}_w + 1))" for r, x in rate.items()}
+    suspects = ", ".join(f"{x} - {spread[r]} > {quality.FACTOR}::DOUBLE * {r}_m * {r}_w / {r}_w AS {r}_suspect" for r, x in rate.items())
     fails = " OR ".join(f"({r}_suspect AND ({cond}))" for r, cond in rules.items())
     return rf"""
         WITH {_measures_sql()},
@@ -171,7 +172,7 @@ def _url_sql() -> str:
         n AS (SELECT greatest(ceil({url_filter.MIN_SUPPORT} * count(*) - 1e-9), {url_filter.MIN_COUNT}) AS need, greatest({url_filter.MIN_CONFIDENCE}, avg(bad)) AS bar FROM b),
         e AS (SELECT num, bad, unnest(tokens) AS t FROM b),
         w AS (SELECT t, p, {lower} >= bar AS sure FROM (SELECT t, count(*)::DOUBLE AS seen, sum(bad)::DOUBLE AS blocked, sum(bad) / count(*)::DOUBLE AS p FROM e GROUP BY t), n WHERE blocked >= need),
-        g AS (SELECT num, bad, list_sort(list(t ORDER BY p DESC, t)[1 : {url_filter.FIT_TOKENS}]) AS ts FROM e JOIN w USING (t) WHERE NOT sure GROUP BY num, bad),
+        g AS (SELECT num, bad, list_sort(list(t)) AS ts FROM e JOIN w USING (t) WHERE NOT sure GROUP BY num, bad),
         k AS (SELECT list_filter(ts, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS tokens, count(*)::DOUBLE AS seen, sum(bad)::DOUBLE AS blocked FROM (SELECT bad, ts, unnest(range(1, 1 << len(ts))) AS mask FROM g) GROUP BY ALL),
         m AS (SELECT [t] AS tokens FROM w WHERE sure UNION ALL SELECT tokens FROM (SELECT *, blocked / seen AS p FROM k, n WHERE blocked >= need AND len(tokens) > 1) WHERE {lower} >= bar),
         u AS (SELECT tokens, unnest(tokens) AS one FROM (SELECT DISTINCT tokens FROM t)),

@@ -10,7 +10,7 @@ fall into ``buckets`` by the hash of key and content (so many records of one key
 spread too), a window numbers each (shard, bucket), and the sums
 of the counts before it (shards x buckets rows, a fixed number) are its offset.
 
-A null key is a key of its own; null texts have no bytes. Repeated rows share a shard
+Of equal scores the shard named first wins. A null key is a key of its own; null texts have no bytes. Repeated rows share a shard
 and have a slot each. No columns of the input are needed but the key and the text,
 whatever the others' names. Empty tables give no rows; texts count with all their bytes.
 """
@@ -40,28 +40,31 @@ def shard_of(key: Column, shards: list[tuple[str, float]]) -> Column:
 
 
 def assign(df: DataFrame, key: str, shards: list[tuple[str, float]], out: str = "shard") -> DataFrame:
-    """``df`` with the shard's position as a further column: no shuffle."""
-    return df.withColumn(out, shard_of(F.col(key), shards))
+    """``df`` with the shard's position as a further column: no shuffle. A column of that
+    name stays, and the new one gets underscores before its name (``free_name``)."""
+    return df.withColumn(free_name(df, out), shard_of(F.col(key), shards))
 
 
-def with_slots(df: DataFrame, key: str, order: list[str], buckets: int = BUCKETS, out: str = "slot") -> DataFrame:
+def with_slots(df: DataFrame, key: str, order: list[str], buckets: int = BUCKETS, out: str = "slot", shard: str = "shard") -> DataFrame:
     """``df`` (with ``shard``) with gapless numbers from 0 in each shard, in the order of
-    the bucket, the key and ``order``."""
-    bucket, before = free_name(df, "bucket"), free_name(df, "before")
+    the bucket, the key and ``order``; a column named ``out`` stays, as in ``assign``."""
+    bucket, before, out = free_name(df, "bucket"), free_name(df, "before"), free_name(df, out)
     dealt = df.withColumn(bucket, F.floor(draw(F.concat_ws("/", *(F.col(c).cast("string") for c in (key, *order))), "bucket") * buckets).cast("int"))
-    counts = dealt.groupBy("shard", bucket).agg(F.count("*").alias("rows"))
-    upto = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", bucket, F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias(before))
-    numbered = dealt.withColumn(out, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(F.col(key).asc_nulls_first(), *order)).cast("long") - 1)
+    counts = dealt.groupBy(shard, bucket).agg(F.count("*").alias("rows"))
+    upto = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(shard, bucket, F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias(before))
+    numbered = dealt.withColumn(out, F.row_number().over(Window.partitionBy(shard, bucket).orderBy(F.col(key).asc_nulls_first(), *order)).cast("long") - 1)
     # shards x buckets rows at most, whatever the input
-    return numbered.join(F.broadcast(offsets), ["shard", bucket]).withColumn(out, F.col(out) + F.col(before)).drop(bucket, before)
+    return numbered.join(F.broadcast(offsets), [shard, bucket]).withColumn(out, F.col(out) + F.col(before)).drop(bucket, before)
 
 
 def write_shards(df: DataFrame, key: str, shards: list[tuple[str, float]], path: str) -> None:
-    """Write the records as Parquet, a folder ``shard=<name>`` for each shard. Every
+    """Write the records as Parquet, a folder ``shard=<name>`` for each shard (``_shard=`` where
+    the records have a column of that name). Every
     task writes to all shards; a shard is split over many files, never held by one task."""
     names = F.array(*(F.lit(name) for name, _ in shards))
-    df.withColumn("shard", F.element_at(names, shard_of(F.col(key), shards) + 1)).write.partitionBy("shard").parquet(path)
+    folder = free_name(df, "shard")
+    df.withColumn(folder, F.element_at(names, shard_of(F.col(key), shards) + 1)).write.partitionBy(folder).parquet(path)
 
 
 def shard_report(docs: DataFrame, n_shards: int = 8) -> DataFrame:

@@ -11,10 +11,11 @@ bar is the higher the fewer pages speak for a rule. A rule of which a part is a
 too is dropped, since the part fits wherever it does.
 
 Tokens that are rules by themselves are found by one count and leave the sets that
-FP-growth works on. Of the other tokens a labelled URL brings its ``FIT_TOKENS`` most
-blocked ones at most, which bounds the *fit* only (sets of thousands of shared words
-would have the power set of them as frequent sets). There is no cap on the number of
-rules, and URLs are judged by all their tokens.
+FP-growth works on. So do tokens of every labelled URL, which change no set's numbers.
+Tokens that stand in the same labelled URLs are one item of the fit, and its rules are
+written out for each choice of them. Nothing else is left out: there is no cap on a URL's
+tokens, on a rule's or on the number of rules; the fit's work is that of the frequent
+sets of the classes that are left.
 
 Matching goes by an inverted index: each rule is filed under its rarest token, so a
 URL looks up its tokens, and only the rules found there are compared whole. Up to
@@ -24,7 +25,8 @@ operations; FP-growth is Spark's own.
 
 A null URL, or one without ``://``, has an empty host and path, and no tokens. A
 page is labelled by the labels with its id; of several, one that says block is
-enough. Null labels say nothing. Repeated rows are judged alike. Without labels
+enough. Null labels say nothing. Repeated rows are judged alike. Of fixed rules of one length
+the last by name wins. Without labels
 there are no mined rules, and what no fixed rule blocks is allowed. Empty pages give
 no rows; a URL of any length is judged whole; other columns aren't touched, whatever
 their names.
@@ -48,10 +50,8 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 MIN_SUPPORT = 0.005
 MIN_COUNT = 5
 #: What the lower end of a confidence's interval must reach, and the interval's width.
-MIN_CONFIDENCE = 0.5
+MIN_CONFIDENCE = 0.6
 Z = 1.96
-#: Tokens that a labelled URL brings to the fit, at most.
-FIT_TOKENS = 12
 #: Rules that may be a constant, and rows that are broadcast where more are joined.
 CONSTANT_RULES = 500
 BROADCAST_RULES = 50_000
@@ -115,12 +115,14 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count:
         return None
     bar = max(min_confidence, bad / n)
     each = rows.select("row", "bad", F.explode("tokens").alias("token"))
-    stats = each.groupBy("token").agg(F.count("*").alias("seen"), F.sum(F.col("bad").cast("long")).alias("blocked")).filter(F.col("blocked") >= need)
-    stats = materialize(stats.withColumn("sure", lower_confidence(F.col("blocked"), F.col("seen")) >= bar), "url-tokens")
+    of_row = F.xxhash64("row"), F.xxhash64(F.lit(1), "row")
+    stats = each.groupBy("token").agg(F.count("*").alias("seen"), F.sum(F.col("bad").cast("long")).alias("blocked"), *(F.bit_xor(h).alias(f"rows{i}") for i, h in enumerate(of_row)))
+    stats = materialize(stats.filter(F.col("blocked") >= need).withColumn("sure", lower_confidence(F.col("blocked"), F.col("seen")) >= bar), "url-tokens")
     alone = stats.filter("sure").select(F.array("token").alias("tokens"))
-    others = stats.filter("not sure").select("token", (-F.col("blocked") / F.col("seen")).alias("turn"))
-    likely = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("turn", "token"))), 1, FIT_TOKENS), lambda x: x["token"])
-    sets = each.join(small(others, BROADCAST_RULES), "token").groupBy("row").agg(likely.alias("items"), F.max("bad").alias("bad"))
+    # tokens of the same rows: a class, named by its first token
+    classes = stats.filter(~F.col("sure") & (F.col("seen") < n)).groupBy("seen", "rows0", "rows1").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("same"))
+    classes = materialize(classes.select("token", "same"), "url-token-classes")
+    sets = each.join(small(classes.select("token"), BROADCAST_RULES), "token").groupBy("row").agg(F.collect_list("token").alias("items"), F.max("bad").alias("bad"))
     sets = materialize(sets.select(F.when(F.col("bad"), F.array_append("items", F.lit(_BLOCK))).otherwise(F.col("items")).alias("items")), "url-sets")
     fed = sets.count()
     if fed < need:
@@ -130,7 +132,16 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count:
     mined = model.associationRules.filter((F.element_at("consequent", 1) == _BLOCK) & (F.size("antecedent") > 1))
     mined = mined.select(F.array_sort("antecedent").alias("tokens"), blocked.alias("blocked"), F.round(blocked / F.col("confidence")).alias("seen"))
     mined = materialize(mined.filter(lower_confidence(F.col("blocked"), F.col("seen")) >= bar).select("tokens"), "mined-url-rules")
-    return materialize(alone.unionByName(without_redundant(mined)), "url-rules")
+    return materialize(alone.unionByName(written_out(without_redundant(mined), classes)), "url-rules")
+
+
+def written_out(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rules over classes as rules over tokens: one for each choice of a token of each class
+    (``classes (token, same)``)."""
+    each = rules.select("tokens", F.explode("tokens").alias("token")).join(small(classes, BROADCAST_RULES), "token")
+    choices = F.aggregate(F.collect_list("same"), F.array(F.array().cast("array<string>")), lambda upto, same: F.flatten(F.transform(upto, lambda t: F.transform(same, lambda x: F.array_append(t, x)))))
+    chosen = each.groupBy("tokens").agg(choices.alias("chosen")).select(F.explode("chosen").alias("tokens"))
+    return chosen.select(F.array_sort("tokens").alias("tokens"))
 
 
 def without_redundant(rules: DataFrame) -> DataFrame:

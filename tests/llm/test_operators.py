@@ -97,7 +97,9 @@ def test_batches_add_only_keys_that_are_not_settled(spark):
 def test_line_stage_keeps_columns(odd, none):
     out = line_dedup.drop_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
-    assert {r.digest for r in out.collect()} == {"mine"}
+    assert all(r[c] == "mine" for r in out.collect() for c in odd.columns[4:])
+    judged = line_dedup.dedup_lines(odd)
+    assert judged.columns == [*odd.columns, "_n_lines", "_kept_lines"] and {r.n_lines for r in judged.collect()} == {"mine"}
     assert line_dedup.drop_lines(none).count() == 0 and line_dedup.line_digest(none).count() == 0
 
 
@@ -412,6 +414,31 @@ def test_url_rules_need_more_than_chance(spark):
     assert {h for h, v in got if v == "block"} == {"bad.net"} and len(got) == 61
 
 
+def test_pairs_of_many_common_words_are_found(spark, tmp_path):
+    """Thirteen words that most pages share, two of them bad together only, and two words of every page:
+    no token is kept from the fit. Words that are always together are rules by themselves."""
+    import duckdb
+
+    rng, rows, labels = random.Random(2), [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        words = [w for w in (f"w{k}" for k in range(11)) if rng.random() < 0.7]
+        words += ["x", "y"] if bad else [rng.choice(["x", "y", "z"])]
+        words += ["twin1", "twin2"] if bad or i % 6 == 1 else []
+        rows.append((i, f"http://h{i}.net/" + "/".join([*words, "all"])))
+        labels.append((i, 0 if bad else 1, None))
+    asked = [(1000, "http://a.net/x/y"), (1001, "http://a.net/x/w1"), (1002, "http://a.net/y/w1/w2/w3/w4/all"), (1003, "http://a.net/twin1/x"), (1004, "http://a.net/x/twin2"), (1005, "http://a.net/twin1")]
+    pages = spark.createDataFrame(rows + asked, "page_id long, url string")
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {tuple(r) for r in url_filter.judge_urls(pages, said).collect()}
+    assert {r[0] for r in got if r[4] == "block"} >= {*range(0, 600, 6), 1000, 1003, 1004} and not {1001, 1002, 1005} & {r[0] for r in got if r[4] == "block"}
+    con = duckdb.connect()
+    for name, df in (("pages", pages), ("labels", said)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    assert got == set(con.execute(queries.oracle_sql()["op5_url_filter"]).fetchall())
+
+
 def test_long_urls_and_no_pages(spark):
     """Pages that share thousands of words don't give a rule for each set of them."""
     long = "http://long.net/" + "/".join(f"w{i}" for i in range(3_000))
@@ -466,13 +493,15 @@ def kept_brute(rows):
     hosts = defaultdict(list)
     for _, host, m in rows:
         hosts[host].append([f(m) for f in fails])
-    rates = defaultdict(list)
+    rates, worse = defaultdict(list), defaultdict(list)
     for k in range(len(fails)):
         shares = [np.mean([x[k] for x in v]) for v in hosts.values()]
         alpha, beta = quality.beta_prior(float(np.mean(shares)), float(np.var(shares, ddof=1)))
         for host, v in hosts.items():
-            rates[host].append((sum(x[k] for x in v) + alpha) / (len(v) + alpha + beta))
-    bad = lambda host, m: max(rates[host]) >= 0.75 or any(f(m) and (k < 2 or rates[host][k] >= 0.05) for k, f in enumerate(fails))
+            a, b = sum(x[k] for x in v) + alpha, sum(not x[k] for x in v) + beta
+            rates[host].append(a / (a + b))
+            worse[host].append(a / (a + b) - 1.645 * (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5 > alpha / (alpha + beta))
+    bad = lambda host, m: max(rates[host]) >= 0.75 or any(f(m) and (k < 2 or worse[host][k]) for k, f in enumerate(fails))
     return {d for d, host, m in rows if not bad(host, m)}
 
 
@@ -508,6 +537,19 @@ def test_bad_hosts_go(spark):
     assert verdicts["bad.net"][0] and verdicts["mixed.com"] == (False, ["symbols"]) and verdicts["clean.com"] == (False, [])
 
 
+def test_hosts_lie_on_both_sides_of_the_corpus(spark):
+    """Of twenty hosts whose rates of a failure run from 0 to 38 %, those well above the mean are suspect, the others not."""
+    good, bad = " ".join(f"w{i}" for i in range(80)), "# " * 30 + " ".join(f"w{i}" for i in range(80))
+    rows = [(1000 * h + i, bad if i % 50 < h else good, f"h{h}.net") for h in range(20) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    verdicts = quality.host_verdicts(quality.with_measures(df, "m").select(F.col("source").alias("host"), "m.*"))
+    suspect = {int(r.host[1:-4]) for r in verdicts.collect() if r.suspect_in}
+    assert suspect == set(range(min(suspect), 20)) and 10 <= min(suspect) <= 14
+    kept = {r.doc_id for r in quality.judged(df).filter("kept").collect()}
+    assert kept == kept_brute([(d, s, measures_brute(t)) for d, t, s in rows])
+    assert {r.doc_id for r in quality.judged(df).filter("not kept").collect()} == {d for d, t, _ in rows if t is bad and d // 1000 in suspect}
+
+
 def test_beta_prior():
     assert quality.beta_prior(0.5, 0.05) == pytest.approx((2.0, 2.0))
     assert quality.beta_prior(None, None)[0] == pytest.approx(10.0)
@@ -541,6 +583,8 @@ def test_shards_of_one_key(spark):
 
 def test_weighted_shards(spark):
     df = spark.range(20_000)
+    mine = sharding.with_slots(sharding.assign(df.withColumns({"shard": F.lit("mine"), "slot": F.lit("own")}), "id", [("a", 1.0)]), "id", [], shard="_shard")
+    assert set(mine.columns) == {"id", "shard", "slot", "_shard", "_slot"} and mine.filter("shard = 'mine' and slot = 'own' and _shard = 0").count() == df.count()
     sizes = {r.shard: r["count"] for r in sharding.assign(df, "id", [("a", 1.0), ("b", 3.0)]).groupBy("shard").count().collect()}
     assert 2.7 < sizes[1] / sizes[0] < 3.3
     moved = sharding.assign(sharding.assign(df, "id", [("a", 1.0), ("b", 1.0)]), "id", [("a", 1.0), ("b", 1.0), ("c", 1.0)], "grown").filter("shard <> grown")

@@ -68,6 +68,7 @@ def test_stages_keep_columns_of_odd_rows(spark, odd, none):
         assert stage(spark, none, SF).count() == 0
         out = stage(spark, odd, SF)
         assert out.columns == odd.columns, name
+        assert all(r[c] == "mine" for r in out.collect() for c in odd.columns[4:]), name
     name, stage = corpus_pipeline.STAGES[-1]
     assert stage(spark, none, SF).count() == 0 and stage(spark, odd, SF).count() == odd.count()
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
