@@ -18,9 +18,9 @@ from harrier.functions.porter import Stemmer
 #: The token pattern, and the English stop words of the "beir" analyser.
 TOKEN = "[A-Za-z0-9_./-]+"
 STOPWORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that "
-    "the their then there these they this to was will with"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
+    "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+)
 
 
 def _col(c: Column | str) -> Column:

@@ -16,7 +16,7 @@ WEAK = (
     "what", "which", "who", "where", "when", "how", "did", "does", "do", "is", "are", "was", "were", "be", "the", "a", "an", "of", "for", "in", "to",
     "with", "by", "use", "used", "uses", "me", "i", "it", "that",
 )
-IMPERATIVES = "open find show read locate explain compare list get".split()
+IMPERATIVES = ("open", "find", "show", "read", "locate", "explain", "compare", "list", "get")
 LABELS = ("correct", "partial", "wrong")
 
 

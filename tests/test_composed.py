@@ -129,19 +129,25 @@ def test_deadlines_and_retries(spark):
         retried(lambda: (_ for _ in ()).throw(OSError()), 2, sleep=slept.append)
 
 
-def test_fields_and_operations():
+def test_fields_and_operations(spark):
     columns = [("run_id", "numeric"), ("encoder", "categorical"), ("fusion", "boolean"), ("val_rmse", "numeric"), ("num_pairs", "numeric")]
-    assert tabular.choose_fields("mean val rmse by encoder", columns) == ("encoder", "val_rmse")
-    assert tabular.choose_fields("average pairs with fusion", columns) == ("fusion", "num_pairs")
-    assert tabular.choose_fields("what is it", columns) == ("encoder", "val_rmse")
-    assert tabular.choose_fields("anything", columns, "fusion", "run_id") == ("fusion", "run_id")
-    for wrong in (dict(group="nope"), dict(value="encoder")):
+    sheet = lambda cs: spark.createDataFrame([(i, *c) for i, c in enumerate(cs)], "at int, column string, kind string")
+    asked = {"mean val rmse by encoder": ("encoder", "val_rmse"), "average pairs with fusion": ("fusion", "num_pairs"), "what is it": ("encoder", "val_rmse"), "val rmse": ("encoder", "val_rmse"), "by encoder and fusion": ("fusion", "val_rmse"), "": ("encoder", "val_rmse")}
+    questions = spark.createDataFrame([(q,) for q in asked], "text string")
+    assert {r.text: (r.group_field, r.value_field) for r in tabular.fields_asked(questions, sheet(columns)).collect()} == asked
+    (only,) = tabular.fields_asked(spark.createDataFrame([(None,)], "text string"), sheet([("a", "numeric"), ("id", "numeric")])).collect()
+    assert (only.group_field, only.value_field) == ("a", "a")
+    rows = spark.createDataFrame([("x", "1", "7")], "a string, id string, m string")
+    assert tabular.propose(rows, "anything", value="id").value == "id"
+    for wrong in (dict(group="nope"), dict(value="nope"), dict(chart="pie")):
         with pytest.raises(ValueError):
-            tabular.choose_fields("x", columns, **wrong)
-    with pytest.raises(ValueError):
-        tabular.choose_fields("x", [("a", "text"), ("id", "numeric")])
+            tabular.propose(rows, "x", **wrong)
+    for table in (rows.select("id"), rows.selectExpr("'t' AS a", "id")):
+        with pytest.raises(ValueError):
+            tabular.propose(table, "x")
     asked = {"how many runs": "count", "the total": "sum", "Best run?": "min", "worst": "max", "typical counting": "mean", "minimal": "mean"}
-    assert {q: tabular.choose_operation(q) for q in asked} == asked
+    said = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert {r.q: r.operation for r in said.select("q", tabular.operation_asked(F.col("q")).alias("operation")).collect()} == asked
 
 
 def test_recall_of_storage(spark):

@@ -112,10 +112,10 @@ def test_charts(spark, question, chart, baseline):
     assert {tuple(r) for r in p.rows.collect()} == {("a", 0.6, 2), ("b", 1.5, 2)}
 
 
-def test_named_chart():
-    assert tabular.choose_chart("trend", "bar")[:2] == ("bar", ("line", "dot"))
-    with pytest.raises(ValueError, match="pie"):
-        tabular.choose_chart("", "pie")
+def test_named_chart(spark):
+    rows = spark.createDataFrame([("a", "0.5")], "encoder string, rmse string")
+    p = tabular.propose(rows, "the trend", chart="bar")
+    assert (p.chart, p.alternatives) == ("bar", ("line", "dot"))
 
 
 def test_expansion_in_the_order_of_seeds(spark):
