@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harrier.catalog.base import DOCS_SQL, QT_SQL, QUERIES_SQL, TF_SQL, TOKEN_SQL, TOKENS_SQL, Catalog, bm25_sql, docs, table, text_queries, top_sql
 from harrier.functions import text as T
+from harrier.operators import blockmax as B
 from harrier.operators import lexical as L
 from harrier.operators.ranking import top_k
 from harrier.scratch import fresh_folder
@@ -46,6 +47,22 @@ def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.index_top_k(L.read_index(spark, place), L.query_terms(text_queries(spark, sf_dir)), 10)
 
 
+@CATALOG.add(CATALOG.sql["bm25_topk"])
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from a block index, which is written first; few postings are read at once."""
+    place = fresh_folder(spark, "blocks")
+    B.write_blocks(docs(spark, sf_dir), place)
+    return B.block_top_k(B.read_blocks(spark, place), L.query_terms(text_queries(spark, sf_dir)), 10)
+
+
+@CATALOG.add(CATALOG.sql["bm25_topk"])
+def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in two passes, which read the blocks that can beat a query's threshold only."""
+    place = fresh_folder(spark, "blocks")
+    B.write_blocks(docs(spark, sf_dir), place, span=16)
+    return B.block_top_k(B.read_blocks(spark, place), L.query_terms(text_queries(spark, sf_dir)), 10, one_pass=0)
+
+
 _GRID = [("fixture", 1.5, 0.75), ("beir", 0.9, 0.4), ("flat", 1.2, 0.0)]
 
 

@@ -247,7 +247,7 @@ class Index:
 INDEX_BUCKETS = 64
 
 
-def _bucket(term: Column, buckets: int) -> Column:
+def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
@@ -255,7 +255,7 @@ def write_index(docs: DataFrame, path: str, tokenize: Callable[[Column | str], C
     """Tokenise ``docs`` once and write the index below ``path``."""
     cut = docs.select(F.col(item).alias("item"), tokenize(text).alias("tokens"))
     each = exploded(cut.select("item", F.size("tokens").cast("long").alias("dl"), "tokens"))
-    tf = each.groupBy("item", "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket(F.col("term"), buckets))
+    tf = each.groupBy("item", "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", bucket_of(F.col("term"), buckets))
     # by size: small buckets share a task, one that frequent terms make large is split
     dealt = tf.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "item")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
@@ -274,7 +274,7 @@ def index_top_k(index: Index, terms: DataFrame, k: int = 50, k1: float = 1.5, b:
     """``(query_id, item, score, rank)`` from a stored index, for ``terms (query_id, term,
     qtf)``: no text is read. The terms' side is broadcast while it is small, and prunes
     the folders of postings; each posting of an asked term is read once."""
-    asked = terms.select("query_id", "term", "qtf").withColumn("bucket", _bucket(F.col("term"), index.buckets))
+    asked = terms.select("query_id", "term", "qtf").withColumn("bucket", bucket_of(F.col("term"), index.buckets))
     known = asked.join(index.terms, ["bucket", "term"]).select("bucket", "term", "query_id", (idf(F.lit(float(index.n)), F.col("df")) * F.col("qtf")).alias("weight"))
     share = F.col("weight") * bm25_weight(F.col("tf"), F.col("dl"), F.lit(float(index.avgdl)), k1, b)
     met = index.postings.join(small(known, BROADCAST_TERMS), ["bucket", "term"])
