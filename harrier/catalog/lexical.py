@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harrier.catalog.base import DOCS_SQL, QT_SQL, QUERIES_SQL, TF_SQL, TOKEN_SQL, TOKENS_SQL, Catalog, bm25_sql, docs, table, text_queries, top_sql
 from harrier.functions import text as T
 from harrier.operators import blockmax as B
+from harrier.operators import fulltext as X
 from harrier.operators import lexical as L
 from harrier.operators.ranking import top_k
 from harrier.scratch import fresh_folder
@@ -144,3 +145,61 @@ def access_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.add(f"WITH {DOCS_SQL} SELECT doc_id, path FROM docs WHERE regexp_matches(path, '^src1.*/[0-9]*5[.]txt$') ORDER BY path LIMIT 100")
 def glob_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).filter(T.glob_match("path", "src1*/*5.txt")).select("doc_id", "path").orderBy("path").limit(100)
+
+
+def _covers_sql(parts: str) -> str:
+    """All covers, from ``parts (query_id, alternative, part, negated, words)`` as a query over ``w
+    (query_id, w)``, the tokens of each passage: occurrences, for each end the largest start from which an
+    alternative is whole, and the words between."""
+    return f"""WITH {DOCS_SQL}, w AS (SELECT item_id AS query_id, {TOKENS_SQL.format(x="text")} AS w FROM benchmark),
+      parts AS ({parts}),
+      raw AS (SELECT doc_id, {TOKENS_SQL.format(x="text")} AS t FROM docs),
+      tok AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM raw),
+      word AS (SELECT query_id, alternative, part, negated, len(words) AS n, unnest(words) AS term, unnest(range(len(words))) AS turn FROM parts),
+      occ AS (SELECT query_id, doc_id, alternative, part, negated, pos - turn AS a, pos - turn + n - 1 AS b FROM word JOIN tok USING (term) GROUP BY ALL HAVING count(DISTINCT turn) = any_value(n)),
+      ent AS (SELECT DISTINCT query_id, doc_id, pos FROM (SELECT DISTINCT query_id, term FROM word) JOIN tok USING (term)),
+      need AS (SELECT query_id, alternative, count(*) AS n_parts FROM parts WHERE NOT negated GROUP BY ALL),
+      have AS (SELECT query_id, doc_id, alternative FROM occ JOIN need USING (query_id, alternative) WHERE NOT negated GROUP BY ALL HAVING count(DISTINCT part) = any_value(n_parts)),
+      barred AS (SELECT DISTINCT query_id, doc_id, alternative FROM occ WHERE negated),
+      good AS (SELECT DISTINCT query_id, doc_id FROM have ANTI JOIN barred USING (query_id, doc_id, alternative)),
+      own AS (SELECT occ.* FROM occ JOIN have USING (query_id, doc_id, alternative) SEMI JOIN good USING (query_id, doc_id) WHERE NOT negated),
+      stop AS (SELECT DISTINCT query_id, doc_id, b AS r FROM own),
+      last AS (SELECT query_id, doc_id, r, alternative, part, max(a) AS a FROM stop JOIN own USING (query_id, doc_id) WHERE b <= r GROUP BY ALL),
+      held AS (SELECT query_id, doc_id, r, alternative, min(a) AS a FROM last JOIN need USING (query_id, alternative) GROUP BY ALL HAVING count(*) = any_value(n_parts)),
+      best AS (SELECT query_id, doc_id, r, max(a) AS a FROM held GROUP BY ALL),
+      cover AS (SELECT query_id, doc_id, a, min(r) AS b FROM best GROUP BY ALL),
+      noise AS (SELECT query_id, doc_id, a, b, b - a + 1 - count(*) AS noise FROM cover JOIN ent USING (query_id, doc_id) WHERE pos BETWEEN a AND b GROUP BY query_id, doc_id, a, b),
+      scored AS (SELECT query_id, doc_id, round(sum(0.1::DOUBLE / (1 + noise)), 8) AS score FROM noise GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+      SELECT query_id, doc_id AS item, score, rank FROM r WHERE rank <= 20"""
+
+
+def _passages(spark: SparkSession, sf_dir: str, made) -> DataFrame:
+    """``(query_id, text)``, made from the tokens of each passage."""
+    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens("text").alias("w"))
+    return w.select("query_id", made(lambda i: F.get("w", F.lit(i - 1))).alias("text"))
+
+
+def _found(spark: SparkSession, sf_dir: str, queries: DataFrame, mode: str) -> DataFrame:
+    return top_k(X.full_text(X.positions(docs(spark, sf_dir)), X.parsed(queries, mode)), 20)
+
+
+@CATALOG.add(_covers_sql("SELECT query_id, 0 AS alternative, term AS part, false AS negated, [term] AS words FROM (SELECT DISTINCT query_id, unnest(w[1:3]) AS term FROM w)"))
+def full_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all of the first three words of a passage, by cover density."""
+    return _found(spark, sf_dir, _passages(spark, sf_dir, lambda t: F.concat_ws(" ", t(1), t(2), t(3))), "all")
+
+
+@CATALOG.add(_covers_sql("SELECT query_id, 0 AS alternative, 0 AS part, false AS negated, w[2:4] AS words FROM w WHERE len(w) > 1"))
+def full_text_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the second to fourth words of a passage as a phrase."""
+    return _found(spark, sf_dir, _passages(spark, sf_dir, lambda t: F.concat_ws(" ", t(2), t(3), t(4))), "phrase")
+
+
+@CATALOG.add(_covers_sql("""SELECT DISTINCT query_id, alternative, array_to_string(words, ' ') || negated AS part, negated, words FROM (
+        SELECT query_id, 0 AS alternative, false AS negated, w[1:2] AS words FROM w UNION ALL SELECT query_id, 0, false, [w[3]] FROM w
+        UNION ALL SELECT query_id, 1, false, [w[4]] FROM w UNION ALL SELECT query_id, 1, false, [w[5]] FROM w UNION ALL SELECT query_id, 1, true, [w[6]] FROM w) WHERE words[1] IS NOT NULL"""))
+def full_text_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase and a word, or two words without a third: ``"a b" c or d e -f``."""
+    made = lambda t: F.concat_ws(" ", F.concat(F.lit('"'), t(1), F.lit(" "), t(2), F.lit('"')), t(3), F.lit("or"), t(4), t(5), F.concat(F.lit("-"), t(6)))
+    return _found(spark, sf_dir, _passages(spark, sf_dir, made), "web")
