@@ -11,6 +11,8 @@ from harrier.functions import vectors as V
 from harrier.operators import dense as D
 from harrier.operators import lexical as L
 from harrier.operators import ranking as R
+from harrier.operators import routed as G
+from harrier.scratch import fresh_folder
 
 CATALOG = Catalog()
 
@@ -110,6 +112,22 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.tie_aware_recall(D.graph_top_k(e, q, 10), D.exact_top_k(e, q, 10), 10)
 
 
+@CATALOG.add()
+def routed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a routed index that is written first: the mean recall at 10 for each beam (0: the cells scanned), and the
+    share of the shards that a query looks into, over all vectors whose id is divisible by 100."""
+    e, q = table(spark, sf_dir, "embeddings"), all_vector_queries(spark, sf_dir)
+    place = fresh_folder(spark, "routed")
+    G.write_routed(e, place, cell_rows=64)
+    index, exact = G.read_routed(spark, place), D.exact_top_k(e, q, 10)
+    share = G.shards_read(index, q).agg(F.round(F.sum("read") / F.sum("shards"), 6).alias("share")).select(F.col("share")).scalar()
+    out = None
+    for ef in (10, 20, 40, 80, 160, 0):
+        part = D.tie_aware_recall(G.routed_top_k(index, q, 10, ef or None), exact, 10).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(ef).alias("ef"), "recall")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("shards_read", share)
+
+
 @CATALOG.add()
 def halfvec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", V.to_half("embedding").alias("embedding"))
