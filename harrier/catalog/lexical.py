@@ -12,6 +12,7 @@ from harrier.operators import fulltext as X
 from harrier.operators import lexical as L
 from harrier.operators.ranking import top_k
 from harrier.scratch import fresh_folder
+from harrier.streaming.segments import SegmentedIndex
 
 CATALOG = Catalog()
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -64,6 +65,20 @@ def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.block_top_k(B.read_blocks(spark, place), L.query_terms(text_queries(spark, sf_dir)), 10, one_pass=0)
 
 
+@CATALOG.add(CATALOG.sql["bm25_topk"].replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 3)", 1))
+def segmented_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segmented index of all documents, a fifth of them in an older version first, of which a seventh is
+    deleted in the end; four batches, so segments are merged on the way."""
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("item"), "text")
+    index = SegmentedIndex(spark, fresh_folder(spark, "segments"), buckets=8, fanout=3)
+    old, gone = F.col("item") % 5 == 0, F.col("item") % 7 == 3
+    index.apply(d.filter(~old), 0)
+    index.apply(d.filter(old).withColumn("text", F.concat(F.lit("an older version "), F.reverse("text"))), 1)
+    index.apply(d.filter(old), 2)
+    index.apply(d.filter(gone).select("item", F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted")), 3)
+    return index.top_k(L.query_terms(text_queries(spark, sf_dir)), 10)
+
+
 _GRID = [("fixture", 1.5, 0.75), ("beir", 0.9, 0.4), ("flat", 1.2, 0.0)]
 
 
