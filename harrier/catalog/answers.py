@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, TOKENS_SQL, Catalog, bm25_sql, docs, fixture, table, text_queries, top_sql, values
+from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, TOKENS_SQL, Catalog, bm25_sql, docs, made, made_sql, table, text_queries, top_sql, values
 from harrier.operators import evidence as X
 from harrier.operators import learning as RL
 from harrier.operators import lexical as L
@@ -51,31 +53,38 @@ def student_lstsq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.student_scores(K.fit_student(examples), examples).select("query_id", "item", F.round("score", 4).alias("score"))
 
 
-_REPLIES = [(1, "[2] > [1] > [3]", 3), (2, "", 2), (3, "the second is best", 2), (4, "[3] > [1]", 2), (5, "[1] > [1]", 2), (6, "[2] > [1]", 3), (7, " [1] ", 1), (8, None, 0)]
+_REPLY = """CASE k WHEN 0 THEN '[2] > [1] > [3]' WHEN 1 THEN '' WHEN 2 THEN 'the second, ' || w1 || ', is best' WHEN 3 THEN '[' || (doc_id % 5) || '] > [1]' WHEN 4 THEN '[1] > [1]' WHEN 5 THEN '[2] > [1]' WHEN 6 THEN ' [1] ' ELSE NULL END"""
+_REPLY_N = "CAST((doc_id - doc_id % 8) / 8 % 4 AS INT)"
 
 
-@CATALOG.add(f"""WITH {values("r", "query_id, reply, n", _REPLIES)}, i AS (SELECT *, trim(coalesce(reply, '')) AS t, list_transform(regexp_extract_all(coalesce(reply, ''), '\\[([0-9]+)\\]', 1), lambda x: x::INT - 1) AS ids FROM r),
+@CATALOG.add(f"""WITH {made_sql(_REPLY, 8, "r", "doc_id AS query_id, {x} AS reply, " + _REPLY_N + " AS n")}, i AS (SELECT *, trim(coalesce(reply, '')) AS t, list_transform(regexp_extract_all(coalesce(reply, ''), '\\[([0-9]+)\\]', 1), lambda x: x::INT - 1) AS ids FROM r),
   s AS (SELECT *, CASE WHEN t = '' THEN 'no_completion' WHEN NOT regexp_matches(t, '^\\[[0-9]+\\](\\s*>\\s*\\[[0-9]+\\])*$') THEN 'not_a_chain' WHEN len(list_filter(ids, lambda x: x < 0 OR x >= n)) > 0 THEN 'out_of_range' WHEN len(list_distinct(ids)) < len(ids) THEN 'repeated_id' WHEN len(ids) < n THEN 'partial' ELSE 'permutation' END AS status FROM i)
   SELECT query_id, CASE WHEN status = 'permutation' THEN ids ELSE list_transform(range(n), lambda x: x::INT) END AS "order", status FROM s""")
 def listwise_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.read_permutation(fixture(spark, "query_id int, reply string, n int", _REPLIES))
+    return K.read_permutation(made(spark, sf_dir, _REPLY, 8).select(F.col("doc_id").alias("query_id"), F.col("text").alias("reply"), F.expr(_REPLY_N).alias("n")))
+
 
+_ANSWER = """CASE k WHEN 0 THEN 'The ' || w1 || ' is 0.055 [' || w2 || '.md:0-' || (doc_id % 40 + 1) || '] and [b.md:3-7] [' || w2 || '.md:0-' || (doc_id % 40 + 1) || '].' WHEN 1 THEN 'NOT IN SOURCES' WHEN 2 THEN 'Plain answer of ' || w1 || ' in configs/x.yaml. It was good!'
+  WHEN 3 THEN 'See [' || w2 || '.md:2-3] ' || w1 WHEN 4 THEN w1 || ' [' || w2 || '.md:0-' || (doc_id % 40 + 1) || '] NOT IN SOURCES' ELSE NULL END"""
+_SOURCE = "doc_id AS id, w2 || '.md' AS path, CAST(0 AS BIGINT) AS start_byte, doc_id % 40 + 1 AS end_byte"
+_ANSWERS_SQL = made_sql(_ANSWER, 6, "a", "doc_id AS id, {x} AS answer")
 
-_ANSWERS = [(1, "The rate is 0.055 [a.md:0-9] and [b.md:3-7] [a.md:0-9]."), (2, "NOT IN SOURCES"), (3, "Plain answer of run 47 in configs/x.yaml. It was good!"), (4, None)]
-_SOURCES = [(1, "a.md", 0, 9), (1, "c.md", 0, 4), (3, "configs/x.yaml", 0, 5)]
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made(spark, sf_dir, _ANSWER, 6).select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
 
-@CATALOG.add(f"""WITH {values("a", "id, answer", _ANSWERS)}, c AS (SELECT id, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 1)) AS path, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 2))::BIGINT AS start_byte, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 3))::BIGINT AS end_byte FROM a) SELECT DISTINCT id, path, start_byte, end_byte FROM c""")
+
+@CATALOG.add(f"""WITH {_ANSWERS_SQL}, c AS (SELECT id, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 1)) AS path, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 2))::BIGINT AS start_byte, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 3))::BIGINT AS end_byte FROM a) SELECT DISTINCT id, path, start_byte, end_byte FROM c""")
 def parse_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.citations(fixture(spark, "id int, answer string", _ANSWERS)).drop("pos")
+    return X.citations(_answers(spark, sf_dir)).drop("pos")
 
 
-@CATALOG.add(f"""WITH {values("a", "id, answer", _ANSWERS)}, {values("h", "id, path, start_byte, end_byte", _SOURCES)}, c AS (SELECT DISTINCT id, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 1)) AS path, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 2))::BIGINT AS x, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 3))::BIGINT AS y FROM a),
+@CATALOG.add(f"""WITH {_ANSWERS_SQL}, h AS (SELECT {_SOURCE} FROM w1s WHERE k <> 2), c AS (SELECT DISTINCT id, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 1)) AS path, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 2))::BIGINT AS x, unnest(regexp_extract_all(answer, '\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', 3))::BIGINT AS y FROM a),
   k AS (SELECT id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.id = c.id AND h.path = c.path AND start_byte = x AND end_byte = y)) AS v, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.id = c.id AND h.path = c.path)) AS p FROM c GROUP BY id)
   SELECT id, coalesce(v, 0) AS valid, coalesce(n - v, 0) AS unknown, coalesce(p = n, false) AS paths_retrieved, contains(coalesce(answer, ''), 'NOT IN SOURCES') AS abstained, coalesce(v, 0) = 0 AND NOT contains(coalesce(answer, ''), 'NOT IN SOURCES') AS uncited,
     trim(regexp_replace(coalesce(answer, ''), '\\s*\\[([^\\[\\]\\s]+?):([0-9]+)-([0-9]+)\\]', '', 'g'), ' ') AS answer FROM a LEFT JOIN k USING (id)""")
 def cited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.cited_answers(fixture(spark, "id int, answer string", _ANSWERS), fixture(spark, "id int, path string, start_byte long, end_byte long", _SOURCES))
+    return X.cited_answers(_answers(spark, sf_dir), made(spark, sf_dir, _ANSWER, 6).filter("k <> 2").selectExpr(*_SOURCE.split(", ")))
 
 
 @CATALOG.add(f"""WITH {DOCS_SQL}, c AS (SELECT doc_id, path, text, strlen(substr(text, 1, 10)) AS a, strlen(substr(text, 1, 30)) AS b FROM docs WHERE length(text) > 40) SELECT doc_id AS id, path, a AS start_byte, b AS end_byte, substr(text, 11, 20) AS span FROM c""")
@@ -90,35 +99,59 @@ def _cited_spans(d: DataFrame) -> DataFrame:
     return X.cited_spans(evidence, cited)
 
 
-_CLAIMED = [(1, "Run 47 reached val_rmse 0.055 after 30 epochs. See configs/run_047.yaml for more.\nShort."), (2, "The encoder is dinov2. Weather was nice today and mild."), (3, "ok")]
-_EVIDENCE = [(1, "configs/run_047.yaml", "run 47 val_rmse: 0.0559 epochs 30"), (1, "logs/a.out", "val_rmse 0.055 at end"), (2, "x.md", "we use DINOv2 as encoder")]
+_CLAIM = """CASE k WHEN 0 THEN 'Run ' || doc_id || ' reached val_rmse 0.0' || (doc_id % 90 + 10) || ' after ' || (doc_id % 50) || ' epochs. See configs/run_' || doc_id || '.yaml for more.' || chr(10) || 'Short.'
+  WHEN 1 THEN 'The ' || w1 || ' ' || w2 || ' is ' || w3 || '. Weather was nice today and ' || w4 || ' [a.md:1-2].' WHEN 2 THEN 'ok' WHEN 3 THEN 'The ' || w1 || ' should might does help ' || w2 || ' a lot is.'
+  WHEN 4 THEN 'The encoder is clip and resnet50, with 1e-3 in notes/' || w1 || '.md! Is ' || w4 || ' it so?' ELSE NULL END"""
+_EVIDENT = "doc_id AS id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'configs/run_' || doc_id || '.yaml' ELSE 'notes/' || w1 || '.md' END AS path, CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'clip after ' || (doc_id % 50) || ' epochs, run ' || doc_id || ' 0.0' || (doc_id % 90 + 10) || '.' ELSE '' END AS said"
+_DISTINCT = "list_transform(list_filter(list_zip({x}, range(1, len({x}) + 1)), lambda z: list_position({x}, z[1]) = z[2]), lambda z: z[1])"
+_CLAIMS_SQL = f"""{made_sql(_CLAIM, 6, "a", "doc_id AS id, {x} AS answer")},
+  s0 AS (SELECT id, string_split(regexp_replace(regexp_replace(coalesce(answer, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) AS s FROM a),
+  s1 AS (SELECT id, unnest(range(len(s))) AS sentence_no, trim(unnest(s)) AS claim FROM s0),
+  s2 AS (SELECT *, nullif(regexp_extract(claim, '{X.PATHS}'), '') AS cited_path, regexp_replace(claim, '{X.CITATION}', ' ', 'g') AS bare FROM s1 WHERE length(claim) >= 10),
+  s3 AS (SELECT *, {" || ".join(f"regexp_extract_all(bare, '{p}', {g})" for p, g in X.VALUES)} AS v FROM s2),
+  s4 AS (SELECT *, {_DISTINCT.format(x="v")} AS found FROM s3),
+  cl AS (SELECT id, sentence_no, claim, cited_path, unnest(CASE WHEN len(found) > 0 THEN range(len(found)) ELSE [0] END) AS claim_no, unnest(CASE WHEN len(found) > 0 THEN found ELSE [NULL] END) AS value
+    FROM s4 WHERE len(found) > 0 OR cited_path IS NOT NULL OR regexp_matches(claim, '{X.ASSERTS}'))"""
 
 
-@CATALOG.add()
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.claims(made(spark, sf_dir, _CLAIM, 6).select(F.col("doc_id").alias("id"), F.col("text").alias("answer")))
+
+
+@CATALOG.add(f"WITH {_CLAIMS_SQL} SELECT id, sentence_no, claim_no, value, claim, cited_path FROM cl")
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.claims(fixture(spark, "id int, answer string", _CLAIMED))
+    """The claims of an answer for each document, of six kinds."""
+    return _claims(spark, sf_dir)
 
 
-@CATALOG.add()
+@CATALOG.add(f"""WITH {_CLAIMS_SQL}, e0 AS (SELECT {_EVIDENT} FROM w1s), e AS (SELECT e0.id, path, said || ' ' || coalesce(text, '') AS text FROM e0 JOIN documents ON doc_id = id),
+  m AS (SELECT cl.*, coalesce(regexp_matches(e.text, '(?i)(^|[^\\w.])' || regexp_escape(value) || '([^\\w.]|$)'), false) AS v, coalesce(e.path = cited_path, false) AS p, lower(e.text) AS low,
+    list_distinct(list_filter(list_transform(regexp_extract_all(claim, '[A-Za-z0-9_]+'), lambda t: lower(t)), lambda t: length(t) > 2 AND t NOT IN ({", ".join(f"'{w}'" for w in X.FILLER)}))) AS words FROM cl LEFT JOIN e USING (id)),
+  h AS (SELECT *, len(list_filter(words, lambda w: coalesce(contains(low, w), false))) AS held FROM m),
+  g AS (SELECT id, sentence_no, claim_no, claim, value, cited_path, bool_or(v) AS v, bool_or(p) AS p, max(held) AS held, any_value(len(words)) AS n FROM h GROUP BY ALL)
+  SELECT id, sentence_no, claim_no, claim, value, cited_path, cited_path IS NOT NULL AND NOT p AS missing_path,
+    CASE WHEN cited_path IS NOT NULL AND NOT p THEN false WHEN value IS NOT NULL THEN v ELSE p OR n = 0 OR held / n >= 0.6 END AS verified FROM g""")
 def verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.verified(X.claims(fixture(spark, "id int, answer string", _CLAIMED)), fixture(spark, "id int, path string, text string", _EVIDENCE))
-
-
-_FACTS = [
-    (1, "run47", "lr", "3", "ms", False, None, "run47", "lr", "0.003", "s", False, None),
-    (2, "run47", "lr", "3", "m", False, None, "run47", "lr", "3", "s", False, None),
-    (3, "run47", "lr", "5", "", True, None, "run47", "lr", "6", "", False, None),
-    (4, "run47", "lr", "5", "", False, True, "run47", "lr", "5", "", False, False),
-    (5, "run47", "lr", "5", "", False, True, "run47", "lr", "5", "", False, None),
-    (6, "run47", "name", "abc", "", False, None, "run47", "name", "abc", "", False, None),
-    (7, "run47", "name", "abc", "", False, None, "run47", "name", "abd", "", False, None),
-    (8, "run47", "lr", "5", "furlong", False, None, "run47", "lr", "5", "", False, None),
-    (9, "run47", "lr", "5", "", False, None, "run48", "lr", "5", "", False, None),
-    (10, "run47", "lr", "5", "", False, None, "run47", "lr", "5.0", "", True, None),
-    (1, "run47", "lr", "3", "ms", False, None, "run47", "lr", "4", "ms", False, None),
-]
-_FACT_KIND = "claim_id int, c_subject string, c_field string, c_value string, c_unit string, c_negated boolean, c_current boolean, e_subject string, e_field string, e_value string, e_unit string, e_negated boolean, e_current boolean"
-_FACT_SQL = f"""{values("f", "claim_id, c_subject, c_field, c_value, c_unit, c_negated, c_current, e_subject, e_field, e_value, e_unit, e_negated, e_current", _FACTS)},
+    """These claims against the document itself, under a path that some of them cite."""
+    made_of = made(spark, sf_dir, _CLAIM, 6).selectExpr(*re.split(r", (?=CASE)", _EVIDENT))
+    evidence = made_of.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return X.verified(_claims(spark, sf_dir), evidence.select("id", "path", F.concat_ws(" ", "said", F.coalesce("text", F.lit(""))).alias("text")))
+
+
+#: A claimed and an evident fact for each order, of eleven kinds, over ``kk`` and a number ``m``.
+_FACT = [
+    "id - id % 2 AS claim_id", "'run' || who AS c_subject", "CASE WHEN kk IN (5, 6) THEN 'name' ELSE 'lr' END AS c_field", "CASE kk WHEN 0 THEN (3 * m) || '' WHEN 2 THEN (5 + m) || '' WHEN 5 THEN 'abc' || m WHEN 6 THEN 'abc' WHEN 10 THEN (3 * m) || '' ELSE m || '' END AS c_value",
+    "CASE kk WHEN 0 THEN 'ms' WHEN 1 THEN 'm' WHEN 7 THEN 'furlong' WHEN 10 THEN 'ms' ELSE '' END AS c_unit", "kk = 2 AS c_negated", "CASE WHEN kk IN (3, 4) THEN true END AS c_current", "'run' || (who + CASE WHEN kk = 8 THEN 1 ELSE 0 END) AS e_subject", "CASE WHEN kk IN (5, 6) THEN 'name' ELSE 'lr' END AS e_field",
+    "CASE kk WHEN 0 THEN '0.00' || (3 * m) WHEN 2 THEN (6 + m) || '' WHEN 5 THEN 'abc' || m WHEN 6 THEN 'abd' WHEN 9 THEN m || '.0' WHEN 10 THEN (4 * m) || '' ELSE m || '' END AS e_value", "CASE kk WHEN 0 THEN 's' WHEN 1 THEN 's' WHEN 10 THEN 'ms' ELSE '' END AS e_unit", "kk = 9 AS e_negated", "CASE WHEN kk = 3 THEN false END AS e_current",
+]
+_FACT_OF = "o_orderkey AS id, o_custkey AS who, o_orderkey % 11 AS kk, o_custkey % 3 + 1 AS m"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*_FACT_OF.split(", ")).selectExpr(*_FACT)
+
+
+_FACT_SQL = f"""f AS (SELECT {", ".join(_FACT)} FROM (SELECT {_FACT_OF} FROM orders)),
   {values("u", "unit, dim, factor", [(u, d, f) for u, d, f in X.UNITS])},
   q AS (SELECT f.*, CASE WHEN try_cast(c_value AS DOUBLE) IS NULL THEN CASE WHEN c_unit = '' THEN 'text' END ELSE a.dim END AS ck, CASE WHEN try_cast(e_value AS DOUBLE) IS NULL THEN CASE WHEN e_unit = '' THEN 'text' END ELSE b.dim END AS ek,
         try_cast(c_value AS DECIMAL(18, 6)) * a.factor::DECIMAL(12, 6) AS cn, try_cast(e_value AS DECIMAL(18, 6)) * b.factor::DECIMAL(12, 6) AS en FROM f LEFT JOIN u a ON c_unit = a.unit LEFT JOIN u b ON e_unit = b.unit),
@@ -129,12 +162,12 @@ _FACT_SQL = f"""{values("f", "claim_id, c_subject, c_field, c_value, c_unit, c_n
 
 @CATALOG.add(f"WITH {_FACT_SQL} SELECT claim_id, e_value, label, reason FROM l")
 def fact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.compared_facts(fixture(spark, _FACT_KIND, _FACTS)).select("claim_id", "e_value", "label", "reason")
+    return X.compared_facts(_facts(spark, sf_dir)).select("claim_id", "e_value", "label", "reason")
 
 
 @CATALOG.add(f"WITH {_FACT_SQL} SELECT claim_id, CASE WHEN max(CASE WHEN label = 'conflict' THEN 1 ELSE 0 END) = 1 THEN 'conflict' WHEN min(CASE WHEN label = 'supported' THEN 1 ELSE 0 END) = 1 THEN 'supported' ELSE 'unknown' END AS label FROM l GROUP BY claim_id")
 def fact_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.fact_verdicts(X.compared_facts(fixture(spark, _FACT_KIND, _FACTS)))
+    return X.fact_verdicts(X.compared_facts(_facts(spark, sf_dir)))
 
 
 @CATALOG.add(f"""WITH {_PAIRS}, b AS (SELECT query_id, rank, path, list_distinct(qt) AS asked, string_split(regexp_replace(trim(text, ' '), '([.!?' || chr(10) || '])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM j WHERE rank <= 4),
@@ -152,13 +185,13 @@ def scratchpad_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.within_budget(rows, 2048)
 
 
-_ART = [("r1", "a.py", "code", True, True), ("r1", "c.yaml", "config", True, True), ("r1", "p.md", "paper", True, True), ("r2", "a.py", "code", True, False), ("r2", "c.yaml", "config", False, False), ("r3", "a.py", "code", True, False), ("r3", "c.yaml", "config", True, False)]
+_ART = "CAST(user_id AS STRING) AS run, CAST(event_id AS STRING) AS path, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'code' WHEN 1 THEN 'config' WHEN 2 THEN 'paper' WHEN 3 THEN 'test' ELSE 'env' END AS role, event_id % 17 > 0 AS present, event_id % 3 = 0 AS cited"
 
 
-@CATALOG.add(f"""WITH {values("f", "run, path, role, present, cited", _ART)}, b AS (SELECT run, bool_and(present) AS available, bool_or(present AND role IN ('code', 'test')) AS code, bool_or(present AND role = 'config') AS config, bool_or(present AND role IN ('env', 'paper')) AS papers, bool_or(cited) AS cited FROM f GROUP BY run)
+@CATALOG.add(f"""WITH f AS (SELECT {_ART} FROM events), b AS (SELECT run, bool_and(present) AS available, bool_or(present AND role IN ('code', 'test')) AS code, bool_or(present AND role = 'config') AS config, bool_or(present AND role IN ('env', 'paper')) AS papers, bool_or(cited) AS cited FROM f GROUP BY run)
   SELECT run, available, available AND code AND config AS functional, available AND code AND config AND papers AND cited AS reusable FROM b""")
 def artifact_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.badges(fixture(spark, "run string, path string, role string, exists boolean, cited boolean", _ART))
+    return X.badges(table(spark, sf_dir, "events").selectExpr(*_ART.split(", ")).withColumnRenamed("present", "exists"))
 
 
 @CATALOG.add("""WITH f AS (SELECT o_orderpriority AS template, o_orderkey AS id, o_orderstatus AS value FROM orders), d AS (SELECT DISTINCT template, value FROM f), n AS (SELECT template, value, coalesce(lead(value) OVER (PARTITION BY template ORDER BY value), first_value(value) OVER (PARTITION BY template ORDER BY value)) AS planted FROM d)
@@ -207,13 +240,13 @@ def masked_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RL.masked_nll(e.select((F.col("user_id") % 20).alias("id"), (-F.col("value")).alias("logprob"), (F.col("event_type") != "error").alias("mask")))
 
 
-_TRAJ = [(1, "<search> a b </search><information>x</information><search>c</search><answer> yes </answer>"), (2, "no tags"), (3, None)]
+_TRAJ = """CASE k WHEN 0 THEN '<search> ' || w1 || ' ' || w2 || ' </search><information>' || w3 || '</information><search>' || w4 || '</search><answer> yes </answer>' WHEN 1 THEN w1 || ' without tags' WHEN 2 THEN '<search>' || w1 || '<answer>' || w2 || chr(10) || w3 || '</answer><answer>no</answer>' ELSE NULL END"""
 
 
-@CATALOG.add(f"""WITH {values("r", "id, text", _TRAJ)} SELECT id, list_transform(regexp_extract_all(text, '(?s)<search>(.*?)</search>', 1), lambda x: trim(x, ' ')) AS searches, list_transform(regexp_extract_all(text, '(?s)<information>(.*?)</information>', 1), lambda x: trim(x, ' ')) AS informations,
+@CATALOG.add(f"""WITH {made_sql(_TRAJ, 4, "r", "doc_id AS id, {x} AS text")} SELECT id, list_transform(regexp_extract_all(text, '(?s)<search>(.*?)</search>', 1), lambda x: trim(x, ' ')) AS searches, list_transform(regexp_extract_all(text, '(?s)<information>(.*?)</information>', 1), lambda x: trim(x, ' ')) AS informations,
   trim(coalesce(regexp_extract(text, '(?s)<answer>(.*?)</answer>', 1), ''), ' ') AS answer FROM r""")
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RL.trajectories(fixture(spark, "id int, text string", _TRAJ))
+    return RL.trajectories(made(spark, sf_dir, _TRAJ, 4).select(F.col("doc_id").alias("id"), "text"))
 
 
 @CATALOG.add("WITH o AS (SELECT l_orderkey, l_suppkey, l_shipdate, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS i FROM lineitem) SELECT l_suppkey, l_orderkey FROM o WHERE i = 1")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import DOCS_SQL, Catalog, docs, fixture, table, values
+from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, Catalog, bm25_sql, docs, fixture, made, made_sql, table, text_queries, top_sql, values
 from harrier.operators import chunking as C
+from harrier.operators import lexical as L
 from harrier.sources import corpus as S
 from harrier.sources import judgements as J
 
@@ -33,17 +34,13 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.line_chunks(docs(spark, sf_dir))
 
 
-_FILES = [
-    ("a/x.md", "intro\n# One\ntext\n```\n# not a heading\n```\n## Two\nmore\n"),
-    ("a/y.csv", 'name,note\nann,"two\nlines"\nbob,one\n'),
-    ("a/z.py", "import os\n\n@deco\ndef f():\n    return 1\n\nclass C:\n    pass\n\nx = 2\n"),
-    ("a/bad.py", "def f(:\n"),
-    ("a/k.yaml", "run_id: 1\nlr: 0.1\n"),
-    ("a/j.json", '{"a": 1}'),
-    ("a/n.json", '{"a": 1}\n{"b": 2}\n'),
-    ("a/l.jsonl", '{"a": 1}\n\n{"b": 2}'),
-    ("a/empty.md", ""),
-]
+#: A file for each document, of eight formats, with its first words in place.
+_FORMATS = """CASE k WHEN 0 THEN 'intro ' || w1 || chr(10) || '# ' || w2 || chr(10) || 'text' || chr(10) || '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) || '## ' || w3 || chr(10) || w4 || chr(10)
+  WHEN 1 THEN 'name,note' || chr(10) || w1 || ',"two' || chr(10) || 'lines"' || chr(10) || w2 || ',one' || chr(10) WHEN 2 THEN 'import os' || chr(10) || chr(10) || '@deco' || chr(10) || 'def f():' || chr(10) || '    return "' || w1 || '"' || chr(10) || chr(10) || 'class C:' || chr(10) || '    pass' || chr(10) || chr(10) || 'x = 2' || chr(10)
+  WHEN 3 THEN 'def f(: ' || w1 WHEN 4 THEN 'run_id: ' || doc_id || chr(10) || 'lr: 0.1' || chr(10) WHEN 5 THEN '{"' || w1 || '": 1}' WHEN 6 THEN '{"a": 1}' || chr(10) || '{"b": "' || w2 || '"}' || chr(10) ELSE '{"a": 1}' || chr(10) || chr(10) || '{"b": 2}' END"""
+_SUFFIX = "CASE k WHEN 0 THEN '.md' WHEN 1 THEN '.csv' WHEN 2 THEN '.py' WHEN 3 THEN '.py' WHEN 4 THEN '.yaml' WHEN 7 THEN '.jsonl' ELSE '.json' END"
+#: The cuts that each kind has: its place in the file's lines (first, last), its kind, and the lines before its text.
+_CUTS = [(0, 1, 1, "markdown", 0), (0, 2, 6, "markdown", 0), (0, 7, 8, "markdown", 0), (1, 1, 1, "csv_header", 0), (1, 2, 3, "csv_row", 1), (1, 4, 4, "csv_row", 1), (2, 1, 2, "ast", 0), (2, 3, 5, "ast", 0), (2, 7, 8, "ast", 0), (2, 10, 10, "ast", 0), (3, 1, 1, "fixed", 0), (4, 1, 2, "yaml", 0), (5, 1, 1, "json", 0), (6, 1, 1, "jsonl", 0), (6, 2, 2, "jsonl", 0), (7, 1, 1, "jsonl", 0), (7, 3, 3, "jsonl", 0)]
 
 
 @CATALOG.add(f"""WITH {DOCS_SQL}, t AS (SELECT doc_id, source || '/' || doc_id || ['.txt', '.jsonl', '.json', '.md'][doc_id % 4 + 1] AS path, text FROM docs),
@@ -60,10 +57,13 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.structured_chunks(files).select("path", "start", "end", "kind", F.sha2("text", 256).alias("sha"))
 
 
-@CATALOG.add()
+@CATALOG.add(f"""WITH {made_sql(_FORMATS, 8, "f", "doc_id, k, 'a/' || doc_id || " + _SUFFIX + " AS path, {x} AS text")}, {values("c", "k, first, last, kind, head", _CUTS)},
+  l AS (SELECT *, string_split(text, chr(10)) AS ls FROM f), p AS (SELECT path, kind, CASE WHEN head = 1 THEN ls[1] || chr(10) ELSE '' END AS head, array_to_string(ls[1:first - 1], chr(10)) || CASE WHEN first > 1 THEN chr(10) ELSE '' END AS before, array_to_string(ls[first:last], chr(10)) AS body, len(ls) > last AS ends FROM l JOIN c USING (k))
+  SELECT path, length(before) AS start, length(before) + length(body) + CASE WHEN ends THEN 1 ELSE 0 END AS "end", kind, head || body || CASE WHEN ends THEN chr(10) ELSE '' END AS text FROM p""")
 def chunk_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file of each format; tests hold the cuts against literal cases."""
-    return C.structured_chunks(fixture(spark, "path string, text string", _FILES))
+    """A file of one of eight kinds for each document; the SQL names each kind's cuts by their lines."""
+    files = made(spark, sf_dir, _FORMATS, 8).select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.expr(_SUFFIX)).alias("path"), "text")
+    return C.structured_chunks(files)
 
 
 @CATALOG.add(f"WITH {DOCS_SQL} SELECT path, trim(regexp_replace(path, '[_/.-]+', ' ', 'g')) || chr(10) || chr(10) || text AS search_text FROM docs")
@@ -150,14 +150,19 @@ def scale_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.perturbed(docs(spark, sf_dir).select("path", "text"), 3).select("path", "copy", F.sha2("text", 256).alias("sha"))
 
 
-_RUN = [(1, "d1", 1, 2.5), (1, "d2", 2, 1.25), (2, "d9", 1, 0.125)]
+_RUN = f"{TF_SQL}, {QT_SQL}, {bm25_sql()}, {top_sql('bm', 10, 't')}, r AS (SELECT query_id AS q, 'd' || doc_id AS d, rank AS k, score AS s FROM t)"
 
 
-@CATALOG.add(f"WITH {values('r', 'q, d, k, s', _RUN)} SELECT q || ' Q0 ' || d || ' ' || k || ' ' || printf('%.8f', s) || ' tag' AS value FROM r")
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.bm25_top_k(docs(spark, sf_dir), L.query_terms(text_queries(spark, sf_dir)), 10)
+    return found.withColumn("item", F.concat(F.lit("d"), F.col("item").cast("string")))
+
+
+@CATALOG.add(f"WITH {_RUN} SELECT q || ' Q0 ' || d || ' ' || k || ' ' || printf('%.8f', s) || ' tag' AS value FROM r")
 def trec_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.trec_lines(fixture(spark, "query_id int, item string, rank int, score double", _RUN), "tag")
+    return J.trec_lines(_run(spark, sf_dir), "tag")
 
 
-@CATALOG.add(f"WITH {values('r', 'q, d, k, s', _RUN)} SELECT CAST(q AS VARCHAR) AS query_id, d AS item, k AS rank, s AS score, 'tag' AS tag FROM r")
+@CATALOG.add(f"WITH {_RUN} SELECT CAST(q AS VARCHAR) AS query_id, d AS item, k AS rank, s AS score, 'tag' AS tag FROM r")
 def trec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.parse_trec(J.trec_lines(fixture(spark, "query_id int, item string, rank int, score double", _RUN), "tag"))
+    return J.parse_trec(J.trec_lines(_run(spark, sf_dir), "tag"))

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrier.catalog.answers import _PAIRS, _pairs
-from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, Catalog, all_vector_queries, bm25_sql, docs, table, text_queries, top_sql
+from harrier.catalog.base import Catalog, DOCS_SQL, FILES_SQL, QT_SQL, TF_SQL, all_vector_queries, bm25_sql, docs, files, table, text_queries, top_sql
 from harrier.catalog.chunks import _FIXED, _MANIFEST, _SCAN, _manifest
 from harrier.catalog.evaluation import CATALOG as EVALUATION
 from harrier.catalog.evaluation import qrels
-from harrier.catalog.graphs import _F as _FILES_SQL
-from harrier.catalog.graphs import _files
 from harrier.functions import text as T
 from harrier.functions import vectors as V
 from harrier.operators import chunking as C
@@ -131,10 +129,9 @@ def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIELD = r"(?i)\b{f}\s*[:=]\s*([A-Za-z0-9.eE+\-]+)"
 
 
-@CATALOG.add(f"WITH {_FILES_SQL}, r AS (SELECT 1 AS query_id, text, row_number() OVER (ORDER BY path) AS rank FROM f), x AS (" + " UNION ALL ".join(f"SELECT query_id, rank, '{f}' AS field, regexp_extract(text, '{_FIELD.format(f=f)}', 1) AS value FROM r" for f in X.FIELDS) + ") SELECT query_id::BIGINT AS query_id, field, arg_min(value, rank) AS value FROM x WHERE value <> '' GROUP BY ALL")
+@CATALOG.add(f"WITH {FILES_SQL}, r AS (SELECT r AS query_id, text, k AS rank FROM f), x AS (" + " UNION ALL ".join(f"SELECT query_id, rank, '{f}' AS field, regexp_extract(text, '{_FIELD.format(f=f)}', 1) AS value FROM r" for f in X.FIELDS) + ") SELECT query_id::BIGINT AS query_id, field, arg_min(value, rank) AS value FROM x WHERE value <> '' GROUP BY ALL")
 def first_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark).withColumn("rank", F.row_number().over(Window.orderBy("path")))  # a fixture
-    return X.first_fields(files.withColumn("query_id", F.lit(1)))
+    return X.first_fields(files(spark, sf_dir).select(F.col("r").alias("query_id"), F.col("k").alias("rank"), "path", "text"))
 
 
 @CATALOG.add(f"""WITH {DOCS_SQL}, a AS (SELECT doc_id AS id, path, coalesce(length(text), 0) AS n FROM docs), s AS (SELECT id, CASE id % 4 WHEN 0 THEN [CAST(n AS VARCHAR)] WHEN 1 THEN [path] WHEN 3 THEN [CAST(n + 1 AS VARCHAR), CAST(n AS VARCHAR)] END AS parts, CASE id % 4 WHEN 0 THEN [true] WHEN 1 THEN [true] WHEN 3 THEN [id = n + 1, true] END AS stated FROM a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import DOCS_SQL, QRELS_SQL, QT_SQL, TF_SQL, Catalog, bm25_sql, docs, fixture, table, text_queries, top_sql, values
+from harrier.catalog.base import DOCS_SQL, QRELS_SQL, QT_SQL, TF_SQL, Catalog, bm25_sql, docs, table, text_queries, top_sql
 from harrier.operators import evaluate as M
 from harrier.operators import lexical as L
 from harrier.operators.scoring import draws
@@ -137,13 +137,12 @@ def cohens_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.kappa(rows.select(F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("a"), F.col("quality").alias("b")), "a", "b")
 
 
-_VOTES = [("q1", "correct"), ("q1", "wrong"), ("q2", "correct"), ("q2", "correct"), ("q2", "wrong"), ("q3", "partial"), ("q4", "wrong"), ("q4", "wrong"), ("q4", "partial"), ("q4", "partial")]
-
-
-@CATALOG.add(f"""WITH {values("votes", "question, label", _VOTES)}, c AS (SELECT question, label, count(*) AS c FROM votes GROUP BY ALL),
+@CATALOG.add(f"""WITH votes AS (SELECT 'user ' || user_id AS question, event_type AS label FROM events), c AS (SELECT question, label, count(*) AS c FROM votes GROUP BY ALL),
   t AS (SELECT question, label, c, max(c) OVER (PARTITION BY question) AS m FROM c) SELECT question, CASE WHEN count(*) > 1 THEN 'partial' ELSE min(label) END AS label FROM t WHERE c = m GROUP BY question""")
 def jury_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.jury_vote(fixture(spark, "question string, label string", _VOTES))
+    """Each user's events as votes."""
+    e = table(spark, sf_dir, "events")
+    return M.jury_vote(e.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("question"), F.col("event_type").alias("label")))
 
 
 @CATALOG.add("""WITH v AS (SELECT unnest(['correct', 'partial', 'wrong']) AS x), l AS (SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN quality = 1 THEN 'partial' ELSE 'wrong' END AS t, CASE WHEN n_chars > 2000 THEN 'correct' WHEN n_chars > 500 THEN 'partial' ELSE 'wrong' END AS s FROM labels JOIN documents USING (doc_id))
@@ -155,17 +154,22 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.confusion(rows.select(truth.alias("t"), said.alias("s")), "t", "s", ["correct", "partial", "wrong"])
 
 
-_BEFORE = [("hybrid", "ndcg", 0.5), ("hybrid", "mrr", 0.4), ("bm25", "ndcg", 0.5), ("bm25", "recall", 0.7)]
-_AFTER = [("hybrid", "ndcg", 0.4975), ("hybrid", "mrr", 0.42), ("bm25", "ndcg", 0.499), ("dense", "ndcg", 0.3)]
+#: Of the even events the mean and the largest value of each type, of the odd ones the mean and the least.
+_HALVES = {name: "SELECT event_type AS config, '{m}' AS metric, round({f}, 3) AS value FROM events WHERE event_id % 2 = {half} GROUP BY event_type UNION ALL SELECT event_type, 'mean', round(avg(value) / 50, 3) FROM events WHERE event_id % 2 = {half} GROUP BY event_type".format(m=m, f=f, half=half) for name, m, f, half in (("b", "max", "max(value)", 0), ("a", "min", "min(value)", 1))}
 
 
-@CATALOG.add(f"""WITH {values("b", "config, metric, value", _BEFORE)}, {values("a", "config, metric, value", _AFTER)}
+@CATALOG.add(f"""WITH b AS ({_HALVES['b']}), a AS ({_HALVES['a']})
   SELECT coalesce(b.config, a.config) AS config, coalesce(b.metric, a.metric) AS metric, b.value AS before, a.value AS after,
   CASE WHEN b.value IS NULL THEN 'new' WHEN a.value IS NULL THEN 'missing' WHEN round(a.value - b.value, 10) < -0.002 THEN 'regression' WHEN round(a.value - b.value, 10) > 0.002 THEN 'improvement' ELSE 'same' END AS verdict
   FROM b FULL OUTER JOIN a ON a.config = b.config AND a.metric = b.metric""")
 def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "config string, metric string, value double"
-    return M.gate(fixture(spark, kind, _BEFORE), fixture(spark, kind, _AFTER))
+    e = table(spark, sf_dir, "events")
+
+    def half(n: int, name: str, other) -> DataFrame:
+        own = e.filter(F.col("event_id") % 2 == n).groupBy(F.col("event_type").alias("config")).agg(F.round(other("value"), 3).alias(name), F.round(F.avg("value") / 50, 3).alias("mean"))
+        return own.unpivot("config", [name, "mean"], "metric", "value")
+
+    return M.gate(half(0, "max", F.max), half(1, "min", F.min))
 
 
 @CATALOG.add(f"""WITH {DOCS_SQL}, b AS (SELECT doc_id AS id, text AS context, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), 3, 9), ' ') AS answer, array_to_string(list_slice(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), 1, 5), ' ') AS question, lang FROM docs),

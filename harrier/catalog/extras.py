@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, TOKENS_SQL, Catalog, bm25_sql, docs, fixture, table, text_queries, top_sql, values
+from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, TOKENS_SQL, Catalog, bm25_sql, docs, table, text_queries, top_sql
 from harrier.catalog.evaluation import qrels
 from harrier.functions import embedders as E
 from harrier.operators import chunking as C
@@ -20,29 +20,32 @@ from harrier.streaming import cache
 
 CATALOG = Catalog()
 
-_HITS = [(1, "a.py", 1, 0.9), (1, "b.md", 2, 0.8), (1, "c.py", 3, 0.7), (2, "d.yaml", 1, 0.6), (2, "e.py", 2, 0.5)]
-_H = values("h", "query_id, path, rank, score", _HITS)
+_ENDING = "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.yaml' ELSE '.out' END"
+_H = f"{TF_SQL}, {QT_SQL}, {bm25_sql()}, {top_sql('bm', 5, 'r')}, h AS (SELECT query_id, doc_id || {_ENDING} AS path, rank, score FROM r)"
 
 
-def _hits(spark: SparkSession) -> DataFrame:
-    return fixture(spark, "query_id int, path string, rank int, score double", _HITS)
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents of each text query, as files of four kinds."""
+    found = L.bm25_top_k(docs(spark, sf_dir), L.query_terms(text_queries(spark, sf_dir)), 5).withColumnRenamed("item", "doc_id")
+    return found.select("query_id", F.expr(f"doc_id || {_ENDING}").alias("path"), "rank", "score")
 
 
 @CATALOG.add(f"WITH {_H} SELECT * FROM h WHERE rank <= 2 AND path LIKE '%.py'")
 def filetype_after_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.of_type(_hits(spark), [".py"], 2)
+    return R.of_type(_hits(spark, sf_dir), [".py"], 2)
 
 
-@CATALOG.add(f"WITH {_H}, x AS (SELECT query_id, CASE WHEN path = 'b.md' THEN '1' ELSE path END AS item, rank FROM h) SELECT query_id, item, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS rank FROM x WHERE item <> CAST(query_id AS VARCHAR)")
+@CATALOG.add(f"WITH {_H}, x AS (SELECT query_id, CASE WHEN path LIKE '%.md' THEN query_id || '' ELSE path END AS item, rank FROM h) SELECT query_id, item, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS rank FROM x WHERE item <> CAST(query_id AS VARCHAR)")
 def ignore_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hits(spark).select("query_id", F.when(F.col("path") == "b.md", "1").otherwise(F.col("path")).alias("item"), "rank")
+    rows = _hits(spark, sf_dir).select("query_id", F.when(F.col("path").endswith(".md"), F.col("query_id").cast("string")).otherwise(F.col("path")).alias("item"), "rank")
     return R.without_self(rows)
 
 
-@CATALOG.add(f"WITH {_H}, o AS (SELECT * FROM (VALUES (1, 'c.py', 1), (2, 'e.py', 1)) AS v(query_id, path, r)), s AS (SELECT h.*, round(1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + r), 0), 10) AS s FROM h LEFT JOIN o USING (query_id, path)) SELECT query_id, path AS item, rank, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS BIGINT) AS new_rank FROM s")
+@CATALOG.add(f"WITH {_H}, o AS (SELECT query_id, path, 1 AS r FROM h WHERE rank = 3), s AS (SELECT h.*, round(1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + r), 0), 10) AS s FROM h LEFT JOIN o USING (query_id, path)) SELECT query_id, path AS item, rank, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS BIGINT) AS new_rank FROM s")
 def community_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = fixture(spark, "query_id int, item string, rank int", [(1, "c.py", 1), (2, "e.py", 1)])
-    return R.boosted_by_rank(_hits(spark).select("query_id", F.col("path").alias("item"), "rank"), other)
+    hits = _hits(spark, sf_dir)
+    other = hits.filter("rank = 3").select("query_id", F.col("path").alias("item"), F.lit(1).alias("rank"))
+    return R.boosted_by_rank(hits.select("query_id", F.col("path").alias("item"), "rank"), other)
 
 
 @CATALOG.add(f"WITH {DOCS_SQL} SELECT path, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || ' ...' ELSE text END AS text FROM docs")
@@ -101,11 +104,11 @@ def paired_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.paired_by_route(a, a.withColumn("value", F.round("value")))
 
 
-@CATALOG.add(f"""WITH {values("h", "query_id, query, path, rank", [(1, "fusion rate", "configs/run_1.yaml", 1), (1, "fusion rate", "logs/fusion.out", 2), (2, "a b", "x", 1)])}, t AS (SELECT query_id, query, rank, unnest({TOKENS_SQL.format(x='path')}) AS t FROM h), f AS (SELECT query_id, query, t, min(rank) AS r FROM t WHERE length(t) > 2 GROUP BY ALL),
-  g AS (SELECT query_id, string_agg(t, ' ' ORDER BY r, t) AS s FROM f GROUP BY query_id) SELECT DISTINCT h.query_id, CASE WHEN s IS NULL THEN query || ' details' ELSE query || ' ' || s END AS rewritten FROM h LEFT JOIN g USING (query_id)""")
+@CATALOG.add(f"""WITH {_H}, hq AS (SELECT query_id, q.text AS query, path, rank FROM h JOIN q USING (query_id)), t AS (SELECT query_id, query, rank, unnest({TOKENS_SQL.format(x='path')}) AS t, unnest(range(len({TOKENS_SQL.format(x='path')}))) AS pos FROM hq WHERE rank <= 3),
+  f AS (SELECT query_id, t, min(rank * 100 + pos) AS r FROM t WHERE length(t) > 2 AND NOT list_contains({TOKENS_SQL.format(x='query')}, t) GROUP BY ALL),
+  g AS (SELECT query_id, array_to_string(list(t ORDER BY r)[1:6], ' ') AS s FROM f GROUP BY query_id) SELECT DISTINCT hq.query_id, CASE WHEN s IS NULL THEN query || ' details' ELSE query || ' ' || s END AS rewritten FROM hq LEFT JOIN g USING (query_id)""")
 def path_token_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "fusion rate", "configs/run_1.yaml", 1), (1, "fusion rate", "logs/fusion.out", 2), (2, "a b", "x", 1)]
-    return U.with_path_tokens(fixture(spark, "query_id int, query string, path string, rank int", rows))
+    return U.with_path_tokens(_hits(spark, sf_dir).join(text_queries(spark, sf_dir).withColumnRenamed("text", "query"), "query_id").select("query_id", "query", "path", "rank"))
 
 
 @CATALOG.add("SELECT event_id AS id, round(1 / (1 + exp(-(coalesce(value, 0) - 5))), 8) AS p FROM events")
@@ -113,12 +116,12 @@ def sigmoid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.round(K.sigmoid(F.coalesce("value", F.lit(0.0)) - 5), 8).alias("p"))
 
 
-_ROLL = [(1, 1.0, 0.5, 1.0, 2, 0.0), (2, 0.0, 0.25, 0.5, 0, 1.0)]
+_ROLL = "event_id AS id, CAST(event_id % 2 AS DOUBLE) AS exact, CAST(event_id % 5 AS DOUBLE) / 4 AS ndcg, CAST(user_id % 3 AS DOUBLE) / 2 AS jury, user_id % 4 AS n_search, CAST(event_id % 3 AS DOUBLE) / 2 AS uncited"
 
 
-@CATALOG.add(f"WITH {values('r', 'id, exact, ndcg, jury, n_search, uncited', _ROLL)} SELECT *, round(exact + 0.5::DOUBLE * ndcg + 0.3::DOUBLE * jury - 0.1::DOUBLE * n_search - uncited, 8) AS reward FROM r")
+@CATALOG.add(f"WITH r AS (SELECT {_ROLL} FROM events) SELECT *, round(exact + 0.5::DOUBLE * ndcg + 0.3::DOUBLE * jury - 0.1::DOUBLE * n_search - uncited, 8) + 0::DOUBLE AS reward FROM r")
 def search_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RL.rewards(fixture(spark, "id int, exact double, ndcg double, jury double, n_search int, uncited double", _ROLL))
+    return RL.rewards(table(spark, sf_dir, "events").selectExpr(*_ROLL.split(", ")))
 
 
 @CATALOG.add()

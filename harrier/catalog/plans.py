@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import DOCS_SQL, TOKENS_SQL, Catalog, docs, fixture, table, text_queries, values
+from harrier.catalog.base import DOCS_SQL, QUESTION, TOKENS_SQL, Catalog, docs, made, made_sql, table, text_queries
 from harrier.catalog.evaluation import qrels
 from harrier.functions import embedders as E
 from harrier.functions import text as T
@@ -56,23 +56,20 @@ def engine_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.evaluate(engine.retrieve(q, Config(k=10)), qrels(spark, sf_dir), q)
 
 
-_GOLD = [(i, ("alpha", "beta", "gamma")[i % 3], f"what learning rate did run {i} use") for i in range(23)]
-
-
-@CATALOG.add(f"""WITH {values("g", "id, category, question", _GOLD)}, n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM g),
+@CATALOG.add(f"""WITH g AS (SELECT doc_id AS id, lang AS category, 'question ' || doc_id AS question FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM g),
   p AS (SELECT DISTINCT category, CAST(round_even(k * (n - 1) / (least(4, n) - 1)::DOUBLE, 0) AS BIGINT) AS i FROM n, range(4) t(k) WHERE k < least(4, n)) SELECT id, category, question FROM n JOIN p USING (category, i)""")
 def evenly_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.evenly_sampled(fixture(spark, "id int, category string, question string", _GOLD), "category", "id", 4)
+    d = table(spark, sf_dir, "documents")
+    return B.evenly_sampled(d.select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.concat(F.lit("question "), F.col("doc_id").cast("string")).alias("question")), "category", "id", 4)
 
 
-_ASKED = [(1, "what learning rate did run 40 use"), (2, "open configs/run_1.yaml"), (3, "how many runs, in all?"), (4, "list files")]
 _STOP = ", ".join(f"'{w}'" for w in B.WEAK)
 
 
-@CATALOG.add(f"""WITH {values("q", "id, question", _ASKED)}, w AS (SELECT *, list_filter(list_transform(string_split(replace(replace(lower(question), 'how many', 'number of'), 'what''s', 'what is'), ' '), lambda x: trim(x, '?,.:')), lambda x: x <> '' AND x NOT IN ({_STOP})) AS w FROM q)
+@CATALOG.add(f"""WITH {made_sql(QUESTION, 20, columns="doc_id AS id, {x} AS question")}, w AS (SELECT *, list_filter(list_transform(string_split(replace(replace(lower(question), 'how many', 'number of'), 'what''s', 'what is'), ' '), lambda x: trim(x, '?,.:')), lambda x: x <> '' AND x NOT IN ({_STOP})) AS w FROM q)
   SELECT id, array_to_string(w, ' ') AS keywords, CASE WHEN split_part(lower(question), ' ', 1) IN ('open', 'find', 'show', 'read', 'locate', 'explain', 'compare', 'list', 'get') THEN 'can you ' || question || '?' ELSE 'can you tell me ' || question || '?' END AS ask, 'quick question: ' || question AS prefix FROM w""")
 def paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.paraphrases(fixture(spark, "id int, question string", _ASKED))
+    return B.paraphrases(made(spark, sf_dir, QUESTION, 20).select(F.col("doc_id").alias("id"), F.col("text").alias("question")))
 
 
 @CATALOG.add(f"""WITH {DOCS_SQL}, b AS (SELECT doc_id AS id, {TOKENS_SQL.format(x="substr(text, 1, 60)")} AS q, {TOKENS_SQL.format(x="substr(text, 30, 120)")} AS a, {TOKENS_SQL.format(x="text")} AS c, {TOKENS_SQL.format(x="substr(text, 90, 60)")} AS g FROM docs),
@@ -89,20 +86,24 @@ def _judged(d: DataFrame) -> DataFrame:
     return B.judged(rows)
 
 
-_REPLIES = [(1, '{"score": 0.8, "label": "x"}'), (2, "SCORE: 7"), (3, "wrong"), (4, "it is correct"), (5, "yes"), (6, ""), (7, '{"label": "partial"}'), (8, "faithfulness = 0.25"), (9, None)]
+_REPLY = """CASE k WHEN 0 THEN '{"score": 0.' || (doc_id % 7) || ', "label": "wrong"}' WHEN 1 THEN 'SCORE: ' || (doc_id % 13) WHEN 2 THEN 'wrong, by ' || w1 WHEN 3 THEN 'it is correct' WHEN 4 THEN 'yes, ' || w1 WHEN 5 THEN ''
+  WHEN 6 THEN '{"label": "partial"}' WHEN 7 THEN 'faithfulness = 0.' || doc_id WHEN 8 THEN NULL WHEN 9 THEN '{"groundedness": "0.' || (doc_id % 5) || '"}' WHEN 10 THEN 'unfaithful' ELSE w1 || ' ' || w2 END"""
 
 
-@CATALOG.add(f"""WITH {values("r", "id, reply", _REPLIES)} SELECT id, (CASE id WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 0.5 WHEN 7 THEN 0.5 WHEN 8 THEN 0.25 ELSE 0.5 END)::DOUBLE AS score FROM r""")
+@CATALOG.add(rf"""WITH {made_sql(_REPLY, 12, columns="doc_id AS id, trim(coalesce({x}, '')) AS t")}, j AS (SELECT *, CASE WHEN json_valid(t) THEN t END AS j FROM q),
+  p AS (SELECT id, try_cast(coalesce(j ->> '$.score', j ->> '$.faithfulness', j ->> '$.relevancy', j ->> '$.groundedness') AS DOUBLE) AS number, try_cast(nullif(regexp_extract(t, '(?i)(?:score|faithfulness|relevancy)\s*[:=]\s*([0-9.]+)', 1), '') AS DOUBLE) AS written, lower(coalesce(j ->> '$.label', t)) AS named FROM j)
+  SELECT id, coalesce(CASE WHEN number IS NOT NULL THEN least(greatest(number, 0), 1) END, CASE WHEN written <= 1 THEN written WHEN written > 1 THEN least(written / 10, 1) END, CASE WHEN regexp_matches(named, '\bcorrect\b') THEN 1 WHEN regexp_matches(named, '\bpartial\b') THEN 0.5 WHEN regexp_matches(named, '\bwrong\b') THEN 0
+    WHEN contains(named, 'yes') OR contains(named, 'faithful') THEN 1 WHEN contains(named, 'no') OR contains(named, 'unfaith') THEN 0 ELSE 0.5 END)::DOUBLE AS score FROM p""")
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.scores(fixture(spark, "id int, reply string", _REPLIES))
-
+    """Replies of twelve kinds, one for each document."""
+    return B.scores(made(spark, sf_dir, _REPLY, 12).select(F.col("doc_id").alias("id"), F.col("text").alias("reply")))
 
-_PAIRED = [(1, "A", "A"), (2, "A", "A"), (3, "A", "B"), (4, "B", "A"), (5, "tie", "A")]
 
-
-@CATALOG.add(f"""WITH {values("p", "id, first_order, second_order", _PAIRED)}, s AS (SELECT CASE first_order WHEN 'A' THEN 1 WHEN 'B' THEN 0 ELSE 0.5 END::DOUBLE AS x, CASE second_order WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 0.5 END::DOUBLE AS y FROM p) SELECT count(*) AS n, round(avg((x + y) / 2), 6) AS p_a, round(abs(avg(x) - avg(y)), 6) AS position_gap FROM s""")
+@CATALOG.add(f"""WITH p AS (SELECT event_id AS id, ['A', 'B', 'tie'][event_id % 3 + 1] AS first_order, ['A', 'B', 'tie'][user_id % 3 + 1] AS second_order FROM events), s AS (SELECT CASE first_order WHEN 'A' THEN 1 WHEN 'B' THEN 0 ELSE 0.5 END::DOUBLE AS x, CASE second_order WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 0.5 END::DOUBLE AS y FROM p) SELECT count(*) AS n, round(avg((x + y) / 2), 6) AS p_a, round(abs(avg(x) - avg(y)), 6) AS position_gap FROM s""")
 def pairwise_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.pairwise(fixture(spark, "id int, first_order string, second_order string", _PAIRED))
+    said = F.array(*map(F.lit, ("A", "B", "tie")))
+    e = table(spark, sf_dir, "events")
+    return B.pairwise(e.select(F.col("event_id").alias("id"), F.get(said, (F.col("event_id") % 3).cast("int")).alias("first_order"), F.get(said, (F.col("user_id") % 3).cast("int")).alias("second_order")))
 
 
 @CATALOG.add("""WITH p AS (SELECT page_id, split_part(url, '/', 3) AS host, split_part(url, '/', 4) AS lang, length(html) AS n FROM pages) SELECT lang, host, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_chars FROM p GROUP BY ROLLUP (lang, host)""")
@@ -111,13 +112,13 @@ def page_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.rollup("lang", "host").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_chars"))
 
 
-_META = [(1, 0, 1, {"a": "x", "b": "y"}), (1, 1, 1, {"a": "z", "c": "w"}), (2, 0, 2, {"k": "v"})]
-
-
-@CATALOG.add("""WITH m(item, list_no, rank, k, v) AS (VALUES """ + ", ".join(f"({i}::BIGINT, {n}, {r}, '{k}', '{v}')" for i, n, r, m in _META for k, v in m.items()) + """), f AS (SELECT item, k, arg_min(v, list_no * 1000 + rank) AS v FROM m GROUP BY item, k)
+@CATALOG.add("""WITH m AS (SELECT user_id AS item, event_id % 3 AS list_no, event_id AS rank, event_type AS k, 'event ' || event_id AS v FROM events), f AS (SELECT item, k, arg_min(v, list_no * 1000000000 + rank) AS v FROM m GROUP BY item, k)
   SELECT item, list_sort(list(k || '=' || v)) AS entries FROM f GROUP BY item""")
 def metadata_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_META, "item int, list_no int, rank int, metadata map<string,string>")
+    """Each user's events in three lists, each with one entry."""
+    e = table(spark, sf_dir, "events")
+    entry = F.create_map(F.col("event_type"), F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    rows = e.select(F.col("user_id").alias("item"), (F.col("event_id") % 3).alias("list_no"), F.col("event_id").alias("rank"), entry.alias("metadata"))
     return M.metadata_union(rows).select("item", F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("entries"))
 
 

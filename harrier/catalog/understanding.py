@@ -1,43 +1,22 @@
-"""Query understanding. The driver's invented prose names no runs or files, so fixed
-questions stand beside it."""
+"""Query understanding. The documents' invented prose names no runs or files, so each document's
+first words stand in a question of one of twenty kinds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrier.catalog.base import Catalog, fixture, values
+from harrier.catalog.answers import _PAIRS, _pairs
+from harrier.catalog.base import QUESTION, Catalog, made, made_sql
 from harrier.operators import understand as U
 
 CATALOG = Catalog()
 
-QUESTIONS = [
-    (1, "open configs/run_047.yaml"),
-    (2, "how many runs used 3 stereo pairs"),
-    (3, "reproduce run 47 from the paper"),
-    (4, "write a test for the fusion module"),
-    (5, "what does the fusion module do"),
-    (6, "hello there"),
-    (7, "thanks"),
-    (8, "what is a transformer"),
-    (9, "compare the first draft with the second draft"),
-    (10, "show the current learning rate and list all encoder names"),
-    (11, "which run had the lowest val rmse?"),
-    (12, "train the model then plot the loss"),
-    (13, "what's in this corpus"),
-    (14, "list the logs in logs directory"),
-    (15, "show the whole file"),
-    (16, "fish"),
-    (17, ""),
-    (18, "LR of run 7"),
-    (19, "Run_12 fusion rmse draft"),
-    (20, "red blue green yellow purple"),
-]
-_Q = values("q", "query_id, text", QUESTIONS)
-
-
-def _questions(spark: SparkSession) -> DataFrame:
-    return fixture(spark, "query_id int, text string", QUESTIONS)
+_Q = made_sql(QUESTION, 20)
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made(spark, sf_dir, QUESTION, 20).select(F.col("doc_id").alias("query_id"), "text")
 
 
 def _re2(pattern: str) -> str:
@@ -49,7 +28,7 @@ def _re2(pattern: str) -> str:
   WHEN regexp_matches(trim(text), {_re2(U.ARTIFACT)}) THEN 'research_artifact' WHEN regexp_matches(trim(text), {_re2(U.CODE)}) THEN 'code_production' ELSE 'semantic' END AS route FROM q)
   SELECT *, route = 'lexical_path' AS skip_embed, route IN ('lexical_path', 'aggregation_query') AS skip_rerank FROM r""")
 def route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.route(_questions(spark))
+    return U.route(_questions(spark, sf_dir))
 
 
 _HITS = " + ".join(f"(CASE WHEN regexp_matches(text, {_re2(p)}) THEN 1 ELSE 0 END)" for p in U.SIGNALS)
@@ -60,7 +39,7 @@ _HITS = " + ".join(f"(CASE WHEN regexp_matches(text, {_re2(p)}) THEN 1 ELSE 0 EN
   SELECT query_id, text, CASE WHEN reason IN ('empty_query', 'greeting', 'thanks', 'meta_identity', 'meta_capability', 'textbook_concept') THEN 'skip' WHEN reason = 'short_ambiguous' THEN 'uncertain' ELSE 'retrieve' END AS decision, reason,
   (CASE reason WHEN 'empty_query' THEN 1.0 WHEN 'strong_corpus_signal' THEN 0.95 WHEN 'corpus_signal' THEN 0.7 WHEN 'short_ambiguous' THEN 0.4 WHEN 'default_retrieve' THEN 0.6 ELSE 0.9 END)::DOUBLE AS confidence FROM g""")
 def adaptive_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.gate(_questions(spark))
+    return U.gate(_questions(spark, sf_dir))
 
 
 _LEVELS = " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {_re2(w)})' for w in words)} THEN '{name}'" for name, words in U.LEVELS)
@@ -68,7 +47,7 @@ _LEVELS = " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {_re2(w)})' for w
 
 @CATALOG.add(f"WITH {_Q} SELECT *, CASE {_LEVELS} ELSE 'chunk' END AS level FROM q")
 def level_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.level(_questions(spark))
+    return U.level(_questions(spark, sf_dir))
 
 
 @CATALOG.add(f"""WITH {_Q}, c AS (SELECT *, regexp_split_to_array(text, {_re2(U.CONJUNCTION)}) AS conj FROM q),
@@ -78,14 +57,14 @@ def level_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHEN regexp_matches(text, {_re2(U.CHAIN)}) THEN [trim(regexp_extract(text, {_re2(U.CHAIN)}, 1)), trim(regexp_extract(text, {_re2(U.CHAIN)}, 2))] ELSE [text] END AS subs FROM c)
   SELECT query_id, CAST(i - 1 AS BIGINT) AS part, subs[i] AS sub_query FROM (SELECT query_id, subs, unnest(range(1, len(subs) + 1)) AS i FROM s)""".replace("\\\\", "\\"))
 def decompose_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.decompose(_questions(spark))
+    return U.decompose(_questions(spark, sf_dir))
 
 
 @CATALOG.add(f"""WITH {_Q}, i AS (SELECT *, array_to_string(regexp_extract_all(text, {_re2(U.IDENTIFIERS)}), ' ') AS ids, lower(text) AS l FROM q),
   e AS (SELECT query_id, text, list_filter([text, CASE WHEN lower(ids) <> l THEN ids ELSE '' END, CASE WHEN text <> '' AND NOT contains(l, 'current') AND (contains(l, 'learning rate') OR contains(l, 'lr') OR contains(l, 'draft') OR contains(l, 'config')) THEN 'current ' || text ELSE '' END], lambda x: x <> '') || [text, text, text] AS forms FROM i)
   SELECT query_id, CAST(k - 1 AS BIGINT) AS part, CASE WHEN text = '' THEN '' ELSE forms[k] END AS expansion FROM e, range(1, 4) t(k) WHERE text <> '' OR k = 1""")
 def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.expand(_questions(spark))
+    return U.expand(_questions(spark, sf_dir))
 
 
 _WEAK = ", ".join(f"'{w}'" for w in U.WEAK)
@@ -94,36 +73,33 @@ _WEAK = ", ".join(f"'{w}'" for w in U.WEAK)
 @CATALOG.add(f"""WITH {_Q}, w AS (SELECT *, regexp_extract_all(text, '[A-Za-z0-9_./-]+') AS w FROM q), t AS (SELECT *, list_filter(w, lambda x: length(x) > 2 AND lower(x) NOT IN ({_WEAK})) AS t FROM w),
   k AS (SELECT query_id, text, array_to_string(CASE WHEN len(t) > 0 THEN t ELSE list_slice(w, 1, 5) END, ' ') AS k FROM t) SELECT query_id, CASE WHEN trim(text) = '' THEN '' ELSE 'This document contains information about ' || k || '. ' || k || ' ' || k || ' ' || k END AS hypothesis FROM k""")
 def hyde_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark).select("query_id", U.hypothesis(F.col("text")).alias("hypothesis"))
+    return _questions(spark, sf_dir).select("query_id", U.hypothesis(F.col("text")).alias("hypothesis"))
 
 
-_HIT_ROWS = [
-    (1, "learning rate of run 47", "configs/run_047.yaml", "learning rate 0.001 for run 47"),
-    (1, "learning rate of run 47", "notes/misc.md", "nothing to see"),
-    (2, "encoder and fusion in the paper and the draft", "paper/draft.md", "fusion of encoders"),
-    (2, "encoder and fusion in the paper and the draft", "x.md", "zzz"),
-    (3, "which encoder is best", "a/b.md", "qqq"),
-    (4, "compare alpha with beta", "a/c.md", "www"),
-]
 _TOK = "list_distinct(list_filter(list_transform(regexp_extract_all({x}, '[A-Za-z0-9_]+'), lambda t: lower(t)), lambda t: length(t) > 1))"
-_LABELLED = f"""{values("h", "query_id, query, path, chunk", _HIT_ROWS)}, t AS (SELECT *, {_TOK.format(x="query")} AS qt, {_TOK.format(x="chunk")} AS ct, {_TOK.format(x="path")} AS pt,
+_LABELLED = f"""{_PAIRS}, h AS (SELECT query_id, query, path, text AS chunk FROM j WHERE rank <= 3), t AS (SELECT *, {_TOK.format(x="query")} AS qt, {_TOK.format(x="chunk")} AS ct, {_TOK.format(x="path")} AS pt,
     regexp_extract_all(query, '(?i)run[_\\s]?(\\d+)', 1) AS qr, regexp_extract_all(chunk, '(?i)run[_\\s]?(\\d+)', 1) AS cr FROM h),
   s AS (SELECT query_id, query, path, chunk, round(len(list_intersect(qt, ct)) / len(qt)::DOUBLE + CASE WHEN list_has_any(qt, pt) THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN list_has_any(qr, cr) THEN 0.2::DOUBLE ELSE 0 END, 10) AS relevance FROM t),
   l AS (SELECT *, CASE WHEN relevance >= 0.6 THEN 'correct' WHEN relevance >= 0.3 THEN 'ambiguous' ELSE 'incorrect' END AS label FROM s)"""
 
 
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best documents of each text query."""
+    return _pairs(spark, sf_dir).filter("rank <= 3").select("query_id", "query", "path", F.col("text").alias("chunk"))
+
+
 @CATALOG.add(f"WITH {_LABELLED} SELECT * FROM l")
 def corrective_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.corrective(fixture(spark, "query_id int, query string, path string, chunk string", _HIT_ROWS))
+    return U.corrective(_best(spark, sf_dir))
 
 
 @CATALOG.add(f"""WITH {_LABELLED}, c AS (SELECT query_id, query, sum(CASE WHEN label = 'correct' THEN 1 ELSE 0 END) AS correct, sum(CASE WHEN label = 'ambiguous' THEN 1 ELSE 0 END) AS ambiguous, sum(CASE WHEN label = 'incorrect' THEN 1 ELSE 0 END) AS incorrect FROM l GROUP BY ALL)
-  SELECT query_id, CAST(correct AS BIGINT) AS correct, CAST(ambiguous AS BIGINT) AS ambiguous, CAST(incorrect AS BIGINT) AS incorrect, CASE WHEN correct / (correct + ambiguous + incorrect) >= 0.3 THEN 'none' WHEN ambiguous > incorrect THEN 'refine' WHEN query_id = 4 THEN 'decompose' ELSE 'rewrite' END AS action FROM c""")
+  SELECT query_id, CAST(correct AS BIGINT) AS correct, CAST(ambiguous AS BIGINT) AS ambiguous, CAST(incorrect AS BIGINT) AS incorrect, CASE WHEN correct / (correct + ambiguous + incorrect) >= 0.3 THEN 'none' WHEN ambiguous > incorrect THEN 'refine' WHEN (len(list_filter(string_split(query, ' '), lambda w: w <> '')) > 8 OR regexp_matches(lower(query), ' and |compare|which|between')) AND len(list_filter(regexp_split_to_array(query, {_re2(U.CONJUNCTION)}), lambda c: len(list_filter(string_split(c, ' '), lambda w: w <> '')) >= 3)) > 1 THEN 'decompose' ELSE 'rewrite' END AS action FROM c""")
 def corrective_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.correction(U.corrective(fixture(spark, "query_id int, query string, path string, chunk string", _HIT_ROWS)))
+    return U.correction(U.corrective(_best(spark, sf_dir)))
 
 
 @CATALOG.add(f"""WITH {_Q}, r AS (SELECT query_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\bLR\\b', 'learning_rate', 'g'), '(?i)\\bval\\b', 'validation', 'g'), '(?i)\\bconfig\\b', 'configuration yaml', 'g') AS t FROM q),
   n AS (SELECT *, regexp_extract(t, '(?i)run[_\\s]?(\\d+)', 1) AS run FROM r) SELECT query_id, CASE WHEN run <> '' AND NOT contains(lower(t), 'config') AND NOT contains(lower(t), 'yaml') THEN t || ' configs/run_' || CASE WHEN length(run) < 3 THEN lpad(run, 3, '0') ELSE run END || '.yaml' ELSE t END AS rewritten FROM n""")
 def rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark).select("query_id", U.rewritten(F.col("text")).alias("rewritten"))
+    return _questions(spark, sf_dir).select("query_id", U.rewritten(F.col("text")).alias("rewritten"))

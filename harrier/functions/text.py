@@ -36,7 +36,7 @@ def alnum_tokens(text: Column | str, stem: bool = False) -> Column:
     """The "beir" analyser: lower-case runs of ``[a-z0-9]`` without stop words, and
     stemmed if asked for."""
     cut = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    kept = F.filter(cut, lambda t: ~t.isin(STOPWORDS))
+    kept = F.filter(cut, lambda t: ~t.isin(*STOPWORDS))
     return porter(kept) if stem else kept
 
 

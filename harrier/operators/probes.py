@@ -36,7 +36,7 @@ def paraphrases(questions: DataFrame) -> DataFrame:
     plain = F.replace(F.replace(F.lower(q), F.lit("how many"), F.lit("number of")), F.lit("what's"), F.lit("what is"))
     words = F.transform(F.split(plain, r"\s+"), lambda w: F.btrim(w, F.lit("?,.:")))
     kept = F.filter(words, lambda w: (w != "") & ~w.isin(*WEAK))
-    commands = F.element_at(F.split(F.lower(q), r"\s+"), 1).isin(IMPERATIVES)
+    commands = F.element_at(F.split(F.lower(q), r"\s+"), 1).isin(*IMPERATIVES)
     return questions.select("id", F.array_join(kept, " ").alias("keywords"), F.concat(F.when(commands, "can you ").otherwise("can you tell me "), q, F.lit("?")).alias("ask"), F.concat(F.lit("quick question: "), q).alias("prefix"))
 
 
