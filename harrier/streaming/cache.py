@@ -3,7 +3,8 @@
 Entries expire after a time to live and the least recently used goes when the cache
 is full. Questions are dealt to shards, each with a cache of bounded size, by a key;
 within a shard they are taken in order, as a cache must. State is bounded by the
-cache's size, whatever the number of questions.
+cache's size, whatever the number of questions. ``replay`` does so over a table; ``serve``
+over a stream, with the caches as keyed state that outlives a restart.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from harrier.shipping import ship
 
@@ -132,3 +135,86 @@ def _streamed(rows: DataFrame, shards: int, similarity: float, ttl: float, size:
     ship(rows.sparkSession)
     typed = rows.selectExpr("cast(shard as bigint) shard", "probe", "cast(at as double) at", "cast(question_id as bigint) question_id", "vector")
     return typed.repartition(shards, "shard").sortWithinPartitions("shard", "probe", "at", "question_id").mapInArrow(run, _STREAMED)
+
+
+class KeyedCache(StatefulProcessor):
+    """The cache of each shard as state: a map from a question to its vector, its time and its turn
+    (the larger, the later it was used), so that the entry to go is known after a restart too.
+
+    A shard without questions for ``idle_ms`` (processing time) is forgotten by a timer;
+    ``handleInputRows`` takes a micro-batch of a shard in the order of time.
+    """
+
+    def __init__(self, similarity: float, ttl: float, size: int, idle_ms: int | None):
+        self.limits, self.idle_ms = (similarity, ttl, size), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getMapState("entries", "question_id bigint", "vector array<double>, at double, turn bigint")
+        self.turns = handle.getValueState("turns", "turn bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = sorted(((v[2], k[0], v[0], v[1]) for k, v in self.entries.iterator()), key=lambda e: e[0])
+        cache = SemanticCache.of_rows([(k, vector, at) for _, k, vector, at in held], *self.limits)
+        turn = {k: t for t, k, *_ in held}
+        last = self.turns.get()[0] if self.turns.exists() else 0
+        batch = pd.concat(list(rows)).sort_values(["at", "question_id"], kind="stable")
+        served = []
+        touched = set()
+        for number, at, vector in zip(batch["question_id"].tolist(), batch["at"].tolist(), batch["vector"].tolist()):
+            v = np.asarray(vector, np.float64)
+            v = v / max(float(np.linalg.norm(v)), 1e-12)
+            found = cache.get(v, at)
+            if found is None:
+                cache.put(number, v, at)
+            served.append(found)
+            last += 1
+            turn[number if found is None else found] = last
+            touched.add(number if found is None else found)
+        now = {k: (vector, at) for k, vector, at in cache.rows()}
+        for k in [k for _, k, *_ in held if k not in now]:
+            self.entries.removeKey((k,))
+        for k in touched & set(now):
+            self.entries.updateValue((k,), (now[k][0], now[k][1], turn[k]))
+        self.turns.update((last,))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame({"shard": key[0], "question_id": batch["question_id"].to_numpy(), "served_by": pd.array(served, "Int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.entries.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keyed state with maps and timers needs.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def serving(questions: DataFrame, path: str, checkpoint: str, similarity: float = SIMILARITY, ttl: float = TTL, size: int = SIZE, idle_ms: int | None = None, **trigger) -> StreamingQuery:
+    """A running query that serves a stream of ``(question_id, shard, at, vector)``: appends
+    ``(shard, question_id, served_by)`` to the table at ``path``. ``trigger`` is the writer's; with
+    ``idle_ms`` timers keep a query going that takes what is there only, so it must be stopped."""
+    spark = questions.sparkSession
+    ship(spark)
+    typed = questions.selectExpr("cast(shard as bigint) shard", "cast(question_id as bigint) question_id", "cast(at as double) at", "transform(vector, x -> cast(x as double)) vector")
+    served = typed.groupBy("shard").transformWithStateInPandas(KeyedCache(similarity, ttl, size, idle_ms), "shard bigint, question_id bigint, served_by bigint", "append", "None" if idle_ms is None else "ProcessingTime")
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)  # read when the query starts
+    try:
+        writer = served.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        return (writer.trigger(**trigger) if trigger else writer).start()
+    finally:
+        spark.conf.set(_STORE, before)
+
+
+def serve(questions: DataFrame, path: str, checkpoint: str, similarity: float = SIMILARITY, ttl: float = TTL, size: int = SIZE) -> None:
+    """Serve what is there of a stream. A later call with the same checkpoint goes on with the
+    caches as they were. Rows are as ``replay`` gives them if the micro-batches come in the
+    order of time."""
+    serving(questions, path, checkpoint, similarity, ttl, size, availableNow=True).awaitTermination()

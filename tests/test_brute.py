@@ -14,7 +14,7 @@ import __spark_entry__
 from harrier.functions.embedders import hash_vector
 from harrier.functions.porter import Stemmer
 from harrier.functions.text import STOPWORDS
-from harrier.operators import dense
+from harrier.operators import dense, evidence
 from harrier.operators.understand import hypothesis
 
 SF = f"{DATA}/sf0.001"
@@ -160,10 +160,14 @@ def test_engine_quality_is_that_of_its_hits(spark, duck):
 
 
 def test_claims_and_their_verification(spark):
-    said = {(r.id, r.value, r.cited_path) for r in run(spark, "claims").collect()}
+    answers = [(1, "Run 47 reached val_rmse 0.055 after 30 epochs. See configs/run_047.yaml for more.\nShort."), (2, "The encoder is dinov2. Weather was nice today and mild."), (3, "ok"), (4, "The fusion layer should might does help models a lot is.")]
+    found = evidence.claims(spark.createDataFrame(answers, "id int, answer string"))
+    said = {(r.id, r.value, r.cited_path) for r in found.collect()}
     assert (1, "0.055", None) in said and any(p == "configs/run_047.yaml" for *_, p in said) and any(i == 2 and "dinov2" == (v or "").lower() for i, v, _ in said)
-    checked = {(r.id, r.value): r.verified for r in run(spark, "verify_claims").collect()}
+    texts = [(1, "configs/run_047.yaml", "run 47 val_rmse: 0.0559 epochs 30"), (1, "logs/a.out", "val_rmse 0.055 at end"), (2, "x.md", "we use DINOv2 as encoder"), (4, "y.md", "fusion layer help models")]
+    checked = {(r.id, r.value): r.verified for r in evidence.verified(found, spark.createDataFrame(texts, "id int, path string, text string")).collect()}
     assert checked[1, "0.055"] is True  # the log has it by itself; 0.0559 wouldn't do
+    assert checked[4, None] is True  # four of the five words that aren't fillers
 
 
 def test_graph_index_over_shards(spark, tmp_path):
