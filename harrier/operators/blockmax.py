@@ -32,7 +32,7 @@ from harrier.scratch import fresh_folder
 from harrier.shipping import ship
 
 #: Items of a span, about.
-SPAN = 256
+SPAN = 1_024
 #: Postings of a batch that are read without a look at the bounds first.
 ONE_PASS = 20_000_000
 #: Spans of each query that give the threshold, for each of the k items wanted: the best ones

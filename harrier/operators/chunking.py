@@ -1,6 +1,6 @@
 """Chunkers: a row of a file becomes rows of chunks with their place in it.
 
-Fixed windows and lines are column expressions; formats with state (Markdown fences,
+Fixed windows are column expressions; lines and formats with state (Markdown fences,
 quoted CSV records, Python and YAML blocks) are cut in Arrow batches. Chunks carry
 character positions; ``with_bytes`` adds UTF-8 byte ranges and stable ids.
 """
@@ -14,6 +14,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,22 +46,37 @@ def fixed_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key
 
 
 def line_chunks(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Each line that isn't blank; ``\\r\\n``, ``\\r`` and ``\\n`` end lines, nothing else."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.regexp_extract_all(text, F.lit(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$"), F.lit(0))
-    placed = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
-        lambda acc, s: F.struct((acc["at"] + F.char_length(s)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.char_length(F.regexp_replace(s, r"[\r\n]+$", ""))).alias("end"), F.regexp_replace(s, r"[\r\n]+$", "").alias("text"))).alias("out")),
-    )["out"]
-    return files.select(*keys, F.explode(F.filter(placed, lambda c: F.trim(c["text"]) != "")).alias("c")).select(*keys, "c.*")
+    """Each line that isn't blank; ``\\r\\n``, ``\\r`` and ``\\n`` end lines, nothing else. One pass over a text."""
+    ship(files.sparkSession)
+
+    @F.arrow_udf("array<struct<start:int,end:int,text:string>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        found = [[{"start": a, "end": a + len(line), "text": line} for a, b in _lines(t) if (line := t[a:b].rstrip("\r\n")).strip(" ")] for t in texts.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])))
+
+    return files.select(*keys, F.explode(cut(F.coalesce("text", F.lit("")))).alias("c")).select(*keys, "c.*")
 
 
 def with_bytes(chunks: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
-    """Chunks with ``start_byte``, ``end_byte`` and ``chunk_id`` (SHA-1 of path and range)."""
-    whole = files.select(key, F.coalesce("text", F.lit("")).alias("whole"))
-    at = lambda c: F.octet_length(F.substring(F.col("whole"), F.lit(1), F.col(c))).cast("long")
-    out = chunks.join(whole, key).withColumns({"start_byte": at("start"), "end_byte": at("end")}).drop("whole")
+    """Chunks with ``start_byte``, ``end_byte`` and ``chunk_id`` (SHA-1 of path and range). A file's
+    text meets all places of its chunks once, and they are measured in one pass; what is joined
+    with the chunks is numbers."""
+    ship(chunks.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def offsets(texts: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for text, at in zip(texts.to_pylist(), places.to_pylist()):
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # the first byte of each character
+            out.append(begins[np.minimum(at, len(begins) - 1)])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    places = chunks.select(key, F.explode(F.array("start", "end")).alias("at")).groupBy(key).agg(F.array_sort(F.collect_set("at")).alias("at"))
+    whole = files.select(key, F.coalesce("text", F.lit("")).alias("whole")).join(places, key)
+    byte_of = whole.select(key, "at", offsets("whole", "at").alias("byte")).select(key, F.explode(F.arrays_zip("at", "byte")).alias("x")).select(key, "x.*").distinct()
+    starts, ends = (byte_of.select(key, F.col("at").alias(name), F.col("byte").alias(f"{name}_byte")) for name in ("start", "end"))
+    out = chunks.join(starts, [key, "start"]).join(ends, [key, "end"]).select(*chunks.columns, "start_byte", "end_byte")
     return out.withColumn("chunk_id", chunk_id(F.col(key), F.col("start_byte"), F.col("end_byte")))
 
 
