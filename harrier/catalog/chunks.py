@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.catalog.base import DOCS_SQL, QT_SQL, TF_SQL, Catalog, bm25_sql, docs, fixture, made, made_sql, table, text_queries, top_sql, values
+from harrier.functions import tables
 from harrier.operators import chunking as C
 from harrier.operators import lexical as L
 from harrier.sources import corpus as S
@@ -52,9 +53,20 @@ _CUTS = [(0, 1, 1, "markdown", 0), (0, 2, 6, "markdown", 0), (0, 7, 8, "markdown
   SELECT path, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end", kind, sha256(substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT))) AS sha FROM c WHERE regexp_matches(substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)), '\\S')""")
 def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, as files of four types in turn; they hold no headings, no fences and no JSON."""
+    return C.structured_chunks(_typed_files(spark, sf_dir)).select("path", "start", "end", "kind", F.sha2("text", 256).alias("sha"))
+
+
+def _typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.element_at(F.array(*map(F.lit, (".txt", ".jsonl", ".json", ".md"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    files = docs(spark, sf_dir).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ending).alias("path"), "text")
-    return C.structured_chunks(files).select("path", "start", "end", "kind", F.sha2("text", 256).alias("sha"))
+    return docs(spark, sf_dir).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ending).alias("path"), "text")
+
+
+@CATALOG.add(CATALOG.sql["structured_chunks"])
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, called from SQL."""
+    tables.register(spark)
+    _typed_files(spark, sf_dir).createOrReplaceTempView("files_to_chunk")
+    return spark.sql("SELECT path, start, `end`, kind, sha2(text, 256) AS sha FROM chunks(TABLE(files_to_chunk), 'auto')")
 
 
 @CATALOG.add(f"""WITH {made_sql(_FORMATS, 8, "f", "doc_id, k, 'a/' || doc_id || " + _SUFFIX + " AS path, {x} AS text")}, {values("c", "k, first, last, kind, head", _CUTS)},

@@ -106,7 +106,7 @@ def stopword_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.add()
 def porter_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenize = T.analyzer("beir")
-    d = docs(spark, sf_dir).filter("lang = 'en'").select("doc_id", tokenize("text").alias("stems"))
+    d = docs(spark, sf_dir).select("doc_id", tokenize("text").alias("stems"))
     terms = L.query_terms(text_queries(spark, sf_dir), tokenize)
     return L.bm25_top_k(d, terms, 10, 0.9, 0.4, text="stems", tokenize=lambda c: F.col(c) if isinstance(c, str) else c)
 
