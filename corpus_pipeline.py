@@ -4,7 +4,15 @@ Quality rules drop failing documents and rejected hosts; line dedup drops repeat
 lines; SimHash keeps one document of each component; decontamination drops documents
 that hold a benchmark window; the last stage encodes and decodes what is left. A
 stage works on all rows that the one before kept. All but the last return the columns
-of ``documents``, whatever these are beyond ``doc_id, text, source``.
+of ``documents``, whatever these are beyond ``doc_id, text, source``, and whatever names
+they have.
+
+A null text counts as the empty text: it fails the quality rules. A null source is a host of
+its own. A null id stands below all others in line dedup, and after all others where
+SimHash chooses the row that stays. Repeated rows are one document to line dedup, and one
+of them stays after SimHash; ties there are broken by id and then by the hash of the text.
+Texts of any length are handled whole, empty tables give no rows at any stage, and an empty
+benchmark drops nothing.
 """
 
 from __future__ import annotations
