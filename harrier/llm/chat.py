@@ -41,7 +41,9 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {(START, SYSTEM), (START, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)}
 #: What each step costs.
 COSTS = {"merge": 1, "unknown": 1, "relabel": 3, "insert": 4}
+#: Turns of a stretch, and characters of its texts (one turn at least), that a task holds at a time.
 STRETCH = 16_384
+STRETCH_CHARS = 4_000_000
 #: Other names of the roles.
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant"}
 _FAR = 10**12
@@ -134,7 +136,7 @@ def opening(state: int) -> str:
 CLOSE = "<|end|>\n"
 
 
-def repair(conversations: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def repair(conversations: DataFrame, stretch: int = STRETCH, stretch_chars: int = STRETCH_CHARS) -> DataFrame:
     """``(conv_id, seq, turn, role_in, role, action, inserted, cost, text, fragment)``:
     a row for each turn, in the order of ``seq``; the last one's fragment closes the
     conversation."""
@@ -146,8 +148,12 @@ def repair(conversations: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
     def number(values: Iterator[tuple]) -> Iterator[tuple]:
         for (part, conv), turns in groupby(values, key=lambda r: (r[0], r[1])):
-            for at, (_, _, turn, role, text) in enumerate(turns):
-                yield part, conv, at // stretch, at % stretch, turn, role, role_state(role), text
+            block, pos, chars = 0, 0, 0
+            for _, _, turn, role, text in turns:
+                if pos == stretch or (pos and chars + len(text) > stretch_chars):
+                    block, pos, chars = block + 1, 0, 0
+                yield part, conv, block, pos, turn, role, role_state(role), text
+                pos, chars = pos + 1, chars + len(text)
 
     numbered = map_rows(ordered, ["part", *keys], number, f"part int, conv_id {kind}, block long, pos int, turn long, role string, state int, text string")
     numbered = materialize(numbered, "turns")

@@ -6,7 +6,8 @@ sign, other separators, IPv6); proposals may overlap. A gradient-boosted ensembl
 trees scores each by its format and its context; the score is calibrated on
 examples held out, and for each kind a span is redacted if its probability reaches
 the threshold at which the examples held out show the wanted precision. Of overlapping
-spans that pass, the most probable stays; none may overlap a base span.
+spans that pass, the most probable stays (ties: the longest, then the first, then by kind);
+none may overlap a base span.
 
 The examples are made here, by a seeded generator of sentences that hold personal
 data and look-alikes (dates, prices, versions, order numbers); their number is

@@ -15,7 +15,7 @@ link for each fingerprint (to the root of its local component), never all pairs.
 Components come from alternating large-star and small-star steps over the links
 of fingerprints, written to the shared folder; a node of many links is salted.
 
-Null and empty texts have the fingerprint zero and link like any other. A component
+A bit that is set in exactly half of the hashes is 0. Null and empty texts have the fingerprint zero and link like any other. A component
 is named by its smallest id; null ids name none (a component of only null ids has a
 null name). Repeated rows each get their row. Other columns aren't touched, whatever
 their names; empty tables give no rows; texts of any length are hashed whole.

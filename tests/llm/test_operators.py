@@ -659,6 +659,20 @@ def test_chat_query(spark):
     assert chat.repair(df.limit(0)).count() == 0
 
 
+def test_chat_stretches_of_long_texts(spark):
+    """Stretches end where their texts get long; the cost is the least, wherever they end."""
+    rng = random.Random(12)
+    rows = [(7, t, rng.choice(["user", "assistant", "system", "tool", None]), "x" * rng.choice([0, 10, 50_000])) for t in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for chars in (1, 60_000, chat.STRETCH_CHARS):
+        found = sorted(chat.repair(df, stretch_chars=chars).collect(), key=lambda r: r.seq)
+        assert [(r.seq, r.turn, r.role_in, r.text) for r in found] == [(t, t, role, text) for _, t, role, text in rows]
+        assert {r.cost for r in found} == {repair_brute([chat.role_state(r[2]) for r in rows])}
+        roles = re.findall(r"<\|(system|user|assistant)\|>", "".join(r.fragment for r in found))
+        states = [0] + [chat.ROLES.index(x) + 1 for x in roles]
+        assert all(p in chat.LEGAL for p in zip(states, states[1:])) and states[-1] == 3
+
+
 def test_long_conversations(spark):
     """Thousands of turns and a very long text in one conversation, in stretches."""
     rows = [(1, i, ("user", "assistant", "tool")[i % 3], f"t{i}" if i != 77 else "x" * 300_000) for i in range(5_000)]
