@@ -99,7 +99,9 @@ def _k_hop(o: DataFrame, c: DataFrame) -> DataFrame:
     return G.hops(edges, seeds, 2)
 
 
-@CATALOG.add()
+@CATALOG.add("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), ss AS (SELECT DISTINCT x.a AS x, y.a AS y FROM e x JOIN e y USING (b)),
+  r(x, y) AS (SELECT x, y FROM ss UNION SELECT r.x, ss.y FROM r JOIN ss ON r.y = ss.x), low AS (SELECT a, least(a, min(b)) AS m FROM e GROUP BY a),
+  c AS (SELECT x AS a, min(m) AS component FROM r JOIN low ON low.a = r.y GROUP BY x) SELECT a AS node, component FROM c UNION ALL SELECT b, min(component) FROM e JOIN c USING (a) GROUP BY b""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(table(spark, sf_dir, "lineitem"))
 

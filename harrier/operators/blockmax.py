@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.functions import text as T
-from harrier.operators.lexical import INDEX_BUCKETS, QueryBlock, bm25_weight, bucket_of, corpus_statistics, exploded, token_count
+from harrier.operators.lexical import BROADCAST_TERMS, INDEX_BUCKETS, QueryBlock, bm25_weight, bucket_of, corpus_statistics, exploded, token_count
 from harrier.operators.ranking import top_k
 from harrier.scratch import fresh_folder
 from harrier.shipping import ship
@@ -38,7 +38,7 @@ ONE_PASS = 20_000_000
 #: Spans of each query that give the threshold, for each of the k items wanted: the best ones
 #: tend to lie in as many spans.
 SEEDS = 1.0
-#: Queries of a batch.
+#: Queries of a batch; one that has ``BROADCAST_TERMS`` terms takes no further query.
 BATCH = 1_024
 #: What rounding may take off a bound.
 _SLACK = 1e-6
@@ -152,11 +152,13 @@ def _batches(index: BlockIndex, terms: DataFrame) -> Iterator[tuple[QueryBlock,
         words = spark.createDataFrame([(b, t, number[t]) for t, b in sorted(df)], "bucket int, term string, word int")
         return QueryBlock(ids, pa.array(sorted(number), pa.string()), word, query, weight), words, sum(df.values())
 
+    n_terms = 0
     for r in known.toLocalIterator():
-        if r.query_id not in held and len(held) == BATCH:
+        if r.query_id not in held and (len(held) == BATCH or n_terms >= BROADCAST_TERMS):
             yield made()
-            held, sent = {}, True
+            held, sent, n_terms = {}, True, 0
         held.setdefault(r.query_id, []).append(r)
+        n_terms += 1
     if held or not sent:
         yield made()
 

@@ -55,6 +55,7 @@ def test_few_blocks_are_read(spark, corpus, asked, tmp_path):
 def test_batches_and_other_weights(spark, corpus, asked, tmp_path, monkeypatch):
     monkeypatch.setattr(B, "BATCH", 3)
     monkeypatch.setattr(B, "_BROADCAST_BLOCKS", 2)
+    monkeypatch.setattr(B, "BROADCAST_TERMS", 7)
     B.write_blocks(corpus, f"{tmp_path}/i", span=20, buckets=3, k1=0.9, b=0.4)
     index = B.read_blocks(spark, f"{tmp_path}/i")
     want = rows(L.bm25_top_k(corpus, asked, 4, 0.9, 0.4))
