@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrier.functions import text as T
 from harrier.operators.understand import COMPARATIVE
+from harrier.scratch import checkpointed
 
 #: Folders of superseded files, fields of facts, and opposite phrases.
 ARCHIVES = ("archive", "old", "superseded")
@@ -67,10 +71,19 @@ def structural_conflicts(chunks: DataFrame) -> DataFrame:
 
 def claim_conflicts(hits: DataFrame) -> DataFrame:
     """``(query_id, path_a, path_b, said, denied)``: pairs of a query's hits of which one
-    says a phrase and the other its opposite. Hits meet on the phrases they hold."""
-    text = T.claim_text("text")
-    holds = F.flatten(F.array(*(F.array(F.when(text.contains(a), F.struct(F.lit(i).alias("pair"), F.lit(0).alias("side"))), F.when(text.contains(b), F.struct(F.lit(i).alias("pair"), F.lit(1).alias("side")))) for i, (a, b) in enumerate(OPPOSITES))))
-    said = hits.select("query_id", "path", F.explode(F.filter(holds, lambda x: x.isNotNull())).alias("h")).select("query_id", "path", "h.pair", "h.side").distinct()
+    says a phrase and the other its opposite. Hits meet on the phrases they hold.
+
+    Texts are read once, and only those with a telling word of a phrase are cleaned: the
+    text is bound by the functions' variables, and the few rows with phrases are written
+    before their sides part, since Spark would work a text out anew for each use.
+    """
+    telling = sorted({max(reversed(p.split()), key=len) for pair in OPPOSITES for p in pair})
+    bare = F.translate(F.lower(F.coalesce("text", F.lit(""))), "*_`~", "")
+    cleaned = lambda b: F.when(reduce(or_, (b.contains(w) for w in telling)), T.claim_text(b))
+    phrases = [F.struct(F.lit(i).alias("pair"), F.lit(side).alias("side"), F.lit(p).alias("phrase")) for i, pair in enumerate(OPPOSITES) for side, p in enumerate(pair)]
+    holds = F.flatten(F.transform(F.array(bare), lambda b: F.flatten(F.transform(F.array(cleaned(b)), lambda x: F.filter(F.array(*phrases), lambda p: x.contains(p["phrase"]))))))
+    # an outer explode: before another one Spark tests the array's size, which is all of the work again
+    said = checkpointed(hits.select("query_id", "path", F.explode_outer(holds).alias("h")).filter("h is not null").select("query_id", "path", "h.pair", "h.side").distinct())
     a, b = said.filter("side = 0").select("query_id", "pair", F.col("path").alias("p")), said.filter("side = 1").select("query_id", "pair", F.col("path").alias("q"))
     met = a.join(b, ["query_id", "pair"]).filter("p <> q").select("query_id", "pair", F.least("p", "q").alias("path_a"), F.greatest("p", "q").alias("path_b"))
     first = met.groupBy("query_id", "path_a", "path_b").agg(F.min("pair").alias("pair"))

@@ -93,3 +93,25 @@ def test_texts_are_whole(spark, tmp_path):
     assert vectors[1] != vectors[2] and vectors[1] == hash_vector(few[0][1]).tolist() and not any(vectors[3])
     assert {r.doc_id: r.jaccard for r in run(spark, "jaccard_overlap", made).collect()} == {1: 0.5, 2: 0, 3: 0}
     assert {r.search_text.split("\n\n", 1)[1] for r in run(spark, "contextual_text", made).collect()} == {t or "" for _, t, *_ in few}
+
+
+def test_claims_read_each_text_once(spark):
+    """The texts aren't worked out anew for each side and phrase."""
+    from pyspark.sql import functions as F
+
+    from harrier.operators.versions import claim_conflicts
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = ["We say: fusion **does** help!", "Fusion does not help.", None, "nothing", "FUSION, helps", "fu_sion does-not matter", "do*es~ help"]
+    rows = [(q, f"p{i}", t) for q in (1, 2) for i, t in enumerate(texts)]
+    hits = spark.createDataFrame(rows, "query_id long, path string, text string").mapInArrow(counted, "query_id long, path string, text string")
+    found = {(r.query_id, r.path_a, r.path_b, r.said) for r in claim_conflicts(hits).collect()}
+    one = {("p0", "p1", "does help"), ("p1", "p6", "does help"), ("p1", "p4", "fusion helps"), ("p4", "p5", "fusion helps")}
+    assert found == {(q, *x) for q in (1, 2) for x in one}
+    assert read.value == len(rows)
