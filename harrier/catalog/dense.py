@@ -127,7 +127,7 @@ def late_interaction_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _maxsim(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     cut = e.select("vec_id", F.posexplode(F.array(*(F.slice("embedding", 16 * i + 1, 16) for i in range(4)))).alias("pos", "vec"))
-    scored = D.maxsim(cut.select(F.col("vec_id").alias("item"), "vec"), cut.filter(asked).select(F.col("vec_id").alias("query_id"), "pos", "vec"))
+    scored = D.maxsim(cut.select(F.col("vec_id").alias("item"), "vec"), cut.filter(asked).select(F.col("vec_id").alias("query_id"), "pos", "vec"), 5)
     return R.top_k(scored, 5)
 
 
