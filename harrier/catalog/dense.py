@@ -111,7 +111,7 @@ def maxsim_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from an index of centroids, all of which are probed."""
     t = _tokens(spark, sf_dir)
     index = I.index_tokens(t.select("item", "vec"), 32)
-    return R.top_k(I.late_interaction(index, t.filter("item % 100 = 0").withColumnRenamed("item", "query_id"), 32, None), 5)
+    return R.top_k(I.late_interaction(index, t.filter("item % 100 = 0").withColumnRenamed("item", "query_id"), 32, None, 5), 5)
 
 
 @CATALOG.add()
@@ -120,7 +120,7 @@ def late_interaction_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tokens(spark, sf_dir)
     q = t.filter("item % 100 = 0").withColumnRenamed("item", "query_id")
     index = I.index_tokens(t.select("item", "vec"), 64)
-    found = R.top_k(I.late_interaction(index, q, 20, max(50, table(spark, sf_dir, "embeddings").count() // 10)), 5)
+    found = R.top_k(I.late_interaction(index, q, 20, max(50, table(spark, sf_dir, "embeddings").count() // 10), 5), 5)
     return D.tie_aware_recall(found, maxsim(spark, sf_dir), 5)
 
 

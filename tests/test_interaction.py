@@ -33,6 +33,26 @@ def test_all_probes_are_exact_and_few_find_most(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_pairs_are_not_shuffled(spark):
+    """A task hands on the best of each query only, and the cut is that of a plain ranking."""
+    tokens, asked = made(spark)
+    index = I.index_tokens(tokens, 24)
+    whole = D.maxsim(tokens, asked)
+    best = {(r.query_id, r["item"], r.score) for r in top_k(whole, 5).collect()}
+    cut = D.maxsim(tokens, asked, 5)
+    assert {(r.query_id, r["item"], r.score) for r in top_k(cut, 5).collect()} == best
+    assert cut.count() <= 9 * 5 * cut.rdd.getNumPartitions() < whole.count() == 9 * 201
+    wanted = {x for x in best if x[0] != 77 and x[2] is not None}
+    assert {(r.query_id, r["item"], r.score) for r in top_k(I.late_interaction(index, asked, 24, None, 5), 5).collect()} == wanted and len(wanted) == 40
+    every = I.late_interaction(index, asked, 6, 10**6).groupBy("query_id").count().collect()
+    for keep in (1, 17, 120):
+        few = I.late_interaction(index, asked, 6, keep).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in few} == {r.query_id: min(keep, r["count"]) for r in every}
+    # with all centroids probed, the estimate ranks as the score does
+    ranked = {(r.query_id, r["item"]) for r in top_k(whole.filter("query_id <> 77 and score is not null"), 9).collect()}
+    assert len(ranked & {(r.query_id, r["item"]) for r in I.late_interaction(index, asked, 24, 9).collect()}) >= len(ranked) - 2
+
+
 def test_nothing_to_meet(spark):
     tokens, asked = made(spark)
     for some in (tokens.limit(0), tokens.filter("item = 900")):
