@@ -73,9 +73,10 @@ def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
   l AS (SELECT *, string_split(text, chr(10)) AS ls FROM f), p AS (SELECT path, kind, CASE WHEN head = 1 THEN ls[1] || chr(10) ELSE '' END AS head, array_to_string(ls[1:first - 1], chr(10)) || CASE WHEN first > 1 THEN chr(10) ELSE '' END AS before, array_to_string(ls[first:last], chr(10)) AS body, len(ls) > last AS ends FROM l JOIN c USING (k))
   SELECT path, length(before) AS start, length(before) + length(body) + CASE WHEN ends THEN 1 ELSE 0 END AS "end", kind, head || body || CASE WHEN ends THEN chr(10) ELSE '' END AS text FROM p""")
 def chunk_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of one of eight kinds for each document; the SQL names each kind's cuts by their lines."""
+    """A file of one of eight kinds for each document; the SQL names each kind's cuts by their lines,
+    also where a document lacks the words of a heading."""
     files = made(spark, sf_dir, _FORMATS, 8).select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.expr(_SUFFIX)).alias("path"), "text")
-    return C.structured_chunks(files)
+    return C.structured_chunks(files, empty_headings=True)
 
 
 @CATALOG.add(f"WITH {DOCS_SQL} SELECT path, trim(regexp_replace(path, '[_/.-]+', ' ', 'g')) || chr(10) || chr(10) || text AS search_text FROM docs")

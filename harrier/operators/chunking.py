@@ -13,6 +13,7 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -134,14 +135,15 @@ def _each_line(text: str) -> Iterator[Cut]:
 #: A fence and what follows it, a heading, a top-level key.
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)", re.S)
 _HEADING = re.compile(r"#{1,6}\s+\S")
+_ANY_HEADING = re.compile(r"#{1,6}(?:\s|$)")
 _KEY = re.compile(r"([A-Za-z0-9_-]+):")
 
 
-def markdown(text: str) -> Iterator[Cut]:
-    """A cut starts at each heading outside a fence. A fence, indented by three spaces at
+def markdown(text: str, empty_headings: bool = False) -> Iterator[Cut]:
+    """A cut starts at each heading outside a fence; headings without words count if asked for. A fence, indented by three spaces at
     most, is closed by a bare line of its own character, at least as long; backticks with
     more of them later in the line are code within the line."""
-    start, mark = 0, ""
+    start, mark, heading = 0, "", _ANY_HEADING if empty_headings else _HEADING
     for a, b in _lines(text):
         line = text[a:b]
         fence, rest = m.groups() if (m := _FENCE.match(line)) else ("", "")
@@ -150,7 +152,7 @@ def markdown(text: str) -> Iterator[Cut]:
                 mark = ""
         elif fence and (fence[0] == "~" or "`" not in rest):
             mark = fence
-        elif a and _HEADING.match(line):
+        elif a and heading.match(line):
             yield from _windows(start, a, "markdown")
             start = a
     yield from _windows(start, len(text), "markdown")
@@ -257,7 +259,7 @@ CUTTERS: dict[str, Callable[[str], Iterator[Cut]]] = {
 }
 
 
-def structured_chunks(files: DataFrame, strategy: str = "auto") -> DataFrame:
+def structured_chunks(files: DataFrame, strategy: str = "auto", empty_headings: bool = False) -> DataFrame:
     """``(path, start, end, kind, text)`` by the path's extension, or always by one strategy.
     A null text is empty, and an empty or blank text has no chunks; no text makes a cutter fail."""
     if strategy not in ("auto", "fixed", "markdown", "ast"):
@@ -267,7 +269,7 @@ def structured_chunks(files: DataFrame, strategy: str = "auto") -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for path, text in zip(*(c.to_pylist() for c in batch.columns)) for row in chunks_of(path, text or "", strategy)]
+            rows = [row for path, text in zip(*(c.to_pylist() for c in batch.columns)) for row in chunks_of(path, text or "", strategy, empty_headings)]
             if rows:
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -278,10 +280,12 @@ def structured_chunks(files: DataFrame, strategy: str = "auto") -> DataFrame:
     return files.select("path", "text").mapInArrow(cut, "path string, start int, end int, kind string, text string")
 
 
-def chunks_of(path: str, text: str, strategy: str = "auto") -> Iterator[tuple[str, int, int, str, str]]:
+def chunks_of(path: str, text: str, strategy: str = "auto", empty_headings: bool = False) -> Iterator[tuple[str, int, int, str, str]]:
     ending = re.search(r"[^/](\.[^./]+)$", path or "")
     suffix = ending[1].lower() if ending else ""
     cutter = {"fixed": _fixed, "markdown": markdown, "ast": python_blocks}.get(strategy) or CUTTERS.get(suffix, _fixed)
+    if cutter is markdown:
+        cutter = partial(markdown, empty_headings=empty_headings)
     # where a cutter finds nothing, windows do
     for cuts in (cutter, _fixed):
         found = [c for c in cuts(text) if text[c[0] : c[1]].strip()]

@@ -115,3 +115,17 @@ def test_claims_read_each_text_once(spark):
     one = {("p0", "p1", "does help"), ("p1", "p6", "does help"), ("p1", "p4", "fusion helps"), ("p4", "p5", "fusion helps")}
     assert found == {(q, *x) for q in (1, 2) for x in one}
     assert read.value == len(rows)
+
+
+def test_questions_and_files_of_documents_with_few_words(spark, tmp_path):
+    """Where words are missing, the made texts have empty headings, blanks at their ends and equal parts."""
+    import duckdb
+    from support import rows_of, rows_of_sql
+
+    texts = [None, "", "one", "same same same same", "a b", "a b c d e"]
+    few = [(40 * i + k, t, "en", "s", len(t or "")) for i, t in enumerate(texts) for k in range(20)]
+    made = tables(tmp_path, spark, documents=("doc_id long, text string, lang string, source string, n_chars long", few))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{made}/documents.parquet/*.parquet'")
+    for name in ("chunk_formats", "decompose_queries", "expand_queries"):
+        assert rows_of(run(spark, name, made)) == rows_of_sql(con, __spark_entry__.oracle_sql()[name]), name
