@@ -86,27 +86,29 @@ SUPERLATIVE = r"(?i)^(?:which|what)\s+(\w+)\s+.*?(?:had|has|with)\s+the\s+(?:low
 CHAIN = r"(?i)^(.+?)\s+(?:then|and then|,\s*then)\s+(.+)"
 
 
-def parts_of(q: Column) -> Column:
-    """The sub-queries of a trimmed query, in order and distinct without regard to case."""
+def parts_of(q: Column, distinct: bool = True) -> Column:
+    """The sub-queries of a query, in order; distinct without regard to case, or as they stand."""
     conj = F.split(q, CONJUNCTION)
     whole = (F.size(conj) >= 2) & F.forall(conj, lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")) >= 3)
     pair = lambda p: F.array(F.trim(F.regexp_extract(q, p, 1)), F.trim(F.regexp_extract(q, p, 2)))
     metric = F.regexp_replace(F.trim(F.regexp_extract(q, SUPERLATIVE, 2)), r"\?+$", "")
     listing = F.array(F.concat(F.lit("list all "), F.regexp_extract(q, SUPERLATIVE, 1), F.lit(" "), metric), q)
     subs = F.when(q.rlike(COMPARE), pair(COMPARE)).when(whole, F.transform(conj, lambda x: F.trim(x))).when(q.rlike(SUPERLATIVE), listing).when(q.rlike(CHAIN), pair(CHAIN)).otherwise(F.array(q))
-    return distinct_folded(subs)
+    return distinct_folded(subs) if distinct else subs
 
 
-def distinct_folded(items: Column) -> Column:
-    """The items without empty ones and later equals, without regard to case."""
-    lowered = F.transform(items, lambda s: F.lower(F.trim(s)))
-    kept = F.filter(F.transform(items, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: (F.trim(x["s"]) != "") & (F.array_position(lowered, F.lower(F.trim(x["s"]))) == x["i"] + 1))
+def distinct_folded(items: Column, trim: bool = True) -> Column:
+    """The items without empty ones and later equals, without regard to case and, if trimmed, to blanks around them."""
+    bare = F.trim if trim else lambda s: s
+    lowered = F.transform(items, lambda s: F.lower(bare(s)))
+    kept = F.filter(F.transform(items, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: (bare(x["s"]) != "") & (F.array_position(lowered, F.lower(bare(x["s"]))) == x["i"] + 1))
     return F.transform(kept, lambda x: x["s"])
 
 
-def decompose(queries: DataFrame, text: str = "text") -> DataFrame:
-    """A row ``(query_id, part, sub_query)`` for each sub-query."""
-    subs = parts_of(_q(text))
+def decompose(queries: DataFrame, text: str = "text", distinct: bool = True) -> DataFrame:
+    """A row ``(query_id, part, sub_query)`` for each sub-query of the trimmed query; if not
+    ``distinct``, of the query as it is, with empty and equal ones."""
+    subs = parts_of(_q(text)) if distinct else parts_of(F.coalesce(F.col(text), F.lit("")), False)
     safe = F.when(F.size(subs) == 0, F.array(F.lit(""))).otherwise(subs)
     return queries.select("query_id", F.posexplode(safe).alias("part", "sub_query"))
 
@@ -114,19 +116,20 @@ def decompose(queries: DataFrame, text: str = "text") -> DataFrame:
 IDENTIFIERS = r"(?i)\b(?:run[_\s-]?\d+|dinov2|fusion|rmse|learning[_\s]?rate)\b"
 
 
-def expansions(q: Column, n: int = 3) -> Column:
+def expansions(q: Column, n: int = 3, trim: bool = True) -> Column:
     """The query, its identifiers alone, and its "current" form; padded with the query."""
     ids = F.array_join(F.regexp_extract_all(q, F.lit(IDENTIFIERS), F.lit(0)), " ")
     low = F.lower(q)
     asks = low.contains("learning rate") | low.contains("lr") | low.contains("draft") | low.contains("config")
     current = F.when((q != "") & ~low.contains("current") & asks, F.concat(F.lit("current "), q)).otherwise(F.lit(""))
-    unique = distinct_folded(F.array(q, ids, current))
+    unique = distinct_folded(F.array(q, ids, current), trim)
     return F.when(q == "", F.array(F.lit(""))).otherwise(F.slice(F.concat(unique, F.array_repeat(q, n)), 1, n))
 
 
-def expand(queries: DataFrame, n: int = 3, text: str = "text") -> DataFrame:
-    """A row ``(query_id, part, expansion)`` for each form."""
-    return queries.select("query_id", F.posexplode(expansions(_q(text), n)).alias("part", "expansion"))
+def expand(queries: DataFrame, n: int = 3, text: str = "text", trim: bool = True) -> DataFrame:
+    """A row ``(query_id, part, expansion)`` for each form of the query, trimmed or as it is."""
+    q = _q(text) if trim else F.coalesce(F.col(text), F.lit(""))
+    return queries.select("query_id", F.posexplode(expansions(q, n, trim)).alias("part", "expansion"))
 
 
 def corrective(rows: DataFrame) -> DataFrame:
