@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
 from harrier.functions import text as T
+from harrier.operators.dense import CELLS, Running
 from harrier.operators.ranking import small, top_k
 from harrier.shipping import ship
 
@@ -104,9 +107,9 @@ def bm25_top_k(docs: DataFrame, terms: DataFrame, k: int = 50, k1: float = 1.5,
     """``(query_id, item, score, rank)``: the best documents of each query.
 
     Scoring by joins makes a row for each query, posting and common term. Here the
-    queries go out in blocks of bounded size instead, and two narrow passes meet them:
-    the first counts documents by term, the second scores each Arrow batch at once and
-    hands on ``k`` rows for each query and task, which is all that is shuffled.
+    queries go out in blocks of bounded size instead, many at once, and two narrow passes meet
+    them: the first counts documents by term, the second scores each Arrow batch for all
+    blocks and hands on ``k`` rows for each query and task, which is all that is shuffled.
     """
     spark = docs.sparkSession
     kind = docs.schema[item].dataType
@@ -115,8 +118,8 @@ def bm25_top_k(docs: DataFrame, terms: DataFrame, k: int = 50, k1: float = 1.5,
     ship(spark)
     rows = docs.select(F.col(item).cast("long").alias("item"), tokenize(text).alias("tokens"))
     out = None
-    for block in _term_blocks(terms):
-        words = spark.sparkContext.broadcast(block.words)
+    for blocks in _together(_term_blocks(terms)):
+        words = spark.sparkContext.broadcast(blocks[0].words)
 
         def count(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
             seen, n, total = np.zeros(len(words.value), np.int64), 0, 0
@@ -126,23 +129,24 @@ def bm25_top_k(docs: DataFrame, terms: DataFrame, k: int = 50, k1: float = 1.5,
                 n, total = n + len(lengths), total + int(lengths.sum())
             yield pa.RecordBatch.from_pydict({"term": np.arange(-2, len(seen)), "n": np.concatenate([[n, total], seen])})
 
-        # a row for each of the block's terms
+        # a row for each of the blocks' terms
         found = {r.term: r.n for r in rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         n, total = found.get(-2, 0), found.get(-1, 0)
-        df = np.array([found.get(i, 0) for i in range(len(block.words))], np.float64)
-        shared = spark.sparkContext.broadcast(block.weighted(np.log(1 + (n - df + 0.5) / (df + 0.5))))
+        df = np.array([found.get(i, 0) for i in range(len(blocks[0].words))], np.float64)
+        weights = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        shared = spark.sparkContext.broadcast([block.weighted(weights) for block in blocks])
         average = total / n if n else 0.0
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared, average=average) -> Iterator[pa.RecordBatch]:
-            block, best = shared.value, None
+            best = [Running(len(block.ids), k) for block in shared.value]
+            most = max(1, *(len(block.ids) for block in shared.value))
             for batch in batches:
-                for part in _slices(batch, max(1, 4_000_000 // max(1, len(block.ids)))):
-                    scores, items = block.scores(part, average, k1, b)
-                    best = block.best(best, scores, items, k)
-            if best is not None:
-                scores, items = best
-                keep = scores > 0
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(block.ids, scores.shape[1])[keep.ravel()], "item": items.ravel()[keep.ravel()], "score": scores.ravel()[keep.ravel()]})
+                for part in _slices(batch, max(1, CELLS // most)):
+                    items, found = part.column(0).to_numpy(zero_copy_only=False), postings_of(part.column(1), shared.value[0].words)
+                    for block, held in zip(shared.value, best):
+                        held.add(block.scored(found, average, k1, b), items, 8, positive=True)
+            for block, held in zip(shared.value, best):
+                yield from held.batches(block.ids)
 
         part = rows.mapInArrow(score, "query_id long, item long, score double")
         out = part if out is None else out.unionByName(part)
@@ -180,17 +184,23 @@ class QueryBlock:
     def weighted(self, idf: np.ndarray) -> QueryBlock:
         return QueryBlock(self.ids, self.words, self.word, self.query, self.weight * idf[self.word] if len(self.word) else self.weight)
 
-    def scores(self, batch: pa.RecordBatch, average: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray]:
-        """Queries by rows of the batch, and the rows' items."""
-        row, term, tf, lengths = postings_of(batch.column(1), self.words)
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.searchsorted(self.word, np.arange(len(self.words) + 1))
+
+    def scored(self, postings: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], average: float, k1: float, b: float) -> np.ndarray:
+        """Scores of queries (rows) and the documents (columns) that the postings are of, not rounded."""
+        row, term, tf, lengths = postings
+        starts = self.starts
+        asked = starts[1:] > starts[:-1]
+        row, term, tf = (x[asked[term]] for x in (row, term, tf))
         length = lengths[row] / average if average > 0 else lengths[row].astype(np.float64)
         share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
-        starts = np.searchsorted(self.word, np.arange(len(self.words) + 1))
         many = (starts[1:] - starts[:-1])[term]
         at = np.repeat(starts[:-1][term] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(many) else many, many) + np.arange(int(many.sum()))
-        code = self.query[at] * batch.num_rows + np.repeat(row, many)
-        flat = np.bincount(code, np.repeat(share, many) * self.weight[at], len(self.ids) * batch.num_rows)
-        return np.round(flat, 8).reshape(len(self.ids), batch.num_rows), batch.column(0).to_numpy(zero_copy_only=False)
+        code = self.query[at] * len(lengths) + np.repeat(row, many)
+        flat = np.bincount(code, np.repeat(share, many) * self.weight[at], len(self.ids) * len(lengths))
+        return flat.reshape(len(self.ids), len(lengths))
 
     def best(self, held: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` best of what is held and what is new, for each query."""
@@ -221,6 +231,20 @@ def _term_blocks(terms: DataFrame, most: int = 1_024) -> Iterator[QueryBlock]:
         yield _block(held)
 
 
+#: Blocks that a pass over the texts meets at once; a task keeps ``k`` rows for each of their queries.
+BLOCKS_AT_ONCE = 32
+
+
+def _together(blocks: Iterator[QueryBlock]) -> Iterator[list[QueryBlock]]:
+    """Blocks in groups; those of a group have all its words."""
+    while group := list(islice(blocks, BLOCKS_AT_ONCE)):
+        words = sorted({w for block in group for w in block.words.to_pylist()})
+        number, shared = {w: i for i, w in enumerate(words)}, pa.array(words, pa.string())
+        place = [np.array([number[w] for w in block.words.to_pylist()], np.int64) for block in group]
+        # both lists of words are sorted, so a block's pairs stay in order
+        yield [QueryBlock(block.ids, shared, at[block.word] if len(at) else block.word, block.query, block.weight) for block, at in zip(group, place)]
+
+
 def _block(held: dict[int, list[tuple[str, int]]]) -> QueryBlock:
     ids = np.array(sorted(held), np.int64)
     words = sorted({t for own in held.values() for t, _ in own})

@@ -183,3 +183,24 @@ def test_graph_index_over_shards(spark, tmp_path):
     assert len(recall) == 15 and sum(recall) / len(recall) >= 0.95
     assert dense.graph_index_top_k(spark, f"{tmp_path}/graph", queries.limit(0), 10).count() == 0
     assert min(r.recall for r in run(spark, "ann_recall").collect()) >= 0.9
+
+
+def test_texts_are_read_twice_whatever_the_number_of_queries(spark):
+    """Once to count the documents of terms, and once to score, for all blocks of queries."""
+    from harrier.operators import lexical as L
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 40] for j in range(1, 6))) for i in range(300)], "doc_id long, text string")
+    asked = L.query_terms(spark.createDataFrame([(q, f"{words[q % 40]} {words[(3 * q + 1) % 40]}") for q in range(2_500)], "query_id long, text string")).cache()
+    found = L.bm25_top_k(docs.mapInArrow(counted, "doc_id long, text string"), asked, 5).collect()
+    assert read.value == 2 * 300
+    want = L.top_k(L.bm25_scores(docs, asked), 5).collect()
+    key = lambda r: (r.query_id, r["rank"], r["item"], round(r.score, 7))
+    assert sorted(map(key, found)) == sorted(map(key, want)) and len({r.query_id for r in found}) == 2_500
