@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harrier.catalog.base import DOCS_SQL, FILES_SQL, TOKENS_SQL, Catalog, docs, files, table, values
 from harrier.operators import graph as G
 from harrier.operators import versions as V
+from harrier.scratch import checkpointed
 
 CATALOG = Catalog()
 
@@ -149,7 +150,8 @@ _ROUNDS = ", ".join(f"p{i + 1} AS (SELECT s0.query_id, s0.node, 0.85::DOUBLE * c
   p0 AS MATERIALIZED (SELECT q.query_id, n.node, CASE WHEN z.total IS NULL THEN 1.0::DOUBLE / (SELECT count(*) FROM n) ELSE coalesce(m.mass, 0) / z.total END AS mass FROM q CROSS JOIN n LEFT JOIN z USING (query_id) LEFT JOIN m ON m.query_id = q.query_id AND m.node = n.node), {_ROUNDS}
   SELECT query_id, node, round(mass, 6) AS mass FROM p25""")
 def ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = G.adjacency(G.triples(files(spark, sf_dir)))
+    # counted, collected and asked for its nodes: the texts are read once
+    weights = checkpointed(G.adjacency(G.triples(files(spark, sf_dir))))
     q = _asked(spark, sf_dir)
     return G.page_rank(weights, G.seeds_of(q, weights.select(F.col("a").alias("node")).distinct())).withColumn("mass", F.round("mass", 6))
 

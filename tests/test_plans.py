@@ -68,3 +68,15 @@ def test_upserts_keep_the_last_change(spark):
     table = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "path string, at int, v string")
     changes = spark.createDataFrame([("b", 3, "y"), ("b", 2, "z"), ("c", 1, "p"), ("c", 1, "q")], "path string, at int, v string")
     assert {tuple(r) for r in corpus.upsert(table, changes, order="at").collect()} == {("a", 1, "x"), ("b", 3, "y"), ("c", 1, "q")}
+
+
+def test_page_rank_of_many_edges_shuffles_no_mass(spark, monkeypatch):
+    """A quarter of a million edges still go out as a matrix: the mass of a query stays in its task."""
+    monkeypatch.setattr(graph, "_page_rank_joined", None)
+    n = 125_000
+    one = spark.range(n).selectExpr("concat('a', id) AS a", "concat('b', id div 2) AS b", "1.0D AS weight")
+    weights = one.unionByName(one.selectExpr("b AS a", "a AS b", "weight"))
+    seeds = spark.createDataFrame([(1, "a4", 1.0), (2, "nowhere", 1.0)], "query_id long, node string, mass double")
+    ranks = graph.page_rank(weights, seeds)
+    assert {r.node for r in ranks.filter("query_id = 1 AND mass > 0").collect()} == {"a4", "a5", "b2"}
+    assert ranks.filter("query_id = 2 AND mass > 0").count() == n + n // 2
