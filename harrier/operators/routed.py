@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.functions import vectors as V
-from harrier.operators.dense import _best, _matrix, unit_rows
-from harrier.operators.ranking import small, top_k
+from harrier.operators.dense import _best, _matrix, _query_blocks, unit_rows
+from harrier.operators.ranking import top_k
 from harrier.shipping import ship
 
 #: Vectors of a cell, about, and of a shard of it at most (twice that, by chance).
@@ -42,8 +42,8 @@ PROBES = 16
 #: A layer is this part of the one below; neighbours of a vector in each direction.
 THIN = 16
 NEIGHBOURS = 16
-#: Cells with their queries that are broadcast, at most.
-BROADCAST_ROWS = 20_000
+#: Queries whose cosines with all centroids are held at once: 8 MB for ``MAX_CELLS``.
+_ROUTED_ROWS = 256
 
 _SHARD = "cell int, chunk int, dim int, items array<long>, vecs binary, members array<binary>, links array<binary>"
 
@@ -110,12 +110,20 @@ def _routes(rows: DataFrame, centroids: np.ndarray, most: int) -> DataFrame:
     def nearest(vecs: pa.Array) -> pa.Array:
         if not len(shared.value):
             return pa.array([[]] * len(vecs), pa.list_(pa.int32()))
-        near = unit_rows(_matrix(vecs)) @ shared.value.T
-        return pa.array(list(np.argsort(-near, axis=1, kind="stable")[:, :most].astype(np.int32)), pa.list_(pa.int32()))
+        return pa.array(list(_nearest_cells(unit_rows(_matrix(vecs)), shared.value, most)), pa.list_(pa.int32()))
 
     return rows.select(F.explode(nearest("vec")).alias("cell"), "*")
 
 
+def _nearest_cells(unit: np.ndarray, centroids: np.ndarray, most: int) -> np.ndarray:
+    far = -(unit @ centroids.T)
+    if most < far.shape[1]:
+        some = np.sort(np.argpartition(far, most - 1, axis=1)[:, :most], axis=1)
+    else:
+        some = np.broadcast_to(np.arange(far.shape[1]), far.shape)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1).astype(np.int32)
+
+
 def build_layers(own: np.ndarray, neighbours: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Layers from the top down: members (positions of vectors), and for each a row of links, as
     positions in the layer; a short row is filled up with the member itself."""
@@ -202,28 +210,52 @@ def beam_search(own: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], as
 
 def routed_top_k(index: RoutedIndex, queries: DataFrame, k: int, ef: int | None = 64, probes: int = PROBES, vector: str = "embedding") -> DataFrame:
     """``(query_id, item, score, rank)``: the best cosines that each query (``query_id`` a whole
-    number) finds in its cells; ``ef`` None scans them."""
-    rows = queries.filter(F.col(vector).isNotNull()).select(F.col("query_id").alias("item"), F.transform(vector, lambda x: x.cast("double")).alias("vec"))
-    asked = _routes(rows, index.centroids, probes).groupBy("cell").agg(F.collect_list(F.struct(F.col("item").cast("long").alias("id"), "vec")).alias("asked"))
+    number) finds in its cells; ``ef`` None scans them. Queries are taken in blocks of bounded size
+    (``dense.QUERY_BLOCK``), so nothing that is sent grows with the batch; a block reads its cells' shards once."""
+    spark = queries.sparkSession
+    ship(spark)
+    best = None
+    for asked in _query_blocks(queries, vector):
+        part = _block_top_k(index, asked, k, ef, probes)
+        best = part if best is None else best.unionByName(part)
+    best = best.groupBy("query_id", "item").agg(F.max("score").alias("score"))
+    return top_k(best, k).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+
+
+def _block_top_k(index: RoutedIndex, asked: tuple[np.ndarray, np.ndarray], k: int, ef: int | None, probes: int) -> DataFrame:
+    """``(query_id, item, score)``, in the shards that a block of queries is routed to. The block goes out
+    once, as arrays; which of its queries look into a cell is told by their rows."""
+    cell, row = _cells_of(asked[1], index.centroids, probes)
     # the cells' numbers (MAX_CELLS at most) prune the folders
-    cells = [r.cell for r in asked.select("cell").distinct().collect()]
-    met = index.shards.filter(F.col("cell").isin(cells) if cells else F.lit(False)).join(small(asked, BROADCAST_ROWS), "cell")
+    cells = np.unique(cell).tolist()
+    met = index.shards.filter(F.col("cell").isin(cells) if cells else F.lit(False))
+    shared = index.shards.sparkSession.sparkContext.broadcast((*asked, cell, row))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vecs, cell, row = shared.value
         for batch in batches:
             for shard in batch.to_pylist():
                 own = unit_rows(np.frombuffer(shard["vecs"], np.float32).reshape(-1, shard["dim"]).astype(np.float64))
-                ids, asked = np.array([a["id"] for a in shard["asked"]]), unit_rows(np.array([a["vec"] for a in shard["asked"]], np.float64))
+                some = row[np.searchsorted(cell, shard["cell"]) : np.searchsorted(cell, shard["cell"], "right")]
                 items = np.array(shard["items"])
                 width = [len(m) // 4 for m in shard["members"]]
                 layers = [(np.frombuffer(m, np.int32), np.frombuffer(x, np.int32).reshape(n, -1)) for n, m, x in zip(width, shard["members"], shard["links"])]
-                for at in range(0, len(ids), max(1, 4_000_000 // len(own))):
-                    some = slice(at, at + max(1, 4_000_000 // len(own)))
-                    yield _found(own, items, layers, ids[some], asked[some], k, ef)
-
-    found = met.select("dim", "items", "vecs", "members", "links", "asked").mapInArrow(search, "query_id long, item long, score double")
-    best = found.groupBy("query_id", "item").agg(F.max("score").alias("score"))
-    return top_k(best, k).withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
+                step = max(1, 4_000_000 // len(own))
+                for part in (some[at : at + step] for at in range(0, len(some), step)):
+                    yield _found(own, items, layers, ids[part], vecs[part], k, ef)
+
+    return met.select("cell", "dim", "items", "vecs", "members", "links").mapInArrow(search, "query_id long, item long, score double")
+
+
+def _cells_of(asked: np.ndarray, centroids: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a cell and the row of a query that is routed to it, by cell."""
+    if not len(asked) or not len(centroids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = [_nearest_cells(asked[at : at + _ROUTED_ROWS], centroids, probes) for at in range(0, len(asked), _ROUTED_ROWS)]
+    cell = np.concatenate(near)
+    row = np.repeat(np.arange(len(asked)), cell.shape[1])
+    order = np.argsort(cell.ravel(), kind="stable")
+    return cell.ravel()[order].astype(np.int64), row[order]
 
 
 def _found(own: np.ndarray, items: np.ndarray, layers: list, ids: np.ndarray, asked: np.ndarray, k: int, ef: int | None) -> pa.RecordBatch:

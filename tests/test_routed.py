@@ -59,6 +59,19 @@ def test_only_probed_folders_are_read(index, clustered):
     assert re.search(r"PartitionFilters: \[[^]]*cell#\d+ IN \(\d+,\d+\)", plan)
 
 
+def test_blocks_of_queries_and_nothing_broadcast_by_cell(clustered, index, monkeypatch):
+    """Queries with their vectors, once for each cell that they look into, were a broadcast table in the driver."""
+    q = asked(clustered)
+    for ef in (20, None):
+        monkeypatch.setattr(D, "QUERY_BLOCK", 4_096)
+        whole = {tuple(r) for r in G.routed_top_k(index, q, 5, ef, probes=4).collect()}
+        monkeypatch.setattr(D, "QUERY_BLOCK", 7)
+        found = G.routed_top_k(index, q, 5, ef, probes=4)
+        assert {tuple(r) for r in found.collect()} == whole and len(whole) > 100
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("MapInArrow") >= 3
+
+
 def test_layers_and_the_walk():
     rng = np.random.default_rng(2)
     own = D.unit_rows(rng.normal(size=(900, 8))).astype(np.float32)
