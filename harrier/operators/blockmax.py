@@ -2,7 +2,8 @@
 
 Items are dealt into *spans* of about ``span`` items. A block holds the postings of a
 term in a span, as arrays, and ``top``, the largest share that any of them can have in a
-score. Blocks lie in folders by the hash of their term, sorted by term and span.
+score. Blocks lie in folders by the hash of their term, in a file for each task that made
+some, sorted by term and span. A span of very many tokens may have several blocks of a term.
 
 A query's score in a span can't exceed the sum of its terms' weighted tops there. So a
 batch is searched in two passes. Tops alone are read first (a narrow column) and give the
@@ -22,11 +23,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrier.functions import text as T
-from harrier.operators.lexical import BROADCAST_TERMS, INDEX_BUCKETS, QueryBlock, bm25_weight, bucket_of, corpus_statistics, exploded, token_count
+from harrier.operators.lexical import BROADCAST_TERMS, INDEX_BUCKETS, QueryBlock, bm25_weight, bucket_of, corpus_statistics, token_count
 from harrier.operators.ranking import top_k
 from harrier.scratch import fresh_folder
 from harrier.shipping import ship
@@ -40,6 +42,11 @@ ONE_PASS = 20_000_000
 SEEDS = 1.0
 #: Queries of a batch; one that has ``BROADCAST_TERMS`` terms takes no further query.
 BATCH = 1_024
+#: Tokens that are packed at once, about, and blocks that a task hands on at a time.
+_TOKENS = 2_000_000
+_BLOCKS_OUT = 16_384
+#: Items of a task that writes blocks, about, in a table of many: each has a file in every bucket.
+_TASK_ITEMS = 16_384
 #: What rounding may take off a bound.
 _SLACK = 1e-6
 #: Rows of needed blocks that are broadcast, at most.
@@ -82,20 +89,85 @@ def write_blocks(docs: DataFrame, path: str, tokenize: Callable[[Column | str],
     spark = docs.sparkSession
     corpus = corpus_statistics(docs.select(token_count(text, tokenize).alias("dl")))
     corpus.select("n", "avgdl", F.lit(buckets).alias("buckets"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.lit(docs.schema[item].dataType.simpleString()).alias("item")).write.parquet(f"{path}/corpus")
-    avgdl = spark.read.parquet(f"{path}/corpus").first().avgdl
-    cut = docs.select(F.col(item).alias("item"), tokenize(text).alias("tokens"))
+    corpus_n, avgdl = spark.read.parquet(f"{path}/corpus").select("n", "avgdl").first()
+    ship(spark)
+    body = (F.col(text) if isinstance(text, str) else text).alias("text")
     place = span_of(docs.select(F.col(item).alias("item")), span)
-    each = exploded(cut.select("item", place.alias("span"), F.size("tokens").cast("long").alias("dl"), "tokens"))
-    tf = each.groupBy("item", "span", "dl", "term").agg(F.count("*").alias("tf")).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    share = bm25_weight(F.col("tf"), F.col("dl"), F.lit(float(avgdl)), float(k1), float(b))
-    packed = tf.groupBy("bucket", "term", "span").agg(F.max(share).alias("top"), F.array_sort(F.collect_list(F.struct("item", "tf", "dl"))).alias("p"))
-    blocks = packed.select("bucket", "term", "span", F.size("p").alias("n"), "top", F.col("p.item").alias("items"), F.col("p.tf").cast("array<int>").alias("tfs"), F.col("p.dl").cast("array<int>").alias("dls"))
-    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(f"{path}/blocks")
-    kind = cut.schema["item"].dataType.simpleString()
+    tasks = min(-(-corpus_n // span), max(spark.sparkContext.defaultParallelism, -(-corpus_n // _TASK_ITEMS)))
+    near = docs.select(F.col(item).alias("item"), body).withColumn("span", place)
+    # the texts of a span meet in one task, which writes its part of each bucket: postings aren't shuffled at all
+    rows = near.repartition(max(1, tasks), "span").sortWithinPartitions("span", "item").select("item", "span", tokenize("text").alias("tokens"))
+    kind = rows.schema["item"].dataType.simpleString()
+    average, k1, b, tokens, most = float(avgdl), float(k1), float(b), _TOKENS, _BLOCKS_OUT
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_spans(batches, tokens):
+            packed = _packed(table, average, k1, b)
+            for at in range(0, packed.num_rows, most):
+                yield packed.slice(at, most)
+
+    packed = rows.mapInArrow(pack, f"term string, span int, n int, top double, items array<{kind}>, tfs array<int>, dls array<int>")
+    blocks = packed.select(bucket_of(F.col("term"), buckets).alias("bucket"), "*")
+    blocks.sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(f"{path}/blocks")
     terms = _blocks_at(spark, path, kind).groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
 
 
+def _whole_spans(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Table]:
+    """Rows ``(item, span, tokens)`` in the order of their spans, in tables of about so many ``tokens`` that
+    end with a span; one of more than four times as many is cut, and has a block of a term for each part."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        spans = batch.column(1).to_numpy(zero_copy_only=False)
+        at = 0
+        for i in range(batch.num_rows):
+            have = n + int(sizes[i - 1] - (sizes[at - 1] if at else 0)) if i > at else n
+            if have >= 4 * tokens or have >= tokens and spans[i] != (spans[i - 1] if i else held[-1].column(1)[-1].as_py()):
+                yield pa.Table.from_batches([*held, batch.slice(at, i - at)])
+                held, n, at = [], 0, i
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+            n += int(sizes[-1] - (sizes[at - 1] if at else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _packed(rows: pa.Table, average: float, k1: float, b: float) -> pa.RecordBatch:
+    """The blocks of the rows by term and span; rows of one item and length in a span count as one."""
+    rows = rows.combine_chunks()
+    tokens = rows["tokens"].combine_chunks()
+    span = rows["span"].to_numpy()
+    dl = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    item = pc.fill_null(pc.dictionary_encode(rows["item"].combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((item, dl, span))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(span[order]) != 0) | (np.diff(dl[order]) != 0) | (np.diff(item[order]) != 0)
+    one = np.empty(len(order), np.int64)
+    one[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(order) else order
+    words = pc.dictionary_encode(tokens.flatten())
+    by_name = pc.sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(by_name), np.int64)
+    place[by_name] = np.arange(len(by_name))
+    pair, tf = np.unique(place[words.indices.to_numpy()] * max(1, len(dl)) + np.repeat(one, dl), return_counts=True)
+    term, row = pair // max(1, len(dl)), pair % max(1, len(dl))
+    length = dl[row] / average if average > 0 else dl[row].astype(np.float64)
+    share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
+    starts = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(span[row], prepend=-1)) if len(term) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(starts, len(term)), pa.int32())
+    columns = {
+        "term": words.dictionary.take(pa.array(by_name[term[starts]])),
+        "span": pa.array(span[row[starts]], pa.int32()),
+        "n": pa.array(np.diff(np.append(starts, len(term))), pa.int32()),
+        "top": np.maximum.reduceat(share, starts) if len(starts) else share,
+        "items": pa.ListArray.from_arrays(ends, rows["item"].combine_chunks().take(pa.array(row))),
+        "tfs": pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32())),
+        "dls": pa.ListArray.from_arrays(ends, pa.array(dl[row], pa.int32())),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def _blocks_at(spark: SparkSession, path: str, item: str) -> DataFrame:
     schema = f"bucket int, term string, span int, n int, top double, items array<{item}>, tfs array<int>, dls array<int>"
     return spark.read.schema(schema).parquet(f"{path}/blocks")

@@ -1,6 +1,7 @@
 """Block-max search against the search that reads everything."""
 
 import random
+import re
 
 import pytest
 
@@ -77,3 +78,28 @@ def test_no_documents_and_no_queries(spark, corpus, asked, tmp_path):
     for one_pass in (0, 10**9):
         assert B.block_top_k(index, asked.limit(0), 3, one_pass=one_pass).count() == 0
     assert B.block_top_k(B.read_blocks(spark, f"{tmp_path}/none"), asked, 3).count() == 0
+
+
+def test_no_posting_is_shuffled(spark, corpus, asked, tmp_path, monkeypatch):
+    """Texts are shuffled once, to their spans; a row for each posting or block went through three shuffles."""
+    def shuffles():
+        """Of the plans that wrote blocks."""
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+        plans = [runs.apply(i).physicalPlanDescription() for i in range(seen, runs.size())]
+        return [p.split("== Initial Plan ==")[0].count("ENSURE_REQUIREMENTS") for p in plans if re.search(r"Arguments: file:\S*/blocks, ", p)]
+
+    seen = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    monkeypatch.setattr(B, "_TOKENS", 40)
+    monkeypatch.setattr(B, "_BLOCKS_OUT", 7)
+    twice = corpus.unionByName(corpus.filter("doc_id = 9"))
+    for docs, n in ((corpus, 1), (twice, 2)):
+        B.write_blocks(docs, f"{tmp_path}/{n}", span=50, buckets=3)
+        index = B.read_blocks(spark, f"{tmp_path}/{n}")
+        assert rows(B.block_top_k(index, asked, 4, one_pass=0)) == rows(B.block_top_k(index, asked, 4))
+        if n == 1:
+            assert rows(B.block_top_k(index, asked, 4)) == rows(L.bm25_top_k(docs, asked, 4))
+            assert index.blocks.groupBy("term", "span").count().filter("count > 1").count() > 0
+        else:  # a row that is there twice has its words twice
+            held = index.blocks.selectExpr("term", "inline(arrays_zip(items, tfs))").filter("items = 9")
+            assert {r.tfs % 2 for r in held.collect()} == {0}
+    assert shuffles() == [0, 0]
