@@ -53,11 +53,64 @@ def hash_vectors(text: Column | str, dim: int = DIM) -> Column:
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         spots: dict[str, tuple[int, float]] = {}
         for texts in batches:
-            yield texts.map(lambda t: hash_vector(t, dim, spots).tolist())
+            yield pd.Series(_hashed(texts.tolist(), dim, spots), texts.index)
 
     return F.pandas_udf(embed, ArrayType(FloatType()))(F.col(text) if isinstance(text, str) else text)
 
 
+def _hashed(texts: list[str | None], dim: int, spots: dict[str, tuple[int, float]]) -> list[np.ndarray]:
+    """``hash_vector`` of each text. The grams of many texts are numbered at once, so that
+    each different one is looked up once."""
+    out, at = [], 0
+    folded = [(t or "").lower() for t in texts]
+    while at < len(folded):
+        end, n = at, 0
+        while end < len(folded) and (end == at or n + len(folded[end]) <= _CHARS):
+            n, end = n + len(folded[end]), end + 1
+        counts = _gram_counts(folded[at:end], dim, spots).astype(np.float32)
+        out += [x / max(float(np.linalg.norm(x)), V.NORM_FLOOR) for x in counts]
+        at = end
+    return out
+
+
+#: Characters whose grams are numbered at once.
+_CHARS = 2_000_000
+
+
+def _gram_counts(texts: list[str], dim: int, spots: dict[str, tuple[int, float]]) -> np.ndarray:
+    joined = "".join(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends, row = np.cumsum(sizes), np.repeat(np.arange(len(texts)), sizes)
+    code, letters = pd.factorize(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32))
+    code, base = code.astype(np.int64), len(letters) + 1
+    out = np.zeros(len(texts) * dim)
+    # numbers of letters, of which a text has 1.1 million at most, are put together two at a time
+    key = code
+    for n in (2, 3, 4):
+        if len(joined) < n:
+            break
+        key, grams = pd.factorize(key[: len(joined) - n + 1] * base + code[n - 1 :])
+        key = key.astype(np.int64)
+        if n == 2:
+            continue
+        place = np.arange(len(key))
+        inside = place + n <= ends[row[: len(key)]]
+        first = np.full(len(grams), -1, np.int64)
+        first[key[inside][::-1]] = place[inside][::-1]
+        bucket, sign = np.zeros(len(grams), np.int64), np.zeros(len(grams))
+        for g in np.flatnonzero(first >= 0).tolist():
+            gram = joined[first[g] : first[g] + n]
+            spot = spots.get(gram)
+            if spot is None:
+                if len(spots) > 200_000:
+                    spots.clear()
+                spot = spots[gram] = _spot(gram, dim)
+            bucket[g], sign[g] = spot
+        kept = key[inside]
+        out += np.bincount(row[: len(key)][inside] * dim + bucket[kept], sign[kept], len(out))
+    return out.reshape(len(texts), dim)
+
+
 def sql_hash_vectors(docs: DataFrame, item: str, text: str = "text", dim: int = DIM) -> DataFrame:
     """``(item, bucket, value)``, sparse: signed counts of tokens by hash, in one shuffle."""
     from harrier.operators.lexical import exploded
