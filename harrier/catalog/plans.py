@@ -12,6 +12,7 @@ from harrier.functions import embedders as E
 from harrier.functions import text as T
 from harrier.operators import evaluate as M
 from harrier.operators import probes as B
+from harrier.operators import singular
 from harrier.plans.engine import Config, Engine
 
 CATALOG = Catalog()
@@ -36,9 +37,8 @@ def tfidf_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.add()
 def tfidf_svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF on 64 singular axes."""
-    model, rows = E.tfidf(docs(spark, sf_dir), features=1024)
-    vectors = model.transform(rows).select("doc_id", "features")
-    return E.reduced(vectors, E.principal(vectors, 64)).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    vectors = singular.embedded(docs(spark, sf_dir), "doc_id", features=1024, dim=64)
+    return vectors.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:

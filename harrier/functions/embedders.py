@@ -152,8 +152,12 @@ def principal(vectors: DataFrame, dim: int, column: str = "features") -> np.ndar
         if total is not None:
             yield total
 
-    parts = vectors.select(column).rdd.mapPartitions(gram)
-    values, axes = np.linalg.eigh(parts.treeReduce(np.add))
+    return leading(vectors.select(column).rdd.mapPartitions(gram).treeReduce(np.add), dim)
+
+
+def leading(gram: np.ndarray, dim: int) -> np.ndarray:
+    """The axes of ``principal``, by the rows' Gram matrix."""
+    values, axes = np.linalg.eigh(gram)
     kept = [k for k in np.argsort(-values)[:dim] if values[k] > _RANK * values.max()]
     axes = axes[:, kept]
     return axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
