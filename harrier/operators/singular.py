@@ -25,10 +25,11 @@ from harrier.shipping import ship
 #: Bytes that are in tokens, in lower case, and 0 for the others. Bytes of characters that aren't ASCII are in none.
 _LOWER = np.array([ord(chr(c).lower()) if c < 128 and re.fullmatch(T.TOKEN, chr(c)) else 0 for c in range(256)], np.uint8)
 #: Bytes of texts that are cut at a time, different words that a task holds before it hands them on,
-#: and rows and words of a block that is made dense.
+#: rows and words of a block that is made dense, and parts in which tasks' arrays are added up.
 _BYTES = 4_000_000
 _WORDS = 1_000_000
 _ROWS, _CODES = 512, 1_000_000
+_PARTS = 16
 
 
 def _slices(column: pa.Array, rows: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -179,10 +180,11 @@ def embedded(docs: DataFrame, item: str, text: str = "text", features: int = 102
                 total[:width] += x.T @ x
                 total[width] += (x > 0).sum(axis=0)
                 total[width + 1] += len(x)
-        yield pa.record_batch([pa.array([total.tobytes()])], ["total"])
+        yield pa.record_batch([pa.array(range(_PARTS), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total.ravel(), _PARTS)])], ["part", "total"])
 
-    parts = codes.select("codes").mapInArrow(products, "total binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(-1, width))
-    total = parts.treeReduce(np.add)
+    parts = codes.select("codes").mapInArrow(products, "part int, total binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1])))
+    sums = parts.reduceByKey(np.add, _PARTS).collectAsMap()  # one array, however many tasks there are
+    total = np.concatenate([sums[i] for i in range(_PARTS)]).reshape(-1, width)
     idf = np.log((total[-1] + 1) / (total[-2] + 1))
     shared = docs.sparkSession.sparkContext.broadcast((idf, idf[:, None] * leading(total[:width] * idf[:, None] * idf, dim)))
 
